@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.binary_length(values.cast(pa.binary())).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(values.cast(pa.binary())).fill_null(0), dtype=np.int64)
         ends = np.cumsum(sizes)
         first = 0
         while first < batch.num_rows:
