@@ -1,5 +1,7 @@
 """All core queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from zonepulse.plans import basics, epidemiology, mobility, reports  # noqa: F401
+from zonepulse.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "weighted_risk_topn"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
