@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonepulse.llm.common import materialize, text_slices
-from zonepulse.llm.tokens import encoder
+from zonepulse.llm.tokens import SLICE, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, size = encoder(tokenizer, keep_space), 4 * capacity
-        for rows, texts in text_slices(batches, "text"):
+        for rows, texts in text_slices(batches, "text", SLICE):
             out: list[list] = [[], [], [], [], [], []]
             for key, ids in zip(rows.column(0).to_pylist(), coder.ids([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 whole = ids + end

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepulse.llm.common import NewFile, filesystem, new_path, text_slices
-from zonepulse.llm.tokens import encoder
+from zonepulse.llm.tokens import SLICE, encoder
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8
@@ -90,7 +90,7 @@ def write_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         coder, shard, data = encoder(tokenizer, True), TaskContext.get().partitionId(), None
         width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         tokens = records = 0
-        for piece, texts in text_slices(batches, "text"):
+        for piece, texts in text_slices(batches, "text", SLICE):
             if data is None:
                 data, index = NewFile(folder, f"part-{shard:06d}", ".rec"), NewFile(folder, f"part-{shard:06d}", ".idx")
             for key, ids in zip(piece.column(0).to_pylist(), coder.ids([t.decode("utf-8", "replace") for t in texts]), strict=True):
