@@ -259,3 +259,17 @@ def test_windows_and_sessions(spark, tmp_path):
     query = ingest.deduplicated(stream, ["user_id"]).writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("dedup").count() == 1
+
+
+def test_draws_follow_their_distributions(spark):
+    rows = models.draws(spark, ["x", "y"], 4000, 6.0, 0.4)
+    got = rows.agg(*[f(c) for c in ("normal", "gamma", "poisson", "negative_binomial") for f in (F.avg, F.var_samp)]).first()
+    want = (0, 1, 6, 90, 6, 6, 6, 96)
+    assert all(abs(a - b) <= 0.15 * max(b, 0.5) for a, b in zip(got, want, strict=True))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, models.draws(spark, ["y", "x"], 4000, 6.0, 0.4).collect()))
+
+
+def test_quarantine_names_its_reasons(spark):
+    rows = spark.createDataFrame([(1, 2), (None, 2), (0, 0)], "a int, b int")
+    got = [(r["status"], r["reasons"]) for r in publish.quarantined(rows, {"a": F.col("a") > 0, "b": F.col("b") > 0}).collect()]
+    assert got == [("published", ""), ("needs review", "a"), ("needs review", "a,b")]

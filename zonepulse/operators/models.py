@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepulse.operators import series
@@ -202,3 +202,20 @@ def replay(reports: DataFrame, least_reports: int = 5, least_days: int = 8, sims
         return pd.DataFrame({"as_of": [first["as_of"]], "reports": [first["reports"]], "rt": [first["rt"]], "median": [mid], "low": [low], "high": [high], "end_median": [float(np.median(end))]})
 
     return rows.groupBy("as_of").applyInPandas(run, "as_of date, reports long, rt double, median double, low double, high double, end_median double")
+
+
+def draws(spark: SparkSession, seeds: list[str], n: int, mean: float, dispersion: float) -> DataFrame:
+    """(seed, k, normal, gamma, poisson, negative_binomial): n draws of each kind per seed word.
+
+    The stream of a seed depends on the word alone.
+    """
+    names = spark.createDataFrame([(s,) for s in seeds], "seed string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for seed in frame["seed"]:
+                rng = np.random.default_rng(zlib.crc32(seed.encode()))
+                rate = rng.gamma(dispersion, mean / dispersion, n)
+                yield pd.DataFrame({"seed": seed, "k": np.arange(n), "normal": rng.normal(size=n), "gamma": rate, "poisson": rng.poisson(mean, n), "negative_binomial": rng.poisson(rate)})
+
+    return names.repartition(len(seeds), "seed").mapInPandas(run, "seed string, k long, normal double, gamma double, poisson long, negative_binomial long")

@@ -90,3 +90,17 @@ def narrative(label: Column, cases: Column, deaths: Column, case_change: Column,
         signed = lambda c: F.concat(F.when(c > 0, "+").otherwise(""), c.cast("string"))
         moved = F.concat(F.lit(" ("), signed(case_change), F.lit(f" {words[0]} ; "), signed(death_change), F.lit(f" {words[1]})."))
     return F.concat(totals, F.when(case_change.isNull(), F.lit(".")).otherwise(moved))
+
+
+def quarantined(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows with ``status`` and ``reasons``: the names of the checks that do not hold, in order.
+
+    A check that is null does not hold.
+    """
+    failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("reasons", F.array_join(failed, ",")).withColumn("status", F.when(F.col("reasons") == "", "published").otherwise("needs review"))
+
+
+def audit_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One JSON text per row; null fields are left out."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("line"))

@@ -82,3 +82,64 @@ def h16_polygon_measures(t: Source) -> DataFrame:
     ring = F.concat_ws(",", corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
     shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
     return t.zones.select("zone_id", polygon_measures(shape).alias("m")).select("zone_id", F.round("m.area_km2", 3).alias("area_km2"), "m.lat", "m.lon")
+
+
+@query("zones", "SELECT zone_id, zone_name AS name, area_km2 IS NOT NULL AS has_area FROM zones")
+def a3_geojson_features(t: Source) -> DataFrame:
+    """A GeoJSON document per zone, read back as features."""
+    from zonepulse.sources.tables import geojson_features, property_of
+
+    text = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("zone_name").alias("nom"), "area_km2").alias("properties"), F.struct(F.lit("Point").alias("type")).alias("geometry"))).alias("features")))
+    rows = geojson_features(t.zones.select("zone_id", text.alias("value")), keep=("zone_id",))
+    return rows.select("zone_id", property_of(["name", "nom"]).alias("name"), property_of(["area_km2"]).isNotNull().alias("has_area"))
+
+
+@query("zones", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
+def a4_json_documents(t: Source) -> DataFrame:
+    return t.events.select("event_id", F.from_json("props", "k long").alias("j")).select("event_id", "j.k")
+
+
+@query("zones", "SELECT conv_id AS doc_id, string_agg('--- PAGE ' || turn || ' ---' || chr(10) || text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1")
+def a12_page_text(t: Source) -> DataFrame:
+    from zonepulse.sources.tables import page_text
+
+    return page_text(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query("zones", "SELECT p_partkey, CAST(2 AS INT) AS n_rows, p_name AS first_cell, p_brand AS last_cell FROM part")
+def a13_cell_grids(t: Source) -> DataFrame:
+    from zonepulse.sources.tables import cell_grid
+
+    text = F.concat(F.col("p_name"), F.lit(" | x ;  y"), F.lit("\n"), F.lit("a;b | "), F.col("p_brand"))
+    grid = t.part.select("p_partkey", cell_grid(text).alias("g"))
+    return grid.select("p_partkey", F.size("g").alias("n_rows"), F.col("g")[0][0].alias("first_cell"), F.element_at(F.element_at("g", -1), -1).alias("last_cell"))
+
+
+@query("zones", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS line FROM nation""")
+def a17_audit_lines(t: Source) -> DataFrame:
+    from zonepulse.operators.publish import audit_lines
+
+    return audit_lines(t.nation, ["n_nationkey", "n_name"])
+
+
+@query("reports", "SELECT report_no, CASE WHEN cumulative > 200 AND deaths % 2 = 0 THEN 'published' ELSE 'needs review' END AS status, concat_ws(',', CASE WHEN NOT cumulative > 200 THEN 'total' END, CASE WHEN NOT deaths % 2 = 0 THEN 'deaths' END) AS reasons FROM reports")
+def a21_quarantine(t: Source) -> DataFrame:
+    from zonepulse.operators.publish import quarantined
+
+    return quarantined(t.reports, {"total": F.col("cumulative") > 200, "deaths": F.col("deaths") % 2 == 0}).select("report_no", "status", "reasons")
+
+
+@query("zones", "SELECT p_partkey, nfc_normalize(p_name) || ' 1/2 fi' AS clean FROM part")
+def h2_compatibility_form(t: Source) -> DataFrame:
+    from zonepulse.functions.text import nfkc
+
+    return t.part.select("p_partkey", F.replace(nfkc(F.concat("p_name", F.lit(" ½ ﬁ"))), F.lit("⁄"), F.lit("/")).alias("clean"))
+
+
+@query()
+def h17_random_draws(t: Source) -> DataFrame:
+    """Moments of the seeded draws; the tests hold them to their distributions."""
+    from zonepulse.operators.models import draws
+
+    rows = draws(t.spark, ["a", "b", "c"], 2000, 6.0, 0.4)
+    return rows.groupBy("seed").agg(*[F.round(f(c), 4).alias(f"{c}_{n}") for c in ("normal", "gamma", "poisson", "negative_binomial") for n, f in (("mean", F.avg), ("variance", F.var_samp))])

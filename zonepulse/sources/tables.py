@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,13 +50,23 @@ def scan_strings(spark: SparkSession, path: str) -> DataFrame:
     return scan_csv(spark, path).fillna("")
 
 
+def geojson_features(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, properties map, geometry JSON) per feature of GeoJSON documents."""
+    shape = "struct<features: array<struct<properties: map<string,string>, geometry: string>>>"
+    return raw.select(*keep, F.explode(F.from_json(column, shape)["features"]).alias("f")).select(*keep, "f.properties", "f.geometry")
+
+
+def cell_grid(text: Column, row: str = "\n", cell: str = r"\s*[|;]\s*") -> Column:
+    """Table text as rows of cells; null stays null."""
+    return F.transform(F.split(text, row), lambda x: F.split(F.trim(x), cell))
+
+
 def scan_geojson(spark: SparkSession, path: str) -> DataFrame | None:
     """(properties map, geometry JSON) per feature; None if the path or its features are missing."""
     raw = _there(lambda: spark.read.text(path, wholetext=True))
     if raw is None:
         return None
-    shape = "struct<features: array<struct<properties: map<string,string>, geometry: string>>>"
-    rows = raw.select(F.explode(F.from_json("value", shape)["features"]).alias("f")).select("f.properties", "f.geometry")
+    rows = geojson_features(raw)
     return None if rows.isEmpty() else rows
 
 
@@ -82,7 +92,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(parts, "\n").alias("text"))
 
 
-def property_of(names: list[str], properties: str = "properties"):
+def property_of(names: list[str], properties: str = "properties") -> Column:
     """The first property of these names that is not blank."""
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at(F.col(properties), F.lit(n))), F.lit("")) for n in names])
 
