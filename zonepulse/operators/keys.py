@@ -41,7 +41,7 @@ def canonical_names(rows: DataFrame, known: DataFrame, aliases: DataFrame, exclu
     rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__raw", key(F.col(name_col)))
     alias = aliases.select(key(F.col("alias")).alias("__raw"), F.col("name").alias("__alias")).dropDuplicates(["__raw"])
     names = known.select(F.col("name").alias("__known"), key(F.col("name")).alias("__key")).where("__key <> ''").dropDuplicates(["__key"])
-    named = rows.join(F.broadcast(alias), "__raw", "left").join(names.withColumnsRenamed({"__known": "__same", "__key": "__raw"}), "__raw", "left")
+    named = rows.join(alias, "__raw", "left").join(names.withColumnsRenamed({"__known": "__same", "__key": "__raw"}), "__raw", "left")
     words = rows.select("__row", "__raw", F.explode(F.array_distinct(F.split("__raw", " "))).alias("__word"))
     inside = words.join(names.withColumn("__word", F.element_at(F.split("__key", " "), 1)), "__word").where(F.contains(F.concat(F.lit(" "), "__raw", F.lit(" ")), F.concat(F.lit(" "), "__key", F.lit(" "))) & (F.length("__raw") <= F.length("__key") + slack))
     longest = inside.groupBy("__row").agg(F.max_by("__known", F.struct(F.length("__key"), "__key")).alias("__inside"))

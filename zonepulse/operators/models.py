@@ -126,7 +126,8 @@ def analogs(observed: DataFrame, curves: DataFrame, features: DataFrame, sigma:
     size = observed.agg(F.max("day").alias("__last"))
     ends = curves.groupBy("outbreak_id").agg(F.max_by("cases", "day").alias("__final"), F.max("day").alias("__end"))
     seen = observed.withColumnRenamed("cases", "__o")
-    grid = seen.crossJoin(F.broadcast(ends)).join(curves.withColumnRenamed("cases", "__c"), ["outbreak_id", "day"], "left")
+    days = ends.crossJoin(F.broadcast(size)).select("outbreak_id", "__final", "__end", F.explode(F.sequence(F.lit(0), F.col("__last"))).alias("day"))
+    grid = days.join(seen, "day").join(curves.withColumnRenamed("cases", "__c"), ["outbreak_id", "day"], "left")
     grid = grid.withColumn("__c", F.coalesce("__c", F.when(F.col("day") > F.col("__end"), F.col("__final")), F.lit(0)).cast("double"))
     fit = grid.groupBy("outbreak_id").agg((F.sum(F.col("__o") * F.col("__c")) / F.nullif(F.sum(F.col("__c") * F.col("__c")), F.lit(0.0))).alias("__s"))
     fit = fit.withColumn("scale", F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce("__s", F.lit(1.0))))).select("outbreak_id", "scale")

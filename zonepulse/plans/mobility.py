@@ -347,7 +347,7 @@ def j5_air_adjusted(t: Source) -> DataFrame:
 @query("zones flows profile scenarios", _BORDER + ", w AS (SELECT sum(weight) AS s FROM profile) SELECT scenario_id, district_id, round(border_total * fraction * (weight / s), 4) AS projected FROM scenarios, profile, w, border")
 def j6_uganda_projection(t: Source) -> DataFrame:
     total = mobility.border_pressure(_month(t), t.zones).crossJoin(t.scenarios)
-    rows = t.profile.crossJoin(F.broadcast(t.profile.agg(F.sum("weight").alias("s")))).crossJoin(F.broadcast(total))
+    rows = t.profile.crossJoin(F.broadcast(t.profile.agg(F.sum("weight").alias("s")))).crossJoin(total)
     return rows.select("scenario_id", "district_id", F.round(F.col("border_total") * F.col("fraction") * (F.col("weight") / F.col("s")), 4).alias("projected"))
 
 
