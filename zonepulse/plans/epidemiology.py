@@ -277,7 +277,7 @@ def _pairs(t: Source) -> DataFrame:
     return today.join(t.wealth.withColumnRenamed("zone_id", "zid"), "zid").select(F.col("zid").alias("zone_id"), "rwi", "cases", F.log1p("cases").alias("log_cases"))
 
 
-@query("cases wealth", _PAIRS + " SELECT round(corr(rwi, cases), 4) AS pearson, CAST(NULL AS DOUBLE) AS constant, CAST(NULL AS DOUBLE) AS two FROM pairs")
+@query("cases wealth", _PAIRS + " SELECT CASE WHEN count(*) >= 3 AND NOT isnan(corr(rwi, cases)) THEN round(corr(rwi, cases), 4) END AS pearson, CAST(NULL AS DOUBLE) AS constant, CAST(NULL AS DOUBLE) AS two FROM pairs")
 def d12_pearson(t: Source) -> DataFrame:
     rows = _pairs(t).withColumn("one", F.lit(1.0))
     two = rows.orderBy("zone_id").limit(2).agg(stats.pearson("rwi", "cases").alias("two"))
@@ -287,12 +287,16 @@ def d12_pearson(t: Source) -> DataFrame:
 _RANKS = "ranks AS (SELECT rank() OVER (ORDER BY rwi) + (count(*) OVER (PARTITION BY rwi) - 1) / 2.0 AS a, rank() OVER (ORDER BY cases) + (count(*) OVER (PARTITION BY cases) - 1) / 2.0 AS b FROM pairs)"
 
 
-@query("cases wealth", _PAIRS + f", {_RANKS} SELECT round(corr(a, b), 4) AS spearman FROM ranks")
+@query("cases wealth", _PAIRS + f", {_RANKS} SELECT CASE WHEN count(*) >= 3 AND NOT isnan(corr(a, b)) THEN round(corr(a, b), 4) END AS spearman FROM ranks")
 def d13_spearman(t: Source) -> DataFrame:
     return stats.spearman(_pairs(t), "rwi", "cases").select(r("spearman"))
 
 
-@query("cases wealth", _PAIRS + f", {_RANKS} SELECT 'linear' AS scale, round((SELECT corr(rwi, cases) FROM pairs), 4) AS pearson, round((SELECT corr(a, b) FROM ranks), 4) AS spearman, (SELECT count(*) FROM pairs) AS n UNION ALL SELECT 'log', round((SELECT corr(rwi, log_cases) FROM pairs), 4), round((SELECT corr(a, b) FROM ranks), 4), (SELECT count(*) FROM pairs)")
+def _guarded(a: str, b: str) -> str:
+    return f"CASE WHEN count(*) >= 3 AND NOT isnan(corr({a}, {b})) THEN round(corr({a}, {b}), 4) END"
+
+
+@query("cases wealth", _PAIRS + f", {_RANKS}, s AS (SELECT {_guarded('a', 'b')} AS spearman FROM ranks) SELECT 'linear' AS scale, {_guarded('rwi', 'cases')} AS pearson, min(spearman) AS spearman, count(*) AS n FROM pairs, s UNION ALL SELECT 'log', {_guarded('rwi', 'log_cases')}, min(spearman), count(*) FROM pairs, s")
 def k9_wealth_scatter(t: Source) -> DataFrame:
     rows, out = _pairs(t), None
     for scale, y in (("linear", "cases"), ("log", "log_cases")):
@@ -403,7 +407,7 @@ def k15_border_assessment(t: Source) -> DataFrame:
     return _assess(t).select("n", assess.border_level(F.col("share"), F.col("local"), F.col("screening")).alias("level"))
 
 
-@query("cases zones", f"SELECT c.health_zone, confirmed_cases, coalesce(i.lat, n.lat) AS lat, coalesce(i.lon, n.lon) AS lon, coalesce(coalesce(i.lat, n.lat) BETWEEN -14 AND 6 AND coalesce(i.lon, n.lon) BETWEEN 11 AND 32, false) AS mapped, confirmed_cases >= greatest(10, 0.12 * max(confirmed_cases) OVER ()) AS labelled, round(3 + 20 * sqrt(confirmed_cases / CAST(max(confirmed_cases) OVER () AS DOUBLE)), 4) AS radius FROM cases c LEFT JOIN zones i ON c.zone_id = i.zone_id LEFT JOIN zones n ON lower(c.health_zone) = lower(n.zone_name) WHERE date = DATE '{DAY}'")
+@query("cases zones", f"SELECT c.health_zone, confirmed_cases, coalesce(i.lat, n.lat) AS lat, coalesce(i.lon, n.lon) AS lon, coalesce(coalesce(i.lat, n.lat) BETWEEN -14 AND 6 AND coalesce(i.lon, n.lon) BETWEEN 11 AND 32, false) AS mapped, confirmed_cases >= greatest(10, 0.12 * max(confirmed_cases) OVER ()) AS labelled, round(3 + 20 * sqrt(confirmed_cases / nullif(CAST(max(confirmed_cases) OVER () AS DOUBLE), 0)), 4) AS radius FROM cases c LEFT JOIN zones i ON c.zone_id = i.zone_id LEFT JOIN zones n ON lower(c.health_zone) = lower(n.zone_name) WHERE date = DATE '{DAY}'")
 def j1_case_map(t: Source) -> DataFrame:
     from zonepulse.functions.text import plausible
     from zonepulse.operators.keys import two_key
@@ -411,4 +415,4 @@ def j1_case_map(t: Source) -> DataFrame:
     rows = two_key(t.cases.where(F.col("date") == F.lit(DAY).cast("date")), t.zones, "zone_id", "health_zone")
     rows = rows.crossJoin(F.broadcast(rows.agg(F.max("confirmed_cases").alias("most"))))
     lat, lon = F.col("zone.lat"), F.col("zone.lon")
-    return rows.select("health_zone", "confirmed_cases", lat.alias("lat"), lon.alias("lon"), plausible(lat, lon).alias("mapped"), (F.col("confirmed_cases") >= F.greatest(F.lit(10.0), 0.12 * F.col("most"))).alias("labelled"), F.round(3 + 20 * F.sqrt(F.col("confirmed_cases") / F.col("most")), 4).alias("radius"))
+    return rows.select("health_zone", "confirmed_cases", lat.alias("lat"), lon.alias("lon"), plausible(lat, lon).alias("mapped"), (F.col("confirmed_cases") >= F.greatest(F.lit(10.0), 0.12 * F.col("most"))).alias("labelled"), F.round(3 + 20 * F.sqrt(F.try_divide("confirmed_cases", "most")), 4).alias("radius"))

@@ -398,9 +398,9 @@ def j15_forecast_weighted(t: Source) -> DataFrame:
     "zones flows cases population",
     SCORED
     + """ SELECT 'weighted' AS layer, 'total' AS kpi, CAST(sum(score) AS DOUBLE) AS value FROM scored UNION ALL SELECT 'weighted', 'max', CAST(max(score) AS DOUBLE) FROM scored
-    UNION ALL SELECT 'weighted', 'zones', CAST(count(*) FILTER (WHERE score > 0) AS DOUBLE) FROM scored UNION ALL SELECT 'weighted', 'median', round(quantile_cont(score, 0.5), 4) FROM scored WHERE score > 0
+    UNION ALL SELECT 'weighted', 'zones', CAST(count(*) FILTER (WHERE score > 0) AS DOUBLE) FROM scored UNION ALL SELECT 'weighted', 'median', coalesce(round(quantile_cont(score, 0.5), 4), 0) FROM scored WHERE score > 0
     UNION ALL SELECT 'population', 'total', CAST(sum(population) AS DOUBLE) FROM population UNION ALL SELECT 'population', 'max', CAST(max(population) AS DOUBLE) FROM population
-    UNION ALL SELECT 'population', 'zones', CAST(count(*) FILTER (WHERE population > 0) AS DOUBLE) FROM population UNION ALL SELECT 'population', 'median', round(quantile_cont(population, 0.5), 4) FROM population WHERE population > 0""",
+    UNION ALL SELECT 'population', 'zones', CAST(count(*) FILTER (WHERE population > 0) AS DOUBLE) FROM population UNION ALL SELECT 'population', 'median', coalesce(round(quantile_cont(population, 0.5), 4), 0) FROM population WHERE population > 0""",
 )
 def k2_layer_kpis(t: Source) -> DataFrame:
     out = None

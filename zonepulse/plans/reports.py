@@ -150,7 +150,7 @@ def f2_top_increases(t: Source) -> DataFrame:
     return _changes(t).where("change > 0").orderBy(F.desc("change"), "zone").limit(8).select("zone", "change", "latest")
 
 
-@query("cases", _CHANGES + """ SELECT CAST(count(*) FILTER (WHERE previous > 0) AS BIGINT) AS previous_count, CAST(count(*) FILTER (WHERE latest > 0) AS BIGINT) AS latest_count, '[' || coalesce(string_agg('"' || zone || '"', ',' ORDER BY zone) FILTER (WHERE is_new), '') || ']' AS new_zones, (SELECT '[' || string_agg('{"zone":"' || zone || '","change":' || change || ',"latest":' || latest || '}', ',' ORDER BY change DESC, zone) || ']' FROM (SELECT * FROM d WHERE change > 0 ORDER BY change DESC, zone LIMIT 8)) AS largest_increases FROM d""")
+@query("cases", _CHANGES + """ SELECT CAST(count(*) FILTER (WHERE previous > 0) AS BIGINT) AS previous_count, CAST(count(*) FILTER (WHERE latest > 0) AS BIGINT) AS latest_count, '[' || coalesce(string_agg('"' || zone || '"', ',' ORDER BY zone) FILTER (WHERE is_new), '') || ']' AS new_zones, (SELECT '[' || coalesce(string_agg('{"zone":"' || zone || '","change":' || change || ',"latest":' || latest || '}', ',' ORDER BY change DESC, zone), '') || ']' FROM (SELECT * FROM d WHERE change > 0 ORDER BY change DESC, zone LIMIT 8)) AS largest_increases FROM d""")
 def k11_delta_payload(t: Source) -> DataFrame:
     return publish.delta(_changes(t))
 

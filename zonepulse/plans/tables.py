@@ -33,9 +33,11 @@ TABLES: dict[str, str] = {
         CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(n_nationkey AS STRING) END AS zone_id,
         CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE CAST(sum(n) OVER (PARTITION BY n_nationkey ORDER BY month_end) AS BIGINT) END AS confirmed_cases,
         CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE CAST(sum(d) OVER (PARTITION BY n_nationkey ORDER BY month_end) AS BIGINT) END AS confirmed_deaths
-      FROM (SELECT last_day(CAST(o_orderdate AS DATE)) AS month_end, c_nationkey, count(*) AS n, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS d
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2) x
-      JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+      FROM (SELECT month_end, n_nationkey, n_name, n_regionkey, coalesce(n, 0) AS n, coalesce(d, 0) AS d
+        FROM (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS month_end FROM {orders}) m CROSS JOIN {nation}
+        LEFT JOIN (SELECT last_day(CAST(o_orderdate AS DATE)) AS counted, c_nationkey, count(*) AS n, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS d
+          FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2) x ON counted = month_end AND c_nationkey = n_nationkey) g
+      JOIN {region} ON n_regionkey = r_regionkey""",
     # days are left out so that gaps exist
     "reports": """
       SELECT date, concat('N', CAST(row_number() OVER (ORDER BY date) AS STRING)) AS report_no, row_number() OVER (ORDER BY date) AS number,
@@ -53,7 +55,7 @@ TABLES: dict[str, str] = {
       SELECT date, CASE WHEN p = 0 THEN 'national' ELSE 'province' END AS admin_level, concat('P', CAST(p AS STRING)) AS province,
         CASE WHEN v > 0 AND day(date) % 4 <> 1 THEN CAST(b AS DOUBLE) / v END AS contact_followup_rate,
         CASE WHEN k > 0 AND p <> 0 THEN CAST(s AS DOUBLE) / k END AS alert_investigation_rate,
-        CASE WHEN day(date) % 5 <> 2 THEN CAST(e AS DOUBLE) / (e + v) END AS poe_screening_coverage,
+        CASE WHEN day(date) % 5 <> 2 AND e + v > 0 THEN CAST(e AS DOUBLE) / (e + v) END AS poe_screening_coverage,
         CASE WHEN p <> 0 THEN k END AS alerts_reported, CAST(day(date) * 10 + p AS BIGINT) AS pos
       FROM (SELECT CAST(ts AS DATE) AS date, user_id % 5 AS p, count(*) AS n,
           sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS v, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS b,
@@ -61,7 +63,7 @@ TABLES: dict[str, str] = {
           sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS e
         FROM {events} GROUP BY 1, 2) x""",
     "population": "SELECT CAST(c_nationkey AS STRING) AS zone_id, count(*) AS population FROM {customer} WHERE c_nationkey <> 22 GROUP BY 1",
-    "wealth": "SELECT CAST(c_nationkey AS STRING) AS zone_id, round(MEDIAN_OF(c_acctbal), 2) AS rwi FROM {customer} GROUP BY 1",
+    "wealth": "SELECT CAST(c_nationkey AS STRING) AS zone_id, MEDIAN_OF(cents) AS rwi FROM (SELECT c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM {customer}) c GROUP BY 1",
     "scenarios": "SELECT * FROM (VALUES ('low', 'Low', CAST(0.05 AS DOUBLE)), ('mid', 'Middle', CAST(0.15 AS DOUBLE)), ('high', 'High', CAST(0.30 AS DOUBLE))) AS t(scenario_id, scenario_name, fraction)",
     "air_rules": "SELECT * FROM (VALUES ('category', 'kinshasa', CAST(0.6 AS DOUBLE)), ('zone_name', 'NATION_5', CAST(0.4 AS DOUBLE)), ('zone_name', 'NATION_7', CAST(0.8 AS DOUBLE)), ('category', 'uganda_border', CAST(1.0 AS DOUBLE))) AS t(match_type, match_value, air_factor)",
     "profile": "SELECT * FROM (VALUES ('u1', 'West', CAST(0.5 AS DOUBLE), CAST(400 AS BIGINT)), ('u2', 'North', CAST(0.3 AS DOUBLE), CAST(250 AS BIGINT)), ('u3', 'Capital', CAST(0.1 AS DOUBLE), CAST(0 AS BIGINT))) AS t(district_id, district, weight, observed)",
