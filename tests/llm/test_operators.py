@@ -420,6 +420,12 @@ def test_embedding_links_equal_brute_force(spark, options):
     assert embeddings.embedding_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embeddings_with_negative_and_missing_ids(spark):
+    rows = [(-5, [1.0, 0.0], 1), (-7, [1.0, 0.01], 1), (None, [1.0, 0.02], 1), (None, [0.0, 1.0], 1), (3, [0.0, -1.0], 1), (3, [0.0, -1.0], 1)]
+    got = embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(-5, 2, -7, False), (-7, 2, -7, True), (None, 2, -7, False), (None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True)]))
+
+
 # 10 SimHash
 
 
@@ -464,3 +470,16 @@ def test_links_of_dense_fingerprints_in_small_blocks(spark):
 def test_rows_without_id_stay(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (2, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert sorted(map(str, (r["doc_id"] for r in simhash.simhash_dedup(df).collect()))) == ["1", "None", "None"]
+
+
+def test_scores_do_not_depend_on_slices(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc de", k=rng.choice([0, 1, 5, 300, 40_000]))).encode() for _ in range(12)] + [b"", b"a" * 20_000]
+    model = langid.Model(pd.DataFrame([("x", "ab c", 3), ("y", "abca", 2), ("y", " abd", 1)], columns=["lang", "gram", "n"]))
+    whole = model.score(texts)
+    monkeypatch.setattr(langid, "SLICE_VALUES", 1)
+    cut = model.score(texts)
+    alone = np.vstack([model.score([t])[0] for t in texts])
+    assert np.allclose(whole[0], cut[0]) and np.allclose(whole[0], alone) and (whole[1] == cut[1]).all()

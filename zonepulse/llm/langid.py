@@ -43,7 +43,8 @@ MAX_CHARS = 1_000_000
 MAX_TOTAL_CHARS = 64_000_000
 CALIBRATION_SHARE = 8  # one text in so many
 REJECT_MARGIN = 1.5
-SLICE = 1 << 19
+#: Log probabilities (n-grams by languages) held at once.
+SLICE_VALUES = 1 << 21
 _UNKNOWN, _GAP = 0, 1
 
 
@@ -193,16 +194,19 @@ class Model:
         for k in range(self.order):
             keys = (keys << np.uint64(16)) | ids[k : k + len(keys)]
         sums, n = np.zeros((len(texts), len(self.langs))), np.diff(begins) - pad
-        logs = np.zeros((len(self.langs), len(keys)), np.float32)
-        for a in range(0, len(keys), SLICE):
-            logs[:, a : a + SLICE] = self.log_probs(keys[a : a + SLICE], self.order)
-        # the n-grams that start in a text's last ``pad`` characters reach into the next text
         full = np.flatnonzero(n > 0)
-        if len(full):
-            cuts = np.stack([begins[:-1][full], begins[1:][full] - pad], axis=1).ravel()
-            cuts = cuts[:-1] if cuts[-1] >= len(keys) else cuts
-            for j in range(len(self.langs)):
-                sums[full, j] = np.add.reduceat(logs[j], cuts, dtype=np.float64)[::2]
+        # where a text's n-grams begin and end: those that reach into the next text count for none
+        cuts = np.stack([begins[:-1][full], begins[1:][full] - pad], axis=1).ravel()
+        step = max(1 << 14, SLICE_VALUES // len(self.langs))
+        for a in range(0, len(keys), step):
+            part = keys[a : a + step]
+            edges = np.concatenate([[a], cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, a + len(part))]])
+            place = np.searchsorted(cuts, edges, "right") - 1
+            inside = (place >= 0) & (place % 2 == 0)
+            for j, logs in enumerate(self.log_probs(part, self.order)):
+                # a text that spans slices gets a part from each
+                found = np.add.reduceat(logs, edges - a, dtype=np.float64)
+                np.add.at(sums[:, j], full[place[inside] // 2], found[inside])
         return sums, n
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
