@@ -106,30 +106,34 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
 
     cells = classes.select("label", F.col("dim").cast("int"), "rep", "n", "vector").mapInArrow(assign, schema)
     cells = materialize(cells, "cells")
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("rows"))
-    cut = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(block_rows))).cast("int")
-    mine = F.pmod(F.xxhash64("rep", "vector"), F.col("cut")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
+    # members of a cell meet each other and its visitors; visitors do not meet here
+    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
+    sizes = cells.groupBy("label", "dim", "cell").agg(blocks(F.count_if("home")).alias("homes"), blocks(F.count_if(~F.col("home"))).alias("guests"))
+    mine = F.pmod(F.xxhash64("rep", "vector"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda guest, a, b, second: F.struct(F.lit(guest).alias("guest"), a.alias("i"), b.alias("j"), second.alias("second"))
+    own = F.transform(upto(F.col("homes")), lambda k: task(False, F.least(k, F.col("mine")), F.greatest(k, F.col("mine")), k < F.col("mine")))
+    met = F.transform(upto(F.col("guests")), lambda k: task(True, F.col("mine"), k, F.lit(False)))
+    visits = F.transform(upto(F.col("homes")), lambda k: task(True, k, F.col("mine"), F.lit(True)))
     dealt = (
         cells.join(sizes, ["label", "dim", "cell"])
-        .withColumn("cut", cut)
         .withColumn("mine", mine)
-        .select("label", "dim", "cell", "home", "rep", "n", "vector", "mine", F.explode(pairs).alias("p"))
-        .select("label", "dim", "cell", F.col("p.i").alias("i"), F.col("p.j").alias("j"), (F.col("mine") != F.col("p.i")).alias("second"), "home", "rep", "n", "vector")
+        .select("label", "dim", "cell", "rep", "n", "vector", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visits)).alias("t"))
+        .select("label", "dim", "cell", "t.guest", "t.i", "t.j", "t.second", "rep", "n", "vector")
     )
 
     def compare(frame: pa.Table) -> pa.Table:
         frame = frame.combine_chunks()
         get = lambda name: frame.column(name).combine_chunks()
-        unit, home, rep, n = _unit(get("vector")), np.asarray(get("home").cast(pa.int8())).astype(bool), np.asarray(get("rep")), np.asarray(get("n"))
+        unit, rep, n = _unit(get("vector")), np.asarray(get("rep")), np.asarray(get("n"))
         second = np.asarray(get("second").cast(pa.int8())).astype(bool)
-        split = frame.column("i")[0].as_py() != frame.column("j")[0].as_py()
+        guest = frame.column("guest")[0].as_py()
+        split = guest or frame.column("i")[0].as_py() != frame.column("j")[0].as_py()
         a = np.flatnonzero(~second) if split else np.arange(len(rep))
         b = np.flatnonzero(second) if split else np.arange(len(rep))
         close = unit[a] @ unit[b].T >= threshold
-        # a pair counts in the home cell of its smaller member
-        smaller = rep[a][:, None] < rep[b][None, :]
-        close &= np.where(smaller, home[a][:, None], home[b][None, :])
+        if guest:  # such a pair meets in both its cells and counts in that of its smaller member
+            close &= rep[a][:, None] < rep[b][None, :]
         if not split:
             np.fill_diagonal(close, False)
         linked = np.zeros(len(rep), np.int64)
@@ -141,7 +145,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
         some = np.flatnonzero(linked > 0)
         return pa.table({"rep": rep[some], "root": rep[root[some]], "linked": linked[some]})
 
-    return dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "rep long, root long, linked long")
+    return dealt.groupBy("label", "dim", "cell", "guest", "i", "j").applyInArrow(compare, "rep long, root long, linked long")
 
 
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -153,13 +157,13 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     good = rows.where("usable")
     # a class without any id is named by a negative hash, which stays internal
     named = F.coalesce(F.min("id"), -1 - F.pmod(F.xxhash64("label", "vector"), F.lit(1 << 62)))
-    classes = materialize(good.groupBy("label", "vector").agg(named.alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("vector")), "vectors")
+    classes = materialize(good.groupBy("label", "vector").agg(named.alias("rep"), F.min("id").isNotNull().alias("known"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("vector")), "vectors")
     found = materialize(links(classes, threshold, **options), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    # negative names would be the smallest: take the smallest id of each component
-    real = F.min(F.when(F.col("rep") >= 0, F.col("rep")))
-    known = classes.join(joined, classes.rep == joined.node, "left").select("label", "vector", "rep", "n", F.coalesce("component", "rep").alias("root"))
+    # the names of classes without an id do not count: take the smallest id of each component
+    real = F.min(F.when(F.col("known"), F.col("rep")))
+    known = classes.join(joined, classes.rep == joined.node, "left").select("label", "vector", "rep", "known", "n", F.coalesce("component", "rep").alias("root"))
     least = known.groupBy("root").agg(real.alias("component"))
     of = known.join(least, "root").join(counts, "rep", "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
     of = materialize(of, "vector-of")
