@@ -33,6 +33,13 @@ def test_rounding_modes(spark):
     assert [tuple(r) for r in df.collect()] == [(3, 2), (-2, -2), (4, 4)]
 
 
+def test_labelled_numbers(spark):
+    raw = [("1 234 Cases", 1234, None, None), ("7,001 cases", 7001, None, None), ("5\n6 Cases", 6, None, None), ("1.2.3 cases", None, None, None), ("2 imported 3 local", None, 2, 3), ("2 imported and 3 local", None, None, None), ("9" * 25 + " cases", None, None, None), ("", None, None, None), (None, None, None, None)]
+    s = F.col("s")
+    df = spark.createDataFrame([(r[0],) for r in raw], "s string").select(text.number_before(s, "cases"), *text.number_pair(s, "imported", "local"))
+    assert [tuple(r) for r in df.collect()] == [r[1:] for r in raw]
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("le 8 juin 2026", "8 June 2026", "8-Jun-26"), ("08/06/2026", "June", "x"), ("31/02/2026", None, None), (None, "", "")], "f string, e string, c string")
     got = df.select(text.french_date(F.col("f")), text.english_date(F.col("e")), text.chart_date(F.col("c"))).collect()

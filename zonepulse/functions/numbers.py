@@ -32,7 +32,7 @@ def fr_int(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(text, "[\\u00a0\\u202f\\t ]+", " "))
     digits = F.regexp_replace(_found(clean, r"-?[0-9][0-9\s,.]*"), r"[\s.]", "")
     value = F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(~F.upper(clean).isin("", "ND", "NA", "-"), value.cast("long"))
+    return F.when(~F.upper(clean).isin("", "ND", "NA", "-"), value.try_cast("long"))
 
 
 def fr_float(text: Column) -> Column:
@@ -43,8 +43,8 @@ def fr_float(text: Column) -> Column:
 
 
 def en_int(text: Column) -> Column:
-    """Commas group thousands."""
-    return F.replace(_found(text, r"-?[0-9][0-9,]*"), F.lit(","), F.lit("")).try_cast("long")
+    """Commas and white space group thousands, a dot starts decimals, which are cut off."""
+    return F.regexp_replace(_found(text, r"-?[0-9][0-9,.\s]*"), r"[\s,]", "").try_cast("double").try_cast("long")
 
 
 def half_up(value: Column) -> Column:

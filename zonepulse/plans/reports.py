@@ -215,6 +215,16 @@ def h8_h9_labelled_values(t: Source) -> DataFrame:
     return t.customer.select("c_custkey", text.line_after(s, "Zone").alias("zone"), text.number_after(s, "Cases").alias("cases"), text.number_before(s, "imported").alias("imported"), text.number_before(s, "local").alias("local"))
 
 
+_BULLETIN = "concat(CAST(1000 + user_id AS STRING), ' Imported Cases ', CAST(event_id AS STRING), ' Local cases; 12,', CAST(100 + user_id AS STRING), ' total persons tested')"
+
+
+@query("zones", "SELECT event_id, CAST(1000 + user_id AS BIGINT) AS imported, CAST(event_id AS BIGINT) AS local, CAST(12100 + user_id AS BIGINT) AS tested FROM events")
+def h9_number_pairs(t: Source) -> DataFrame:
+    s = F.expr(_BULLETIN)
+    imported, local = text.number_pair(s, "imported cases", "local cases")
+    return t.events.select("event_id", imported.alias("imported"), local.alias("local"), text.number_before(s, "total persons tested").alias("tested"))
+
+
 @query("zones", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 17 WHEN 1 THEN 23 ELSE c_custkey END AS cases, c_custkey % 30 AS deaths FROM customer")
 def h10_national_totals(t: Source) -> DataFrame:
     k = F.col("c_custkey")
