@@ -154,6 +154,23 @@ def test_generated_articles_are_whole(seed):
     assert html_text.main_text(page) == "\n".join(w for w in want if w)
 
 
+def test_blocks_end_where_text_outside_links_dives():
+    links = "".join(f"<li><a href=/{k}>A link of the page {k}</a>" for k in range(6))
+    body = "".join(f"<p>{'plain words ' * 12}{k}</p>" for k in range(3)) + "<p>The end.</p>"
+    want = "\n".join(f"{'plain words ' * 12}{k}" for k in range(3)) + "\nThe end."
+    # no article, no class names: menu, footer and links around the text
+    menu, foot = f"<ul>{links}</ul>", "<div>(c) Some Site, all rights kept</div>"
+    table = "<table>" + "".join(f"<tr><td><a href=/{k}>Other page {k}</a></td></tr>" for k in range(5)) + "</table>"
+    assert html_text.main_text(f"<body>{menu}<div><h1>Title</h1>{body}</div>{foot}") == "Title\n" + want
+    assert html_text.main_text(f"<body>{table}<div>{body}</div>{table}{foot}") == want
+    # inside a holder, and dense text beside one
+    assert html_text.main_text(f"<article>{body}{menu}<p>x</p></article>") == want
+    assert html_text.main_text(f"<article><p>Short teaser.</p></article>{menu}<div>{body}</div>{menu}") == "Short teaser.\n" + want
+    # short articles, single links and anchors stay
+    assert html_text.main_text(f"<article>{body}</article><article><p>Two</p><p><a href=x>three</a></p></article>") == want + "\nTwo\nthree"
+    assert html_text.main_text("<article><a name=top><p>One</p><p>two</p></article>") == "One\ntwo"
+
+
 # 3 secrets
 
 

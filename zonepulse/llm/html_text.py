@@ -2,12 +2,18 @@
 
 Markup is stripped into lines, one per block element. Script, style and other raw
 elements disappear; lines of menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, known by element, role, class or id, count as empty,
-and so does everything outside an article or main element, or one whose class, id
-or role says so, if the page has one with text. Text lengths, without those of links, are summed over windows of
-WINDOW lines. A block of text begins where the sum surges to the threshold,
-together with the lines that lead up to it without a gap, and ends where the sum
-dives to nothing; all text between surge and dive points is kept.
+forms and reader comments, known by element, role, class or id, count as empty.
+Text lengths, without those of links, are summed over windows of WINDOW lines. A
+block ends where the sum dives to nothing: at WINDOW lines or more without text
+outside links, for which the edges of the page, listed elements, the bounds of
+holders and the step from a container of several lines to the next container also
+stand. A block is main text, whole, if the sum surges to the threshold in it.
+
+Article and main elements, and those whose class, id or role says so, are holders:
+an aid, not a verdict. Inside one only link lists make the sum dive, and the
+threshold is at most half of the holder's largest sum, so a short article is main
+text; outside, on a page with a holder, text has to be as dense as half of the
+largest sum in a holder too.
 
 Edge cases: null and empty pages, and pages without text, give an empty text.
 Unclosed elements end with their page; an unclosed boilerplate element also ends
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from zonepulse.llm.common import text_slices
 
 WINDOW = 3
-#: Characters in a window that begin a block on pages without an article element.
+#: Characters outside links in a window that make a block main text.
 SURGE = 80
 
 _RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(script|style|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|audio|video|title|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)")
@@ -51,7 +57,13 @@ _CONTENT = frozenset("article content entry post story main body".split())
 #: Class, id or role words that make a plain element hold the article.
 _HOLDING = frozenset("content maincontent main article articlebody story storybody post postbody entry".split())
 
-Line = tuple[str, int, bool, bool]
+#: Containers: the step from one of several lines to another of them ends a block.
+_GROUPS = frozenset("div section td".split())
+_LISTS = _GROUPS | frozenset("table ul ol dl".split())
+_HREF = re.compile(r"(?i)(?:^|\s)href\s*=")
+
+#: Text, characters outside links, number of its holder (0: none), boilerplate, behind a step.
+Line = tuple[str, int, int, bool, bool]
 
 
 def _boilerplate(tag: str, attributes: str, in_holder: bool) -> bool:
@@ -86,17 +98,21 @@ def _holds(tag: str, attributes: str) -> bool:
 
 
 def lines(page: str) -> list[Line]:
-    """(text, characters outside links, in an article or main, boilerplate) per block."""
+    """The page's block elements with text."""
     page, out, text, plain = _RAW.sub(" ", page), [], [], 0
     skip, depth, links, at = "", 0, 0, 0
     holders: list[list] = []  # open holders: element and depth of elements of its name
+    groups: list[tuple[str, int]] = []  # open containers: element and lines before it
+    left = step = False  # a container of several lines was left, and another entered behind it
+    holder = 0
 
     def end() -> None:
-        nonlocal text, plain
+        nonlocal text, plain, left, step
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, min(plain, len(whole)), bool(holders), bool(skip)))
+                out.append((whole, min(plain, len(whole)), holder if holders else 0, bool(skip), step))
+                left = step = False
         text, plain = [], 0
 
     for m in _TAG.finditer(page):
@@ -113,7 +129,17 @@ def lines(page: str) -> list[Line]:
         if tag == "br":
             text.append(" ")
         if tag == "a":
-            links = 0 if closing else 1
+            links = 0 if closing else int(bool(_HREF.search(m[3])))
+        if closing and tag in _GROUPS and any(g == tag for g, _ in groups):
+            while groups:
+                group, before = groups.pop()
+                if group == tag:
+                    left = left or len(out) - before > 1
+                    break
+        elif not closing and tag in _LISTS:
+            step = step or left
+            if tag in _GROUPS:
+                groups.append((tag, len(out)))
         if skip:
             if tag in _HOLDERS and not closing and tag != skip and not holders:
                 skip, depth = "", 0
@@ -136,6 +162,7 @@ def lines(page: str) -> list[Line]:
             elif holders and holders[-1][0] == tag:
                 holders[-1][1] += 1
             elif _holds(tag, m[3]):
+                holder += not holders
                 holders.append([tag, 1])
     if at < len(page):
         text.append(page[at:])
@@ -144,34 +171,60 @@ def lines(page: str) -> list[Line]:
     return out
 
 
+def _blocks(rows: list[tuple[str, int] | None], window: int, edge: int) -> Iterator[tuple[int, list[str]]]:
+    """(largest window sum, texts) of each stretch between dives; None is an empty line."""
+    found: list[tuple[str, int]] = []
+    quiet = edge  # lines without text outside links so far; the edge counts for some
+
+    def closed(block: list[tuple[str, int]]) -> tuple[int, list[str]]:
+        return max(sum(n for _, n in block[i : i + window]) for i in range(len(block))), [t for t, _ in block if t]
+
+    waiting: list[tuple[str, int]] = []
+    for row in [*rows, *[None] * edge]:
+        text, n = row or ("", 0)
+        if not n:
+            quiet += 1
+            waiting.append((text, n))
+            continue
+        if quiet >= window:
+            if found:
+                yield closed(found)
+            found = []
+        else:
+            found += waiting
+        found.append((text, n))
+        quiet, waiting = 0, []
+    if found:
+        yield closed(found if quiet >= window else found + waiting)
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    found = lines(page)
-    held = any(inside and not skipped for _, _, inside, skipped in found)
-    # an explicit article is taken as it is: any text makes a surge
-    need = 1 if held else surge
-    kept: list[str | None] = []
-    sizes: list[int] = []
-    for text, plain, inside, skipped in found:
-        if skipped or held and not inside:
-            kept += [None] * window
-            sizes += [0] * window
+    # stretches inside one holder or outside all, in the page's order
+    parts: list[tuple[int, list[tuple[str, int] | None]]] = []
+    for text, plain, holder, skipped, step in lines(page):
+        if not parts or parts[-1][0] != holder:
+            parts.append((holder, []))
+        rows = parts[-1][1]
+        if skipped:
+            rows += [] if holder else [None] * window
         else:
-            kept.append(text)
-            sizes.append(len(text) if held else plain)
-    out, k, n = [], 0, len(kept)
-    total = [sum(sizes[i : i + window]) for i in range(n)]
-    if not held and total:
-        need = min(need, max(1, max(total) // 2))
-    while k < n:
-        if total[k] < need or kept[k] is None:
-            k += 1
-            continue
-        first = k
-        while first and kept[first - 1] is not None:
-            first -= 1
-        while k < n and kept[k] is not None:
-            k += 1
-        out += kept[first:k]
+            rows += [None] * window if step and not holder else []
+            rows.append((text, plain))
+    found: list[tuple[int, list[tuple[int, list[str]]]]] = []
+    for holder, rows in parts:
+        if holder and not any(n for _, n in rows):
+            rows = [(t, len(t)) for t, _ in rows]  # nothing but links: they are its text
+        found.append((holder, list(_blocks(rows, window, 0 if holder else window))))
+    peaks: dict[int, int] = {}
+    for holder, blocks in found:
+        peaks[holder] = max([peaks.get(holder, 0), *(peak for peak, _ in blocks)])
+    held = max((peak for holder, peak in peaks.items() if holder), default=0)
+    out: list[str] = []
+    for holder, blocks in found:
+        need = max(surge, held // 2) if held and not holder else min(surge, max(1, peaks[holder] // 2))
+        for peak, texts in blocks:
+            if peak >= need:
+                out += texts
     return "\n".join(out)
 
 
