@@ -56,3 +56,17 @@ def test_query_without_sql_runs(spark, name):
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() == 12
+
+
+def test_zero_runs_of_every_user(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts", "event_type").collect()
+    found = {r["k"]: r["start"] for r in catalog.QUERIES["e9_zero_run_all"](spark, SF).collect()}
+    errors = {(r["user_id"], r["ts"].date()) for r in events if r["event_type"] == "error"}
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(k) for k in range(30)]
+    want = {}
+    for user in {r["user_id"] for r in events}:
+        quiet = [(user, d) not in errors for d in days]
+        start = next((k for k in range(27) if all(quiet[k : k + 4])), None)
+        if start is not None:
+            want[user] = days[start]
+    assert found == want and len(want) > 0

@@ -338,12 +338,22 @@ def e6_days_without_increase(t: Source) -> DataFrame:
 
 @query("reports", "d AS (SELECT user_id AS k, CAST(d AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 60) u, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) AS g(d)), f AS (SELECT k, d.date, count(e.event_id) AS n FROM d LEFT JOIN events e ON e.user_id = k AND CAST(ts AS DATE) = d.date AND event_type = 'error' GROUP BY 1, 2), g AS (SELECT *, sum(CASE WHEN n <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date) AS grp FROM f) SELECT k, min(s) AS start FROM (SELECT k, grp, min(date) AS s, count(*) AS len FROM g WHERE n = 0 GROUP BY 1, 2) WHERE len >= 4 GROUP BY 1")
 def e9_zero_run(t: Source) -> DataFrame:
-    users = t.events.where("user_id < 60").select(F.col("user_id").alias("k")).distinct()
+    return _zero_runs(t.events.where("user_id < 60"))
+
+
+def _zero_runs(events: DataFrame) -> DataFrame:
+    users = events.select(F.col("user_id").alias("k")).distinct()
     grid = users.select("k", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("date"))
-    n = t.events.where("event_type = 'error' and user_id < 60").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    n = events.where("event_type = 'error'").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
     return series.zero_run(grid.join(n, ["k", "date"], "left").withColumn("incidence", F.coalesce("n", F.lit(0))), 4, ("k",))
 
 
+@query("reports", "d AS (SELECT user_id AS k, CAST(d AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events) u, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) AS g(d)), f AS (SELECT k, d.date, count(e.event_id) AS n FROM d LEFT JOIN events e ON e.user_id = k AND CAST(ts AS DATE) = d.date AND event_type = 'error' GROUP BY 1, 2), g AS (SELECT *, sum(CASE WHEN n <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date) AS grp FROM f) SELECT k, min(s) AS start FROM (SELECT k, grp, min(date) AS s, count(*) AS len FROM g WHERE n = 0 GROUP BY 1, 2) WHERE len >= 4 GROUP BY 1")
+def e9_zero_run_all(t: Source) -> DataFrame:
+    """e9_zero_run over every user."""
+    return _zero_runs(t.events)
+
+
 @query("reports", "SELECT date, cumulative, max(cumulative) OVER (ORDER BY date) AS running_max, first_value(report_no) OVER (ORDER BY date) AS first_no, date = (SELECT max(date) FROM reports WHERE date <= DATE '2024-01-20') AS is_selected FROM reports")
 def e10_running_max(t: Source) -> DataFrame:
     w = W.orderBy("date")
