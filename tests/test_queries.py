@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from zonepulse.functions import text as functions_text
 from zonepulse.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -70,3 +71,23 @@ def test_zero_runs_of_every_user(spark):
         if start is not None:
             want[user] = days[start]
     assert found == want and len(want) > 0
+
+
+def test_texts_whole_and_every_row(spark):
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    clean = {r["doc_id"]: r["clean"] for r in catalog.QUERIES["h2_normalise_text_whole"](spark, SF).collect()}
+    assert clean == {r["doc_id"]: re.sub("[ \t\u00a0\u202f]+", " ", r["text"] or "").strip(" ") for r in docs}
+    assert any(len(x) > 200 for x in clean.values())
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    table = str.maketrans(functions_text._ACCENTED, functions_text._PLAIN)  # noqa: SLF001
+    want = sorted((r["conv_id"], r["turn"], r["text"] and r["text"].translate(table)) for r in turns)
+    assert sorted(map(tuple, catalog.QUERIES["h3_strip_accents_all"](spark, SF).collect())) == want
+    assert len(catalog.QUERIES["h6_french_dates_all"](spark, SF).where("worded is null").head(1)) == 1
+
+
+def test_accents_pass_through_and_late_spaces(spark):
+    df = spark.createDataFrame([("Straße é 漢",), ("x" * 250 + " \u00a0\t y",)], "text string")
+    got = df.select(functions_text.strip_accents(df.text).alias("a"), functions_text.norm_spaces(df.text).alias("b")).collect()
+    assert got[0]["a"] == "Straße e 漢" and got[1]["b"] == "x" * 250 + " y"

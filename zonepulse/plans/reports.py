@@ -172,12 +172,24 @@ def h2_normalise_text(t: Source) -> DataFrame:
     return t.documents.select("doc_id", text.norm_spaces(F.substring("text", 1, 200)).alias("clean"))
 
 
+@query("zones", "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\x{a0}\\x{202f}]+', ' ', 'g'), ' ') AS clean FROM documents")
+def h2_normalise_text_whole(t: Source) -> DataFrame:
+    """h2_normalise_text over whole texts."""
+    return t.documents.select("doc_id", text.norm_spaces(F.col("text")).alias("clean"))
+
+
 @query("zones", "SELECT conv_id, turn, strip_accents(text) AS plain FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x{24F}]*$') AND NOT regexp_matches(text, '[^\\x00-\\x7FàâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ]')")
 def h3_strip_accents(t: Source) -> DataFrame:
     held = t.conversations.where(~F.col("text").rlike("[^\\x00-\\x7FàâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ]"))
     return held.select("conv_id", "turn", text.strip_accents(F.col("text")).alias("plain"))
 
 
+@query()
+def h3_strip_accents_all(t: Source) -> DataFrame:
+    """h3_strip_accents over every row; characters outside the table pass through."""
+    return t.conversations.select("conv_id", "turn", text.strip_accents(F.col("text")).alias("plain"))
+
+
 @query("zones", "SELECT r_name, CASE r_regionkey % 3 WHEN 0 THEN 'nord-kivu' WHEN 1 THEN 'sud-kivu' ELSE lower(r_name) END AS key FROM region")
 def h4_province_alias(t: Source) -> DataFrame:
     k = F.col("r_regionkey") % 3
@@ -194,18 +206,38 @@ def h5_report_numbers(t: Source) -> DataFrame:
 
 @query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) AS slashed, CAST(o_orderdate AS DATE) AS worded FROM orders WHERE year(o_orderdate) >= 2000")
 def h6_french_dates(t: Source) -> DataFrame:
-    days = t.orders.where(F.year("o_orderdate") >= 2000).select(F.to_date("o_orderdate").alias("date")).distinct()
+    return _french(t.orders.where(F.year("o_orderdate") >= 2000))
+
+
+def _french(orders: DataFrame) -> DataFrame:
+    days = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
     months = F.array(*[F.lit(m) for m in ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]])
     worded = F.concat_ws(" ", F.lit("le"), F.day("date").cast("string"), F.element_at(months, F.month("date")), F.year("date").cast("string"))
     return days.select("date", text.french_date(F.date_format("date", "d/MM/yyyy")).alias("slashed"), text.french_date(worded).alias("worded"))
 
 
+@query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS slashed, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS worded FROM orders")
+def h6_french_dates_all(t: Source) -> DataFrame:
+    """h6_french_dates over every order date; null where the form, with years 20yy, does not match."""
+    return _french(t.orders)
+
+
 @query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) AS long_form, CAST(o_orderdate AS DATE) AS chart FROM orders WHERE year(o_orderdate) >= 2000")
 def h7_english_dates(t: Source) -> DataFrame:
-    days = t.orders.where(F.year("o_orderdate") >= 2000).select(F.to_date("o_orderdate").alias("date")).distinct()
+    return _english(t.orders.where(F.year("o_orderdate") >= 2000))
+
+
+def _english(orders: DataFrame) -> DataFrame:
+    days = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
     return days.select("date", text.english_date(F.concat(F.lit("as of "), F.date_format("date", "d MMMM yyyy"))).alias("long_form"), text.chart_date(F.date_format("date", "d-MMM-yy")).alias("chart"))
 
 
+@query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS long_form, make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) AS chart FROM orders")
+def h7_english_dates_all(t: Source) -> DataFrame:
+    """h7_english_dates over every order date; null where a form does not match, chart years are 20yy."""
+    return _english(t.orders)
+
+
 _SHEET = "concat('Zone: ', c_name, '\n', 'Cases: ', CAST(c_custkey AS STRING), '\n', CAST(c_nationkey AS STRING), ' imported and ', CAST(c_custkey % 9 AS STRING), ' local')"
 
 
