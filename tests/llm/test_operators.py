@@ -214,6 +214,26 @@ def test_automaton_merges_to_a_small_machine():
     assert machine.score("0a1b2c3d4e5f60718293") > machine.score("ZZZZZZZZZZZZZZZZZZZZ")
 
 
+def test_candidates_are_scored_whole_and_in_parts():
+    rng = random.Random(5)
+    key = lambda n=40: "".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    words = lambda n: "/".join("".join(rng.choices("ghijklmnop", k=7)) for _ in range(n)) + "/p1"
+    grammar = secrets.Grammar({"assign": [key(rng.choice((32, 40, 90))) for _ in range(200)]}, [words(rng.randint(3, 20)) for _ in range(200)])
+    auto = lambda text: [text[s:e] for s, e, kind in grammar.spans(text) if kind == "auto"]
+    own = key()
+    # the name in front and a fixed span inside leave the other parts to be scored
+    assert auto(f"export AWS_SECRET_ACCESS_KEY={own} now") == [own]
+    parts = lambda text: [v for _, _, v in secrets.candidates(text, secrets.base_spans(text))]
+    assert parts(f"{own}_token=abcdef123") == [own + "_"]
+    assert parts(f"{own}+G{'0123456789abcdef' * 2}G+{own[::-1]}=") == [own + "+G", "G+" + own[::-1]]
+    # the end of a long run counts as its start does
+    assert auto(f"see {words(10)}/{own} there") == [own]
+    assert auto(words(9) + key(400)) != [] and auto(words(60)) == []
+    assert auto(key(64) + "-" + words(200)) == []
+    # strings cut in training have no end there
+    assert all(not c[secrets._END] for c in secrets.Automaton([key(90) for _ in range(50)]).count)  # noqa: SLF001
+
+
 # 4 decontamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

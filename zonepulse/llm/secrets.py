@@ -11,9 +11,11 @@ sample of texts (SAMPLE_TEXTS) are the labelled credentials, at most
 SAMPLE_STRINGS a kind. Spelt in character classes, each kind's strings become a
 prefix tree whose states are merged while their outgoing frequencies are
 statistically compatible (the Hoeffding bound at ALPHA), which leaves a small
-probabilistic automaton per kind. All other candidates of a text (runs of
-CANDIDATE_LEAST token characters with a digit and a letter) are scored by their
-likelihood per character under the best automaton against a background automaton
+probabilistic automaton per kind. Strings train with their first SAMPLE_WIDTH
+characters and end only where they end. All other candidates of a text (runs of
+CANDIDATE_LEAST token characters with a digit and a letter, between signs of
+assignment and the spans of the fixed kinds) are scored over their whole length by
+their likelihood per character, and if that is low so are their parts between slashes, under the best automaton against a background automaton
 of ordinary long tokens; those above a threshold calibrated on both samples are
 secrets of kind ``auto``. Without labelled credentials nothing is added.
 
@@ -49,6 +51,8 @@ LEAST_MARGIN = 0.25
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+_UNASSIGNED = re.compile(r"[A-Za-z0-9+/_.-]{20,}")
+_PART = re.compile(r"[A-Za-z0-9+_.-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CLASSES = str.maketrans({c: k for chars, k in (("0123456789", "d"), ("abcdef", "h"), ("ghijklmnopqrstuvwxyz", "l"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U")) for c in chars})
@@ -71,14 +75,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _mixed(value: str) -> bool:
+    return len(value) >= CANDIDATE_LEAST and re.search("[0-9]", value) is not None and re.search("[A-Za-z]", value) is not None
+
+
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int, str]]:
     """Other token runs that mix digits and letters: (start, end, string)."""
+    spans, first = sorted((a, b) for a, b, _ in taken), 0
     for run in _LONG.finditer(text):
         s, e = run.span()
-        if not any(a < e and s < b for a, b, _ in taken):
-            value = run.group().rstrip(".=-")
-            if len(value) >= CANDIDATE_LEAST and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-                yield s, s + len(value), value
+        while first < len(spans) and spans[first][1] <= s:
+            first += 1
+        rest, at = [], s  # what the spans leave of the run
+        for a, b in spans[first:]:
+            if a >= e:
+                break
+            rest.append((at, a))
+            at = max(at, b)
+        for low, high in [*rest, (at, e)]:
+            for part in _UNASSIGNED.finditer(text, low, max(low, high)):
+                value = part.group().rstrip(".-")
+                if _mixed(value):
+                    yield part.start(), part.start() + len(value), value
 
 
 class Automaton:
@@ -96,7 +114,8 @@ class Automaton:
                     self.next.append({})
                     self.count.append(Counter())
                 state = self.next[state][c]
-            self.count[state][_END] += 1
+            if len(text) <= SAMPLE_WIDTH:
+                self.count[state][_END] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.symbols = len({c for x in self.count for c in x}) + 1
@@ -151,9 +170,7 @@ class Automaton:
     def score(self, text: str) -> float:
         """Log likelihood per symbol; what the automaton has not seen counts half a case."""
         state, total, spelt = 0, 0.0, text.translate(_CLASSES) + _END
-        for k, c in enumerate(spelt):
-            if k == SAMPLE_WIDTH and c != _END:
-                return total / k  # longer than any training string: judged by what it can judge
+        for c in spelt:
             seen = self.count[state] if state >= 0 else Counter()
             total += math.log((seen[c] + 0.5) / (seen.total() + 0.5 * self.symbols))
             state = self.next[state].get(c, -1) if state >= 0 else -1
@@ -177,10 +194,22 @@ class Grammar:
             return -math.inf
         return max(a.score(text) for a in self.kinds.values()) - (self.background.score(text) if self.background else -math.log(6))
 
+    def found(self, at: int, value: str) -> Iterator[tuple[int, int]]:
+        """Where the candidate at ``at`` is a secret: whole, else its parts between slashes."""
+        if not self.kinds:
+            return
+        if self.margin(value) > self.threshold:
+            yield at, at + len(value)
+        elif "/" in value:
+            for m in _PART.finditer(value):
+                part = m.group().rstrip(".-")
+                if _mixed(part) and self.margin(part) > self.threshold:
+                    yield at + m.start(), at + m.start() + len(part)
+
     def spans(self, text: str) -> list[Span]:
         """All spans, by start and then kind."""
         base = base_spans(text)
-        more = [(s, e, "auto") for s, e, value in candidates(text, base) if self.kinds and self.margin(value) > self.threshold]
+        more = [(a, b, "auto") for s, _, value in candidates(text, base) for a, b in self.found(s, value)]
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
