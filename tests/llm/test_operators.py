@@ -96,6 +96,19 @@ def test_language_id(spark):
     assert kept.schema == df.schema and kept.where("doc_id < 180").count() == 180
 
 
+def test_long_texts_do_not_starve_their_language(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(language_texts(rng, lang, 40)), lang) for lang in ("aa", "bb") for _ in range(3)]
+    rows += [(" ".join(language_texts(rng, "bb", 900)), "bb")] + [(t, "bb") for t in language_texts(rng, "bb", 20)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert min(len(t) for t, lang in rows if lang == "aa") > 2000
+    model = langid.train(df, max_chars=2000)  # less than any text of aa
+    assert model.langs == ["aa", "bb"]
+    held = [(t, lang) for lang in ("aa", "bb") for t in language_texts(rng, lang, 30)]
+    best = model.predict([t.encode() for t, _ in held])[0]
+    assert [model.langs[j] for j in best] == [lang for _, lang in held]
+
+
 def test_language_model_sums_to_one():
     import pandas as pd
 

@@ -15,8 +15,9 @@ exceeds REJECT_MARGIN times that and its best model explains it worse than a
 uniform choice of letters does, or if it has no letter.
 
 Bounds: the sample holds about MAX_CHARS characters per language and
-MAX_TOTAL_CHARS in all (expected values of a hash sample; longer single texts are
-never in it), so the model has at most ORDER n-grams per sampled character. Only
+MAX_TOTAL_CHARS in all (expected values of a hash sample of pieces; texts of more
+than PIECE_CHARS characters enter by pieces of that length, or of less in small
+languages, so that there are about PIECES pieces and more), so the model has at most ORDER n-grams per sampled character. Only
 the training sample is bounded; every text is scored whole.
 
 Edge cases: null, empty and letterless texts get ``und``, score 0 and are
@@ -41,7 +42,8 @@ from zonepulse.llm.common import text_slices
 ORDER = 4
 MAX_CHARS = 1_000_000
 MAX_TOTAL_CHARS = 64_000_000
-CALIBRATION_SHARE = 8  # one text in so many
+CALIBRATION_SHARE = 8  # one piece in so many
+PIECE_CHARS, PIECE_LEAST, PIECES = 4000, 60, 40 * CALIBRATION_SHARE
 REJECT_MARGIN = 1.5
 #: Log probabilities (n-grams by languages) held at once.
 SLICE_VALUES = 1 << 21
@@ -251,10 +253,28 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not sizes:
         return None
     quota = min(max_chars, max_total // len(sizes))
-    part = F.create_map(*[F.lit(x) for k, v in sorted(sizes.items()) for x in (k, min(1.0, quota / v))])
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), F.coalesce("id", "text")), F.lit(1 << 20)) < F.try_element_at(part, F.col("lang")) * (1 << 20)
-    held = F.pmod(F.xxhash64(F.lit("calibrate"), F.coalesce("id", "text")), F.lit(CALIBRATION_SHARE)) == 0
-    sample = rows.where(drawn & (F.length("text") <= quota)).select("text", "lang", held.alias("held"))
+    share = {k: min(1.0, quota / v) for k, v in sizes.items()}
+    width = {k: min(PIECE_CHARS, max(PIECE_LEAST, int(v * share[k]) // PIECES)) for k, v in sizes.items()}
+    per = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]), F.col("lang"))
+    key = F.coalesce("id", "text")
+    hashed = rows.select("lang", F.xxhash64(F.lit("langid"), key).alias("draw"), F.xxhash64(F.lit("calibrate"), key).alias("hold"), "text")
+    # texts of one piece are drawn here, the pieces of others below
+    able = hashed.where((F.pmod("draw", F.lit(1 << 20)) < per(share) * (1 << 20)) | (F.length("text") > per(width)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in text_slices(batches, "text"):
+            found: list[tuple[str, str, bool]] = []
+            draws, holds = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (1, 2))
+            for k, lang in enumerate(piece.column(0).to_pylist()):
+                text = texts[k].decode("utf-8", "replace")
+                numbers = np.arange(max(1, -(-len(text) // width[lang])), dtype=np.uint64)
+                own = [np.where(numbers == 0, x, _mix(x + numbers * np.uint64(0x9E3779B97F4A7C15))) for x in (draws[k], holds[k])]
+                drawn = np.flatnonzero((own[0] & np.uint64((1 << 20) - 1)) < share[lang] * (1 << 20))
+                held = own[1] % np.uint64(CALIBRATION_SHARE) == 0
+                found += [(text[i * width[lang] : (i + 1) * width[lang]], lang, bool(held[i])) for i in drawn.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], ["text", "lang", "held"])
+
+    sample = able.mapInArrow(cut, "text string, lang string, held boolean")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "text"):
