@@ -109,6 +109,24 @@ def test_long_texts_do_not_starve_their_language(spark):
     assert [model.langs[j] for j in best] == [lang for _, lang in held]
 
 
+@pytest.mark.parametrize("n, joined", [(60, 1), (400, 200)])
+def test_unlearned_languages_are_rejected(spark, n, joined):
+    rng = random.Random(6)
+    rows = []
+    for lang in ("aa", "bb"):
+        texts = language_texts(rng, lang, n)
+        rows += [(" ".join(texts[k : k + joined]), lang) for k in range(0, n, joined)]  # a few long texts calibrate too
+    # a label in another script makes the alphabet large
+    rows += [("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200)), "zz") for _ in range(40)]
+    model = langid.train(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert np.isfinite(model.limit)
+    other = [t for t in language_texts(rng, "cc", 40) if len(t) > 40]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)) for _ in range(10)]
+    rejected = lambda texts: model.predict([t.encode() for t in texts])[4]
+    assert rejected(other).all() and rejected(noise).all()
+    assert not rejected(language_texts(rng, "aa", 40) + language_texts(rng, "bb", 40)).any()
+
+
 def test_language_model_sums_to_one():
     import pandas as pd
 

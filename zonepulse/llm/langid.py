@@ -8,11 +8,14 @@ language, already interpolated, and contexts carry the back-off weights used whe
 an n-gram is in no language. A text goes to the language with the lowest
 length-normalised cross-entropy.
 
-Rejection is calibrated on labelled texts kept out of the counts: for each
-language the mean cross-entropy and its spread as a function of length, and the
-largest standardised excess that a known text shows. A text is rejected if it
-exceeds REJECT_MARGIN times that and its best model explains it worse than a
-uniform choice of letters does, or if it has no letter.
+Rejection is calibrated on pieces of labelled texts kept out of the counts: one of
+CALIBRATION_SHARE sampled pieces and, where there are more, as many characters again
+as the sample has. For each language they give the mean cross-entropy and its spread
+as a function of length, and over all languages the REJECT_QUANTILE of the
+standardised excess that known texts show. A text is rejected if it exceeds
+REJECT_MARGIN times that, or if it has no letter. With fewer than CALIBRATION_LEAST
+pieces their largest excess counts, over a spread of SPREAD_LEAST nats or more; with
+none only letterless texts are rejected.
 
 Bounds: the sample holds about MAX_CHARS characters per language and
 MAX_TOTAL_CHARS in all (expected values of a hash sample of pieces; texts of more
@@ -45,6 +48,8 @@ MAX_TOTAL_CHARS = 64_000_000
 CALIBRATION_SHARE = 8  # one piece in so many
 PIECE_CHARS, PIECE_LEAST, PIECES = 4000, 60, 40 * CALIBRATION_SHARE
 REJECT_MARGIN = 1.5
+REJECT_QUANTILE = 0.999
+CALIBRATION_LEAST, SPREAD_LEAST = 20, 0.25
 #: Log probabilities (n-grams by languages) held at once.
 SLICE_VALUES = 1 << 21
 _UNKNOWN, _GAP = 0, 1
@@ -166,7 +171,7 @@ class Model:
             if n == 1:
                 self.floor = (weights[0] + np.log(uniform)).astype(np.float32)
         self.offset, self.scale = np.zeros(len(self.langs)), np.ones(len(self.langs))
-        self.limit, self.uniform = np.inf, float(np.log(len(chars) + 1))
+        self.limit = np.inf
 
     def _lower(self, n: int):
         return lambda keys, j: self.log_probs(keys, n)[j]
@@ -221,7 +226,7 @@ class Model:
         # posterior of the best, tempered: neighbouring characters are not independent
         gain = (sums - top[:, None]) / np.maximum(1.0, n / 50.0)[:, None]
         score = 1.0 / np.exp(gain).sum(axis=1)
-        rejected = blank | ((entropy > self.uniform) & (self.excess(entropy, n, best) > self.limit))
+        rejected = blank | (self.excess(entropy, n, best) > self.limit)
         return np.where(blank, -1, best), np.where(blank, 0.0, score), np.where(blank, 0.0, entropy), n, rejected
 
     def excess(self, entropy: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -230,13 +235,17 @@ class Model:
     def calibrate(self, entropy: np.ndarray, n: np.ndarray, lang: np.ndarray, margin: float) -> None:
         """Fit offset and spread per language, then the limit over all of them."""
         self.offset, self.scale = np.zeros(len(self.langs)), np.ones(len(self.langs))
+        if not len(entropy):
+            return
+        few = len(entropy) < CALIBRATION_LEAST
+        least = SPREAD_LEAST if few else 0.05
         for j in range(len(self.langs)):
             mine = lang == j
-            if mine.any():
-                self.offset[j] = entropy[mine].mean()
-                self.scale[j] = max(0.05, entropy[mine].std())
-        if len(entropy) >= 20:
-            self.limit = margin * max(3.0, float(self.excess(entropy, n, lang).max()))
+            # a language without a piece borrows from the others
+            self.offset[j] = entropy[mine].mean() if mine.any() else entropy.max()
+            self.scale[j] = max(least, entropy[mine if mine.any() else slice(None)].std())
+        excess = self.excess(entropy, n, lang)
+        self.limit = margin * max(3.0, float(excess.max() if few else np.quantile(excess, REJECT_QUANTILE)))
 
 
 def has_letter(text: bytes) -> bool:
@@ -259,7 +268,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     key = F.coalesce("id", "text")
     hashed = rows.select("lang", F.xxhash64(F.lit("langid"), key).alias("draw"), F.xxhash64(F.lit("calibrate"), key).alias("hold"), "text")
     # texts of one piece are drawn here, the pieces of others below
-    able = hashed.where((F.pmod("draw", F.lit(1 << 20)) < per(share) * (1 << 20)) | (F.length("text") > per(width)))
+    able = hashed.where((F.pmod("draw", F.lit(1 << 20)) < 2 * per(share) * (1 << 20)) | (F.length("text") > per(width)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "text"):
@@ -269,8 +278,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 text = texts[k].decode("utf-8", "replace")
                 numbers = np.arange(max(1, -(-len(text) // width[lang])), dtype=np.uint64)
                 own = [np.where(numbers == 0, x, _mix(x + numbers * np.uint64(0x9E3779B97F4A7C15))) for x in (draws[k], holds[k])]
-                drawn = np.flatnonzero((own[0] & np.uint64((1 << 20) - 1)) < share[lang] * (1 << 20))
-                held = own[1] % np.uint64(CALIBRATION_SHARE) == 0
+                place = (own[0] & np.uint64((1 << 20) - 1)) / (1 << 20)
+                drawn = np.flatnonzero(place < 2 * share[lang])
+                held = (own[1] % np.uint64(CALIBRATION_SHARE) == 0) | (place >= share[lang])
                 found += [(text[i * width[lang] : (i + 1) * width[lang]], lang, bool(held[i])) for i in drawn.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], ["text", "lang", "held"])
 
