@@ -202,6 +202,53 @@ def test_blocks_end_where_text_outside_links_dives():
     assert html_text.main_text("<article><a name=top><p>One</p><p>two</p></article>") == "One\ntwo"
 
 
+def test_html_compound_names():
+    body = "".join(f"<p>{'word ' * 40}{k}</p>" for k in range(2))
+    want = html_text.main_text(f"<article>{body}</article>")
+    cases = [
+        f'<div class="main-menu"><a>Home</a><a>About</a></div>{body}',
+        f'<div class="main-menu"><a href=x>Home</a><a href=y>About</a></div><div class="content">{body}</div>',
+        f'<div class="post-navigation">Next post</div><div class="post">{body}</div>',
+        f'<div id="mainMenu">Home</div><div class="post has-sidebar">{body}<div class="post-share">Share this on X</div><div class="article-sidebar">Read also</div></div>',
+        f'<div class="post-meta">By someone</div><div class="entry-content">{body}</div><div class="siteFooter">Imprint</div>',
+        f'<article>{body}<div class="comment-body">I like it</div></article>',
+        f'<div role="main">{body}</div><div class="content-footer">Imprint</div>',
+    ]
+    for page in cases:
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text('<article><header class="entry-header"><h1>Title</h1></header><p>x <math><mi>a</mi></math> y</p></article>') == "Title\nx a y"
+
+
+def slow_blocks(rows, window, edge):
+    """Runs of lines outside all windows without text, and the largest window sum of each."""
+    line = [None] * edge + rows + [None] * edge
+    size = [x[1] if x else 0 for x in line]
+    dived = [False] * len(line)
+    for k in range(len(line) - window + 1):
+        if sum(size[k : k + window]) == 0:
+            dived[k : k + window] = [True] * window
+    found, run = [], []
+    for k in range(len(line) + 1):
+        if k < len(line) and not dived[k]:
+            run.append(k)
+        elif run:
+            sums = [sum(size[j] for j in run if i <= j < i + window) for i in range(-window, len(line))]
+            found.append((max(sums), [line[j][0] for j in run if line[j]]))
+            run = []
+    return [x for x in found if x[0]]
+
+
+def test_html_blocks_equal_slow_line_blocks():
+    rng = random.Random(5)
+    for _ in range(2000):
+        rows = [rng.choice([None, ("link", 0), (f"t{k}", rng.randint(1, 99)), (f"t{k}", rng.randint(1, 99))]) for k in range(rng.randint(0, 14))]
+        rows = [x for r in rows for x in ([r] * rng.choice((1, 1, 1, 3)) if r is None or not r[1] else [r])]
+        window, edge = rng.randint(1, 4), rng.randint(0, 4)
+        got = list(html_text._blocks(rows, window, edge))  # noqa: SLF001
+        assert got == slow_blocks(rows, window, edge), (rows, window, edge)
+
+
+
 # 3 secrets
 
 

@@ -11,9 +11,12 @@ stand. A block is main text, whole, if the sum surges to the threshold in it.
 
 Article and main elements, and those whose class, id or role says so, are holders:
 an aid, not a verdict. Inside one only link lists make the sum dive, and the
-threshold is at most half of the holder's largest sum, so a short article is main
-text; outside, on a page with a holder, text has to be as dense as half of the
-largest sum in a holder too.
+threshold is at most half of a largest sum, that of the element itself for article
+and main and that of the page's densest holder for a class name, so a short article
+is main text; outside, on a page with a holder, text has to be as dense as half of
+the largest sum in a holder too. Of compound class names (``post-share``,
+``main-menu``) any boilerplate part decides, but for those that tell a state
+(``has-sidebar``) and for headers of content (``entry-header``).
 
 Edge cases: null and empty pages, and pages without text, give an empty text.
 Unclosed elements end with their page; an unclosed boilerplate element also ends
@@ -37,11 +40,12 @@ WINDOW = 3
 #: Characters outside links in a window that make a block main text.
 SURGE = 80
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(script|style|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|audio|video|title|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)")
+_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(script|style|noscript|template|textarea|select|button|svg|iframe|object|canvas|audio|video|title|datalist)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[A-Za-z/])[^<]*\Z")
 _NAMED = re.compile(r"(?i)\b(class|id|role|style|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)")
 _PARTS = re.compile(r"[^a-z0-9]+")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER = frozenset("nav footer aside form menu dialog head".split())
@@ -54,6 +58,9 @@ _WORDS = frozenset(
 _COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 _CONTENT = frozenset("article content entry post story main body".split())
 
+_STATES = frozenset("has have no not is with without show hide hidden".split())
+_HEADS = frozenset(("header", "masthead"))
+
 #: Class, id or role words that make a plain element hold the article.
 _HOLDING = frozenset("content maincontent main article articlebody story storybody post postbody entry".split())
 
@@ -62,31 +69,42 @@ _GROUPS = frozenset("div section td".split())
 _LISTS = _GROUPS | frozenset("table ul ol dl".split())
 _HREF = re.compile(r"(?i)(?:^|\s)href\s*=")
 
-#: Text, characters outside links, number of its holder (0: none), boilerplate, behind a step.
+#: Text, characters outside links, number of its holder (0: none, negative: by class name), boilerplate, behind a step.
 Line = tuple[str, int, int, bool, bool]
 
 
+def _names(attributes: str) -> Iterator[list[str]]:
+    """The parts of each class or id name: ``main-menu`` and ``mainMenu`` are main, menu."""
+    for name, *values in _NAMED.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in "".join(values).split():
+                parts = [x for x in _PARTS.split(_HUMPS.sub("-", token).lower()) if x]
+                if parts and not (len(parts) > 1 and parts[0] in _STATES):
+                    yield parts
+
+
+def _named_boilerplate(parts: list[str]) -> bool:
+    found = _WORDS.intersection(parts)
+    return bool(found - _HEADS) or bool(found) and not _CONTENT.intersection(parts)
+
+
 def _boilerplate(tag: str, attributes: str, in_holder: bool) -> bool:
     if tag in _BOILER or tag == "header" and not in_holder:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    words: set[str] = set()
     for name, *values in _NAMED.findall(attributes):
         value = "".join(values).lower()
-        if name.lower() == "role" and value in _ROLES:
+        if name.lower() == "role" and value in _ROLES or name.lower() == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name.lower() == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif name.lower() in ("class", "id"):
-            words.update(_PARTS.split(value))
     if _HIDDEN.search(attributes):
         return True
-    if tag in _HOLDERS:
-        return bool(words & _COMMENTS)
-    found = words & _WORDS
-    return bool(found) and (bool(found & _COMMENTS) or not words & _CONTENT)
+    names = list(_names(attributes))
+    if any(_COMMENTS.intersection(x) for x in names):
+        return True
+    # a name that says content and nothing else outweighs others beside it
+    plain = tag in _HOLDERS or any(_HOLDING.issuperset(x) for x in names)
+    return not plain and any(map(_named_boilerplate, names))
 
 
 def _holds(tag: str, attributes: str) -> bool:
@@ -94,7 +112,9 @@ def _holds(tag: str, attributes: str) -> bool:
         return True
     if tag not in ("div", "section") or not attributes:
         return False
-    return any(words & _HOLDING for name, *values in _NAMED.findall(attributes) if name.lower() in ("class", "id", "role") for words in [set(_PARTS.split("".join(values).lower()))])
+    if any(name.lower() == "role" and "".join(values).lower() in _HOLDERS for name, *values in _NAMED.findall(attributes)):
+        return True
+    return any(_HOLDING.intersection(x) and not _named_boilerplate(x) for x in _names(attributes))
 
 
 def lines(page: str) -> list[Line]:
@@ -104,14 +124,14 @@ def lines(page: str) -> list[Line]:
     holders: list[list] = []  # open holders: element and depth of elements of its name
     groups: list[tuple[str, int]] = []  # open containers: element and lines before it
     left = step = False  # a container of several lines was left, and another entered behind it
-    holder = 0
+    holder, named = 0, False
 
     def end() -> None:
         nonlocal text, plain, left, step
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, min(plain, len(whole)), holder if holders else 0, bool(skip), step))
+                out.append((whole, min(plain, len(whole)), (-holder if named else holder) if holders else 0, bool(skip), step))
                 left = step = False
         text, plain = [], 0
 
@@ -162,7 +182,10 @@ def lines(page: str) -> list[Line]:
             elif holders and holders[-1][0] == tag:
                 holders[-1][1] += 1
             elif _holds(tag, m[3]):
-                holder += not holders
+                if not holders:
+                    holder, named = holder + 1, tag not in _HOLDERS
+                elif tag in _HOLDERS:
+                    named = False
                 holders.append([tag, 1])
     if at < len(page):
         text.append(page[at:])
@@ -221,7 +244,10 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     held = max((peak for holder, peak in peaks.items() if holder), default=0)
     out: list[str] = []
     for holder, blocks in found:
-        need = max(surge, held // 2) if held and not holder else min(surge, max(1, peaks[holder] // 2))
+        if holder:
+            need = min(surge, max(1, (peaks[holder] if holder > 0 else held) // 2))
+        else:
+            need = max(surge, held // 2) if held else min(surge, max(1, peaks[0] // 2))
         for peak, texts in blocks:
             if peak >= need:
                 out += texts
