@@ -7,17 +7,26 @@ Fixed kinds, leftmost and non-overlapping each:
     hex     lower-case hexadecimal runs of HEX_LEAST characters or more
 
 Grammar inference adds to them. The values that the fixed kinds find in a bounded
-sample of texts (SAMPLE_TEXTS) are the labelled credentials, at most
-SAMPLE_STRINGS a kind. Spelt in character classes, each kind's strings become a
-prefix tree whose states are merged while their outgoing frequencies are
-statistically compatible (the Hoeffding bound at ALPHA), which leaves a small
-probabilistic automaton per kind. Strings train with their first SAMPLE_WIDTH
-characters and end only where they end. All other candidates of a text (runs of
-CANDIDATE_LEAST token characters with a digit and a letter, between signs of
-assignment and the spans of the fixed kinds) are scored over their whole length by
-their likelihood per character, and if that is low so are their parts between slashes, under the best automaton against a background automaton
-of ordinary long tokens; those above a threshold calibrated on both samples are
-secrets of kind ``auto``. Without labelled credentials nothing is added.
+sample of texts are the labelled credentials. Spelt in character classes, each
+kind's strings become a prefix tree whose states are merged while they are
+statistically compatible: the frequencies of their next symbols and, so that thin
+branches add up their evidence over all depths, the distributions of what is left
+to the end must agree within the Hoeffding bound at ALPHA. A state goes to the
+nearest compatible one; children are tested where both have CHILD_LEAST strings.
+Fixed lengths and prefixes so stay in the automaton, and strings without them fold
+into loops. What a state has not seen is scored by the kind's overall frequencies.
+
+All other candidates of a text (runs of CANDIDATE_LEAST token characters with a
+digit and a letter, between signs of assignment and the spans of the fixed kinds)
+are scored over their whole length by their likelihood per character, and if that is
+low so are their parts between slashes, under the best automaton against a
+background automaton of other long tokens and of ordinary words; those above a
+threshold calibrated on both samples are secrets of kind ``auto``. Without labelled
+credentials nothing is added.
+
+Bounds of the training sample: about SAMPLE_TEXTS texts (by hash), from these
+SAMPLE_STRINGS strings a kind and SAMPLE_CHARS characters in all, those with the
+smallest hashes, whatever the partitions; strings are whole.
 
 Only the training sample is bounded; every text is scanned whole. Positions are
 code points, ends exclusive.
@@ -31,11 +40,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,14 +55,17 @@ from zonepulse.llm.common import text_slices
 
 KINDS = ("assign", "access", "hex", "auto")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, CANDIDATE_LEAST = 6, 20, 24, 20
-SAMPLE_TEXTS, SAMPLE_STRINGS, SAMPLE_WIDTH = 20_000, 300, 64
-ALPHA = 0.05
+SAMPLE_TEXTS, SAMPLE_STRINGS, SAMPLE_CHARS = 20_000, 300, 1 << 15
+ALPHA, CHILD_LEAST = 0.05, 5
+#: Ordinary words have at least so many letters and come from one sampled text in so many.
+WORD_LEAST, WORD_TEXTS = 4, 8
 #: No token is a secret below this log-likelihood ratio per character.
 LEAST_MARGIN = 0.25
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 _UNASSIGNED = re.compile(r"[A-Za-z0-9+/_.-]{20,}")
+_WORD = re.compile(r"[^\W\d_]{%d,}" % WORD_LEAST)
 _PART = re.compile(r"[A-Za-z0-9+_.-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -105,36 +119,54 @@ class Automaton:
     def __init__(self, strings: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
+        self.left: list[Counter] = [Counter()]  # symbols to the end, the end itself included
         for text in strings:
-            state = 0
-            for c in text.translate(_CLASSES)[:SAMPLE_WIDTH]:
+            state, spelt = 0, text.translate(_CLASSES)
+            for k, c in enumerate(spelt):
                 self.count[state][c] += 1
+                self.left[state][len(spelt) - k] += 1
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
                     self.next.append({})
                     self.count.append(Counter())
+                    self.left.append(Counter())
                 state = self.next[state][c]
-            if len(text) <= SAMPLE_WIDTH:
-                self.count[state][_END] += 1
+            self.count[state][_END] += 1
+            self.left[state][0] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        self.symbols = len({c for x in self.count for c in x}) + 1
-
-    def _differ(self, a: int, b: int) -> bool:
+        usual = sum(self.count, Counter())
+        self.symbols = len(usual) + 1
+        total = usual.total() + 0.5 * self.symbols
+        self.usual = {c: (usual[c] + 0.5) / total for c in usual}
+        self.rare = 0.5 / total
+
+    def _apart(self, a: int, b: int) -> float:
+        """How far the states differ, as a share of what the bound allows."""
         n, m = self.count[a].total(), self.count[b].total()
-        if not n or not m:
-            return False
-        limit = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        return any(abs(self.count[a][c] / n - self.count[b][c] / m) > limit for c in self.count[a].keys() | self.count[b].keys())
-
-    def _compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+        most = max(abs(self.count[a][c] / n - self.count[b][c] / m) for c in self.count[a].keys() | self.count[b].keys())
+        gap = 0.0
+        for k in sorted(self.left[a].keys() | self.left[b].keys()):
+            gap += self.left[a][k] / n - self.left[b][k] / m
+            most = max(most, abs(gap))
+        return most / (self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m)))
+
+    def _distance(self, a: int, b: int) -> float:
+        """The states' own distance; above 1 if they or states behind them are incompatible."""
+        own = self._apart(a, b)
+        todo = [(a, b)] if own <= 1 else []
+        seen = set()
         while todo:
             a, b = todo.pop()
-            if self._differ(a, b):
-                return False
-            todo += [(self.next[a][c], t) for c, t in self.next[b].items() if c in self.next[a]]
-        return True
+            for c, t in self.next[b].items():
+                s = self.next[a].get(c)
+                if s is None or (s, t) in seen or min(self.count[a][c], self.count[b][c]) < CHILD_LEAST:
+                    continue
+                seen.add((s, t))
+                if self._apart(s, t) > 1:
+                    return 2.0
+                todo.append((s, t))
+        return own
 
     def _fold(self, a: int, b: int) -> None:
         """Add the tree below b to the state a."""
@@ -142,6 +174,7 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             self.count[a] += self.count[b]
+            self.left[a] += self.left[b]
             for c, t in self.next[b].items():
                 if c in self.next[a]:
                     todo.append((self.next[a][c], t))
@@ -149,17 +182,15 @@ class Automaton:
                     self.next[a][c] = t
 
     def _merge(self) -> None:
-        kept, edge = [0], [(0, c) for c in sorted(self.next[0])]
+        kept, edge = [0], [(0, c) for c in self.next[0]]
         while edge:
             # the most frequent open state first, by its place in the order on ties
-            edge.sort(key=lambda x: (-self.count[self.next[x[0]][x[1]]].total(), x))
-            state, c = edge.pop(0)
+            state, c = min(edge, key=lambda x: (-self.count[self.next[x[0]][x[1]]].total(), x))
             new = self.next[state][c]
-            for old in kept:
-                if self._compatible(old, new):
-                    self.next[state][c] = old
-                    self._fold(old, new)
-                    break
+            far, old = min((self._distance(x, new), k) for k, x in enumerate(kept))
+            if far <= 1:
+                self.next[state][c] = kept[old]
+                self._fold(kept[old], new)
             else:
                 kept.append(new)
             known = set(kept)
@@ -168,31 +199,40 @@ class Automaton:
         self.next, self.count = [{c: place[t] for c, t in self.next[s].items()} for s in kept], [self.count[s] for s in kept]
 
     def score(self, text: str) -> float:
-        """Log likelihood per symbol; what the automaton has not seen counts half a case."""
+        """Log likelihood per symbol; one case of the overall frequencies is added to each state."""
         state, total, spelt = 0, 0.0, text.translate(_CLASSES) + _END
         for c in spelt:
-            seen = self.count[state] if state >= 0 else Counter()
-            total += math.log((seen[c] + 0.5) / (seen.total() + 0.5 * self.symbols))
-            state = self.next[state].get(c, -1) if state >= 0 else -1
+            usual = self.usual.get(c, self.rare)
+            if state >= 0:
+                seen = self.count[state]
+                usual = (seen[c] + usual) / (seen.total() + 1)
+                state = self.next[state].get(c, -1)
+            total += math.log(usual)
         return total / len(spelt)
 
 
 class Grammar:
-    """Automata of the labelled kinds, one of the background, and the threshold."""
+    """Automata of the labelled kinds, one of the background, and the threshold.
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]):
+    background: other long tokens; words: ordinary words, which join them, so that
+    likelihoods are always held against the language's own.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], background: list[str], words: list[str] | None = None):
+        background = background + (words or [])
         self.kinds = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
         self.background = Automaton(background) if background else None
         known = [self.margin(x) for v in labelled.values() for x in v]
         plain = [self.margin(x) for x in background]
         # half-way between weak credentials and ordinary tokens, of which some may be credentials
         weak, usual = float(np.quantile(known, 0.05)) if known else math.inf, float(np.quantile(plain, 0.9)) if plain else 0.0
-        self.threshold = max(LEAST_MARGIN, (weak + usual) / 2)
+        self.threshold = max(LEAST_MARGIN, (weak + max(usual, 0.0)) / 2)
 
     def margin(self, text: str) -> float:
         if not self.kinds:
             return -math.inf
-        return max(a.score(text) for a in self.kinds.values()) - (self.background.score(text) if self.background else -math.log(6))
+        # what the background has never seen is at least as likely as a draw of classes
+        return max(a.score(text) for a in self.kinds.values()) - max(self.background.score(text) if self.background else -math.inf, -math.log(6))
 
     def found(self, at: int, value: str) -> Iterator[tuple[int, int]]:
         """Where the candidate at ``at`` is a secret: whole, else its parts between slashes."""
@@ -218,29 +258,37 @@ def learn(docs: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TE
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     share = min(1.0, sample_texts / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("secrets"), "text"), F.lit(1 << 20)) < share * (1 << 20))
+    kinds = (*KINDS, "word")
+
+    def place(value: str) -> tuple[int, str]:
+        return xxhash.xxh64_intdigest(value.encode()) >> 1, value
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, set[str]] = {k: set() for k in KINDS}
+        found: dict[str, set[str]] = {k: set() for k in kinds}
         for _, texts in text_slices(batches, "text"):
             for raw in texts:
                 text = raw.decode("utf-8", "replace")
                 base = base_spans(text)
                 for s, e, kind in base:
-                    if len(found[kind]) < 4 * sample_strings:
-                        found[kind].add(_ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e])
-                for s, e, value in candidates(text, base):
-                    if len(found["auto"]) < 4 * sample_strings:
-                        found["auto"].add(value)
-        pairs = [(k, v[:256]) for k in KINDS for v in found[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["kind", "value"])
-
-    values = drawn.mapInArrow(gather, "kind string, value string").distinct()
-    # of each kind the strings with the smallest hashes
-    place = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    by: dict[str, list[str]] = {kind: [] for kind in KINDS}
-    for kind, value in values.withColumn("place", place).where(F.col("place") <= sample_strings).orderBy("kind", "place").select("kind", "value").collect():
-        by[kind].append(value)
-    return Grammar({k: by[k] for k in KINDS[:3]}, by["auto"])
+                    found[kind].add(_ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e])
+                found["auto"].update(value for _, _, value in candidates(text, base))
+                if zlib.crc32(raw) % WORD_TEXTS == 0:
+                    found["word"].update(_WORD.findall(text))
+            for kind, values in found.items():
+                if len(values) > sample_strings:
+                    found[kind] = set(sorted(values, key=place)[:sample_strings])
+        pairs = [(k, *place(v)) for k in kinds for v in found[k] if len(v) <= SAMPLE_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "hash", "value"])
+
+    values = drawn.mapInArrow(gather, "kind string, hash long, value string").distinct()
+    first = F.row_number().over(W.partitionBy("kind").orderBy("hash", "value"))
+    by: dict[str, list[str]] = {kind: [] for kind in kinds}
+    held = dict.fromkeys(kinds, 0)
+    for kind, value in values.withColumn("place", first).where(F.col("place") <= sample_strings).orderBy("kind", "place").select("kind", "value").collect():
+        if held[kind] + len(value) <= SAMPLE_CHARS:
+            held[kind] += len(value)
+            by[kind].append(value)
+    return Grammar({k: by[k] for k in KINDS[:3]}, by["auto"], by["word"])
 
 
 def digest(spans: list[Span]) -> str:
