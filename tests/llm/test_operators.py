@@ -604,11 +604,91 @@ def test_simhash_equals_brute_force(spark, monkeypatch, block_rows):
     links = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
     want = groups(len(texts), links)
     assert {k: r["component"] for k, r in got.items()} == dict(enumerate(want))
-    kept = simhash.simhash_dedup(df)
+    kept = simhash.simhash_dedup(df, radius=2, shingle=3, words=1)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want)) and kept.columns == df.columns
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+def brute_wide(text):
+    """256 bits over distinct five-word shingles, in Python integers."""
+    words, full = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW)), (1 << 64) - 1
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5]).encode(), 42) for k in range(max(1, len(words) - 4))} if words else set()
+
+    def mixed(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by & full
+        return x ^ x >> 31
+
+    out = 0
+    for k in range(4):
+        own = [mixed(h + k * 0x9E3779B97F4A7C15 & full) if k else h for h in hashes]
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    return out
+
+
+def near_texts(rng):
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    base = [[word() for _ in range(rng.randint(60, 300))] for _ in range(40)]
+    copies = []
+    for words in base[:20]:
+        for _ in range(3):
+            own = list(words)
+            for k in rng.sample(range(len(own)), max(1, len(own) // 70)):
+                own[k] = word()
+            copies.append(own)
+    return [" ".join(w) for w in base + copies]
+
+
+@pytest.mark.parametrize("block_rows", [simhash.WIDE_ROWS, 2])
+def test_wide_simhash_dedup_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(simhash, "WIDE_ROWS", block_rows)
+    texts = near_texts(random.Random(17)) + ODD_TEXTS
+    df = docs_of(spark, texts)
+    prints = [brute_wide(t) for t in texts]
+    assert [int.from_bytes(r["fp"], "little") for r in simhash.fingerprints(df, shingle=5, words=4).orderBy("id").collect()] == prints
+    want = groups(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS_WIDE])
+    kept = sorted(r["doc_id"] for r in simhash.simhash_dedup(df).collect())
+    assert kept == sorted(set(want))
+    # every copy of at least 0.8 went, every text of its own stayed
+    assert kept[:40] == list(range(40)) and not set(kept) & set(range(40, 100))
+    assert simhash.simhash_dedup(df.limit(0)).count() == 0
+
+
+def test_sampled_keys_meet_the_recall():
+    rng = np.random.default_rng(3)
+    for n in (10, 10**6, 10**9):
+        samples = simhash.key_samples(n, 256, 44)
+        met = 0
+        for _ in range(400):
+            differ = np.zeros(256, bool)
+            differ[rng.permutation(256)[:44]] = True
+            met += bool((~differ[samples]).all(axis=1).any())
+        assert met >= 400 * (simhash.RECALL - 0.05), n
+
+
+def test_one_hot_key_costs_a_fixed_number_of_copies(spark):
+    rng = random.Random(19)
+    # 100,000 fingerprints that agree in their upper half: one key of the first tables holds all
+    prints = sorted({0x1234567800000000 | rng.getrandbits(32) for _ in range(100_000)})
+    got = {(r["a"], r["b"]) for r in simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long").repartition(8), 2).collect()}
+    known, links = set(prints), []
+    flips = [1 << a for a in range(32)] + [1 << a | 1 << b for a in range(32) for b in range(a)]
+    for p in prints:
+        links += [(p, p ^ f) for f in flips if p ^ f in known and p ^ f < p]
+    place = {p: k for k, p in enumerate(prints)}
+    assert groups(len(prints), [(place[a], place[b]) for a, b in got]) == groups(len(prints), [(place[a], place[b]) for a, b in links])
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "these are quite different words in every place"
+    rows = [(5, a), (5, b), (5, b), (3, a), (7, b), (9, None), (9, None), (9, "other text that stands alone here")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (9, None), (9, "other text that stands alone here")], key=str)
+    text_ids = spark.createDataFrame([("a-1", a), ("b-2", a), ("c-3", b)], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in simhash.simhash_dedup(text_ids).collect()) == ["a-1", "c-3"]
+    assert {r["id"]: r["component"] for r in simhash.simhash_components(text_ids).collect()} == {"a-1": "a-1", "b-2": "a-1", "c-3": "c-3"}
+
+
 def test_links_of_dense_fingerprints_in_small_blocks(spark):
     rng = random.Random(11)
     base = [rng.getrandbits(64) for _ in range(4)]

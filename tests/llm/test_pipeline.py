@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from tests.llm.test_operators import WORDS, brute_fingerprint, brute_hits, groups, secrets
-from zonepulse.llm import langid
+from tests.llm.test_operators import WORDS, brute_hits, brute_wide, groups, secrets
+from zonepulse.llm import langid, simhash
 from zonepulse.llm.tokens import Encoder
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -33,8 +33,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     rejected = {r["id"] for r in langid.identify(docs, langid.train(docs)).where("rejected").collect()}
     assert {42, 43} <= rejected and not rejected & set(range(42))
     kept = [k for k in range(len(texts)) if k not in rejected]
-    prints = [brute_fingerprint(texts[k]) for k in kept]
-    root = groups(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    prints = [brute_wide(texts[k]) for k in kept]
+    root = groups(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS_WIDE])
     kept = [k for i, k in enumerate(kept) if root[i] == i]
     kept = [k for k in kept if not brute_hits(texts[k], bench)[3]]
     assert 44 not in kept and 40 not in kept

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Where to keep shared tables if the session names no folder (tests, one machine).
 DEFAULT_SHARED_DIR = "file:///tmp/zonepulse-shared"
@@ -44,6 +45,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_type(df: DataFrame, name: str) -> str:
+    """The type in which an operator returns ids: long for whole numbers, else the column's own."""
+    kind = df.schema[name].dataType
+    return "long" if isinstance(kind, IntegralType) else kind.simpleString()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(rows, their texts as UTF-8; null is empty) in pieces of about ``limit`` bytes.
 
