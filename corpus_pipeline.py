@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8), that with the smallest doc_id."""
     return simhash.simhash_dedup(docs).select(*docs.columns)
 
 
