@@ -164,9 +164,93 @@ def test_vertical_table_stops_at_the_next_zone(spark):
 
 
 def test_x4_x5_rates_and_travellers(spark):
-    page = "Taux de suivi des contacts : 28,4%3. Au total, 419 alertes dont 377 (90,0%) investiguées. 34 118 voyageurs ; couverture 97,2%."
+    page = "Taux de suivi de contacts : 11,0%. Taux de Suivi : 28,4%3. Pour la journée du 8 juin 2026, 419 alertes ont été reçues\ndont 377 (90,0%) investiguées. Voyageurs passés par le PoE/PoC 34 118. Voyageurs screenés 33 163 (97,2%)"
     f = spark.createDataFrame([(page,)], "t string").select(extract.response_fields(F.col("t")).alias("f")).first()["f"]
-    assert (round(f["contact_followup_rate"], 4), f["alerts_reported"], f["alerts_investigated"], f["travellers_total"], round(f["poe_screening_coverage"], 4)) == (0.284, 419, 377, 34118, 0.972)
+    assert (round(f["contact_followup_rate"], 4), f["alerts_reported"], f["alerts_investigated"], f["travellers_total"], f["travellers_screened"], round(f["poe_screening_coverage"], 4)) == (0.284, 419, 377, 34118, 33163, 0.972)
+    lab = "12 nouveaux échantillons ont été analysés dont 5 sont revenus positifs. Échantillons reçus 99 et cas positifs 7"
+    table = "Échantillons reçus 99; Nbre d’échantillons analysés 80; Nbre des cas positifs 0"
+    got = [r["f"] for r in spark.createDataFrame([(lab,), (table,)], "t string").select(extract.response_fields(F.col("t")).alias("f")).collect()]
+    assert [(f["samples_received"], f["samples_analysed"], f["positive_samples"]) for f in got] == [(None, 12, 5), (99, 80, None)]
+
+
+def test_national_totals(spark):
+    raw = [
+        ("Cumul de cas confirmés 08 juin 2026", None, None),
+        ("le cumul des cas confirmés s’élève à 563 cas", 563, None),
+        ("Ituri (563 cas), Nord-Kivu (32 cas) et\nSud Kivu (3 cas)", 598, None),
+        ("TOTAL 598 111 18,6 %", 598, 111),
+        ("Cumul des décès parmi les confirmés (létalité) : 111 (18,6%)", None, 111),
+        ("598 cas confirmés dont 12 nouveaux", 598, None),
+        ("cumul cas confirmés : 99999", None, None),
+        (None, None, None),
+        ("", None, None),
+    ]
+    t = F.col("t")
+    got = spark.createDataFrame([(r[0],) for r in raw], "t string").select(extract.national_cases(t), extract.national_deaths(t)).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in raw]
+
+
+def test_report_numbers(spark):
+    raw = [("SitRep MVE N° 028 du 12 juin", 28), ("sitrep-n7", 7), ("sitrep_n 12.pdf", 12), ("N° 031 / MVB", 31), ("No 5", 5), ("rapport n12", None), ("N028", 28), ("", None), (None, None), ("SITREP N°026", 26)]
+    got = spark.createDataFrame([(r[0],) for r in raw], "t string").select(text.report_number(F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in raw]
+
+
+def test_latest_article_and_urls(spark):
+    links = [(0, "SitRep N° 027 du 11 juin 2026", "http://h/a"), (1, "SitRep N° 028", "http://h/b_12-06-2026"), (2, "SitRep N° 028 du 12/06/2026", "http://h/c"), (3, "N° 99", "http://h/d"), (4, "SitRep N°028 du 12 juin 2026", "http://h/e"), (5, None, "http://h/sitrep-n3")]
+    got = extract.latest_article(spark.createDataFrame(links, "pos int, text string, url string")).collect()
+    assert [(r["url"], r["number"], r["date"]) for r in got] == [("http://h/b_12-06-2026", 28, D(2026, 6, 12))]
+    page = """<a href="https://x.org/a.pdf">1</a><a data-id="5" href="/page">2</a><iframe src="viewer.html?file=/wp-content/uploads/S%20N28.pdf"></iframe><div data-pdf='%2Fdownload%2F7'></div>
+    <script>pdf: "docs/b+c.PDF", url = 'mailto:a.pdf'; file="https://x.org/a.pdf"</script>"""
+    rows = extract.urls(spark.createDataFrame([(1, page), (2, None)], "id int, t string"), "id", "t", "https://h.org/dir/p.html").orderBy("pos").collect()
+    assert [r["url"] for r in rows] == ["https://x.org/a.pdf", "https://h.org/wp-content/uploads/S%20N28.pdf", "https://h.org/dir/viewer.html?file=/wp-content/uploads/S N28.pdf", "https://h.org/download/7", "https://h.org/dir/docs/b+c.PDF"]
+
+
+def test_first_of_equal_rows_stays(spark):
+    rows = [("a", 5, "z", 0), ("a", 5, "x", 1), ("b", None, "n", 0), ("b", 1, "v", 1)]
+    for df in (spark.createDataFrame(rows, "k string, v int, note string, pos int"), spark.createDataFrame(rows[::-1], "k string, v int, note string, pos int")):
+        assert {r["k"]: r["note"] for r in extract.max_per_zone(df, ["k"], "v", "pos").collect()} == {"a": "z", "b": "v"}
+        assert {r["k"]: r["note"] for r in extract.max_per_zone(df.drop("pos"), ["k"], "v").collect()} == {"a": "x", "b": "v"}
+
+
+def test_fuzzy_scores(spark):
+    pairs = [("gety", "gethy", 8 / 9), ("massa", "masa", 8 / 9), ("kimbao", "kimbau", 10 / 12), ("mongbwalu", "mongbalu", 16 / 17), ("ab", "ba", 0.5), ("", "", 0.0), ("a", "", 0.0)]
+    got = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(keys.match_score(F.col("a"), F.col("b"))).collect()
+    assert all(abs(r[0] - p[2]) < 1e-12 for r, p in zip(got, pairs, strict=True))
+    left = spark.createDataFrame([("1", "P", "Gety"), ("2", "P", "Massa"), ("3", "P", "Other"), ("4", "Q", "Gety"), ("5", "P", "Aru")], "id string, block string, name string")
+    right = spark.createDataFrame([("x", "P", "Gethy"), ("y", "P", "MASA"), ("w", "P", " aru "), ("v", "P", "aru")], "id string, block string, name string")
+    found = {r["id"]: (r["match_id"], r["method"]) for r in keys.fuzzy_match(left, right, "block", "name").collect()}
+    assert found == {"1": ("x", "fuzzy"), "2": ("y", "fuzzy"), "3": (None, "unmatched"), "4": (None, "unmatched"), "5": ("v", "exact")}
+
+
+def test_polygon_measures_of_odd_geometries(spark):
+    raw = ["null", "5", None, "", "{", '{"type":"Polygon","coordinates":[[]]}', '{"type":"Polygon","coordinates":[]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,1],[0,0]],[]],[[]]]}']
+    got = [r["m"] for r in spark.createDataFrame([(x,) for x in raw], "g string").select(polygon_measures("g").alias("m")).collect()]
+    assert all(r["area_km2"] is None for r in got[:-1]) and abs(got[-1]["area_km2"] - 12364) < 20
+
+
+def test_unknown_places_and_classes(spark):
+    rows = spark.createDataFrame([("", None), ("", "z1"), (None, None), ("Bunia", "unknown_1"), ("Données non ventilées", "z"), ("Aru", "a")], "n string, i string")
+    assert [r[0] for r in rows.select(text.unknown_place(F.col("n"), F.col("i"))).collect()] == [True, False, True, True, True, False]
+    values = spark.createDataFrame([(None,), (-0.5,), (0.1,), (0.25,), (0.45,), (0.9,), (7.0,)], "v double")
+    assert [tuple(r) for r in values.select(numbers.response_class(F.col("v"), True), numbers.response_class(F.col("v"))).collect()] == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 5), (5, 5)]
+
+
+def test_running_totals_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), v, rng.randint(1, 5)) for v in rng.sample(range(10_000), 3000)]
+    df = spark.createDataFrame([(k, float(v), n) for k, v, n in rows], "k string, v double, n long")
+    got = {(r["k"], r["v"]): r["t"] for r in stats.running_total(df, "v", "n", "t", ("k",)).collect()}
+    assert got == {(k, float(v)): sum(n for j, w, n in rows if j == k and w <= v) for k, v, _ in rows}
+
+
+def test_accents_by_rule():
+    import unicodedata
+
+    table = str.maketrans(dict(zip(text._ACCENTED, text._PLAIN + "\0" * 2000, strict=False)))  # noqa: SLF001
+    for c in "éÉçñőŻệΆйǅßœ日́":
+        want = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        assert c.translate(table).replace("\0", "") == want
 
 
 def test_x6_missing_stays_missing(spark):
@@ -196,7 +280,7 @@ def test_validation_quarantines(spark):
 
 def test_flow_normaliser_requires_columns(spark):
     with pytest.raises(ValueError, match="movement"):
-        publish.normalise_flows(spark.createDataFrame([("m", "1", "2")], "month string, origin string, target string"))
+        publish.normalise_flows(spark.createDataFrame([("m", "1", "2")], "month string, origin_hz_id string, destination_hz_id string"))
 
 
 def test_canonical_names(spark):
@@ -247,12 +331,26 @@ def test_sources(spark, tmp_path):
 def test_incremental_ingestion(spark, tmp_path):
     land, table, bad = tmp_path / "land", str(tmp_path / "table"), str(tmp_path / "bad")
     land.mkdir()
-    publisher = ingest.split_publish(["k"], F.col("v") > 0, table, bad)
+    publisher = ingest.split_publish(F.col("v") > 0, table, bad, "one")
+
+    def poll(publish, checkpoint):
+        ingest.ingest(spark, str(land), "k string, v int", str(tmp_path / checkpoint), publish).awaitTermination()
+
+    rows = lambda: sorted(map(tuple, ingest.current(spark, table, ["k"]).collect()))
     for n, body in enumerate(("k,v\na,1\nb,-1\n", "k,v\na,2\nc,3\n")):
         (land / f"f{n}.csv").write_text(body)
-        ingest.ingest(spark, str(land), "k string, v int", str(tmp_path / "ck"), publisher).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{table}/version=1").collect())) == [("a", 2), ("c", 3)]
-    assert spark.read.json(bad).where("k is not null").count() == 1
+        poll(publisher, "ck")
+        poll(publisher, "ck")  # nothing new
+    assert rows() == [("a", 2), ("c", 3)] and spark.read.json(f"{bad}/*").where("k is not null").count() == 1
+    # a batch that runs again publishes once; a new checkpoint under a new name adds to the table
+    before = sorted(ingest._listed(spark, table))  # noqa: SLF001
+    publisher(spark.createDataFrame([("a", 2), ("c", 3)], "k string, v int"), 1)
+    assert sorted(ingest._listed(spark, table)) == before and rows() == [("a", 2), ("c", 3)]  # noqa: SLF001
+    (land / "f2.csv").write_text("k,v\na,9\n")
+    poll(ingest.split_publish(F.col("v") > 0, table, bad, "two"), "ck2")
+    assert rows()[1:] == [("c", 3)] and len(ingest._listed(spark, table)) == 3  # noqa: SLF001
+    ingest.compact(spark, table, ["k"], str(tmp_path / "folded"))
+    assert sorted(map(tuple, ingest.current(spark, str(tmp_path / "folded"), ["k"]).collect())) == rows()
 
 
 def test_windows_and_sessions(spark, tmp_path):

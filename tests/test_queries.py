@@ -61,7 +61,7 @@ def test_contract(spark):
 
 def test_zero_runs_of_every_user(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts", "event_type").collect()
-    found = {r["k"]: r["start"] for r in catalog.QUERIES["e9_zero_run_all"](spark, SF).collect()}
+    found = {r["k"]: r["start"] for r in catalog.QUERIES["e9_zero_run"](spark, SF).collect()}
     errors = {(r["user_id"], r["ts"].date()) for r in events if r["event_type"] == "error"}
     days = [datetime.date(2024, 1, 1) + datetime.timedelta(k) for k in range(30)]
     want = {}
@@ -75,16 +75,17 @@ def test_zero_runs_of_every_user(spark):
 
 def test_texts_whole_and_every_row(spark):
     import re
+    import unicodedata
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    clean = {r["doc_id"]: r["clean"] for r in catalog.QUERIES["h2_normalise_text_whole"](spark, SF).collect()}
+    clean = {r["doc_id"]: r["clean"] for r in catalog.QUERIES["h2_normalise_text"](spark, SF).collect()}
     assert clean == {r["doc_id"]: re.sub("[ \t\u00a0\u202f]+", " ", r["text"] or "").strip(" ") for r in docs}
     assert any(len(x) > 200 for x in clean.values())
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
-    table = str.maketrans(functions_text._ACCENTED, functions_text._PLAIN)  # noqa: SLF001
-    want = sorted((r["conv_id"], r["turn"], r["text"] and r["text"].translate(table)) for r in turns)
-    assert sorted(map(tuple, catalog.QUERIES["h3_strip_accents_all"](spark, SF).collect())) == want
-    assert len(catalog.QUERIES["h6_french_dates_all"](spark, SF).where("worded is null").head(1)) == 1
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    want = sorted((r["conv_id"], r["turn"], r["text"] and bare(r["text"])) for r in turns)
+    assert sorted(map(tuple, catalog.QUERIES["h3_strip_accents"](spark, SF).collect())) == want
+    assert len(catalog.QUERIES["h6_french_dates"](spark, SF).where("worded is null").head(1)) == 1
 
 
 def test_accents_pass_through_and_late_spaces(spark):

@@ -61,12 +61,22 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
-def bucket(value: Column, breaks: list[Column]) -> Column:
-    """Class 0 for values of 0 or less or without data, then 1 + the breaks exceeded."""
-    out = F.lit(len(breaks) + 1)
-    for k in reversed(range(len(breaks))):
-        out = F.when(value <= breaks[k], k + 1).otherwise(out)
-    return F.when(value.isNull() | (value <= 0), 0).otherwise(out)
+def bucket(value: Column, breaks: Column, positive: bool = True) -> Column:
+    """1 + the breaks (an array column) that the value exceeds; 0 without data and, if positive, for 0 or less."""
+    over = F.size(F.filter(F.coalesce(breaks, F.array().cast("array<double>")), lambda b: value > b))
+    held = value > 0 if positive else value.isNotNull()
+    return F.when(F.coalesce(held, F.lit(False)), 1 + over).otherwise(0)
+
+
+#: Lower limits of the upper four of five classes of a response indicator. Fixed values.
+GAP_CLASSES, RATE_CLASSES = (0.10, 0.25, 0.45, 0.65), (0.25, 0.50, 0.70, 0.90)
+
+
+def response_class(value: Column, gap: bool = False) -> Column:
+    """1 to 5 of a share clamped to 0..1, 0 without data; limits belong to the upper class."""
+    held = clamp(value, 0.0, 1.0)
+    steps = [F.when(held >= limit, 1).otherwise(0) for limit in (GAP_CLASSES if gap else RATE_CLASSES)]
+    return F.when(held.isNotNull(), 1 + steps[0] + steps[1] + steps[2] + steps[3]).otherwise(0)
 
 
 def quintile_label(percentile: Column) -> Column:

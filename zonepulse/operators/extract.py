@@ -7,14 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from zonepulse.functions.numbers import fr_float, fr_int
-from zonepulse.functions.text import first_match, norm_name, norm_spaces, strip_accents
+from zonepulse.functions.text import english_date, french_date, norm_name, norm_spaces, number_before, number_pair, plain_words, report_number, strip_accents
 
 #: Labels of rows without a zone, and of rows that end a zone. Fixed values.
 UNASSIGNED = r"(?i)autres\s+zs|sans\s+fiche|non\s+ventil"
 CLOSING = r"(?i)^\s*(sous[ -]?total|total)\b"
-#: Prose forms of national totals. Fixed values.
-CASE_PATTERNS = [r"(?i)([0-9][0-9 .]*)\s+cas\s+confirm", r"(?i)cas\s+confirm[ée]s\s*(?:cumul[ée]s)?\s*:?\s*([0-9][0-9 .]*)", r"(?i)total\s+de\s+([0-9][0-9 .]*)\s+cas"]
-DEATH_PATTERNS = [r"(?i)([0-9][0-9 .]*)\s+d[ée]c[èe]s", r"(?i)d[ée]c[èe]s\s*(?:confirm[ée]s)?\s*:?\s*([0-9][0-9 .]*)"]
+#: Rows of a total with cases, deaths and a percentage; provinces in brackets; on plain words. Fixed values.
+TABLE_TOTAL = r"\btotal ([0-9]{1,5}) ([0-9]{1,5}) [0-9]+[,.]?[0-9]* ?%"
+PROVINCE_CASES = r"ituri ?\(([0-9]+) cas\).*?nord[- ]kivu ?\(([0-9]+) cas\).*?sud[- ]kivu ?\(([0-9]+) cas\)"
+#: Phrases with the national number of cases and of deaths, asked in this order, on plain words. Fixed values.
+CASE_PHRASES = [
+    r"cumul des cas confirmes? s'?eleve a ([0-9]+) cas",
+    r"le cumul des cas confirmes\b.*?([0-9]+) cas",
+    r"cumul cas confirmes? ?[:-]? ?([0-9]+)",
+    r"([0-9]+) cumul cas confirmes",
+    r"([0-9]+) cas confirmes? dont",
+]
+DEATH_PHRASES = [
+    r"cumul (?:des? )?deces parmi les confirmes?.{0,80}?([0-9]+)(?= |\()",
+    r"([0-9]+) ?\([0-9]+[,.]?[0-9]*%\) ?taux de suivi",
+    r"cumul de deces est ([0-9]+)",
+    r"([0-9]+) deces confirmes",
+]
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,10 +56,14 @@ def vertical_table(rows: DataFrame, zones: DataFrame) -> DataFrame:
     return heads.join(cells, ["doc_id", "__g"]).select("doc_id", "zone", "kind", "cases", "deaths")
 
 
-def max_per_zone(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The row with the largest value of each key; ties keep the smallest by the other columns."""
+def max_per_zone(rows: DataFrame, keys: list[str], value: str, pos: str | None = None) -> DataFrame:
+    """The row with the largest value of each key; of equal ones the first by ``pos``, or without it the smallest by the other columns.
+
+    Rows without a value lose to all others.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(value)).alias("r")).select(*keys, "r.*")
+    order = F.struct(F.col(value).isNull(), -F.col(value), *([pos] if pos else rest))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 def prose_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,23 +73,52 @@ def prose_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.name", F.col("x.n").cast("int").alias("n"))
 
 
-def national_total(text: Column, table_total: Column | None = None, provinces: Column | None = None, patterns: list[str] | None = None, most: int = 10_000) -> Column:
-    """The table's total, else the provinces' sum, else the first plausible count in the prose."""
-    prose = [fr_int(first_match(text, [p])) for p in patterns or CASE_PATTERNS]
-    held = [F.when((p > 0) & (p < most), p) for p in prose]
-    return F.coalesce(*[c for c in (table_total, provinces) if c is not None], *held)
+def _plausible_match(words: Column, phrases: list[str], least: int, most: int) -> Column:
+    """The number of the first phrase that gives one from ``least`` to below ``most``."""
+    found = [F.nullif(F.regexp_extract(words, p, 1), F.lit("")).try_cast("long") for p in phrases]
+    return F.coalesce(*[F.when((n >= least) & (n < most), n) for n in found])
+
+
+def national_cases(text: Column, most: int = 10_000) -> Column:
+    """Confirmed cases of a report: the table's total, else the sum of the three provinces, else the prose."""
+    words = plain_words(text)
+    part = lambda k: F.nullif(F.regexp_extract(words, PROVINCE_CASES, k), F.lit("")).try_cast("long")
+    table = F.nullif(F.regexp_extract(words, TABLE_TOTAL, 1), F.lit("")).try_cast("long")
+    return F.coalesce(table, part(1) + part(2) + part(3), _plausible_match(words, CASE_PHRASES, 1, most))
+
+
+def national_deaths(text: Column, most: int = 10_000) -> Column:
+    """Confirmed deaths of a report: the table's total, else the prose."""
+    words = plain_words(text)
+    table = F.nullif(F.regexp_extract(words, TABLE_TOTAL, 2), F.lit("")).try_cast("long")
+    return F.coalesce(table, _plausible_match(words, DEATH_PHRASES, 0, most))
+
+
+def snapshot(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, as_of, cases, deaths, imported, local) of a country page's text, one typed row a page.
+
+    A page without its date, cases or deaths is an error, which the job raises.
+    """
+    page = F.col(text_col)
+    needed = lambda value, name: F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"a page lacks its {name}: "), F.col(id_col).cast("string"))))
+    imported, local = number_pair(page, "imported cases", "local cases")
+    as_of = needed(english_date(page), "date")
+    return pages.select(id_col, as_of.alias("as_of"), needed(number_before(page, "confirmed cases"), "cases").alias("cases"), needed(number_before(page, "deaths"), "deaths").alias("deaths"), imported.alias("imported"), local.alias("local"))
 
 
 def header_columns(header: Column) -> Column:
     """Column positions of a zone table from its header cells (rows joined per column), 0 if absent.
 
-    The zone column names zone and health; the case column confirmed, but not new or
-    deaths; the death column both deaths and confirmed.
+    The zone column names zone and health; the case column confirmed and a count, but
+    not new or deaths; the death column deaths and confirmed, but not new. Of several
+    the last counts.
     """
     key = lambda x: strip_accents(norm_name(x))
-    zone = F.array_position(F.transform(header, lambda x: key(x).contains("zone") & key(x).contains("sante")), True)
-    case = F.array_position(F.transform(header, lambda x: key(x).contains("confirm") & ~key(x).contains("deces") & ~key(x).contains("nouveaux")), True)
-    death = F.array_position(F.transform(header, lambda x: key(x).contains("confirm") & key(x).contains("deces")), True)
+    held = lambda x, *words: key(x).rlike("".join(f"(?=.*{w})" for w in words))
+    last = lambda test: F.coalesce(F.array_max(F.transform(header, lambda x, k: F.when(test(x), k + 1).otherwise(0))), F.lit(0))
+    zone = last(lambda x: held(x, "zone", "sante"))
+    case = last(lambda x: held(x, "confirm", "(?:cumul|nbre|nombre|cas)") & ~held(x, "(?:deces|nouveaux)"))
+    death = last(lambda x: held(x, "confirm", "deces") & ~held(x, "nouveaux"))
     return F.struct(zone.alias("zone"), case.alias("cases"), death.alias("deaths"))
 
 
@@ -82,23 +129,42 @@ def stacked_header(grid: Column, depth: int) -> Column:
     return F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.array_join(F.transform(top, lambda r: F.coalesce(F.try_element_at(r, k + 1), F.lit(""))), " "))
 
 
+#: Phrases of response indicators, on plain words: a number n, a percentage p. Fixed values.
+_N, _P = r"([0-9][0-9 ]*)", r"([0-9]+[,.]?[0-9]*) ?%"
+RATE_PHRASES = [rf"taux de suivi de contacts? ?[:-]? ?{_P}", rf"taux de suivis? ?[:-]? ?{_P}", rf"contacts suivis.*?taux de suivis?.{{0,80}}?{_P}"]
+ALERTS = rf"pour la journee du [^,]+, ?{_N} alertes.*?dont {_N} ?\({_P}\) investiguees"
+SAMPLES = rf"{_N} nouveaux? echantillons?.{{0,80}}?analyses?.{{0,80}}?{_N} (?:sont )?revenus? positifs?"
+RECEIVED, ANALYSED, POSITIVE = rf"echantillons recus {_N}", rf"(?:nbre )?d'?echantillons analyses {_N}", rf"(?:nbre (?:des )?)?cas positifs? {_N}"
+PASSED, SCREENED = rf"voyageurs passes par le poe/poc {_N}", rf"voyageurs screenes {_N}(?: ?\({_P}\))?"
+
+
 def response_fields(text: Column) -> Column:
     """Response indicators of a report's text; what the text lacks is null.
 
-    Rates are shares of 1. A digit glued behind a percent sign is a footnote; a
-    number before a percent sign is never a count.
+    Rates are shares of 1; of several follow-up rates the last of the last form counts.
+    The day's statement on samples goes before the table's. The screening rate is the
+    stated one, else screened by passed.
     """
-    share = lambda patterns: fr_float(F.concat(first_match(text, patterns), F.lit("%")))
-    whole = lambda patterns: fr_int(first_match(text, patterns))
-    pct, num = r"([0-9]{1,3}(?:[.,][0-9]+)?)\s*%", r"([0-9][0-9 ]*)(?![0-9,.]*\s*%)"
-    total, screened = whole([rf"(?i)([0-9][0-9 ]*[0-9])\s+voyageurs", rf"(?i)voyageurs\s*:?\s*{num}"]), whole([r"(?i)([0-9][0-9 ]*[0-9])\s+(?:voyageurs\s+)?(?:ont\s+[ée]t[ée]\s+)?(?:screen|contr[ôo]l)[ée]s"])
-    cover = share([rf"(?i)(?:couverture|screening|contr[ôo]l[ée]s)[^.%]{{0,60}}?{pct}"])
+    words = plain_words(text)
+    found = lambda pattern, k=1: F.nullif(F.trim(F.regexp_extract(words, pattern, k)), F.lit(""))
+    whole = lambda pattern, k=1: fr_int(found(pattern, k))
+    share = lambda pattern, k=1: fr_float(F.concat(found(pattern, k), F.lit("%")))
+    rates = F.flatten(F.array(*[F.regexp_extract_all(words, F.lit(p), F.lit(1)) for p in RATE_PHRASES]))
+    rates = F.filter(F.transform(rates, lambda x: fr_float(F.concat(x, F.lit("%")))), lambda x: x.between(0, 1))
+    daily = F.coalesce(words.rlike(SAMPLES), F.lit(False))
+    some = lambda c: F.nullif(c, F.lit(0))  # noqa: E731  a count of 0 stays blank
+    total, screened = some(whole(PASSED)), some(whole(SCREENED))
     return F.struct(
-        share([rf"(?i)taux\s+de\s+suivi[^%\n]{{0,60}}?{pct}"]).alias("contact_followup_rate"),
-        whole([r"(?i)(?:pour la journ[ée]e du[^,]*,|au total,)\s*([0-9][0-9 ]*)\s+alertes"]).alias("alerts_reported"),
-        whole([r"(?i)alertes[^.]{0,80}?([0-9][0-9 ]*)\s*\([0-9.,]+\s*%\)"]).alias("alerts_investigated"),
+        F.try_element_at(rates, F.lit(-1)).alias("contact_followup_rate"),
+        whole(ALERTS).alias("alerts_reported"),
+        whole(ALERTS, 2).alias("alerts_investigated"),
+        share(ALERTS, 3).alias("alert_investigation_rate"),
+        F.when(~daily, some(whole(RECEIVED))).alias("samples_received"),
+        F.when(daily, some(whole(SAMPLES))).otherwise(some(whole(ANALYSED))).alias("samples_analysed"),
+        F.when(daily, some(whole(SAMPLES, 2))).otherwise(some(whole(POSITIVE))).alias("positive_samples"),
         total.alias("travellers_total"),
-        F.coalesce(cover, F.try_divide(screened, total)).alias("poe_screening_coverage"),
+        screened.alias("travellers_screened"),
+        F.coalesce(some(share(SCREENED, 2)), F.try_divide(screened.cast("double"), total.cast("double"))).alias("poe_screening_coverage"),
     )
 
 
@@ -112,22 +178,49 @@ def chart_series(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return best.select("doc_id", F.posexplode(zipped).alias("pos", "p")).select("doc_id", "pos", "p.label", F.col("p.value").try_cast("long").alias("value"))
 
 
-def urls(pages: DataFrame, id_col: str, text_col: str, base: str | None = None) -> DataFrame:
-    """(doc_id, pos, url): links of href, src and data attributes, first occurrence each.
+#: Where documents hide in a page: absolute, relative, as a named value, in a data attribute. Fixed values.
+_END = r"[^\"'<>\s)]"
+ABSOLUTE, RELATIVE = rf"(?i)(https?://{_END}+(?:\.pdf|/download/){_END}*)", rf"(?i)((?:/?wp-content/|/?download/){_END}+\.pdf{_END}*)"
+NAMED, IN_DATA = r"(?i)(?:file|src|pdf|source|url|href)\s*[:=]\s*[\"']([^\"']+)[\"']", r"(?i)data-[a-z0-9_-]*\s*=\s*[\"']([^\"']+)[\"']"
 
-    Relative links are put behind ``base`` if it is given.
-    """
-    form = r"""(?i)(?:href|src|data-[a-z-]+)\s*=\s*["']([^"'#\s]+)["']"""
-    found = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(form), F.lit(1))).alias("pos", "url"))
-    if base:
-        found = found.withColumn("url", F.when(F.col("url").rlike("(?i)^[a-z]+:"), F.col("url")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("url", "^/+", ""))))
-    return found.groupBy("doc_id", "url").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "url")
 
+def joined_url(url: Column, base: str) -> Column:
+    """The url as a page at ``base`` reads it: whole, by scheme, by host, or beside the page."""
+    scheme, _, rest = base.partition("://")
+    host, _, path = rest.partition("/")
+    folder = f"{scheme}://{host}/" + path[: path.rfind("/") + 1]
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.lit(f"{scheme}:"), url)).when(url.startswith("/"), F.concat(F.lit(f"{scheme}://{host}"), url)).otherwise(F.concat(F.lit(folder), url))
 
-def latest_article(links: DataFrame, pattern: str = r"(?i)sitrep[^0-9]{0,12}([0-9]{1,4})") -> DataFrame:
-    """The link with the largest report number, ties to the last url; one per url."""
-    numbered = links.select("url", F.nullif(F.regexp_extract("url", pattern, 1), F.lit("")).cast("int").alias("number")).where("number is not null").distinct()
-    return numbered.agg(F.max_by(F.struct("url", "number"), F.struct("number", "url")).alias("r")).select("r.*")
+
+def urls(pages: DataFrame, id_col: str, text_col: str, base: str) -> DataFrame:
+    """(doc_id, pos, url): documents (.pdf or /download/) that a page or script names, each at its first place.
+
+    Forms are asked in order: absolute, relative, named values, data attributes; the
+    latter two are percent-decoded first. Other schemes than the web's are left out.
+    """
+    every = lambda form: F.regexp_extract_all(text_col, F.lit(form), F.lit(1))
+    # a plus sign is no space here
+    decoded = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    document = lambda x: F.lower(x).contains(".pdf") | F.lower(x).contains("/download/")
+    values = lambda form: F.filter(F.transform(every(form), decoded), document)
+    found = F.concat(every(ABSOLUTE), *[F.transform(x, lambda u: joined_url(u, base)) for x in (every(RELATIVE), values(NAMED), values(IN_DATA))])
+    clean = F.transform(found, lambda u: F.trim(norm_spaces(u), F.lit("\"' ")))
+    rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(clean).alias("pos", "url")).where((F.col("url") != "") & ~F.lower("url").rlike("^(?:javascript|mailto|tel):"))
+    return rows.groupBy("doc_id", "url").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "url")
+
+
+def latest_article(links: DataFrame) -> DataFrame:
+    """The article (url, number, date) of the highest report number, then the last date, then the first place.
+
+    links: pos, text, url. Only links that say sitrep, in their text or address, and
+    have a number there count, each address once.
+    """
+    said = F.lower(F.concat_ws(" ", "text", "url")).contains("sitrep")
+    number = F.coalesce(report_number(F.col("text")), report_number(F.col("url")))
+    date = F.coalesce(french_date(F.col("text")), french_date(F.translate("url", "_-", "//")))
+    rows = links.where(said).select("pos", "url", number.alias("number"), date.alias("date")).where("number is not null")
+    once = rows.groupBy("url").agg(F.min_by(F.struct("pos", "number", "date"), "pos").alias("r")).select("url", "r.*")
+    return once.agg(F.max_by(F.struct("url", "number", "date"), F.struct("number", F.coalesce("date", F.lit("0001-01-01").cast("date")), -F.col("pos"))).alias("r")).where("r is not null").select("r.*")
 
 
 def candidates(spark: SparkSession, number: int, folders: list[str], templates: list[str], encodings: dict[str, str]) -> DataFrame:

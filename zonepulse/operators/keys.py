@@ -11,7 +11,7 @@ from zonepulse.functions.text import norm_name, strip_accents
 
 def by_name(zones: DataFrame, name: str = "zone_name", order: str = "zone_id") -> DataFrame:
     """One zone per normalised name, the last duplicate by ``order``: (name_key, zone struct)."""
-    return zones.withColumn("name_key", norm_name(F.col(name))).where("name_key <> ''").groupBy("name_key").agg(F.max_by(F.struct(*zones.columns), F.col(order)).alias("named"))
+    return zones.withColumn("name_key", norm_name(F.col(name))).where("name_key <> ''").groupBy("name_key").agg(F.max_by(F.struct(*zones.columns), F.struct(order)).alias("named"))
 
 
 def two_key(rows: DataFrame, zones: DataFrame, id_col: str = "zone_id", name_col: str = "zone_name", zone_name: str = "zone_name") -> DataFrame:
@@ -49,23 +49,40 @@ def canonical_names(rows: DataFrame, known: DataFrame, aliases: DataFrame, exclu
     return out.withColumn("canonical", F.when(~F.col("__raw").isin([*excluded, ""]), F.coalesce("__alias", "__same", "__inside"))).drop("__row", "__raw", "__alias", "__same", "__inside")
 
 
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short strings, one row of the table at a time."""
+    letters = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substring(x, k, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    other = letters(b)
+
+    def row(before: Column, letter: Column) -> Column:
+        longer = F.transform(other, lambda y, k: F.when(y == letter, 1 + F.when(k > 0, F.get(before, k - 1)).otherwise(0)).otherwise(F.get(before, k)))
+        return F.transform(other, lambda _, k: F.array_max(F.slice(longer, 1, k + 1)))
+
+    return F.coalesce(F.array_max(F.aggregate(letters(a), F.transform(other, lambda _: F.lit(0)), row)), F.lit(0))
+
+
 def match_score(a: Column, b: Column) -> Column:
-    """Similarity of two strings from their edit distance, 0 to 1."""
-    return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    """2 M / (length of both), M characters in common in order; 0 for two empty strings."""
+    return F.coalesce(F.try_divide(2 * common_length(a, b).cast("double"), (F.length(a) + F.length(b)).cast("double")), F.lit(0.0))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 5 / 6) -> DataFrame:
     """Best partner of each left row among right rows of its block: exact first, else by score.
 
     left and right have id, block and name; gives id, match_id, score, method.
-    Ties go to the smaller right id. Rows without a partner keep nulls.
+    Ties go to the smaller right id. Rows without a partner keep nulls. Equal names
+    meet by an equi-join; the others only where their edit distance allows the score.
     """
+    own = left.select("id", F.col(block).alias("__block"), norm_name(F.col(name)).alias("__ln"))
     r = right.select(F.col("id").alias("__mid"), F.col(block).alias("__block"), norm_name(F.col(name)).alias("__rn"))
-    pairs = left.select("id", F.col(block).alias("__block"), norm_name(F.col(name)).alias("__ln")).join(r, "__block")
-    scored = pairs.withColumn("score", match_score(F.col("__ln"), F.col("__rn"))).where(F.col("score") >= least)
-    best = scored.groupBy("id").agg(F.min_by(F.struct(F.col("__mid").alias("match_id"), "score"), F.struct(-F.col("score"), "__mid")).alias("m"))
-    out = left.select("id").join(best, "id", "left")
-    return out.select("id", "m.match_id", "m.score", F.when(F.col("m.score") == 1.0, "exact").when(F.col("m").isNotNull(), "fuzzy").otherwise("unmatched").alias("method"))
+    same = own.join(r, (own["__block"] == r["__block"]) & (own["__ln"] == r["__rn"]) & (own["__ln"] != "")).groupBy("id").agg(F.min("__mid").alias("match_id"))
+    rest = own.join(same, "id", "left_anti")
+    # each edit costs two characters of the sum at most, and one at least
+    near = F.levenshtein("__ln", "__rn") <= (1 - least) * (F.length("__ln") + F.length("__rn")) + 1e-9
+    pairs = rest.join(r, "__block").where(near).withColumn("score", match_score(F.col("__ln"), F.col("__rn"))).where(F.col("score") >= least - 1e-12)
+    best = pairs.groupBy("id").agg(F.min_by(F.struct(F.col("__mid").alias("match_id"), "score"), F.struct(-F.col("score"), "__mid")).alias("m"))
+    found = same.select("id", "match_id", F.lit(1.0).alias("score"), F.lit("exact").alias("method")).unionByName(best.select("id", "m.match_id", "m.score", F.lit("fuzzy").alias("method")))
+    return left.select("id").join(found, "id", "left").withColumn("method", F.coalesce("method", F.lit("unmatched")))
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

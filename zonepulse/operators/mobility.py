@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonepulse.functions.text import norm_name, province_key
+from zonepulse.functions.numbers import bucket
+from zonepulse.functions.text import norm_name, plausible, province_key, unknown_place
 from zonepulse.operators.asof import latest_or_first
 from zonepulse.operators.keys import two_key
 
@@ -173,10 +174,9 @@ def breaks(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.2, 0.4, 0
     return held.agg(F.percentile(F.col(value), list(shares)).alias("breaks"))
 
 
-def classed(rows: DataFrame, value: str, cut: DataFrame) -> DataFrame:
+def classed(rows: DataFrame, value: str, cut: DataFrame, positive: bool = True) -> DataFrame:
     """Adds ``class``: 0 for no value, else 1 + how many breaks the value exceeds."""
-    over = F.size(F.filter(F.coalesce("breaks", F.array().cast("array<double>")), lambda b: F.col(value) > b))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("class", F.when(F.col(value) > 0, 1 + over).otherwise(0)).drop("breaks")
+    return rows.crossJoin(F.broadcast(cut)).withColumn("class", bucket(F.col(value), F.col("breaks"), positive)).drop("breaks")
 
 
 def top(rows: DataFrame, value: str, n: int, tie: str = "zone_id", positive: bool = False) -> DataFrame:
@@ -194,12 +194,48 @@ def top_per_origin(flows: DataFrame, n: int) -> DataFrame:
 def next_month_basis(flows: DataFrame, month: str, recent: int = 3) -> DataFrame:
     """Edges (origin, destination, movement) of the month after, else the mean of the last months.
 
-    The distinct months are a small table; edges are read once.
+    The months are settled first, ``recent`` rows at most, and edges join them by month.
     """
     months = flows.select("month").distinct()
-    later = months.agg(F.min(F.when(F.col("month") > month, F.col("month"))).alias("__next"))
-    last = months.orderBy(F.col("month").desc()).limit(recent).agg(F.collect_set("month").alias("__last"))
-    marked = flows.crossJoin(F.broadcast(later)).crossJoin(F.broadcast(last))
-    held = marked.where(F.when(F.col("__next").isNotNull(), F.col("month") == F.col("__next")).otherwise(F.array_contains("__last", F.col("month"))))
-    parts = F.when(F.first("__next").isNotNull(), 1).otherwise(F.greatest(F.first(F.size("__last")), F.lit(1)))
-    return held.groupBy("origin_id", "destination_id").agg((F.sum("movement") / parts).alias("movement"))
+    later = months.where(F.col("month") > month).agg(F.min("month").alias("month")).where("month is not null")
+    last = months.orderBy(F.col("month").desc()).limit(recent)
+    none = later.agg((F.count(F.lit(1)) == 0).alias("none"))
+    basis = later.unionByName(last.join(F.broadcast(none), F.col("none")).select("month"))
+    basis = basis.crossJoin(F.broadcast(basis.agg(F.count(F.lit(1)).alias("__parts"))))
+    held = flows.join(F.broadcast(basis), "month")
+    return held.groupBy("origin_id", "destination_id").agg((F.sum("movement") / F.first("__parts")).alias("movement"))
+
+
+def hubs(corridors: DataFrame, lat: float | None = None, lon: float | None = None) -> DataFrame:
+    """One row (movement, lat, lon): the corridors' movement and weighted end, or the place given; none without movement."""
+    total = F.sum("movement")
+    at = lambda c, fixed: F.sum(F.col(c) * F.col("movement")) / total if fixed is None else F.lit(fixed)
+    return corridors.agg(total.alias("movement"), at("target_lat", lat).alias("lat"), at("target_lon", lon).alias("lon")).where("movement > 0")
+
+
+def observed(rows: DataFrame, name: str, kind: str) -> DataFrame:
+    """(kind, name, observed, rank) of places with observed movement, largest first, ties by name."""
+    held = rows.where("observed > 0").select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col("observed").cast("long").alias("observed"))
+    return held.withColumn("rank", F.row_number().over(W.orderBy(F.desc("observed"), "name")).cast("long"))
+
+
+def case_map(rows: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Adds place, known, labelled, radius and hidden to zones with cases.
+
+    rows: zone_name, zone_id, province, cases, lat, lon. Places that say they are
+    unknown are never drawn. Own coordinates count where they are plausible, else
+    those of the polygon of the same id, or of the same name and province. hidden is
+    the sum of all cases that are not drawn; labels need a share of the largest.
+    """
+    ids = polygons.where("zone_id is not null").groupBy(F.col("zone_id").alias("__id")).agg(F.max(F.struct("lat", "lon")).alias("__i"))
+    names = polygons.groupBy(norm_name(F.col("zone_name")).alias("__name"), norm_name(F.col("province")).alias("__prov")).agg(F.max(F.struct("lat", "lon")).alias("__n"))
+    found = rows.join(ids, F.col("zone_id") == F.col("__id"), "left").join(names, (norm_name(F.col("zone_name")) == F.col("__name")) & (norm_name(F.col("province")) == F.col("__prov")), "left")
+    direct, other = plausible(F.col("lat"), F.col("lon")), F.coalesce("__i", "__n")
+    lat, lon = (F.when(direct, F.col(c)).otherwise(other[c]) for c in ("lat", "lon"))
+    marked = found.withColumns({"__lat": lat, "__lon": lon}).withColumn("known", ~unknown_place(F.col("zone_name"), F.col("zone_id")) & plausible(F.col("__lat"), F.col("__lon")))
+    sums = marked.agg(F.greatest(F.max("cases"), F.lit(1)).alias("__most"), F.coalesce(F.sum(F.when((F.col("cases") > 0) & ~F.col("known"), F.col("cases"))), F.lit(0)).cast("long").alias("hidden"))
+    drawn = F.col("known") & (F.col("cases") > 0)
+    return marked.crossJoin(F.broadcast(sums)).select(
+        "zone_name", "zone_id", "province", "cases", F.when(F.col("known"), F.col("__lat")).alias("lat"), F.when(F.col("known"), F.col("__lon")).alias("lon"), "known",
+        (drawn & (F.col("cases") >= F.greatest(F.lit(10.0), 0.12 * F.col("__most")))).alias("labelled"), F.when(drawn, 5 + 31 * F.sqrt(F.col("cases") / F.col("__most"))).alias("radius"), "hidden",
+    )

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from zonepulse.operators import series
 from zonepulse.operators.stats import weighted_quantile
@@ -114,6 +115,25 @@ def final_size(days: DataFrame, day: str, cumulative: float | None = None, sims:
     return sums.join(runs, "sim", "left").crossJoin(F.broadcast(reached)).select("sim", (F.col("__c") + F.col("new")).alias("final_size"), F.coalesce("start", F.lit(horizon)).alias("end_h"))
 
 
+def projected_path(days: DataFrame, day: str, sims: int = 800, horizon: int = 260, preset: Preset = FINAL_SIZE, quiet: int = 42, fade: float = 35.0) -> DataFrame:
+    """(kind, date, q05..q95): cumulative cases from the day on, day by day, and one row ``end`` with the median last day.
+
+    The end is left out if it lies beyond the horizon's last day.
+    """
+    paths = simulate(days, day, horizon, sims, preset, fade, least=8)
+    now = days.where(F.col("date") <= F.lit(day).cast("date")).agg(F.max("cumulative").alias("__c"))
+    total = paths.withColumn("new", F.sum("cases").over(W.partitionBy("sim").orderBy("h")))
+    names = [f"q{int(q * 100):02d}" for q in QUANTILES]
+    start = F.lit(day).cast("date")
+    bands = total.groupBy("h").agg(*[F.percentile("new", q).alias(n) for q, n in zip(QUANTILES, names, strict=True)])
+    ahead = bands.crossJoin(F.broadcast(now)).select(F.lit("path").alias("kind"), F.date_add(start, F.col("h")).alias("date"), *[(F.col("__c") + F.col(n)).alias(n) for n in names])
+    first = now.select(F.lit("path").alias("kind"), start.alias("date"), *[F.col("__c").cast("double").alias(n) for n in names])
+    runs = series.zero_run(paths.select("sim", F.col("h").alias("date"), F.col("cases").alias("incidence")), quiet, ("sim",))
+    ends = paths.select("sim").distinct().join(runs, "sim", "left").agg(F.percentile(F.coalesce("start", F.lit(horizon)), 0.5).cast("int").alias("h"))
+    end = ends.where(F.col("h") <= horizon).select(F.lit("end").alias("kind"), F.date_add(start, F.col("h")).alias("date"), *[F.lit(None).cast("double").alias(n) for n in names])
+    return first.unionByName(ahead).unionByName(end)
+
+
 def analogs(observed: DataFrame, curves: DataFrame, features: DataFrame, sigma: float = 0.45, least: float = 0.05, most: float = 80.0) -> DataFrame:
     """Historical outbreaks scaled to the observed curve.
 

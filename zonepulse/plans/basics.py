@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonepulse.functions.geo import EARTH_KM, polygon_measures, square
 from zonepulse.operators.keys import first_rows
 from zonepulse.plans.registry import Source, query
 
@@ -46,9 +47,14 @@ def g4_ordered_dedupe(t: Source) -> DataFrame:
     return first_rows(t.events.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id")])
 
 
-@query("zones", "SELECT n_name, n_regionkey FROM nation")
+@query("zones", "SELECT n_nationkey, n_name || chr(10) || 'second \"line\"' AS n_name, n_regionkey FROM nation")
 def a1_required_scan(t: Source) -> DataFrame:
-    return t.nation.select("n_name", "n_regionkey")
+    """A CSV with header, written to the shared folder and read with its types; quoted text spans lines."""
+    from zonepulse.sources import shared, tables
+
+    path = shared.new_path(t.spark, "required")
+    tables.write_csv(t.nation.select("n_nationkey", F.concat("n_name", F.lit('\nsecond "line"')).alias("n_name"), "n_regionkey"), path)
+    return tables.scan_csv(t.spark, path, "n_nationkey INT, n_name STRING, n_regionkey INT")
 
 
 @query("zones", "SELECT n_name, CAST(NULL AS VARCHAR) AS notes FROM nation")
@@ -60,9 +66,95 @@ def a2_optional_scan(t: Source) -> DataFrame:
     return t.nation.select("n_name").join(extra, "n_name", "left")
 
 
-@query("zones", "SELECT s_suppkey, coalesce(CAST(s_name AS VARCHAR), '') AS s_name, coalesce(CAST(s_nationkey AS VARCHAR), '') AS s_nationkey FROM supplier")
+@query("zones", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE CAST(s_nationkey AS VARCHAR) END AS s_nationkey FROM supplier")
 def a6_string_scan(t: Source) -> DataFrame:
-    return t.supplier.select("s_suppkey", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("s_name", "s_nationkey")])
+    """A CSV read as text in every column, blanks as ''."""
+    from zonepulse.sources import shared, tables
+
+    path = shared.new_path(t.spark, "strings")
+    tables.write_csv(t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey")).alias("s_nationkey")), path)
+    return tables.scan_strings(t.spark, path)
+
+
+@query("zones", "SELECT 'cases' AS name, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'scenarios', 0")
+def a7_load_all(t: Source) -> DataFrame:
+    """All known tables of a folder, missing ones empty."""
+    from zonepulse.sources import shared, tables
+
+    path = shared.new_path(t.spark, "folder")
+    tables.write_csv(t.nation.select(F.lit("2000-01-01").alias("date"), F.col("n_name").alias("month")), f"{path}/cases.csv")
+    found = tables.load_all(t.spark, path)
+    count = lambda name: found[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count("cases").unionByName(count("scenarios"))
+
+
+@query("zones", "SELECT user_id, start, CAST(max(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS end, count(*) AS n FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, s) AS start FROM (SELECT *, sum(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))) GROUP BY user_id, s, start")
+def l2_sessions(t: Source) -> DataFrame:
+    from zonepulse.streaming.ingest import sessions
+
+    return sessions(t.events)
+
+
+def _streamed(t: Source, rows: DataFrame, mode: str, label: str) -> DataFrame:
+    """The streaming table's output so far, written by batches to the shared folder."""
+    from zonepulse.sources import shared
+
+    path = shared.new_path(t.spark, label)
+    running = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+def _event_stream(t: Source) -> DataFrame:
+    from zonepulse.sources import shared
+
+    path = shared.new_path(t.spark, "events")
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("zones", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= date_trunc('second', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE")
+def l3_stream_windows(t: Source) -> DataFrame:
+    """Windows that the watermark closed, as a stream emits them."""
+    from zonepulse.streaming.ingest import windowed_counts
+
+    rows = _streamed(t, windowed_counts(_event_stream(t)), "append", "windows")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("zones", "SELECT DISTINCT user_id, event_type FROM events")
+def l4_stream_dedupe(t: Source) -> DataFrame:
+    """One event of each user and type from a stream, within a watermark longer than the table."""
+    from zonepulse.streaming.ingest import deduplicated
+
+    return _streamed(t, deduplicated(_event_stream(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "4000 days").select("user_id", "event_type"), "append", "dedupe")
+
+
+@query("zones", "e AS (SELECT user_id % 500 AS k, user_id AS v, event_id FROM events WHERE user_id % 11 <> 0) SELECT 'published' AS kind, k, max_by(v, event_id) AS v FROM e GROUP BY 2 UNION ALL SELECT 'held', user_id % 500, user_id FROM events WHERE user_id % 11 = 0")
+def l5_incremental_ingest(t: Source) -> DataFrame:
+    """Landed files polled twice by one source: valid rows upserted, others held, a repeated batch published once."""
+    from zonepulse.sources import shared, tables
+    from zonepulse.streaming import ingest
+
+    spark, path = t.spark, shared.new_path(t.spark, "ingest")
+    schema = "k BIGINT, v BIGINT, event_id BIGINT"
+    rows = t.events.select((F.col("user_id") % 500).alias("k"), F.col("user_id").alias("v"), "event_id")
+    middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    last: list[DataFrame] = []
+    publish = ingest.split_publish(F.col("v") % 11 != 0, f"{path}/table", f"{path}/held", "landing")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        publish(batch, number)
+        publish(batch, number)
+        last.append(number)
+
+    for n, part in enumerate((rows.where(F.col("event_id") <= middle), rows.where(F.col("event_id") > middle))):
+        # one file a poll, in order, so that its rows are one batch
+        tables.write_csv(part.repartition(1).sortWithinPartitions("event_id"), f"{path}/landing/{n}")
+        ingest.ingest(spark, f"{path}/landing/*", schema, f"{path}/checkpoint", twice).awaitTermination()
+    published = ingest.current(spark, f"{path}/table", ["k"]).select(F.lit("published").alias("kind"), "k", "v")
+    return published.unionByName(spark.read.schema(schema).json(f"{path}/held/*").select(F.lit("held").alias("kind"), "k", "v"))
 
 
 @query("zones", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -72,15 +164,11 @@ def l1_hourly_windows(t: Source) -> DataFrame:
     return windowed_counts(t.events).select("start", "event_type", "n")
 
 
-@query()
+@query("zones", f"SELECT zone_id, CASE WHEN k % 5 < 3 THEN round({EARTH_KM} * {EARTH_KM} * radians(1) * (sin(radians(lat + 1)) - sin(radians(lat))), 3) END AS area_km2, CASE WHEN k % 5 < 3 THEN lat + 0.5 END AS lat, CASE WHEN k % 5 < 3 THEN lon + 0.5 END AS lon FROM (SELECT *, CAST(zone_id AS INT) AS k FROM zones)")
 def h16_polygon_measures(t: Source) -> DataFrame:
-    """Area and centroid of a square around each zone."""
-    from zonepulse.functions.geo import polygon_measures
-
-    n = lambda c, d: (F.col(c) + d).cast("string")
-    corner = lambda a, b: F.concat(F.lit("["), n("lon", a), F.lit(","), n("lat", b), F.lit("]"))
-    ring = F.concat_ws(",", corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-    shape = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
+    """Area and centroid of a square at each zone; null for a null geometry and for an empty ring."""
+    k = F.col("zone_id").cast("int") % 5
+    shape = F.when(k == 3, "null").when(k == 4, '{"type":"Polygon","coordinates":[[]]}').otherwise(square("lon", "lat"))
     return t.zones.select("zone_id", polygon_measures(shape).alias("m")).select("zone_id", F.round("m.area_km2", 3).alias("area_km2"), "m.lat", "m.lon")
 
 

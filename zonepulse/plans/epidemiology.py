@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from zonepulse.functions.numbers import clamp, quintile_label
-from zonepulse.operators import asof, assess, indicators, models, series, stats
+from zonepulse.operators import asof, assess, indicators, mobility, models, series, stats
 from zonepulse.plans.registry import Source, query
 
 DAY, REPORT_DAY = "2000-06-30", "2024-01-28"
@@ -127,15 +127,51 @@ def i2_rt_batch(t: Source) -> DataFrame:
     return models.rt_posterior(series.daily(t.reports), models.FINAL_SIZE).select(r("shape"), r("rate"), r("rt"))
 
 
+def _forecasts(t: Source) -> DataFrame:
+    """Each generation interval; the first days of a longer forecast are those of a shorter one."""
+    days, out = series.daily(t.reports), None
+    for mean in (9.0, 12.0, 15.0):
+        ahead = models.forecast(days, REPORT_DAY, preset=models.Preset(mean=mean))
+        part = ahead.select(F.lit(mean).alias("mean"), F.explode(F.array(F.lit(7), F.lit(14))).alias("horizon"), "*").where("h <= horizon")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_QUANTILES = ("q05", "q25", "q50", "q75", "q95")
+
+
+def _ordered(columns=_QUANTILES):
+    """Aggregate: no quantile is below the one before."""
+    return F.bool_and(F.expr(" and ".join(f"{a} <= {b}" for a, b in zip(columns, columns[1:], strict=False)))).alias("ordered")
+
+
 @query()
 def i3_forecast(t: Source) -> DataFrame:
-    return models.forecast(series.daily(t.reports), REPORT_DAY)
+    return _forecasts(t)
+
+
+@query("reports", "SELECT CAST(m AS DOUBLE) AS mean, CAST(h AS INT) AS horizon, h AS days, 1 AS first_day, CAST(h AS INT) AS last_day, true AS ordered, true AS counts FROM (VALUES (9), (12), (15)) AS a(m), (VALUES (7), (14)) AS b(h) WHERE (SELECT count(*) FROM reports WHERE date <= DATE '2024-01-28') > 3")
+def i3_forecast_shape(t: Source) -> DataFrame:
+    """What must hold whatever the draws: days, order of quantiles, no negative counts."""
+    return _forecasts(t).groupBy("mean", "horizon").agg(F.count(F.lit(1)).alias("days"), F.min("h").alias("first_day"), F.max("h").alias("last_day"), _ordered(), F.bool_and(F.col("q05") >= 0).alias("counts"))
+
+
+def _final_size(t: Source) -> DataFrame:
+    return models.final_size(series.daily(t.reports), REPORT_DAY)
 
 
 @query()
 def i4_final_size(t: Source) -> DataFrame:
-    found = models.final_size(series.daily(t.reports), REPORT_DAY)
-    return found.agg(*[F.percentile("final_size", q).alias(f"size_q{int(q * 100):02d}") for q in models.QUANTILES], F.percentile("end_h", 0.5).alias("end_median"))
+    return _final_size(t).agg(*[F.percentile("final_size", q).alias(f"size_q{int(q * 100):02d}") for q in models.QUANTILES], F.percentile("end_h", 0.5).alias("end_median"))
+
+
+@query("reports", "SELECT 800 AS paths, 0 AS first_path, 799 AS last_path, true AS not_below_now, true AS ends_in_time, true AS whole FROM (SELECT 1) WHERE (SELECT max(date) - min(date) + 1 FROM reports WHERE date <= DATE '2024-01-28') >= 8")
+def i4_final_size_shape(t: Source) -> DataFrame:
+    """All paths, none below the cases so far, each with an end within the horizon."""
+    now = t.reports.where(F.col("date") <= F.lit(REPORT_DAY).cast("date")).agg(F.max("cumulative").alias("now"))
+    rows = _final_size(t).crossJoin(F.broadcast(now))
+    size = F.col("final_size")
+    return rows.agg(F.count(F.lit(1)).alias("paths"), F.min("sim").cast("int").alias("first_path"), F.max("sim").cast("int").alias("last_path"), F.bool_and(size >= F.col("now")).alias("not_below_now"), F.bool_and(F.col("end_h").between(1, 260)).alias("ends_in_time"), F.bool_and(size == F.floor(size)).alias("whole")).where("paths > 0")
 
 
 _ANALOG = """
@@ -178,7 +214,15 @@ def i6_ensemble(t: Source) -> DataFrame:
 
 @query()
 def i7_replay(t: Source) -> DataFrame:
-    return models.replay(t.reports, sims=200, horizon=120)
+    return models.replay(t.reports)
+
+
+@query("reports", "r AS (SELECT date, cumulative, count(*) OVER (ORDER BY date) AS n, date - min(date) OVER () + 1 AS days FROM reports) SELECT date AS as_of, n AS reports, true AS ordered, true AS not_below_now, true AS ends_in_time FROM r WHERE n >= 5 AND days >= 8")
+def i7_replay_shape(t: Source) -> DataFrame:
+    """The report dates replayed, with what must hold whatever the draws."""
+    now = t.reports.select(F.col("date").alias("as_of"), "cumulative")
+    rows = models.replay(t.reports).join(now, "as_of")
+    return rows.select("as_of", "reports", F.expr("low <= median and median <= high").alias("ordered"), (F.col("low") >= F.col("cumulative")).alias("not_below_now"), F.col("end_median").between(1, 260).alias("ends_in_time"))
 
 
 @query("reports", "h AS (SELECT CAST(k AS INT) AS h FROM generate_series(1, 14) AS s(k)) SELECT 'baseline' AS scenario, h, CAST(1.0 AS DOUBLE) AS multiplier FROM h UNION ALL SELECT 'improved', h, round(1 - 0.3 * (CAST(h AS DOUBLE) / 14), 6) FROM h UNION ALL SELECT 'delayed', h, round(CASE WHEN h < 7 THEN 1 + 0.2 * (CAST(h AS DOUBLE) / 14) ELSE 1.1 - 0.4 * (CAST(h AS DOUBLE) / 14 - 0.5) END, 6) FROM h")
@@ -196,7 +240,7 @@ def c10_latest_metric(t: Source) -> DataFrame:
 
 
 _TIMELINE = "SELECT '{0}' AS metric, date, round(coalesce(max_by({0}, pos) FILTER (WHERE admin_level = 'national' AND {0} IS NOT NULL), {1}({0}) FILTER (WHERE admin_level <> 'national')), 4) AS value FROM indicators WHERE {0} IS NOT NULL GROUP BY date"
-_METRICS = [("contact_followup_rate", "avg"), ("alert_investigation_rate", "avg"), ("poe_screening_coverage", "avg"), ("alerts_reported", "sum")]
+_METRICS = [("contact_followup_rate", "avg"), ("alert_investigation_rate", "avg"), ("poe_screening_coverage", "avg"), ("alerts_reported", "sum"), ("samples_analysed", "sum"), ("travellers_screened", "sum")]
 
 
 @query("indicators", " UNION ALL ".join(_TIMELINE.format(*m) for m in _METRICS))
@@ -296,13 +340,31 @@ def _guarded(a: str, b: str) -> str:
     return f"CASE WHEN count(*) >= 3 AND NOT isnan(corr({a}, {b})) THEN round(corr({a}, {b}), 4) END"
 
 
-@query("cases wealth", _PAIRS + f", {_RANKS}, s AS (SELECT {_guarded('a', 'b')} AS spearman FROM ranks) SELECT 'linear' AS scale, {_guarded('rwi', 'cases')} AS pearson, min(spearman) AS spearman, count(*) AS n FROM pairs, s UNION ALL SELECT 'log', {_guarded('rwi', 'log_cases')}, min(spearman), count(*) FROM pairs, s")
+_SCATTER = (
+    f"""
+c AS (SELECT * FROM cases WHERE date = DATE '{DAY}'), w AS (SELECT zone_id, rwi, {_PERCENTILE.format('rwi')} AS p FROM wealth),
+z AS (SELECT w.zone_id, p AS x, coalesce(i.confirmed_cases, n.confirmed_cases, 0) AS cases, coalesce(population, 0) AS population, coalesce(coalesce(i.province, n.province), 'Unknown') AS province
+  FROM w LEFT JOIN c i ON i.zone_id = w.zone_id LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = w.zone_id LEFT JOIN c n ON lower(n.health_zone) = lower(n_name) LEFT JOIN population u ON u.zone_id = w.zone_id),
+o AS (SELECT 'cases' AS outcome, *, CAST(cases AS DOUBLE) AS v FROM z UNION ALL SELECT 'per100k', *, cases * 100000.0 / population FROM z WHERE population > 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY outcome, cases > 0 ORDER BY v DESC, zone_id) AS place FROM o),
+e AS (SELECT 'all' AS display, * FROM d UNION ALL SELECT 'affected', * FROM d WHERE cases > 0 UNION ALL SELECT 'top25', * FROM d WHERE cases > 0 AND place <= 25),
+f AS (SELECT 'linear' AS scale, *, v AS y FROM e UNION ALL SELECT 'log1p', *, ln(1 + greatest(0, v)) FROM e),
+g AS (SELECT *, rank() OVER (PARTITION BY outcome, display, scale ORDER BY x) + (count(*) OVER (PARTITION BY outcome, display, scale, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY outcome, display, scale ORDER BY y) + (count(*) OVER (PARTITION BY outcome, display, scale, y) - 1) / 2.0 AS b FROM f)
+SELECT outcome, display, scale, count(*) AS n, count(*) FILTER (WHERE cases <= 0) AS zero_points, count(DISTINCT province) FILTER (WHERE cases > 0) AS provinces, """
+    + f"{_guarded('x', 'y')} AS pearson, {_guarded('a', 'b')} AS spearman FROM g GROUP BY 1, 2, 3"
+)
+
+
+@query("cases wealth population", _SCATTER)
 def k9_wealth_scatter(t: Source) -> DataFrame:
-    rows, out = _pairs(t), None
-    for scale, y in (("linear", "cases"), ("log", "log_cases")):
-        part = rows.agg(F.lit(scale).alias("scale"), F.round(stats.pearson("rwi", y), 4).alias("pearson"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(stats.spearman(rows, "rwi", y).select(r("spearman"))))
-        out = part if out is None else out.unionByName(part)
-    return out.select("scale", "pearson", "spearman", "n")
+    """Both outcomes, three displays and two scales; points, provinces and correlations of each."""
+    from zonepulse.operators.keys import two_key
+
+    today = t.cases.where(F.col("date") == F.lit(DAY).cast("date")).select("zone_id", F.col("health_zone").alias("zone_name"), "province", "confirmed_cases")
+    names = t.nation.select(F.col("n_nationkey").cast("string").alias("zone_id"), F.col("n_name").alias("zone_name"))
+    rows = two_key(stats.percentile_rank(t.wealth, "rwi").join(names, "zone_id", "left"), today).join(t.population, "zone_id", "left")
+    points = rows.select("zone_id", F.col("percentile").alias("x"), F.coalesce("zone.confirmed_cases", F.lit(0)).alias("cases"), F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("zone.province", F.lit("Unknown")).alias("province"))
+    return stats.scatter_summary(points).select("outcome", "display", "scale", "n", "zero_points", "provinces", r("pearson"), r("spearman"))
 
 
 @query("cases", f"SELECT province, CAST(sum(confirmed_cases) AS BIGINT) AS cases, CAST(sum(confirmed_deaths) AS BIGINT) AS deaths, round(sum(confirmed_deaths) / CAST(greatest(sum(confirmed_cases), 1) AS DOUBLE), 4) AS cfr FROM cases WHERE date = DATE '{DAY}' GROUP BY 1")
@@ -336,11 +398,6 @@ def e6_days_without_increase(t: Source) -> DataFrame:
     return series.days_without_increase(daily, history, "2024-01-30", ("k",))
 
 
-@query("reports", "d AS (SELECT user_id AS k, CAST(d AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 60) u, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) AS g(d)), f AS (SELECT k, d.date, count(e.event_id) AS n FROM d LEFT JOIN events e ON e.user_id = k AND CAST(ts AS DATE) = d.date AND event_type = 'error' GROUP BY 1, 2), g AS (SELECT *, sum(CASE WHEN n <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date) AS grp FROM f) SELECT k, min(s) AS start FROM (SELECT k, grp, min(date) AS s, count(*) AS len FROM g WHERE n = 0 GROUP BY 1, 2) WHERE len >= 4 GROUP BY 1")
-def e9_zero_run(t: Source) -> DataFrame:
-    return _zero_runs(t.events.where("user_id < 60"))
-
-
 def _zero_runs(events: DataFrame) -> DataFrame:
     users = events.select(F.col("user_id").alias("k")).distinct()
     grid = users.select("k", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("date"))
@@ -349,8 +406,7 @@ def _zero_runs(events: DataFrame) -> DataFrame:
 
 
 @query("reports", "d AS (SELECT user_id AS k, CAST(d AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events) u, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) AS g(d)), f AS (SELECT k, d.date, count(e.event_id) AS n FROM d LEFT JOIN events e ON e.user_id = k AND CAST(ts AS DATE) = d.date AND event_type = 'error' GROUP BY 1, 2), g AS (SELECT *, sum(CASE WHEN n <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date) AS grp FROM f) SELECT k, min(s) AS start FROM (SELECT k, grp, min(date) AS s, count(*) AS len FROM g WHERE n = 0 GROUP BY 1, 2) WHERE len >= 4 GROUP BY 1")
-def e9_zero_run_all(t: Source) -> DataFrame:
-    """e9_zero_run over every user."""
+def e9_zero_run(t: Source) -> DataFrame:
     return _zero_runs(t.events)
 
 
@@ -371,11 +427,27 @@ def k16_freshness(t: Source) -> DataFrame:
     return t.reports.agg(F.min_by("report_no", "date").alias("first_no"), F.min("date").alias("first_date"), F.max_by("report_no", "date").alias("last_no"), F.max("date").alias("last_date"))
 
 
-@query("reports cases", _TWO + ", l AS (SELECT max_by(cumulative, date) AS cases, max_by(deaths, date) AS deaths, max_by(neighbour_cases, date) AS neighbour FROM reports), m AS (SELECT CAST(sum(recent_cases) AS BIGINT) AS recent_mapped FROM recent) SELECT cases, deaths, round(deaths / CAST(greatest(cases, 1) AS DOUBLE), 4) AS cfr, neighbour AS neighbour_cases, recent_mapped FROM l, m")
+_HEADLINE = _TWO + f""",
+l AS (SELECT max_by(cumulative, date) AS cases, max_by(deaths, date) AS deaths, max_by(neighbour_cases, date) AS neighbour FROM reports),
+t AS (SELECT CAST(sum(confirmed_cases) AS BIGINT) AS cases, CAST(sum(confirmed_deaths) AS BIGINT) AS deaths FROM cases WHERE date = DATE '{DAY}'),
+m AS (SELECT CAST(sum(recent_cases) AS BIGINT) AS cases, CAST(sum(recent_deaths) AS BIGINT) AS deaths FROM recent),
+v AS (SELECT 'report' AS source, l.cases, l.deaths, l.neighbour AS neighbour_cases, 1 AS neighbour_deaths FROM l UNION ALL SELECT 'zones', t.cases, t.deaths, 7, 1 FROM t UNION ALL SELECT 'neighbour', l.cases, l.deaths, 21, 4 FROM l)
+SELECT source, 'cumulative' AS mode, cases, deaths, round(deaths / CAST(greatest(cases, 1) AS DOUBLE), 4) AS cfr, CAST(neighbour_cases AS BIGINT) AS neighbour_cases, CAST(neighbour_deaths AS BIGINT) AS neighbour_deaths FROM v
+UNION ALL SELECT source, 'recent', m.cases, m.deaths, NULL, CAST(neighbour_cases AS BIGINT), CAST(neighbour_deaths AS BIGINT) FROM v, m"""
+
+
+@query("reports cases", _HEADLINE)
 def k1_headline_kpis(t: Source) -> DataFrame:
-    last = t.reports.agg(F.max_by(F.struct("cumulative", "deaths", "neighbour_cases"), "date").alias("r")).select(F.col("r.cumulative").alias("cases"), "r.deaths", "r.neighbour_cases")
-    recent = asof.increase(t.cases, DAY).agg(F.sum("recent_cases").alias("recent_mapped"))
-    return last.crossJoin(F.broadcast(recent)).select("cases", "deaths", F.round(F.col("deaths") / F.greatest("cases", F.lit(1)), 4).alias("cfr"), "neighbour_cases", "recent_mapped")
+    """With a report, without one (zone sums and the fixed neighbour counts), and with a neighbour's own snapshot."""
+    day = t.cases.where(F.col("date") == F.lit(DAY).cast("date"))
+    total = day.agg(F.sum("confirmed_cases").alias("cases"), F.sum("confirmed_deaths").alias("deaths"))
+    recent = asof.increase(t.cases, DAY).agg(F.sum("recent_cases").alias("cases"), F.sum("recent_deaths").alias("deaths"))
+    last = t.reports.agg(F.max_by(F.struct("cumulative", "deaths", "neighbour_cases"), "date").alias("r")).select(F.col("r.cumulative").alias("cases"), "r.deaths", "r.neighbour_cases", F.lit(None).cast("long").alias("neighbour_deaths"))
+    other, out = t.spark.sql("SELECT 21L AS cases, 4L AS deaths"), None
+    for source, meta, neighbour in (("report", last, other.limit(0)), ("zones", last.limit(0), other.limit(0)), ("neighbour", last, other)):
+        part = assess.headline(meta, total, recent, neighbour).select(F.lit(source).alias("source"), "mode", "cases", "deaths", r("cfr"), "neighbour_cases", "neighbour_deaths")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
@@ -387,14 +459,29 @@ def k6_forecast_chart(t: Source) -> DataFrame:
     return seen.unionByName(ahead)
 
 
+@query("reports", "d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM reports WHERE date <= DATE '2024-01-28'), o AS (SELECT date FROM d ORDER BY date DESC LIMIT 21) SELECT 'observed' AS kind, count(*) AS days, min(date) AS first_day, max(date) AS last_day, true AS ordered FROM o UNION ALL SELECT 'forecast', 14, DATE '2024-01-29', DATE '2024-02-11', true")
+def k6_forecast_chart_shape(t: Source) -> DataFrame:
+    return k6_forecast_chart(t).groupBy("kind").agg(F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.bool_and(F.expr("coalesce(low <= value and value <= high, kind = 'observed')")).alias("ordered"))
+
+
 @query()
 def k7_final_size_chart(t: Source) -> DataFrame:
-    """Observed cumulative cases, the projected median and its end marker."""
+    """Observed cumulative cases, the projected path with its bands, and the end marker within the chart."""
     days = series.daily(t.reports)
-    seen = days.select(F.lit("observed").alias("kind"), "date", F.col("cumulative").alias("value"))
-    found = models.final_size(days, REPORT_DAY, sims=200).agg(F.percentile("final_size", 0.5).alias("value"), F.percentile("end_h", 0.5).cast("int").alias("h"))
-    end = found.where("h <= 260").select(F.lit("end").alias("kind"), F.date_add(F.lit(REPORT_DAY).cast("date"), F.col("h")).alias("date"), "value")
-    return seen.unionByName(end)
+    none = [F.lit(None).cast("double").alias(c) for c in ("q05", "q25", "q75", "q95")]
+    seen = days.where(F.col("date") <= F.lit(REPORT_DAY).cast("date")).select(F.lit("observed").alias("kind"), "date", F.col("cumulative").cast("double").alias("q50"), *none)
+    path = models.projected_path(days, REPORT_DAY)
+    ahead = path.where("kind = 'path'").select(F.lit("projected").alias("kind"), "date", "q50", "q05", "q25", "q75", "q95")
+    end = path.where("kind = 'end'").select(F.lit("end").alias("kind"), "date", F.lit(None).cast("double").alias("q50"), *none)
+    return seen.unionByName(ahead).unionByName(end)
+
+
+@query("reports", "d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM reports WHERE date <= DATE '2024-01-28'), n AS (SELECT max(cumulative) AS now FROM reports WHERE date <= DATE '2024-01-28') SELECT 'observed' AS kind, count(*) AS days, min(date) AS first_day, max(date) AS last_day, true AS ordered, CAST(NULL AS DOUBLE) AS starts_at FROM d UNION ALL SELECT 'projected', 261, DATE '2024-01-28', DATE '2024-01-28' + 260, true, CAST(now AS DOUBLE) FROM n")
+def k7_final_size_chart_shape(t: Source) -> DataFrame:
+    """Days of both parts, bands in order, and the path from the cases so far."""
+    rows = k7_final_size_chart(t).where("kind <> 'end'")
+    start = F.min(F.when(F.col("kind") == "projected", F.col("q05"))).alias("starts_at")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.bool_and(F.expr("coalesce(q05 <= q25 and q25 <= q50 and q50 <= q75 and q75 <= q95, kind = 'observed')")).alias("ordered"), start)
 
 
 _ASSESS = ", x AS (SELECT CASE WHEN n % 7 <> 0 THEN 0.5 + n % 5 * 0.25 END AS rt, (n % 11) / 10.0 AS p, 0.6 + n % 9 * 0.1 AS ratio, n % 6 * 0.1 AS gap, (n % 13) / 20.0 AS share, n % 10 * 60 AS local, CASE WHEN n % 4 <> 0 THEN 0.85 + n % 4 * 0.05 END AS screening, n FROM (SELECT number AS n FROM reports))"
@@ -417,12 +504,23 @@ def k15_border_assessment(t: Source) -> DataFrame:
     return _assess(t).select("n", assess.border_level(F.col("share"), F.col("local"), F.col("screening")).alias("level"))
 
 
-@query("cases zones", f"SELECT c.health_zone, confirmed_cases, coalesce(i.lat, n.lat) AS lat, coalesce(i.lon, n.lon) AS lon, coalesce(coalesce(i.lat, n.lat) BETWEEN -14 AND 6 AND coalesce(i.lon, n.lon) BETWEEN 11 AND 32, false) AS mapped, confirmed_cases >= greatest(10, 0.12 * max(confirmed_cases) OVER ()) AS labelled, round(3 + 20 * sqrt(confirmed_cases / nullif(CAST(max(confirmed_cases) OVER () AS DOUBLE), 0)), 4) AS radius FROM cases c LEFT JOIN zones i ON c.zone_id = i.zone_id LEFT JOIN zones n ON lower(c.health_zone) = lower(n.zone_name) WHERE date = DATE '{DAY}'")
-def j1_case_map(t: Source) -> DataFrame:
-    from zonepulse.functions.text import plausible
-    from zonepulse.operators.keys import two_key
+# every third zone has no coordinates of its own, one says that it is unknown, and polygons know one name in another province
+_MAP = f"""
+c AS (SELECT CASE WHEN c.health_zone = 'NATION_6' THEN 'Autres ZS' ELSE c.health_zone END AS zone_name, c.zone_id, c.province, confirmed_cases AS cases, CASE WHEN CAST(z.zone_id AS INT) % 3 <> 0 THEN lat END AS lat, CASE WHEN CAST(z.zone_id AS INT) % 3 <> 0 THEN lon END AS lon
+  FROM cases c LEFT JOIN zones z ON c.zone_id = z.zone_id WHERE date = DATE '{DAY}'),
+g AS (SELECT zone_id, zone_name, CASE WHEN zone_id = '11' THEN 'ELSEWHERE' ELSE province END AS province, lat + 0.5 AS lat, lon + 0.5 AS lon FROM zones),
+u AS (SELECT c.*, regexp_matches(lower(concat_ws(' ', c.zone_name, c.zone_id)), 'unventilated|unknown|autres zs|non ventil|sans fiche|non identifie') AS unknown, c.lat BETWEEN -14 AND 6 AND c.lon BETWEEN 11 AND 32 AS direct, coalesce(i.lat, n.lat) AS glat, coalesce(i.lon, n.lon) AS glon
+  FROM c LEFT JOIN g i ON c.zone_id = i.zone_id LEFT JOIN g n ON lower(c.zone_name) = lower(n.zone_name) AND lower(c.province) = lower(n.province)),
+k AS (SELECT zone_name, province, cases, CASE WHEN coalesce(direct, false) THEN lat ELSE glat END AS lat, CASE WHEN coalesce(direct, false) THEN lon ELSE glon END AS lon, unknown FROM u),
+m AS (SELECT *, NOT unknown AND coalesce(lat BETWEEN -14 AND 6 AND lon BETWEEN 11 AND 32, false) AS known, greatest(1, max(cases) OVER ()) AS most FROM k)
+SELECT zone_name, province, cases, CASE WHEN known THEN lat END AS lat, CASE WHEN known THEN lon END AS lon, known, known AND cases > 0 AND cases >= greatest(10, 0.12 * most) AS labelled, CASE WHEN known AND cases > 0 THEN round(5 + 31 * sqrt(cases / CAST(most AS DOUBLE)), 4) END AS radius,
+  CAST(coalesce(sum(cases) FILTER (WHERE cases > 0 AND NOT known) OVER (), 0) AS BIGINT) AS hidden FROM m"""
 
-    rows = two_key(t.cases.where(F.col("date") == F.lit(DAY).cast("date")), t.zones, "zone_id", "health_zone")
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("confirmed_cases").alias("most"))))
-    lat, lon = F.col("zone.lat"), F.col("zone.lon")
-    return rows.select("health_zone", "confirmed_cases", lat.alias("lat"), lon.alias("lon"), plausible(lat, lon).alias("mapped"), (F.col("confirmed_cases") >= F.greatest(F.lit(10.0), 0.12 * F.col("most"))).alias("labelled"), F.round(3 + 20 * F.sqrt(F.try_divide("confirmed_cases", "most")), 4).alias("radius"))
+
+@query("cases zones", _MAP)
+def j1_case_map(t: Source) -> DataFrame:
+    z = t.zones.select(F.col("zone_id").alias("__z"), *[F.when(F.col("zone_id").cast("int") % 3 != 0, F.col(c)).alias(c) for c in ("lat", "lon")])
+    today = t.cases.where(F.col("date") == F.lit(DAY).cast("date")).withColumn("zone_name", F.when(F.col("health_zone") == "NATION_6", "Autres ZS").otherwise(F.col("health_zone")))
+    rows = today.join(z, F.col("zone_id") == F.col("__z"), "left").select("zone_name", "zone_id", "province", F.col("confirmed_cases").alias("cases"), "lat", "lon")
+    polygons = t.zones.select("zone_id", "zone_name", F.when(F.col("zone_id") == "11", "ELSEWHERE").otherwise(F.col("province")).alias("province"), (F.col("lat") + 0.5).alias("lat"), (F.col("lon") + 0.5).alias("lon"))
+    return mobility.case_map(rows, polygons).select("zone_name", "province", "cases", "lat", "lon", "known", "labelled", F.round("radius", 4).alias("radius"), "hidden")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.functions.geo import bearing, bend, point_along
+from zonepulse.functions.geo import EARTH_KM, area_or_measured, bearing, bend, point_along, polygon_measures, square
+from zonepulse.functions.numbers import response_class
 from zonepulse.functions.text import norm_name
 from zonepulse.operators import asof, keys, mobility
+from zonepulse.operators.assess import capital_assessment
 from zonepulse.plans.registry import Source, query
 
 MONTH, DAY = "2000-06", "2000-06-30"
@@ -38,7 +40,7 @@ def _affected(t: Source) -> DataFrame:
 
 
 def _month(t: Source) -> DataFrame:
-    return t.flows.where(F.col("month") == MONTH)
+    return t.flows_of(MONTH)
 
 
 def _scored(t: Source) -> DataFrame:
@@ -62,7 +64,7 @@ def b2_rows_until(t: Source) -> DataFrame:
 
 @query("zones flows cases", AFFECTED + f" SELECT month, origin_id, destination_id, movement FROM flows WHERE month = '{MONTH}' AND origin_id IN (SELECT zone_id FROM affected)")
 def b3_selected_flows(t: Source) -> DataFrame:
-    return mobility.selected(t.flows, mobility.origin_set(_affected(t)), MONTH).select("month", "origin_id", "destination_id", "movement")
+    return mobility.selected(_month(t), mobility.origin_set(_affected(t))).select("month", "origin_id", "destination_id", "movement")
 
 
 @query(
@@ -141,7 +143,7 @@ def c6_membership(t: Source) -> DataFrame:
 @query("zones flows", f"SELECT origin_id, CAST(sum(movement) AS BIGINT) AS movement FROM flows WHERE month = '{MONTH}' AND origin_id IN ('1', '4', '9', '12') GROUP BY 1")
 def c7_semi_join_origins(t: Source) -> DataFrame:
     listed = t.zones.where(norm_name(F.col("zone_name")).isin([m.lower() for m in MAJOR]))
-    return mobility.selected(t.flows, listed, MONTH).groupBy("origin_id").agg(F.sum("movement").alias("movement"))
+    return mobility.selected(_month(t), listed).groupBy("origin_id").agg(F.sum("movement").alias("movement"))
 
 
 @query("contacts", "SELECT province, coalesce(max_by(date, date) FILTER (WHERE date <= DATE '2000-05-15'), min(date)) AS date, coalesce(max_by(seen, date) FILTER (WHERE date <= DATE '2000-05-15'), min_by(seen, date)) AS seen FROM contacts GROUP BY 1")
@@ -266,10 +268,27 @@ def d9_class_breaks(t: Source) -> DataFrame:
     return cut.select(*[F.round(F.col("breaks")[k], 4).alias(f"b{k + 1}") for k in range(4)])
 
 
-@query("zones flows cases", SCORED + f", {_BREAKS} SELECT zone_id, score, CAST(CASE WHEN score <= 0 THEN 0 WHEN score <= q[1] THEN 1 WHEN score <= q[2] THEN 2 WHEN score <= q[3] THEN 3 WHEN score <= q[4] THEN 4 ELSE 5 END AS INT) AS class FROM scored, cut")
+_CLASS = "CASE WHEN v < {0} THEN 1 WHEN v < {1} THEN 2 WHEN v < {2} THEN 3 WHEN v < {3} THEN 4 ELSE 5 END"
+
+
+@query(
+    "zones flows cases wealth",
+    SCORED
+    + f""", {_BREAKS}, w AS (SELECT quantile_cont(rwi, [0.2, 0.4, 0.6, 0.8]) AS q FROM wealth), s AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN least(1, greatest(0, (p_size - 5) / 40.0)) END AS v FROM part)
+    SELECT 'score' AS kind, zone_id AS key, CAST(CASE WHEN score <= 0 THEN 0 WHEN score <= q[1] THEN 1 WHEN score <= q[2] THEN 2 WHEN score <= q[3] THEN 3 WHEN score <= q[4] THEN 4 ELSE 5 END AS INT) AS class FROM scored, cut
+    UNION ALL SELECT 'wealth', zone_id, CAST(CASE WHEN rwi <= q[1] THEN 1 WHEN rwi <= q[2] THEN 2 WHEN rwi <= q[3] THEN 3 WHEN rwi <= q[4] THEN 4 ELSE 5 END AS INT) FROM wealth, w
+    UNION ALL SELECT 'gap', CAST(p_partkey AS VARCHAR), CAST(CASE WHEN v IS NULL THEN 0 ELSE {_CLASS.format(0.10, 0.25, 0.45, 0.65)} END AS INT) FROM s
+    UNION ALL SELECT 'rate', CAST(p_partkey AS VARCHAR), CAST(CASE WHEN v IS NULL THEN 0 ELSE {_CLASS.format(0.25, 0.50, 0.70, 0.90)} END AS INT) FROM s""",
+)
 def b10_class_buckets(t: Source) -> DataFrame:
-    rows = _scored(t)
-    return mobility.classed(rows, "score", mobility.breaks(rows, "score")).select("zone_id", "score", "class")
+    scored = _scored(t)
+    out = mobility.classed(scored, "score", mobility.breaks(scored, "score")).select(F.lit("score").alias("kind"), F.col("zone_id").alias("key"), "class")
+    wealth = mobility.classed(t.wealth, "rwi", mobility.breaks(t.wealth, "rwi", positive=False), positive=False)
+    out = out.unionByName(wealth.select(F.lit("wealth").alias("kind"), F.col("zone_id").alias("key"), "class"))
+    value = F.when(F.col("p_size") % 10 != 0, (F.col("p_size") - 5) / 40.0)
+    for kind in ("gap", "rate"):
+        out = out.unionByName(t.part.select(F.lit(kind).alias("kind"), F.col("p_partkey").cast("string").alias("key"), response_class(value, kind == "gap").alias("class")))
+    return out
 
 
 @query("zones flows cases", SCORED + " SELECT zone_id, round(4 + 18 * sqrt(score / (SELECT max(score) FROM scored)), 4) AS radius FROM scored WHERE score > 0")
@@ -319,7 +338,7 @@ _ARRIVALS = AFFECTED + f", sums AS (SELECT destination_id, CAST(sum(movement) AS
 @query("zones flows cases population", _ARRIVALS + " SELECT r.zone_id, arrivals, coalesce(population, 0) AS population, a.zone_id IS NOT NULL AS is_outbreak, CAST(CASE WHEN arrivals <= 0 THEN 0 ELSE 1 + len(list_filter(q, lambda x: arrivals > x)) END AS INT) AS class FROM risk r CROSS JOIN cut LEFT JOIN population p ON r.zone_id = p.zone_id LEFT JOIN affected a ON r.zone_id = a.zone_id")
 def j2_spread_risk(t: Source) -> DataFrame:
     a = _affected(t)
-    rows = mobility.universe(t.zones, mobility.by_destination(mobility.selected(t.flows, a, MONTH)), t.population, a).withColumnRenamed("movement", "arrivals")
+    rows = mobility.universe(t.zones, mobility.by_destination(mobility.selected(_month(t), a)), t.population, a).withColumnRenamed("movement", "arrivals")
     return mobility.classed(rows, "arrivals", mobility.breaks(rows, "arrivals")).select("zone_id", "arrivals", "population", "is_outbreak", "class")
 
 
@@ -351,9 +370,14 @@ def j6_uganda_projection(t: Source) -> DataFrame:
     return rows.select("scenario_id", "district_id", F.round(F.col("border_total") * F.col("fraction") * (F.col("weight") / F.col("s")), 4).alias("projected"))
 
 
-@query("profile", "SELECT district, observed FROM profile WHERE observed > 0")
+_POINTS = "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey * 10 END"
+
+
+@query("profile", f"SELECT 'district' AS kind, district AS name, observed, rank FROM (SELECT *, row_number() OVER (ORDER BY observed DESC, district) AS rank FROM profile WHERE observed > 0) UNION ALL SELECT 'point', s_name, observed, row_number() OVER (ORDER BY observed DESC, s_name) FROM (SELECT s_name, {_POINTS} AS observed FROM supplier) WHERE observed > 0")
 def j7_border_flow(t: Source) -> DataFrame:
-    return t.profile.where("observed > 0").select("district", "observed").orderBy(F.desc("observed"))
+    """Observed movement of districts and of monitoring points, largest first."""
+    points = t.supplier.select("s_name", F.expr(_POINTS).alias("observed"))
+    return mobility.observed(t.profile, "district", "district").unionByName(mobility.observed(points, "s_name", "point"))
 
 
 @query("zones flows cases profile", _IMPORT + ", o AS (SELECT sum(observed) AS total FROM profile) SELECT district_id, round(score * (observed / total), 3) AS imported FROM profile, o, pressure")
@@ -367,9 +391,15 @@ def j9_population(t: Source) -> DataFrame:
     return t.zones.join(t.population, "zone_id", "left").select("zone_id", "zone_name", F.coalesce("population", F.lit(0)).alias("population"))
 
 
-@query("zones population", "SELECT z.zone_id, CASE WHEN area_km2 > 0 THEN round(population / area_km2, 6) END AS density FROM zones z LEFT JOIN population p USING (zone_id)")
+_SQUARE = f"{EARTH_KM} * {EARTH_KM} * radians(1) * (sin(radians(lat + 1)) - sin(radians(lat)))"
+
+
+@query("zones population", f"SELECT z.zone_id, round(coalesce(CASE WHEN area_km2 > 0 THEN area_km2 END, {_SQUARE}), 3) AS area_km2, round(population / coalesce(CASE WHEN area_km2 > 0 THEN area_km2 END, {_SQUARE}), 6) AS density FROM zones z LEFT JOIN population p USING (zone_id)")
 def j10_density(t: Source) -> DataFrame:
-    return t.zones.join(t.population, "zone_id", "left").select("zone_id", F.when(F.col("area_km2") > 0, F.round(F.col("population") / F.col("area_km2"), 6)).alias("density"))
+    """People by the stated area, else by that of the zone's polygon, a square here."""
+    rows = t.zones.join(t.population, "zone_id", "left").withColumn("m", polygon_measures(square("lon", "lat")))
+    area = area_or_measured(F.col("area_km2"), F.col("m.area_km2"))
+    return rows.select("zone_id", F.round(area, 3).alias("area_km2"), F.round(F.col("population") / area, 6).alias("density"))
 
 
 @query("zones population", "SELECT province, round(sum(population) / sum(CASE WHEN population IS NOT NULL THEN area_km2 END), 6) AS density FROM zones LEFT JOIN population USING (zone_id) GROUP BY 1")
@@ -378,14 +408,29 @@ def d16_ratio_of_sums(t: Source) -> DataFrame:
     return rows.groupBy("province").agg(F.round(F.try_divide(F.sum("population"), F.sum(F.when(F.col("population").isNotNull(), F.col("area_km2")))), 6).alias("density"))
 
 
-@query("zones flows", f"m AS (SELECT * FROM flows WHERE month = '{MONTH}' AND origin_id IN ('1', '4', '9', '12')), k AS (SELECT origin_id, 'kinshasa' AS corridor, CAST(sum(movement) AS BIGINT) AS movement FROM m JOIN zones ON destination_id = zone_id WHERE category = 'kinshasa' GROUP BY 1), b AS (SELECT origin_id, 'uganda_border' AS corridor, CAST(sum(movement) AS BIGINT) AS movement FROM m JOIN zones ON destination_id = zone_id WHERE category = 'uganda_border' GROUP BY 1) SELECT * FROM k UNION ALL SELECT * FROM b UNION ALL SELECT origin_id, destination_id, movement FROM (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY movement DESC, destination_id) AS rn FROM m) WHERE rn <= 3")
+_MOVEMENT = f"""
+m AS (SELECT * FROM flows WHERE month = '{MONTH}' AND origin_id IN ('1', '4', '9', '12')),
+k AS (SELECT origin_id, category AS corridor, CAST(sum(movement) AS BIGINT) AS movement, sum(lat * movement) / sum(movement) AS lat, sum(lon * movement) / sum(movement) AS lon FROM m JOIN zones ON destination_id = zone_id WHERE category IN ('kinshasa', 'uganda_border') GROUP BY 1, 2)
+SELECT origin_id, corridor, movement, round(lat, 4) AS lat, round(lon, 4) AS lon FROM k
+UNION ALL SELECT 'hub', 'kinshasa', CAST(sum(movement) AS BIGINT), -4.325, 15.322 FROM k WHERE corridor = 'kinshasa' HAVING sum(movement) > 0
+UNION ALL SELECT 'hub', 'uganda_border', CAST(sum(movement) AS BIGINT), round(sum(lat * movement) / sum(movement), 4), round(sum(lon * movement) / sum(movement), 4) FROM k WHERE corridor = 'uganda_border' HAVING sum(movement) > 0
+UNION ALL SELECT origin_id, destination_id, movement, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY origin_id ORDER BY movement DESC, destination_id) AS rn FROM m) LEFT JOIN zones ON destination_id = zone_id WHERE rn <= 3"""
+#: Where all movement to the capital is drawn. Fixed values.
+CAPITAL_HUB = (-4.325, 15.322)
+
+
+@query("zones flows", _MOVEMENT)
 def j14_movement(t: Source) -> DataFrame:
+    """Corridors of each origin with their ends, both hubs, and the largest flows."""
     listed = t.zones.where(norm_name(F.col("zone_name")).isin([m.lower() for m in MAJOR]))
-    rows = mobility.selected(t.flows, listed, MONTH)
-    out = mobility.top_per_origin(rows, 3).select("origin_id", F.col("destination_id").alias("corridor"), "movement")
-    for category in ("kinshasa", "uganda_border"):
-        out = out.unionByName(mobility.corridors(rows, t.zones, listed, category).select("origin_id", F.lit(category).alias("corridor"), "movement"))
-    return out
+    rows = mobility.selected(_month(t), listed)
+    ends = t.zones.select(F.col("zone_id").alias("corridor"), "lat", "lon")
+    out = mobility.top_per_origin(rows, 3).select("origin_id", F.col("destination_id").alias("corridor"), "movement").join(ends, "corridor", "left")
+    for category, hub in (("kinshasa", CAPITAL_HUB), ("uganda_border", (None, None))):
+        found = mobility.corridors(rows, t.zones, listed, category)
+        out = out.unionByName(found.select("origin_id", F.lit(category).alias("corridor"), "movement", F.round("target_lat", 4).alias("lat"), F.round("target_lon", 4).alias("lon")))
+        out = out.unionByName(mobility.hubs(found, *hub).select(F.lit("hub").alias("origin_id"), F.lit(category).alias("corridor"), "movement", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon")))
+    return out.select("origin_id", "corridor", "movement", "lat", "lon")
 
 
 @query("zones flows cases", AFFECTED + f", e AS (SELECT origin_id, destination_id, movement FROM flows WHERE month = (SELECT min(month) FROM flows WHERE month > '{MONTH}')) SELECT destination_id, CAST(round(sum(confirmed_cases * movement), 3) AS DOUBLE) AS score FROM e JOIN affected ON origin_id = zone_id GROUP BY 1")
@@ -394,56 +439,17 @@ def j15_forecast_weighted(t: Source) -> DataFrame:
     return rows.select("destination_id", F.round("score", 3).cast("double").alias("score"))
 
 
-@query(
-    "zones flows cases population",
-    SCORED
-    + """ SELECT 'weighted' AS layer, 'total' AS kpi, CAST(sum(score) AS DOUBLE) AS value FROM scored UNION ALL SELECT 'weighted', 'max', CAST(max(score) AS DOUBLE) FROM scored
-    UNION ALL SELECT 'weighted', 'zones', CAST(count(*) FILTER (WHERE score > 0) AS DOUBLE) FROM scored UNION ALL SELECT 'weighted', 'median', coalesce(round(quantile_cont(score, 0.5), 4), 0) FROM scored WHERE score > 0
-    UNION ALL SELECT 'population', 'total', CAST(sum(population) AS DOUBLE) FROM population UNION ALL SELECT 'population', 'max', CAST(max(population) AS DOUBLE) FROM population
-    UNION ALL SELECT 'population', 'zones', CAST(count(*) FILTER (WHERE population > 0) AS DOUBLE) FROM population UNION ALL SELECT 'population', 'median', coalesce(round(quantile_cont(population, 0.5), 4), 0) FROM population WHERE population > 0""",
-)
-def k2_layer_kpis(t: Source) -> DataFrame:
-    out = None
-    for layer, rows, value in (("weighted", _scored(t), "score"), ("population", t.population, "population")):
-        v = F.col(value)
-        one = rows.agg(F.sum(v).cast("double").alias("total"), F.max(v).cast("double").alias("max"), F.count_if(v > 0).cast("double").alias("zones"), F.round(F.coalesce(F.percentile(F.when(v > 0, v), 0.5), F.lit(0.0)), 4).alias("median"))
-        part = one.unpivot([], ["total", "max", "zones", "median"], "kpi", "value").select(F.lit(layer).alias("layer"), "kpi", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+_CAPITAL = """ SELECT '{0}' AS capital, cases, round(share, 6) AS share, destinations, CASE WHEN cases > 0 THEN 'high' WHEN share >= 0.15 THEN 'moderate_high' WHEN share >= 0.05 THEN 'moderate' WHEN share < 0.01 THEN 'very_low' ELSE 'low' END AS level
+FROM (SELECT coalesce(sum(a) FILTER (WHERE own) / nullif(sum(a), 0), 0) AS share, count(*) FILTER (WHERE own) AS destinations FROM (SELECT score * air_factor AS a, coalesce(is_kinshasa = 1, false) OR coalesce(contains(lower(category), '{0}'), false) OR coalesce(contains(lower(zone_name), '{0}'), false) AS own FROM air WHERE score * air_factor > 0)) s,
+(SELECT CAST(coalesce(sum(confirmed_cases), 0) AS BIGINT) AS cases FROM cases WHERE date = DATE '""" + DAY + """' AND (contains(lower(province), '{0}') OR contains(lower(health_zone), '{0}'))) c"""
 
 
-@query(
-    "zones flows cases population",
-    SCORED
-    + """ SELECT 'weighted' AS layer, rank, zone_id, CAST(score AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (ORDER BY score DESC, zone_id) AS rank FROM scored) WHERE rank <= 12
-    UNION ALL SELECT 'population', rank, zone_id, CAST(population AS DOUBLE) FROM (SELECT *, row_number() OVER (ORDER BY population DESC, zone_id) AS rank FROM population) WHERE rank <= 12""",
-)
-def k3_layer_ranking(t: Source) -> DataFrame:
+@query("zones flows cases air_rules", _AIR + " UNION ALL ".join(_CAPITAL.format(c) for c in ("kinshasa", "africa")))
+def k14_capital_assessment(t: Source) -> DataFrame:
+    """For a capital without local cases and for one whose province has some."""
+    rows, today = mobility.air_adjusted(_scored(t), t.air_rules), t.cases.where(F.col("date") == F.lit(DAY).cast("date"))
     out = None
-    for layer, rows, value in (("weighted", _scored(t), "score"), ("population", t.population, "population")):
-        part = mobility.top(rows, value, 12).select(F.lit(layer).alias("layer"), F.col("rank").cast("long").alias("rank"), "zone_id", F.col(value).cast("double").alias("value"))
+    for capital in ("kinshasa", "africa"):
+        part = capital_assessment(rows, today, capital).select(F.lit(capital).alias("capital"), "cases", F.round("share", 6).alias("share"), "destinations", "level")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-@query(
-    "zones flows cases",
-    AFFECTED
-    + """, s AS (SELECT month, destination_id, CAST(sum(confirmed_cases * movement) AS BIGINT) AS score FROM flows JOIN affected ON origin_id = zone_id WHERE movement > 0 GROUP BY 1, 2)
-    SELECT month, CAST(sum(score) AS BIGINT) AS total, max(score) AS top, CAST(sum(CASE WHEN category = 'kinshasa' THEN score ELSE 0 END) AS BIGINT) AS kinshasa, CAST(sum(CASE WHEN category = 'uganda_border' THEN score ELSE 0 END) AS BIGINT) AS border
-    FROM s LEFT JOIN zones ON destination_id = zone_id GROUP BY 1""",
-)
-def k4_layer_trend(t: Source) -> DataFrame:
-    z = t.zones.select(F.col("zone_id").alias("destination_id"), "category")
-    rows = mobility.weighted(t.flows, _affected(t), ("month",)).join(z, "destination_id", "left")
-    part = lambda c: F.sum(F.when(F.col("category") == c, F.col("score")).otherwise(0))
-    return rows.groupBy("month").agg(F.sum("score").alias("total"), F.max("score").alias("top"), part("kinshasa").alias("kinshasa"), part("uganda_border").alias("border")).orderBy("month")
-
-
-@query("zones flows cases air_rules", _AIR + ", s AS (SELECT coalesce(sum(CASE WHEN is_kinshasa = 1 THEN score * air_factor END), 0) / greatest(sum(score * air_factor), 1) AS share FROM air), c AS (SELECT coalesce(sum(confirmed_cases), 0) AS local_cases FROM affected JOIN zones USING (zone_id) WHERE is_kinshasa = 1 AND false) SELECT round(share, 6) AS share, CASE WHEN local_cases > 0 THEN 'high' WHEN share >= 0.15 THEN 'moderate_high' WHEN share >= 0.05 THEN 'moderate' WHEN share < 0.01 THEN 'very_low' ELSE 'low' END AS level FROM s, c")
-def k14_capital_assessment(t: Source) -> DataFrame:
-    from zonepulse.operators.assess import capital_level
-
-    rows = mobility.air_adjusted(_scored(t), t.air_rules)
-    share = F.coalesce(F.sum(F.when(F.col("is_kinshasa") == 1, F.col("air_score"))), F.lit(0.0)) / F.greatest(F.sum("air_score"), F.lit(1.0))
-    return rows.agg(share.alias("share")).select(F.round("share", 6).alias("share"), capital_level(F.lit(0), F.col("share")).alias("level"))

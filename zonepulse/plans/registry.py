@@ -21,6 +21,9 @@ class Source:
     def __getattr__(self, name: str) -> DataFrame:
         return tables.load(self.spark, self.sf_dir, name)
 
+    def flows_of(self, month: str) -> DataFrame:
+        return tables.load(self.spark, self.sf_dir, "flows", month)
+
 
 def query(over: str | None = None, sql: str | None = None):
     """Register a function of a Source; ``sql`` is over the concept tables in ``over``."""

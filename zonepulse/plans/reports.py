@@ -14,15 +14,30 @@ NOW, BEFORE = "2000-06-30", "2000-05-31"
 HOST = "https://example.org"
 
 
-@query("zones", r"""SELECT page_id AS doc_id, min(pos) AS pos, url FROM (SELECT page_id, CAST(unnest(range(len(u))) AS INT) AS pos, 'https://example.org/' || regexp_replace(unnest(u), '^/+', '') AS url FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)(?:href|src|data-[a-z-]+)\s*=\s*["'']([^"''#\s]+)["'']', 1), lambda x: x) AS u FROM pages)) GROUP BY 1, 3""")
+# pages with links to documents: relative, absolute, encoded in a data attribute, and named in a script
+_PAGE = r"""replace(replace(html, '">', '.pdf">'), 'href="/', 'href="/download/') || '<a href="https://x.org/download/' || page_id || '">' || '<div data-file="%2Fdownload%2Fa%20b+' || page_id || '"></div><script>f({file: "s/' || page_id % 7 || '.pdf", pdf: "mailto:x.pdf"})</script>'"""
+_DOCUMENTS = f"""
+p AS (SELECT page_id, {_PAGE} AS t FROM pages),
+u AS (SELECT page_id, regexp_extract_all(t, '(?i)(https?://[^"''<>\\s)]+(?:\\.pdf|/download/)[^"''<>\\s)]*)', 1) AS absolute, regexp_extract_all(t, '(?i)((?:/?wp-content/|/?download/)[^"''<>\\s)]+\\.pdf[^"''<>\\s)]*)', 1) AS relative,
+  list_transform(regexp_extract_all(t, '(?i)(?:file|src|pdf|source|url|href)\\s*[:=]\\s*["'']([^"'']+)["'']', 1), lambda x: url_decode(x)) AS named, list_transform(regexp_extract_all(t, '(?i)data-[a-z0-9_-]*\\s*=\\s*["'']([^"'']+)["'']', 1), lambda x: url_decode(x)) AS in_data FROM p),
+l AS (SELECT page_id, absolute || list_transform(relative || list_filter(named || in_data, lambda x: contains(lower(x), '.pdf') OR contains(lower(x), '/download/')),
+  lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN x WHEN x LIKE '//%' THEN 'https:' || x WHEN x LIKE '/%' THEN 'https://example.org' || x ELSE 'https://example.org/r/' || x END) AS urls FROM u),
+e AS (SELECT page_id, trim(regexp_replace(unnest(urls), '[ \\t\\x{{a0}}\\x{{202f}}]+', ' ', 'g'), '"'' ') AS url, unnest(range(len(urls))) AS pos FROM l)
+SELECT page_id AS doc_id, CAST(min(pos) AS INT) AS pos, url FROM e WHERE url <> '' AND NOT regexp_matches(lower(url), '^(javascript|mailto|tel):') GROUP BY 1, 3"""
+
+
+@query("zones", _DOCUMENTS)
 def a9_urls(t: Source) -> DataFrame:
-    return extract.urls(t.pages, "page_id", "html", HOST).select("doc_id", "pos", "url")
+    return extract.urls(t.pages.select("page_id", F.expr(_PAGE).alias("t")), "page_id", "t", f"{HOST}/r/page.html").select("doc_id", "pos", "url")
 
 
-@query("zones", "l AS (SELECT url || '/sitrep-N' || CAST(page_id % 97 AS VARCHAR) AS url, page_id % 97 AS n FROM pages) SELECT url, CAST(n AS INT) AS number FROM l ORDER BY n DESC, url DESC LIMIT 1")
+@query("zones", "l AS (SELECT page_id AS pos, page_id % 97 AS n, 1 + page_id % 28 AS d, url || '/' || CASE page_id % 3 WHEN 0 THEN 'sitrep-n' || page_id % 97 WHEN 1 THEN 'a-' || page_id ELSE 'news-' || page_id END AS url, page_id % 3 AS k FROM pages) SELECT url, CAST(n AS INT) AS number, CASE WHEN k = 1 THEN make_date(2026, 6, CAST(d AS INT)) END AS date FROM l WHERE k < 2 ORDER BY n DESC, CASE WHEN k = 1 THEN d ELSE 0 END DESC, pos LIMIT 1")
 def a8_latest_article(t: Source) -> DataFrame:
-    links = t.pages.select(F.concat("url", F.lit("/sitrep-N"), (F.col("page_id") % 97).cast("string")).alias("url"))
-    return extract.latest_article(links, r"/sitrep-N([0-9]{1,4})$")
+    k, n = F.col("page_id") % 3, (F.col("page_id") % 97).cast("string")
+    day = (F.col("page_id") % 28 + 1).cast("string")
+    said = F.when(k == 1, F.concat(F.lit("SitRep MVE N° 0"), n, F.lit(" du "), day, F.lit(" juin 2026"))).otherwise(F.concat(F.lit("News N"), n))
+    url = F.concat("url", F.lit("/"), F.when(k == 0, F.concat(F.lit("sitrep-n"), n)).otherwise(F.concat(F.when(k == 1, "a-").otherwise("news-"), F.col("page_id").cast("string"))))
+    return extract.latest_article(t.pages.select(F.col("page_id").alias("pos"), said.alias("text"), url.alias("url"))).select("url", "number", "date")
 
 
 @query(None, "SELECT f AS folder, t AS template, e AS encoding, f || '/' || replace(replace(t, '{n}', '28'), ' ', s) AS url FROM (VALUES ('a'), ('b'), ('c')) AS x(f), (VALUES ('SitRep N{n}.pdf'), ('sitrep_{n}.pdf'), ('Sit Rep {n} final.pdf')) AS y(t), (VALUES ('plain', '-'), ('url', '%20')) AS z(e, s)")
@@ -36,8 +51,7 @@ _SNAP = "concat(CAST(user_id AS STRING), ' confirmed cases and ', CAST(event_id
 @query("zones", f"s AS (SELECT event_id, {_SNAP.replace('AS STRING', 'AS VARCHAR')} AS t FROM events) SELECT event_id, make_date(2024, 1, CAST(regexp_extract(t, 'of (\\d+) Jan', 1) AS INT)) AS as_of, CAST(regexp_extract(t, '(\\d+) confirmed', 1) AS BIGINT) AS cases, CAST(regexp_extract(t, '(\\d+) deaths', 1) AS BIGINT) AS deaths FROM s")
 def a14_snapshot(t: Source) -> DataFrame:
     rows = t.events.select("event_id", F.expr(_SNAP).alias("t"))
-    found = rows.select("event_id", text.english_date(F.col("t")).alias("as_of"), text.number_before(F.col("t"), "confirmed cases").alias("cases"), text.number_before(F.col("t"), "deaths").alias("deaths"))
-    return found.where("as_of is not null and cases is not null and deaths is not null")
+    return extract.snapshot(rows, "event_id", "t").select("event_id", "as_of", "cases", "deaths")
 
 
 @query("cases", f"o AS (SELECT date, health_zone, confirmed_cases, NULL AS notes FROM cases WHERE date <= DATE '{NOW}'), n AS (SELECT date, health_zone, confirmed_cases + 1 AS confirmed_cases, 'new' AS notes FROM cases WHERE date BETWEEN DATE '{NOW}' AND DATE '2000-08-31') SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.date = o.date AND n.health_zone = o.health_zone) UNION ALL SELECT * FROM n")
@@ -57,8 +71,8 @@ def a16_latest_wins(t: Source) -> DataFrame:
 
 @query("flows", "SELECT month, origin_id, destination_id, CAST(round_even(CASE WHEN movement % 7 = 0 THEN 0 ELSE movement / 2.0 END, 0) AS BIGINT) AS movement FROM flows")
 def a18_normalise_flows(t: Source) -> DataFrame:
-    raw = t.flows.select("month", F.col("origin_id").alias("origin"), F.col("destination_id").alias("target"), F.when(F.col("movement") % 7 == 0, "n/a").otherwise((F.col("movement") / 2).cast("string")).alias("count"))
-    return publish.normalise_flows(raw)
+    raw = t.flows.select("month", F.col("origin_id").alias("origin_hz_id"), F.col("destination_id").alias("destination_hz_id"), F.when(F.col("movement") % 7 == 0, "n/a").otherwise((F.col("movement") / 2).cast("string")).alias("estimated_movement"))
+    return publish.normalise_flows(raw.withColumnRenamed("month", "date_month"))
 
 
 @query("flows", "SELECT origin_id, replace(c, '_', '-') AS month, CAST(CASE WHEN v = 7.5 THEN 8 ELSE v END AS DOUBLE) AS movement FROM (SELECT origin_id, substr(month, 1, 4) || '_' || substr(month, 6, 2) AS c, CASE WHEN CAST(sum(movement) AS BIGINT) % 5 = 0 THEN 7.5 ELSE CAST(sum(movement) AS DOUBLE) END AS v FROM flows WHERE month IN ('2000-01', '2000-02', '2000-03') GROUP BY 1, 2)")
@@ -83,10 +97,12 @@ def b6_plausible(t: Source) -> DataFrame:
 
 
 
-@query("zones", "SELECT p_partkey, p_partkey % 7 IN (0, 2, 3, 4, 5, 6) AS unknown FROM part")
+@query("zones", "SELECT p_partkey, p_partkey % 8 IN (0, 3, 4, 5, 7) AS unknown FROM part")
 def b7_unknown_places(t: Source) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in enumerate(["Sans fiche", "Bunia", "", "ZS non identifiée", "Autres  ZS", "unknown zone"]) for x in kv])
-    return t.part.select("p_partkey", text.unknown_place(F.try_element_at(names, (F.col("p_partkey") % 7).cast("int"))).alias("unknown"))
+    """Names and ids together: a blank name with an id is a place, a known name with an unknown id is none."""
+    names = F.element_at(F.array(*map(F.lit, ["Sans fiche", "Bunia", "", "ZS non identifiée", "Autres  ZS", "unknown zone", "Aru", ""])), (F.col("p_partkey") % 8 + 1).cast("int"))
+    ids = F.element_at(F.array(*map(F.lit, ["z0", "z1", "z2", "z3", "z4", "z5", None, None])), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return t.part.select("p_partkey", text.unknown_place(names, ids).alias("unknown"))
 
 
 @query("zones", "SELECT event_id, coalesce(nullif(trim(CAST(props->>'x' AS VARCHAR)), ''), nullif(trim(CAST(props->>'k' AS VARCHAR)), '')) AS found FROM events")
@@ -97,11 +113,13 @@ def b8_property_coalesce(t: Source) -> DataFrame:
     return rows.select("event_id", property_of(["x", "k"]).alias("found"))
 
 
-@query()
+@query("zones", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN 0 ELSE 1 END AS zone, CASE n_nationkey % 3 WHEN 2 THEN 0 ELSE 2 END AS cases, CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS deaths FROM nation")
 def b13_header_columns(t: Source) -> DataFrame:
-    """Column positions in stacked headers; checked against fixed grids in the tests."""
-    grid = t.spark.sql("SELECT array(array('Province / Zone de santé', 'Cas', 'Nouveaux cas', 'Décès'), array('', 'confirmés', 'confirmés', 'confirmés')) AS g")
-    return grid.select(extract.header_columns(extract.stacked_header(F.col("g"), 2)).alias("c")).select("c.*")
+    """Column positions in stacked headers of three kinds."""
+    two = "array(array('Province / Zone de santé', 'Cas', 'Nouveaux cas', 'Décès', 'Nouveaux décès'), array('', 'confirmés', 'confirmés', 'confirmés', 'confirmés'))"
+    one = "array(array('ZONE DE SANTE', 'Nbre confirmés', 'Deces parmi les confirmes'), array('Bunia', '3', '1'))"
+    grid = t.nation.select("n_nationkey", F.expr(f"CASE n_nationkey % 3 WHEN 0 THEN {two} WHEN 1 THEN {one} ELSE array(array('Zone', 'confirmés'), array('a', 'b')) END").alias("g"))
+    return grid.select("n_nationkey", extract.header_columns(extract.stacked_header(F.col("g"), 2)).alias("c")).select("n_nationkey", "c.*")
 
 
 @query("cases", f"a AS (SELECT health_zone, date FROM cases WHERE date = DATE '{NOW}'), b AS (SELECT health_zone FROM cases WHERE date = DATE '1995-02-28' AND confirmed_cases > 0) SELECT health_zone FROM a WHERE health_zone NOT IN (SELECT health_zone FROM b)")
@@ -111,7 +129,16 @@ def c8_anti_join(t: Source) -> DataFrame:
     return a.join(b, F.col("health_zone").eqNullSafe(F.col("h")), "left_anti")
 
 
-@query("zones", "a AS (SELECT 'a' || s_suppkey AS id, s_nationkey AS b, s_name AS n FROM supplier), m AS (SELECT z.zone_id AS id, r.zone_id AS mid, 1 - CAST(levenshtein(lower(z.zone_name), lower(r.zone_name || CASE WHEN CAST(r.zone_id AS INT) % 3 = 0 THEN 'x' ELSE '' END)) AS DOUBLE) / greatest(length(z.zone_name), length(r.zone_name || CASE WHEN CAST(r.zone_id AS INT) % 3 = 0 THEN 'x' ELSE '' END)) AS score FROM zones z JOIN zones r USING (province)), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, mid) AS rn FROM m WHERE score >= 5.0 / 6) SELECT z.zone_id AS id, mid AS match_id, round(score, 4) AS score, CASE WHEN score = 1 THEN 'exact' WHEN score IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS method FROM zones z LEFT JOIN best ON z.zone_id = best.id AND rn = 1")
+# names are nation_ and digits, the right ones with an x in places: 7 letters and what the ends share in order
+_FUZZY = """
+r AS (SELECT zone_id AS mid, province, lower(zone_name) || CASE WHEN CAST(zone_id AS INT) % 3 = 0 THEN 'x' ELSE '' END AS rn FROM zones),
+p AS (SELECT z.zone_id AS id, mid, lower(z.zone_name) AS ln, rn, substr(z.zone_name, 8) AS a, substr(rn, 8) AS b FROM zones z JOIN r ON z.province = r.province),
+m AS (SELECT id, mid, ln = rn AS same, 2.0 * (7 + CASE WHEN length(a) = 2 AND regexp_matches(b, a[1] || '.*' || a[2]) THEN 2 WHEN contains(b, a[1]) OR length(a) = 2 AND contains(b, a[2]) THEN 1 ELSE 0 END) / (length(ln) + length(rn)) AS score FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, mid) AS rn FROM m WHERE score >= 5.0 / 6)
+SELECT zone_id AS id, mid AS match_id, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score IS NULL THEN 'unmatched' WHEN same THEN 'exact' ELSE 'fuzzy' END AS method FROM zones LEFT JOIN (SELECT * FROM k WHERE rn = 1) ON zone_id = id"""
+
+
+@query("zones", _FUZZY)
 def c19_fuzzy_match(t: Source) -> DataFrame:
     left = t.zones.select(F.col("zone_id").alias("id"), "province", "zone_name")
     right = left.withColumn("zone_name", F.concat("zone_name", F.when(F.col("id").cast("int") % 3 == 0, "x").otherwise("")))
@@ -127,9 +154,10 @@ def c20_canonical_names(t: Source) -> DataFrame:
     return keys.canonical_names(t.part.select("p_partkey", raw.alias("raw")), known, aliases, ["total", "provinces"])
 
 
-@query("cases", "SELECT health_zone, max(confirmed_cases) AS confirmed_cases FROM cases GROUP BY 1")
+@query("zones", "x AS (SELECT user_id % 40 AS zone, user_id AS cases, event_id AS pos, event_type AS note FROM events) SELECT zone, cases, pos, note FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY cases DESC, pos) AS rn FROM x) WHERE rn = 1")
 def d18_max_dedupe(t: Source) -> DataFrame:
-    return extract.max_per_zone(t.cases.select("health_zone", "confirmed_cases", "date"), ["health_zone"], "confirmed_cases").select("health_zone", "confirmed_cases")
+    rows = t.events.select((F.col("user_id") % 40).alias("zone"), F.col("user_id").alias("cases"), F.col("event_id").alias("pos"), F.col("event_type").alias("note"))
+    return extract.max_per_zone(rows, ["zone"], "cases", "pos")
 
 
 _CHANGES = f"n AS (SELECT health_zone AS zone, confirmed_cases AS c FROM cases WHERE date = DATE '{NOW}'), p AS (SELECT health_zone AS zone, confirmed_cases AS c FROM cases WHERE date = DATE '{BEFORE}' AND health_zone <> 'NATION_2'), d AS (SELECT coalesce(n.zone, p.zone) AS zone, coalesce(p.c, 0) AS previous, coalesce(n.c, 0) AS latest, coalesce(n.c, 0) - coalesce(p.c, 0) AS change, coalesce(n.c, 0) > 0 AND coalesce(p.c, 0) <= 0 AS is_new FROM n FULL OUTER JOIN p USING (zone))"
@@ -150,9 +178,41 @@ def f2_top_increases(t: Source) -> DataFrame:
     return _changes(t).where("change > 0").orderBy(F.desc("change"), "zone").limit(8).select("zone", "change", "latest")
 
 
-@query("cases", _CHANGES + """ SELECT CAST(count(*) FILTER (WHERE previous > 0) AS BIGINT) AS previous_count, CAST(count(*) FILTER (WHERE latest > 0) AS BIGINT) AS latest_count, '[' || coalesce(string_agg('"' || zone || '"', ',' ORDER BY zone) FILTER (WHERE is_new), '') || ']' AS new_zones, (SELECT '[' || coalesce(string_agg('{"zone":"' || zone || '","change":' || change || ',"latest":' || latest || '}', ',' ORDER BY change DESC, zone), '') || ']' FROM (SELECT * FROM d WHERE change > 0 ORDER BY change DESC, zone LIMIT 8)) AS largest_increases FROM d""")
+# the last report, with and without the one before; responses and the neighbour are made from its numbers
+_DELTA = _CHANGES + """,
+l AS (SELECT *, row_number() OVER (ORDER BY number DESC) AS rn FROM reports), newest AS (SELECT * FROM l WHERE rn = 1), earlier AS (SELECT * FROM l WHERE rn = 2),
+z AS (SELECT count(*) FILTER (WHERE previous > 0) AS previous_count, count(*) FILTER (WHERE latest > 0) AS latest_count, coalesce(string_agg('"' || zone || '"', ',' ORDER BY zone) FILTER (WHERE is_new), '') AS fresh, coalesce(string_agg(zone, '、' ORDER BY zone) FILTER (WHERE is_new), '') AS names FROM d),
+i AS (SELECT coalesce(string_agg('{"zone":"' || zone || '","change":' || change || ',"latest":' || latest || '}', ',' ORDER BY change DESC, zone), '') AS up, coalesce(string_agg(zone || '+' || change, '、' ORDER BY change DESC, zone) FILTER (WHERE rn <= 4), '') AS four FROM (SELECT *, row_number() OVER (ORDER BY change DESC, zone) AS rn FROM d WHERE change > 0) WHERE rn <= 8)"""
+
+
+def _delta(t: Source, first: bool) -> DataFrame:
+    last = t.reports.orderBy(F.desc("number")).limit(2).select("number", "report_no", "date", F.col("cumulative").alias("cases"), "deaths")
+    newest = last.agg(F.max("number").alias("top"))
+    marked = last.crossJoin(F.broadcast(newest))
+    now, before = marked.where("number = top").drop("number", "top"), marked.where("number < top").drop("number", "top")
+    response = t.spark.sql("SELECT 0.93D AS contact_followup_rate, 0.9D AS alert_investigation_rate, 4L AS positive_samples, 34118L AS travellers_total, 0.972D AS poe_screening_coverage")
+    earlier = t.spark.sql("SELECT 0.9D AS contact_followup_rate")
+    neighbour = t.spark.sql("SELECT 19L AS cases, 2L AS deaths, 12L AS imported, 7L AS local, 0L AS new_last_day, 5L AS quiet_days, DATE '2024-01-20' AS last_increase")
+    if first:
+        before, response, earlier, neighbour = before.limit(0), response.limit(0), earlier.limit(0), neighbour.limit(0)
+    return publish.delta(now, before, _changes(t), response, earlier, neighbour)
+
+
+@query(
+    "cases reports",
+    _DELTA
+    + """ SELECT 'second' AS kind, earlier.report_no AS from_report, newest.report_no AS to_report, '{"previous":' || earlier.cumulative || ',"latest":' || newest.cumulative || ',"change":' || newest.cumulative - earlier.cumulative || '}' AS cases, '{"previous":' || earlier.deaths || ',"latest":' || newest.deaths || ',"change":' || newest.deaths - earlier.deaths || '}' AS deaths,
+  '{"previous_count":' || previous_count || ',"latest_count":' || latest_count || ',"new_zones":[' || fresh || '],"largest_increases":[' || up || ']}' AS health_zones,
+  '{"contact_followup_rate_previous":0.9,"contact_followup_rate_latest":0.93,"alert_investigation_rate_latest":0.9,"positive_samples_latest":4,"travellers_total_latest":34118,"poe_screening_coverage_latest":0.972}' AS response,
+  '{"cases":19,"deaths":2,"imported":12,"local":7,"new_last_day":0,"quiet_days":5,"last_increase":"2024-01-20"}' AS neighbour FROM newest, earlier, z, i
+UNION ALL SELECT 'first', NULL, newest.report_no, '{"latest":' || newest.cumulative || '}', '{"latest":' || newest.deaths || '}', '{"latest_count":' || latest_count || ',"new_zones":[' || fresh || '],"largest_increases":[' || up || ']}', '{}', NULL FROM newest, z, i""",
+)
 def k11_delta_payload(t: Source) -> DataFrame:
-    return publish.delta(_changes(t))
+    out = None
+    for kind, first in (("second", False), ("first", True)):
+        part = _delta(t, first).select(F.lit(kind).alias("kind"), "from_report", "to_report", *[F.to_json(c).alias(c) for c in ("cases", "deaths", "health_zones", "response", "neighbour")])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("reports", "SELECT report_no, zones, unassigned, total, zones > 0 AND zones + unassigned = total AS accepted FROM (SELECT 'R' || (event_id % 50) AS report_no, CAST(sum(CASE WHEN event_type <> 'error' THEN user_id ELSE 0 END) AS BIGINT) AS zones, CAST(sum(CASE WHEN event_type = 'error' THEN user_id ELSE 0 END) AS BIGINT) AS unassigned, CAST(sum(user_id) + CASE WHEN (event_id % 50) % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS total FROM events GROUP BY event_id % 50)")
@@ -167,26 +227,14 @@ def h1_normalise_names(t: Source) -> DataFrame:
     return t.zones.select("zone_id", text.norm_name(F.concat(F.lit("  "), "zone_name", F.lit("   X "))).alias("key"))
 
 
-@query("zones", "SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '[ \\t\\x{a0}\\x{202f}]+', ' ', 'g'), ' ') AS clean FROM documents")
-def h2_normalise_text(t: Source) -> DataFrame:
-    return t.documents.select("doc_id", text.norm_spaces(F.substring("text", 1, 200)).alias("clean"))
-
-
 @query("zones", "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\x{a0}\\x{202f}]+', ' ', 'g'), ' ') AS clean FROM documents")
-def h2_normalise_text_whole(t: Source) -> DataFrame:
-    """h2_normalise_text over whole texts."""
+def h2_normalise_text(t: Source) -> DataFrame:
     return t.documents.select("doc_id", text.norm_spaces(F.col("text")).alias("clean"))
 
 
-@query("zones", "SELECT conv_id, turn, strip_accents(text) AS plain FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x{24F}]*$') AND NOT regexp_matches(text, '[^\\x00-\\x7FàâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ]')")
+@query("zones", f"SELECT conv_id, turn, translate(text, '{text._ACCENTED}', '{text._PLAIN}') AS plain FROM conversations")  # noqa: SLF001
 def h3_strip_accents(t: Source) -> DataFrame:
-    held = t.conversations.where(~F.col("text").rlike("[^\\x00-\\x7FàâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ]"))
-    return held.select("conv_id", "turn", text.strip_accents(F.col("text")).alias("plain"))
-
-
-@query()
-def h3_strip_accents_all(t: Source) -> DataFrame:
-    """h3_strip_accents over every row; characters outside the table pass through."""
+    """Every row; characters outside the table pass through."""
     return t.conversations.select("conv_id", "turn", text.strip_accents(F.col("text")).alias("plain"))
 
 
@@ -204,11 +252,6 @@ def h5_report_numbers(t: Source) -> DataFrame:
     return t.reports.select("number", text.report_number(raw).alias("found"))
 
 
-@query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) AS slashed, CAST(o_orderdate AS DATE) AS worded FROM orders WHERE year(o_orderdate) >= 2000")
-def h6_french_dates(t: Source) -> DataFrame:
-    return _french(t.orders.where(F.year("o_orderdate") >= 2000))
-
-
 def _french(orders: DataFrame) -> DataFrame:
     days = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
     months = F.array(*[F.lit(m) for m in ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]])
@@ -217,24 +260,19 @@ def _french(orders: DataFrame) -> DataFrame:
 
 
 @query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS slashed, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS worded FROM orders")
-def h6_french_dates_all(t: Source) -> DataFrame:
-    """h6_french_dates over every order date; null where the form, with years 20yy, does not match."""
+def h6_french_dates(t: Source) -> DataFrame:
+    """Every order date; null where the form, with years 20yy, does not match."""
     return _french(t.orders)
 
 
-@query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) AS long_form, CAST(o_orderdate AS DATE) AS chart FROM orders WHERE year(o_orderdate) >= 2000")
-def h7_english_dates(t: Source) -> DataFrame:
-    return _english(t.orders.where(F.year("o_orderdate") >= 2000))
-
-
 def _english(orders: DataFrame) -> DataFrame:
     days = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
     return days.select("date", text.english_date(F.concat(F.lit("as of "), F.date_format("date", "d MMMM yyyy"))).alias("long_form"), text.chart_date(F.date_format("date", "d-MMM-yy")).alias("chart"))
 
 
 @query("zones", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(o_orderdate AS DATE) END AS long_form, make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) AS chart FROM orders")
-def h7_english_dates_all(t: Source) -> DataFrame:
-    """h7_english_dates over every order date; null where a form does not match, chart years are 20yy."""
+def h7_english_dates(t: Source) -> DataFrame:
+    """Every order date; null where a form does not match, chart years are 20yy."""
     return _english(t.orders)
 
 
@@ -257,13 +295,40 @@ def h9_number_pairs(t: Source) -> DataFrame:
     return t.events.select("event_id", imported.alias("imported"), local.alias("local"), text.number_before(s, "total persons tested").alias("tested"))
 
 
-@query("zones", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 17 WHEN 1 THEN 23 ELSE c_custkey END AS cases, c_custkey % 30 AS deaths FROM customer")
+# report texts of ten forms, k their number of cases and d of deaths; a day of June stands where it must not be read
+_TOTALS = [
+    ("'Ituri 9 9 1,0% Total {k} {d} 12,5%  le cumul des cas confirmés s’élève à 7 cas'", "k", "d"),
+    ("'Ituri (' || {k} || ' cas), Nord-Kivu (2 cas) et Sud Kivu (3 cas). Cumul de décès est ' || {d}", "k + 5", "d"),
+    ("'Ainsi, le cumul des cas confirmés s’élève à ' || {k} || ' cas au 08 juin 2026'", "k", None),
+    ("'Ainsi le cumul  des cas confirmés du 08 juin 2026\\npasse à ' || {k} || ' cas dont ' || {d} || ' décès confirmés'", "k", "d"),
+    ("'CUMUL CAS CONFIRMES : ' || {k} || ' ; ' || {d} || ' (12,5%) Taux de suivi'", "k", "d"),
+    ("{k} || ' cumul cas confirmés. Cumul des décès parmi les confirmés du jour : ' || {d} || ' (3%)'", "k", "d"),
+    ("'On note ' || {k} || ' cas confirmés dont 3 guéris, cumul décès parmi les confirmés ' || {d} || ' (1%)'", "k", "d"),
+    ("'Cumul de cas confirmés 08 juin 2026 : ' || {k} || ' cas'", None, None),
+    ("'le cumul des cas confirmés est de 99999 cas ; cumul cas confirmés ' || {k}", "k", None),
+    ("CAST(NULL AS {string})", None, None),
+]
+
+
+def _totals_text(string: str) -> str:
+    k, d = f"CAST(1 + k % 9000 AS {string})", f"CAST(d AS {string})"
+    forms = []
+    for n, (form, _, _) in enumerate(_TOTALS):
+        said = form.replace("{k} {d}", "' || {k} || ' ' || {d} || '").format(k=k, d=d, string=string)
+        forms.append(f"WHEN {n} THEN {said}")
+    return "CASE k % 10 " + " ".join(forms) + " END"
+
+
+def _totals_sql() -> str:
+    value = lambda column: "CASE k % 10 " + " ".join(f"WHEN {n} THEN {(form[column] or 'NULL').replace('k', '(1 + k % 9000)')}" for n, form in enumerate(_TOTALS)) + " END"
+    return f"SELECT k AS c_custkey, CAST({value(1)} AS BIGINT) AS cases, CAST({value(2)} AS BIGINT) AS deaths FROM (SELECT c_custkey AS k, c_custkey % 30 AS d FROM customer)"
+
+
+@query("zones", _totals_sql())
 def h10_national_totals(t: Source) -> DataFrame:
-    k = F.col("c_custkey")
-    prose = F.when(k % 4 == 2, F.concat(F.lit("On note "), k.cast("string"), F.lit(" cas confirmés et "), (k % 30).cast("string"), F.lit(" décès."))).otherwise(F.concat(F.lit("Cas confirmés : "), k.cast("string"), F.lit(" ; décès : "), (k % 30).cast("string")))
-    table, provinces = F.when(k % 4 == 0, 17).cast("long"), F.when(k % 4 == 1, 23).cast("long")
-    deaths = numbers.fr_int(text.first_match(prose, extract.DEATH_PATTERNS))
-    return t.customer.select("c_custkey", extract.national_total(prose, table, provinces).alias("cases"), deaths.alias("deaths"))
+    rows = t.customer.select("c_custkey", F.col("c_custkey").alias("k"), (F.col("c_custkey") % 30).alias("d"))
+    said = F.expr(_totals_text("STRING"))
+    return rows.select("c_custkey", extract.national_cases(said).alias("cases"), extract.national_deaths(said).alias("deaths"))
 
 
 @query("reports", "SELECT k AS doc_id, CAST(pos AS INT) AS pos, 'd' || pos AS label, k * 10 + pos AS value FROM (SELECT n_nationkey AS k, unnest(range(3 + n_nationkey % 4)) AS pos FROM nation)")
@@ -286,25 +351,39 @@ def h13_rounding(t: Source) -> DataFrame:
     return t.part.select("p_partkey", F.round(F.log1p("p_retailprice"), 4).alias("logged"), F.round(F.sqrt("p_retailprice"), 4).alias("root"), numbers.half_up(F.col("p_size") / 2).alias("half_up"), numbers.half_even(F.col("p_size") / 2).alias("half_even"), numbers.clamp(F.col("p_size").cast("double"), 10.0, 30.0).alias("clamped"))
 
 
-@query("reports", "SELECT report_no, format('{:,}', cumulative) AS en, replace(format('{:,}', cumulative), ',', ' ') AS fr, strftime(date, '%d/%m/%Y') AS day, CAST(round(deaths * 100.0 / greatest(cumulative, 1), 1) AS DOUBLE) AS percent FROM reports")
+_GROUPED = "format('{:,}', CAST(n AS BIGINT))"
+_TENTHS = "CAST(floor(p * 10 + 0.5) AS BIGINT)"
+_SHARE = f"CAST({_TENTHS} // 10 AS VARCHAR) || '{{0}}' || CAST({_TENTHS} % 10 AS VARCHAR)"
+
+
+@query(
+    "reports",
+    "f AS (SELECT report_no, CASE number WHEN 1 THEN 1 ELSE cumulative * 37 END AS n, deaths * 100.0 / greatest(cumulative, 1) AS p, date FROM reports) SELECT report_no, "
+    + f"{_GROUPED} || CASE n WHEN 1 THEN ' case' ELSE ' cases' END AS en_cases, {_GROUPED} || CASE n WHEN 1 THEN ' death' ELSE ' deaths' END AS en_deaths, replace({_GROUPED}, ',', chr(8239)) || ' cas' AS fr_cases, replace({_GROUPED}, ',', chr(8239)) || ' décès' AS fr_deaths, {_GROUPED} || '例' AS ja_cases, "
+    + f"{_SHARE.format('.')} || '%' AS en_percent, {_SHARE.format(',')} || chr(8239) || '%' AS fr_percent, {_SHARE.format('.')} || '%' AS ja_percent, strftime(date, '%d/%m/%Y') AS day FROM f",
+)
 def h18_formats(t: Source) -> DataFrame:
-    en = F.format_number("cumulative", 0)
-    return t.reports.select("report_no", en.alias("en"), F.replace(en, F.lit(","), F.lit(" ")).alias("fr"), F.date_format("date", "dd/MM/yyyy").alias("day"), F.round(F.col("deaths") * 100 / F.greatest("cumulative", F.lit(1)), 1).alias("percent"))
+    n = F.when(F.col("number") == 1, F.lit(1)).otherwise(F.col("cumulative") * 37)
+    share = F.col("deaths") / F.greatest("cumulative", F.lit(1))
+    said = [text.counted(n, unit, lang).alias(f"{lang}_{unit}") for lang, unit in (("en", "cases"), ("en", "deaths"), ("fr", "cases"), ("fr", "deaths"), ("ja", "cases"))]
+    return t.reports.select("report_no", *said, *[text.percent(share, lang).alias(f"{lang}_percent") for lang in ("en", "fr", "ja")], F.date_format("date", "dd/MM/yyyy").alias("day"))
 
 
-@query("reports", "SELECT report_no, cumulative || '例（死亡' || deaths || '例）' AS rewritten FROM reports")
+@query("reports", "SELECT report_no, CASE number % 3 WHEN 0 THEN cumulative || '例（死亡' || deaths || '例）' WHEN 1 THEN 'a ' || cumulative || '例, ' || deaths || '例' ELSE 'soit ' || cumulative || '例 et ' || deaths || '例' END AS rewritten FROM reports")
 def h19_unit_rewriting(t: Source) -> DataFrame:
-    raw = F.concat(F.col("cumulative").cast("string"), F.lit(" cases (deaths "), F.col("deaths").cast("string"), F.lit(" cases)"))
-    out = raw
-    for old, new in ((r"([0-9]+)\s*cases", "$1例"), (r"\s*\(deaths\s*", "（死亡"), (r"\)", "）")):
-        out = F.regexp_replace(out, old, new)
-    return t.reports.select("report_no", out.alias("rewritten"))
+    n, d, k = F.col("cumulative").cast("string"), F.col("deaths").cast("string"), F.col("number") % 3
+    raw = F.when(k == 0, F.concat(n, F.lit(" cases (deaths "), d, F.lit(" cases)"))).when(k == 1, F.concat(F.lit("a "), n, F.lit(" confirmed cases, "), d, F.lit(" deaths"))).otherwise(F.concat(F.lit("soit "), n, F.lit(" cas et "), d, F.lit(" décès")))
+    return t.reports.select("report_no", text.units_rewritten(raw).alias("rewritten"))
 
 
-@query("zones", """SELECT event_id, CAST(props->>'k' AS INT) AS k, '{"event":' || event_id || ',"k":' || (props->>'k') || '}' AS merged FROM events""")
+@query("zones", """SELECT event_id, CAST(props->>'k' AS INT) AS k, '{"event":' || event_id || ',"k":' || CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 7 AS VARCHAR) ELSE props->>'k' END || CASE WHEN event_id % 3 = 0 THEN ',"notes":"late"' ELSE '' END || '}' AS merged FROM events""")
 def h20_json(t: Source) -> DataFrame:
+    """A field read, and a document merged over another: stated fields win, null ones leave the other's."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return t.events.select("event_id", k.alias("k"), F.to_json(F.struct(F.col("event_id").alias("event"), k.alias("k"))).alias("merged"))
+    late = F.col("event_id") % 3 == 0
+    over = F.to_json(F.struct(F.when(late, F.col("event_id") % 7).cast("int").alias("k"), F.when(late, "late").alias("notes")))
+    own = F.to_json(F.struct(F.col("event_id").alias("event"), k.alias("k")))
+    return t.events.select("event_id", k.alias("k"), publish.merged_json(own, over, "event long, k int, notes string").alias("merged"))
 
 
 @query("reports", "z AS (SELECT n_regionkey AS doc_id, n_name AS zone, 'zone' AS kind, CAST(n_nationkey * 3 AS BIGINT) AS cases, CAST(n_nationkey AS BIGINT) AS deaths FROM nation) SELECT * FROM z UNION ALL SELECT doc_id, 'Sous total', 'total', CAST(sum(cases) AS BIGINT), CAST(sum(deaths) AS BIGINT) FROM z GROUP BY 1 UNION ALL SELECT DISTINCT doc_id, 'Autres ZS', 'unassigned', 4, CAST(NULL AS BIGINT) FROM z")
@@ -322,14 +401,24 @@ def h22_prose_counts(t: Source) -> DataFrame:
     return extract.prose_counts(page, "r_regionkey", "text")
 
 
-@query("reports", "SELECT number, CAST(round((20 + number) / 100.0 + 0.004, 4) AS DOUBLE) AS contact_followup_rate, number * 10 AS alerts_reported, number * 9 AS alerts_investigated, 34000 + number AS travellers_total, CAST(0.972 AS DOUBLE) AS poe_screening_coverage FROM reports")
+@query(
+    "reports",
+    "SELECT number, CAST(round((20 + number) / 100.0 + 0.004, 4) AS DOUBLE) AS contact_followup_rate, number * 10 AS alerts_reported, number * 9 AS alerts_investigated, CAST(0.9 AS DOUBLE) AS alert_investigation_rate, CASE WHEN number % 2 = 0 THEN number + 50 END AS samples_received, CASE WHEN number % 2 = 0 THEN number + 40 ELSE number + 7 END AS samples_analysed, CASE WHEN number % 2 = 0 THEN 3 ELSE 2 END AS positive_samples, 34000 + number AS travellers_total, 33000 + number AS travellers_screened, CAST(CASE WHEN number % 3 = 0 THEN 0.972 ELSE round((33000 + number) / (34000.0 + number), 4) END AS DOUBLE) AS poe_screening_coverage FROM reports",
+)
 def h23_response_fields(t: Source) -> DataFrame:
     n = F.col("number")
     s = lambda c: c.cast("string")
-    prose = F.concat(F.lit("Taux de suivi des contacts : "), s(20 + n), F.lit(",4%3 hier. Au total, "), s(n * 10), F.lit(" alertes ont été notifiées dont "), s(n * 9), F.lit(" (90,0%) investiguées. 34 "), F.lpad(s(n), 3, "0"), F.lit(" voyageurs, couverture de screening 97,2%."))
+    table = F.concat(F.lit("Échantillons reçus "), s(n + 50), F.lit("; Nbre d’échantillons analysés "), s(n + 40), F.lit("; Nbre des cas positifs 3. "))
+    daily = F.concat(s(n + 7), F.lit(" nouveaux échantillons ont été analysés dont 2 sont revenus positifs. "))
+    screened = F.concat(F.lit(" Voyageurs screenés 33 "), F.lpad(s(n), 3, "0"), F.when(n % 3 == 0, F.lit(" (97,2%)")).otherwise(F.lit(".")))
+    prose = F.concat(
+        F.lit("Taux de suivi : 11,1%. Taux de suivi : "), s(20 + n), F.lit(",4%3 hier. Pour la journée du 8 juin, "), s(n * 10), F.lit(" alertes ont été notifiées\ndont "), s(n * 9), F.lit(" (90,0 %) investiguées. "),
+        F.when(n % 2 == 0, table).otherwise(daily), F.lit("Voyageurs passés par le PoE/PoC 34 "), F.lpad(s(n), 3, "0"), F.lit(";"), screened,
+    )
     rows = t.reports.select("number", extract.response_fields(prose).alias("f"))
-    rounded = lambda c: F.round(f"f.{c}", 4).alias(c)
-    return rows.select("number", rounded("contact_followup_rate"), "f.alerts_reported", "f.alerts_investigated", "f.travellers_total", rounded("poe_screening_coverage"))
+    rates = ("contact_followup_rate", "alert_investigation_rate", "poe_screening_coverage")
+    counts = ("alerts_reported", "alerts_investigated", "samples_received", "samples_analysed", "positive_samples", "travellers_total", "travellers_screened")
+    return rows.select("number", *[F.round(f"f.{c}", 4).alias(c) for c in rates], *[f"f.{c}" for c in counts])
 
 
 @query("zones", "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE left(text, 300) || chr(10) || '[...]' || chr(10) || right(text, 100) END AS compacted FROM documents")
@@ -361,9 +450,19 @@ def k10_delta_narrative(t: Source) -> DataFrame:
     return rows.select("report_no", say("en").alias("en"), say("fr").alias("fr"))
 
 
-@query("cases", _CHANGES + " SELECT 'Zones with cases: ' || count(*) FILTER (WHERE latest > 0) || '. New: ' || coalesce(string_agg(zone, ', ' ORDER BY zone) FILTER (WHERE is_new), 'none') || '. Largest increase: ' || coalesce(max_by(zone, change), 'none') || '.' AS summary FROM d")
+_FRESH = "CASE WHEN names <> '' THEN '新規：' || names || '（計' || latest_count || '区域）。' ELSE '新規区域なし。' END || CASE WHEN four <> '' THEN '増加：' || four || '。' ELSE '' END"
+
+
+@query(
+    "cases reports",
+    _DELTA
+    + f""" SELECT 'second' AS kind, earlier.report_no || 'から' || newest.report_no || 'まで：確定例' || earlier.cumulative || '例→' || newest.cumulative || '例（' || newest.cumulative - earlier.cumulative || '例増）、死亡' || earlier.deaths || '例→' || newest.deaths || '例（' || newest.deaths - earlier.deaths || '例増）。' || {_FRESH} || '追跡率90.0%→93.0%。警報調査率90.0%、陽性4件。通過34,118人、検査率97.2%。' AS local,
+  '確定例19例、死亡2例（輸入12、国内7）。24時間の新規0例。2024-01-20以後5日間増加なし。' AS neighbour FROM newest, earlier, z, i
+UNION ALL SELECT 'first', newest.report_no || '：確定例' || newest.cumulative || '例、死亡' || newest.deaths || '例。' || {_FRESH}, NULL FROM newest, z, i""",
+)
 def k12_deterministic_narrative(t: Source) -> DataFrame:
-    fresh = F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("zone")))), ", ")
-    most = F.max_by("zone", "change")
-    said = F.concat(F.lit("Zones with cases: "), F.count_if(F.col("latest") > 0).cast("string"), F.lit(". New: "), F.coalesce(F.nullif(fresh, F.lit("")), F.lit("none")), F.lit(". Largest increase: "), F.coalesce(most, F.lit("none")), F.lit("."))
-    return _changes(t).agg(said.alias("summary"))
+    out = None
+    for kind, first in (("second", False), ("first", True)):
+        part = publish.summary(_delta(t, first)).select(F.lit(kind).alias("kind"), "local", "neighbour")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,9 +7,11 @@ DataFrame, ``ctes`` the WITH clause of an oracle query.
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = "region nation customer supplier part orders lineitem events documents pages conversations labels".split()
 
@@ -29,14 +31,14 @@ TABLES: dict[str, str] = {
       WHERE s_nationkey <> 24 GROUP BY 1, 2, 3""",
     # every sixth zone is known by name only, every fourth has no cases
     "cases": """
+      WITH monthly AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS counted, c_nationkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n,
+        sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS d FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2)
       SELECT month_end AS date, MONTH_OF(month_end) AS month, r_name AS province, n_name AS health_zone,
         CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(n_nationkey AS STRING) END AS zone_id,
         CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE CAST(sum(n) OVER (PARTITION BY n_nationkey ORDER BY month_end) AS BIGINT) END AS confirmed_cases,
         CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE CAST(sum(d) OVER (PARTITION BY n_nationkey ORDER BY month_end) AS BIGINT) END AS confirmed_deaths
       FROM (SELECT month_end, n_nationkey, n_name, n_regionkey, coalesce(n, 0) AS n, coalesce(d, 0) AS d
-        FROM (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS month_end FROM {orders}) m CROSS JOIN {nation}
-        LEFT JOIN (SELECT last_day(CAST(o_orderdate AS DATE)) AS counted, c_nationkey, count(*) AS n, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS d
-          FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2) x ON counted = month_end AND c_nationkey = n_nationkey) g
+        FROM (SELECT DISTINCT counted AS month_end FROM monthly) m CROSS JOIN {nation} LEFT JOIN monthly ON counted = month_end AND c_nationkey = n_nationkey) g
       JOIN {region} ON n_regionkey = r_regionkey""",
     # days are left out so that gaps exist
     "reports": """
@@ -56,7 +58,8 @@ TABLES: dict[str, str] = {
         CASE WHEN v > 0 AND day(date) % 4 <> 1 THEN CAST(b AS DOUBLE) / v END AS contact_followup_rate,
         CASE WHEN k > 0 AND p <> 0 THEN CAST(s AS DOUBLE) / k END AS alert_investigation_rate,
         CASE WHEN day(date) % 5 <> 2 AND e + v > 0 THEN CAST(e AS DOUBLE) / (e + v) END AS poe_screening_coverage,
-        CASE WHEN p <> 0 THEN k END AS alerts_reported, CAST(day(date) * 10 + p AS BIGINT) AS pos
+        CASE WHEN p <> 0 THEN k END AS alerts_reported, CASE WHEN day(date) % 3 <> 0 THEN e END AS samples_analysed,
+        CASE WHEN p = 0 OR day(date) % 2 = 0 THEN e + v END AS travellers_screened, CAST(day(date) * 10 + p AS BIGINT) AS pos
       FROM (SELECT CAST(ts AS DATE) AS date, user_id % 5 AS p, count(*) AS n,
           sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS v, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS b,
           sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS k, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS s,
@@ -84,12 +87,17 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The concept or base table as a lazy DataFrame."""
+def load(spark: SparkSession, sf_dir: str, name: str, month: str | None = None) -> DataFrame:
+    """The concept or base table as a lazy DataFrame; of flows only one month if named, by a range that reaches the scan."""
     if name not in TABLES:
         return base(spark, sf_dir, name)
     text = _dialect(TABLES[name], r"date_format(\1, 'yyyy-MM')", r"percentile(\1, 0.5)")
-    return spark.sql(text, **{t: base(spark, sf_dir, t) for t in _NEEDS[name]})
+    held = {t: base(spark, sf_dir, t) for t in _NEEDS[name]}
+    if month is not None:
+        first = datetime.datetime.strptime(month, "%Y-%m")
+        after = (first + datetime.timedelta(days=32)).replace(day=1)
+        held["orders"] = held["orders"].where((F.col("o_orderdate") >= F.lit(first)) & (F.col("o_orderdate") < F.lit(after)))
+    return spark.sql(text, **held)
 
 
 def sql(name: str) -> str:
