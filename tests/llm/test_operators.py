@@ -7,7 +7,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -412,7 +412,6 @@ def test_winnowing_keeps_one_fingerprint_in_every_window():
 def test_cached_ids_equal_the_library(path, keep):
     rng = random.Random(9)
     whole = tokenizers.Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     coder = Encoder(path, keep, cache=50)
     bits = ["The", "été", "don't", "x1", "12", "...", "!?", "a_b", "(c)", "'s", "Σας", "ß", "👍", "naïve,", "E.", "'", "ﬁ"]
     texts = [t or "" for t in ODD_TEXTS] + [rng.choice([" ", "\n", "  "]).join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(300)] + [" ".join(rng.choices(bits, k=50)).replace(" The", "\nThe") for _ in range(50)]
@@ -508,6 +507,9 @@ def test_warc_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 3) if twin else ("response", None))
         assert twin or bytes(r["payload"]) == payload
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+    # the file itself begins with the dictionary's skippable frame
+    with open(manifest.first()["path"].removeprefix("file://"), "rb") as f:
+        assert struct.unpack("<I", f.read(4))[0] in (warc.SKIPPABLE, 0xFD2FB528)
 
 
 def test_warc_reader_rejects_damage():
@@ -517,7 +519,7 @@ def test_warc_reader_rejects_damage():
 
     good = warc.record(1, "u", hashlib.sha256(b"x").hexdigest(), b"x", None)
     head, block = warc.parse(good)
-    assert warc.http_payload(block) == (1, b"x") and head["WARC-Type"] == "response"
+    assert warc.http_payload(block) == (1, b"x") and head["warc-type"] == "response"
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"Content-Length: 7", b"Content-Length: 8")):
         if bad != good:
             with pytest.raises(ValueError):
@@ -531,9 +533,101 @@ def test_warc_reader_rejects_damage():
         list(warc.frames(io.BytesIO(data[:-3])))
 
 
+def foreign_record(kind, block, extra=(), version="WARC/1.0", name="Content-Length"):
+    head = [version, f"WARC-Type: {kind}", f"warc-record-id: <urn:uuid:{len(block)}-{kind}>", "WARC-DATE: 2020-01-01T00:00:00Z", *extra, f"{name}: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reader_takes_archives_from_elsewhere(spark, tmp_path):
+    import base64
+
+    import zstandard
+
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    body = b"<p>hello"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>he\r\n3;x=1\r\nllo\r\n0\r\n\r\n"
+    message = "Content-Type: application/http; msgtype=response"
+    records = [
+        foreign_record("warcinfo", b"software: x\r\nformat: WARC\r\n", ["Content-Type: application/warc-fields"], name="content-length"),
+        foreign_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", ["Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/", "X-Folded: one", "  two", "\tthree"]),
+        foreign_record("response", http, [message, f"WARC-Payload-Digest: {sha1(body)}", "WARC-Target-URI: http://a/"]),
+        foreign_record("response", chunked, [message, f"WARC-Payload-Digest: {sha1(body)}"]),
+        foreign_record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", [message, f"WARC-Payload-Digest: {sha1(body)}", "WARC-Refers-To: <urn:uuid:1>"]),
+        foreign_record("metadata", b"k: v", [], "WARC/0.18"),
+        foreign_record("resource", b"", ["Content-Type: image/png", "WARC-Payload-Digest: xyz:unknown"]),
+    ]
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(map(pack, records)))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.zst",)], "path string")
+    got = warc.read_archives(paths, with_payload=True).collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "revisit", "metadata", "resource"]
+    assert [bytes(r["payload"]) for r in got[2:4]] == [body, body] and [r["payload_bytes"] for r in got] == [27, 0, 8, 8, None, 4, 0]
+    assert got[2]["payload_digest"] == hashlib.sha256(body).hexdigest() and got[4]["payload_digest"] == sha1(body) and got[4]["refers_to_id"] == "<urn:uuid:1>"
+    assert all(r["id"] is None and r["record_id"].startswith("<urn:uuid:") for r in got) and got[1]["url"] == "http://a/"
+    assert warc.parse(records[1])[0]["x-folded"] == "one two three"
+    (tmp_path / "b.warc.zst").write_bytes(pack(foreign_record("response", http, [message, f"WARC-Payload-Digest: {sha1(b'other')}"])))
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/b.warc.zst",)], "path string")).collect()
+
+
+def test_warc_roles_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(k, f"u{k % 7}", f"{k % 5} " + "text " * 40, "clash", 1) for k in range(60)] + [(3, "again", "3 " + "text " * 40, "clash", 1)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, digest string, n int")
+    near = sorted(map(str, warc.with_roles(pages, "page_id", "url", "html", 100).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    for hot in (5, 13, 1000):
+        monkeypatch.setattr(warc, "HOT_ROWS", hot)
+        assert sorted(map(str, warc.with_roles(pages, "page_id", "url", "html", 100).collect())) == near
+
+
 # 7 licences
 
 
+def test_published_licenses(spark):
+    import os
+
+    title = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003", "Zlib": "The zlib/libpng Licence", "Unlicense": "The Unlicense"}
+    rows = []
+    for name, head in title.items():
+        body = licenses.KNOWN[name]
+        rows += [(name, f"{head}\n\nCopyright (c) 2021, Some One <a@b.c>\nAll rights reserved.\n\n{body}\n"), (name, f"Copyright 2019-2022 X\n\n{head}\n{'=' * 20}\n\n{body}"), (name, f"  {head}  \r\n\r\n" + body.replace("\n", "\r\n\r\n"))]
+    rows.append(("BSD-3-Clause", licenses.KNOWN["BSD-3-Clause"].replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n (3) ")))
+    rows.append(("MIT", "The MIT License (MIT)\n\n" + licenses.KNOWN["MIT"].replace("and/or sell copies", "\n   and/or\n   sell copies")))
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            with open(path) as f:
+                rows.append((name, f.read()))
+    rows += [(None, "MIT License"), (None, "MIT License\n\nsome other text"), ("MIT notice", "Released under the MIT License."), (None, licenses.KNOWN["MIT"] + " and more")]
+    df = spark.createDataFrame([(k, text, name, "x") for k, (name, text) in enumerate(rows)], "doc_id int, text string, license string, digest string")
+    got = {r["id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+    # repeated rows, and a table of known texts
+    own = licenses.digests_of(spark.createDataFrame([("Mine", "Some Licence\n\nMy own text."), ("Mine", "my own text"), (None, "x"), ("Y", None)], "license string, text string"))
+    again = spark.createDataFrame([("k", "My own\ntext"), ("k", "My own\ntext")], "doc_id string, text string")
+    assert [(r["id"], r["license"]) for r in licenses.scan(again, own).collect()] == [("k", "Mine")] * 2
+
+
+def test_canonical_form_equals_slow_form(spark):
+    rng = random.Random(23)
+    parts = ["The MIT License", "licence", "Licences", "\n", "\n\n", " ", "  ", "Copyright (c) 2020", "(c) 2001 X", "1. ", "(a) ", "sub-licence", "sub license", "https://x.org", "per cent", "non-infringement", "NONINFRINGEMENT", "é", "©", "word", "-", "version 2.0", "Apache License, Version 2.0", "\t", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    got = [r["c"] for r in docs_of(spark, texts).orderBy("doc_id").select(licenses.canonical(F.col("text")).alias("c")).collect()]
+
+    def slow(text):
+        text = text.lower()
+        text = re.sub(licenses.COPYRIGHT_LINE.replace("(?md)", "(?m)"), " ", text, flags=re.ASCII)
+        text = re.sub(licenses.FRONT, r"\1", text, count=1)
+        text = re.sub(licenses.NUMBERING.replace("(?md)", "(?m)"), " ", text)
+        text = " ".join(re.findall("[a-z0-9]+", text))
+        for old, new in licenses.SPELLINGS:
+            text = text.replace(old, new)
+        return text
+
+    assert got == list(map(slow, texts))
+
+
 def test_license_scan(spark):
     body = licenses.KNOWN["MIT"]
     texts = [body, "Copyright (c) 2020 A Person\n\n" + body.upper().replace(",", " ;"), body.replace("sublicense", "sub-licence"), "x " + body, None, "", "!!!", "Released under the MIT licence"]
@@ -553,7 +647,7 @@ def brute_links(rows):
     return [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if vec[a] is not None and vec[b] is not None and rows[a][2] == rows[b][2] and len(vec[a]) == len(vec[b]) and vec[a] @ vec[b] / (np.linalg.norm(vec[a]) * np.linalg.norm(vec[b])) >= 0.98]
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 12, "block_rows": 5}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 12, "block_rows": 5}, {"cell_rows": 6, "block_rows": 5, "first_cells": 2, "refine": 2}])
 def test_embedding_links_equal_brute_force(spark, options):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(12, 8))
@@ -717,3 +811,145 @@ def test_scores_do_not_depend_on_slices(monkeypatch):
     cut = model.score(texts)
     alone = np.vstack([model.score([t])[0] for t in texts])
     assert np.allclose(whole[0], cut[0]) and np.allclose(whole[0], alone) and (whole[1] == cut[1]).all()
+
+
+# shared helpers, bounds and languages
+
+
+class Context:
+    master = "spark://host:7077"
+    folder = None
+
+    def getConf(self):
+        return {}
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder + "/set"
+
+
+class Session:
+    def __init__(self, **conf):
+        self.conf, self.sparkContext = conf, Context()
+
+
+def test_shared_folder():
+    at = Session(**{"spark.checkpoint.dir": "hdfs://h/x/"})
+    assert common.shared_dir(at) == "hdfs://h/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    given = Session()
+    given.sparkContext.folder = "file:///mnt/given"
+    assert common.shared_dir(given) == "file:///mnt/given"
+    alone = Session()
+    alone.sparkContext.master = "local[4]"
+    assert common.shared_dir(alone) == common.shared_dir(alone) == common.DEFAULT_SHARED_DIR + "/set"
+    assert common.filesystem("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_shared_tables_are_released(spark, tmp_path, monkeypatch):
+    import os
+
+    from zonepulse.sources import shared
+
+    assert common.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and common.qualified(spark, "s3a://b/x") == "s3a://b/x"
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert common.materialize(spark.range(3), "x").count() == 3
+    assert any(files for _, _, files in os.walk(tmp_path))
+    common.release(spark)
+    assert not any(files for _, _, files in os.walk(tmp_path))
+
+
+def test_many_benchmark_blocks_and_a_long_item(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    items = [(k, words(rng.choice((5, 40, 60)))) for k in range(60)] + [(99, words(2000))]
+    long = items[-1][1].split()
+    docs = [words(30) + " " + " ".join(long[k : k + 14]) + " " + words(9) for k in range(0, 1980, 66)] + [items[3][1], items[4][1] + " " + words(500), words(50), None]
+    df = docs_of(spark, docs).withColumn("row", F.lit(1)).withColumn("spans", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate._blocks(bench, "item_id", "text", 250)) >= 20  # noqa: SLF001
+    got = {r["id"]: (r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in decontaminate.contamination(df, bench, block_words=250).collect()}
+    want = {k: brute_hits(t, items) for k, t in enumerate(docs)}
+    assert got == want
+    kept = decontaminate.decontaminate(df, bench, block_words=250)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k, w in want.items() if not w[3]]
+
+
+def test_blocks_of_languages_score_alike():
+    import pandas as pd
+
+    rng = random.Random(37)
+    rows = []
+    for lang in range(60):
+        letters = "".join(chr(97 + (lang * 7 + k) % 26) for k in range(6)) + " "
+        text = "".join(rng.choices(letters, k=300))
+        for k in range(len(text) - 3):
+            rows.append((f"l{lang:02}", text[k : k + 4], 1))
+    counts = pd.DataFrame(rows, columns=["lang", "gram", "n"]).groupby(["lang", "gram"], as_index=False).sum()
+    whole, cut = langid.Model(counts, block_langs=60), langid.Model(counts)
+    texts = [b"", b"hello there", "жук".encode(), b"abcdefg " * 50] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200)).encode() for _ in range(10)]
+    assert len(cut.blocks) == 8 and np.allclose(whole.score(texts)[0], cut.score(texts)[0], atol=1e-3)
+    values = lambda m: sum(a.values.size for b in m.blocks for a in b.grams.values())
+    assert values(cut) * 3 < values(whole)
+
+
+def test_slow_kneser_ney_gives_the_same_probabilities():
+    import pandas as pd
+
+    rng = random.Random(41)
+    data = {lang: Counter("".join(rng.choices("abc ", weights=w, k=120))[k : k + 3] for k in range(118)) for lang, w in (("x", (5, 2, 1, 2)), ("y", (1, 1, 6, 2)))}
+    model = langid.Model(pd.DataFrame([(lang, g, n) for lang, c in data.items() for g, n in c.items()], columns=["lang", "gram", "n"]), order=3)
+    chars = len(set("".join(g for c in data.values() for g in c)) - {" "}) + 2
+
+    def levels(counts):
+        out = {3: counts}
+        for n in (2, 1):
+            out[n] = Counter(g[1:] for g in out[n + 1])
+        return out
+
+    def slow(of, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / chars
+        counts = of[n]
+        one, two = (sum(v == k for v in counts.values()) for k in (1, 2))
+        cut = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+        mine = {g: v for g, v in counts.items() if g[:-1] == gram[:-1]}
+        if not mine:
+            return slow(of, gram[1:])
+        total = sum(mine.values())
+        return max(counts[gram] - cut, 0) / total + cut * len(mine) / total * slow(of, gram[1:])
+
+    for text in ("abc ab cab", "ccc cca", "a", "zq a"):
+        sums, n = model.score([text.encode()])
+        padded = "  " + text + " "
+        for j, lang in enumerate(model.langs):
+            of = levels(data[lang])
+            want = sum(math.log(slow(of, padded[k - 2 : k + 1])) for k in range(2, 2 + int(n[0])))
+            assert abs(sums[0, j] - want) < 1e-3, (text, lang)
+
+
+def test_identify_edge_rows(spark):
+    texts = ["the cat and the dog " * 20, "le chat et le chien " * 20] * 40
+    df = spark.createDataFrame([(f"d-{k}", t, "en" if k % 2 == 0 else "fr", 0.5, "x") for k, t in enumerate(texts)], "doc_id string, text string, lang string, score double, pred string")
+    model = langid.train(df)
+    odd = spark.createDataFrame([("a-1", "the cat and the dog " * 20, "zz"), ("a-1", "the cat and the dog " * 20, "zz"), (None, None, None), ("e", "", None), ("n", "123", None)], "doc_id string, text string, lang string")
+    got = [(r["id"], r["pred"], r["rejected"]) for r in langid.identify(odd, model).collect()]
+    assert got[0] == got[1] == ("a-1", "en", False) and got[2:] == [(None, None, True), ("e", None, True), ("n", None, True)]
+    assert langid.identify(odd.limit(0), model).count() == 0
+    # without labels nothing can be rejected but texts without letters
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert [r["doc_id"] for r in langid.keep_identified(bare).collect()] == ["a-1", "a-1"]
+    assert langid.keep_identified(bare.limit(0)).count() == 0
+
+
+def test_ids_keep_their_type(spark):
+    text_ids = spark.createDataFrame([("a-1", 'token = "abcdef12"', "<p>x</p>", "u"), (None, None, None, None)], "doc_id string, text string, html string, url string")
+    assert {r["id"] for r in secrets.scan(text_ids, secrets.learn(text_ids)).collect()} == {"a-1", None}
+    assert {r["id"] for r in html_text.extract(text_ids.withColumnRenamed("doc_id", "page_id")).collect()} == {"a-1", None}
+    bench = spark.createDataFrame([("q", "token abcdef12")], "item_id string, text string")
+    assert {(r["id"], r["n_hit"]) for r in decontaminate.contamination(text_ids, bench).collect()} == {("a-1", 2), (None, 0)}
+    assert {r["id"] for r in licenses.scan(text_ids).collect()} == {"a-1", None}

@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators.
 
-* ``shared_dir`` / ``materialize``: tables written to the folder that driver and
-  executors share. They cut lineage and survive lost executors.
+* ``materialize`` and the names beside it: tables in the folder that driver and
+  executors share, from ``zonepulse.sources.shared``.
 * ``text_slices``: cuts Arrow batches into pieces of bounded bytes, so that the
   numpy work of one task stays small whatever the batch size.
 * ``local_components``: connected components of a small graph held in a task.
@@ -10,39 +10,30 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-#: Where to keep shared tables if the session names no folder (tests, one machine).
-DEFAULT_SHARED_DIR = "file:///tmp/zonepulse-shared"
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; it is set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = DEFAULT_SHARED_DIR
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from zonepulse.sources.shared import DEFAULT_SHARED_DIR, materialize, new_path, qualified, release, shared_dir
 
+__all__ = ["DEFAULT_SHARED_DIR", "materialize", "new_path", "qualified", "release", "shared_dir"]
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/zonepulse/{label}-{uuid.uuid4().hex}"
+SLICE_BYTES = 2 << 20
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def id_type(df: DataFrame, name: str) -> str:
@@ -89,14 +80,20 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Edges of a graph whose smallest neighbours are broadcast: 16 bytes a node, two nodes an edge at most.
+BROADCAST_EDGES = 250_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Alternates large-star and small-star rounds, each a partial aggregation (the
     smallest neighbour of a node) and a join, so no node's neighbours are ever
-    gathered in one place; AQE splits the join of a node with very many edges.
-    Nodes that are in no edge with another node are not returned. Nulls are
-    dropped. Each round is written to the shared folder.
+    gathered in one place. In graphs of up to BROADCAST_EDGES edges the smallest
+    neighbours are broadcast; in larger ones they are written first, so that AQE can
+    split the join of a node with very many edges. Nodes that are in no edge with
+    another node are not returned. Nulls are dropped. Each round is written to the
+    shared folder.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, before = materialize(now, "cc"), None
@@ -107,20 +104,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = seen
         if seen[0] == 0:
             break
+        small = seen[0] <= BROADCAST_EDGES
+        beside = lambda rows: F.broadcast(rows) if small else materialize(rows, "cc-least")  # noqa: B023, E731
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = beside(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         now = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        now = now if small else materialize(now, "cc-large-star")
+        least = beside(now.groupBy("a").agg(F.min("b").alias("m")))
         hung = now.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(hung.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI or absolute path, usable in any task."""
+    """(pyarrow file system, path) of a URI with scheme, usable in any task."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 class NewFile:
@@ -134,7 +134,7 @@ class NewFile:
         self.uri = f"{folder}/{stem}-{uuid.uuid4().hex}{ending}"
         self.system, self.path = filesystem(self.uri)
         self.system.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.stream, self.size = self.system.open_output_stream(self.path, buffer_size=1 << 20), 0
+        self.stream, self.size = self.system.open_output_stream(self.path, compression=None, buffer_size=1 << 20), 0
 
     def write(self, data: bytes) -> int:
         """Where the data begin."""

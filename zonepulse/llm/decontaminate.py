@@ -8,10 +8,12 @@ WINDOW-word window around it, and the windows that the benchmark has are marked.
 Items shorter than a window are one window each; for each such length every
 position is a fingerprint, which is winnowing with a window of one.
 
-The benchmark is the query set: it is cut into blocks of at most
-``BLOCK_WORDS`` words, each a broadcast of bounded size, and every block meets all
-documents. With one block (any usual benchmark) the whole operator is a single
-pass without a shuffle; with more, the blocks' marks are merged per document.
+The benchmark is the query set: it is cut into blocks of about ``BLOCK_WORDS``
+words, long items into overlapping pieces, and every block meets all documents. A
+block is a broadcast of bounded size; with one block (any usual benchmark) the whole
+operator is a single pass without a shuffle; with more, a block is broadcast, its
+hits are written and its broadcast destroyed before the next, and the marks are
+merged per document.
 
 Word, k-gram and window hashes have 64 bits and windows are compared by two
 independent ones, 128 bits in all.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import materialize, text_slices
+from zonepulse.llm.common import free_name, id_type, materialize, new_path, text_slices
 
 WINDOW = 13
 K = 5
@@ -216,16 +218,40 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[DataFrame]:
-    """The items (id, text) in parts of about block_words words at most."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def _pieces(items: DataFrame, most: int, window: int) -> DataFrame:
+    """Items of more than ``most`` words in pieces that overlap by window - 1 words, so that no window is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches, "text"):
+            keys, cut = [], []
+            for k, text in enumerate(texts):
+                starts, ends, _ = words_of(np.frombuffer(text, np.uint8))
+                if len(starts) <= most:
+                    keys.append(k)
+                    cut.append(text)
+                    continue
+                for first in range(0, len(starts) - window + 1, most - window + 1):
+                    last = min(first + most, len(starts))
+                    keys.append(k)
+                    cut.append(text[starts[first] : ends[last - 1]])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keys, pa.int64())), pa.array([t.decode("utf-8", "replace") for t in cut], pa.string())], ["id", "text"])
+
+    return items.mapInArrow(run, items.schema)
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int = WINDOW) -> list[DataFrame]:
+    """The items (id as string, text) in blocks of about block_words words."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     # a word and its separator take two bytes at least
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // (2 * block_words)) + 1
     if n == 1:
         return [items]
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    return [numbered.where(F.col("block") == k).drop("block") for k in range(n)]
+    spark, path = benchmark.sparkSession, new_path(benchmark.sparkSession, "benchmark")
+    cut = _pieces(items, max(4 * window, block_words // 4), window)
+    cut.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).write.partitionBy("block").parquet(path)
+    whole = spark.read.schema("id string, text string, block int").parquet(path)
+    return [whole.where(F.col("block") == k).drop("block") for k in range(n)]
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, window: int, k: int):
@@ -242,10 +268,10 @@ def _hits(bench: Benchmark, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[
     return np.diff(cut), [bench.hits(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def hit_spans(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
-    """Per document: id, n_words, spans (hit words, [start, end)), items (ids as strings)."""
-    bound = _broadcast(docs, items, window, k)
-    schema = "id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+def hit_spans(docs: DataFrame, bound, id_col: str, text_col: str) -> DataFrame:
+    """Per document: id, n_words, spans (hit words, [start, end)), items (ids as strings); bound: a broadcast Benchmark."""
+    own = id_type(docs, id_col)
+    schema = f"id {own}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
     kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,45 +282,64 @@ def hit_spans(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, win
             hit = [sorted({bench.items[i] for i in owners.tolist()}) for _, owners in found]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(spans, kind), pa.array(hit, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast(own).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _hits_of_blocks(docs: DataFrame, blocks: list[DataFrame], row: str, text_col: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_words) of all rows, and (id, spans, items) of those hit by some block, one block at a time."""
+    words, parts = None, []
+    for block in blocks:
+        bound = _broadcast(docs, block, window, k)
+        found = hit_spans(docs, bound, row, text_col)
+        if words is None:
+            words = found = materialize(found, "block-hits")
+            words = words.select("id", "n_words")
+            parts.append(found.where("size(spans) > 0").select("id", "spans", "items"))
+        else:
+            parts.append(materialize(found.where("size(spans) > 0").select("id", "spans", "items"), "block-hits"))
+        bound.destroy()
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    flat = whole.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = F.aggregate(
+        F.array_sort("spans"),
+        F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(-1))), F.concat(acc, F.array(x))).otherwise(
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"))))
+        ),
+    )
+    return words, flat.withColumn("spans", joined)
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Per document: id, n_words, spans, items, n_hit, contaminated."""
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    blocks = _blocks(benchmark, item_id, item_text, block_words, window)
     if len(blocks) > 1:
         # a row number tells repeated ids apart while blocks are merged
-        docs = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "decontaminate")
-        parts = [hit_spans(docs, b, "__row", "__text", window, k) for b in blocks]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.union(p)
-        flat = whole.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        joined = F.aggregate(
-            F.array_sort("spans"),
-            F.lit(None).cast("array<struct<s:bigint,e:bigint>>"),
-            lambda acc, x: F.when(acc.isNull(), F.array(x)).when(
-                x["s"] <= acc[F.size(acc) - 1]["e"],
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(acc[F.size(acc) - 1]["s"].alias("s"), F.greatest(acc[F.size(acc) - 1]["e"], x["e"]).alias("e")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-        flat = flat.withColumn("spans", F.coalesce(joined, F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")))
-        found = flat.withColumnRenamed("id", "__row").join(docs.select("__row", "__id"), "__row").select(F.col("__id").alias("id"), "n_words", "spans", "items")
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast(id_type(docs, id_col)).alias("id"), F.col(text_col).cast("string").alias("text")), "decontaminate")
+        words, hits = _hits_of_blocks(rows, blocks, "row", "text", window, k)
+        none = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
+        found = rows.select("row", F.col("id").alias("own")).join(words.withColumnRenamed("id", "row"), "row").join(hits.withColumnRenamed("id", "row"), "row", "left")
+        found = found.select(F.col("own").alias("id"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
     else:
-        found = hit_spans(docs, blocks[0], id_col, text_col, window, k)
+        found = hit_spans(docs, _broadcast(docs, blocks[0], window, k), id_col, text_col)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, each judged by itself."""
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    blocks = _blocks(benchmark, item_id, item_text, block_words, window)
     if len(blocks) > 1:
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-        bad = contamination(rows, benchmark, "__row", text_col, item_id, item_text, window, k, one_in, block_words).where("contaminated").select(F.col("id").alias("__row"))
-        return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+        row = free_name(docs, "row")
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        words, hits = _hits_of_blocks(rows, blocks, row, text_col, window, k)
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+        bad = hits.select("id", n_hit.alias("n_hit")).join(words, "id").where(F.col("n_hit") * one_in >= F.col("n_words")).select(F.col("id").alias(row))
+        return rows.join(bad, row, "left_anti").select(*docs.columns)
     bound = _broadcast(docs, blocks[0], window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

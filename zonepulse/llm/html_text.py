@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import text_slices
+from zonepulse.llm.common import id_type, text_slices
 
 WINDOW = 3
 #: Characters outside links in a window that make a block main text.
@@ -263,5 +263,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             carried = rows.columns[:-1]
             yield pa.RecordBatch.from_arrays([*carried, pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], [*rows.schema.names[:-1], "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col("url").cast("string").alias("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "id long, url string, text string, n_chars long")
+    rows = pages.select(F.col(id_col).cast(id_type(pages, id_col)).alias("id"), F.col("url").cast("string").alias("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(run, f"id {id_type(pages, id_col)}, url string, text string, n_chars long")

@@ -2,11 +2,12 @@
 
 One model per language is trained on a bounded sample of labelled texts: raw
 counts for the highest order, continuation counts below, absolute discounting,
-interpolation down to the uniform distribution. The models share one sorted hash
-array per order; each entry carries the log probability of its n-gram in every
-language, already interpolated, and contexts carry the back-off weights used when
-an n-gram is in no language. A text goes to the language with the lowest
-length-normalised cross-entropy.
+interpolation down to the uniform distribution. Up to BLOCK_LANGS languages share one
+sorted hash array per order; each entry carries the log probability of its n-gram in
+each of them, already interpolated, and contexts carry the back-off weights used when
+an n-gram is in none. So no n-gram takes room for more than BLOCK_LANGS languages,
+however many there are. A text goes to the language with the lowest length-normalised
+cross-entropy.
 
 Rejection is calibrated on pieces of labelled texts kept out of the counts: one of
 CALIBRATION_SHARE sampled pieces and, where there are more, as many characters again
@@ -17,6 +18,9 @@ REJECT_MARGIN times that, or if it has no letter. With fewer than CALIBRATION_LE
 pieces their largest excess counts, over a spread of SPREAD_LEAST nats or more; with
 none only letterless texts are rejected.
 
+The alphabet has the 65,534 letters most frequent in the sample; others are one
+unknown letter to every language.
+
 Bounds: the sample holds about MAX_CHARS characters per language and
 MAX_TOTAL_CHARS in all (expected values of a hash sample of pieces; texts of more
 than PIECE_CHARS characters enter by pieces of that length, or of less in small
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import text_slices
+from zonepulse.llm.common import id_type, text_slices
 
 ORDER = 4
 MAX_CHARS = 1_000_000
@@ -52,6 +56,8 @@ REJECT_QUANTILE = 0.999
 CALIBRATION_LEAST, SPREAD_LEAST = 20, 0.25
 #: Log probabilities (n-grams by languages) held at once.
 SLICE_VALUES = 1 << 21
+#: Languages that share their hash arrays.
+BLOCK_LANGS = 8
 _UNKNOWN, _GAP = 0, 1
 
 
@@ -117,42 +123,23 @@ class HashArray:
         return np.where((self.hashes[at] == hashes) & (at < self.values.shape[1]), at, -1)
 
 
-class Model:
-    """Models of all languages over one alphabet."""
+class Block:
+    """Models of a few languages: interpolated log probabilities by order, in shared hash arrays."""
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
-        """counts: lang, gram (``order`` characters), n."""
-        self.order, self.langs = order, sorted(counts["lang"].unique())
-        chars = sorted(set("".join(counts["gram"])) - {" "})[: (1 << 16) - 2]
-        self.alphabet = np.zeros(0x110000, np.uint16)
-        self.alphabet[32] = _GAP
-        self.alphabet[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
-        codes = np.array([[ord(c) for c in g] for g in counts["gram"]], dtype=np.int64).reshape(-1, order)
-        keys = np.zeros(len(counts), np.uint64)
-        for k in range(order):
-            keys = (keys << np.uint64(16)) | self.alphabet[codes[:, k]].astype(np.uint64)
-        per = {}
-        for lang in self.langs:
-            mine = (counts["lang"] == lang).to_numpy()
-            key, where = np.unique(keys[mine], return_inverse=True)
-            count = np.bincount(where, counts["n"].to_numpy(np.float64)[mine])
-            levels = {order: (key, count)}
-            for n in range(order - 1, 0, -1):
-                low = levels[n + 1][0] & np.uint64((1 << 16 * n) - 1)
-                key, count = np.unique(low, return_counts=True)
-                levels[n] = (key, count.astype(np.float64))
-            per[lang] = levels
+    def __init__(self, per: list[dict[int, tuple[np.ndarray, np.ndarray]]], order: int, uniform: float):
+        """per: of each language, by order, its n-grams' keys and counts."""
+        self.size = len(per)
         self.grams, self.contexts = {}, {}
-        uniform = 1.0 / (len(chars) + 2)
-        self.floor = np.zeros(len(self.langs), np.float32)
-        below = None  # log probability of any (n - 1)-gram, per language
+        self.floor = np.zeros(self.size, np.float32)
         for n in range(1, order + 1):
             mask = np.uint64((1 << 16 * (n - 1)) - 1)
-            all_keys = np.unique(np.concatenate([per[x][n][0] for x in self.langs]))
+            all_keys = np.unique(np.concatenate([x[n][0] for x in per]))
             all_ctx = np.unique(all_keys >> np.uint64(16)) if n > 1 else np.zeros(1, np.uint64)
-            probs, weights = np.zeros((len(all_keys), len(self.langs))), np.zeros((len(all_ctx), len(self.langs)))
-            for j, lang in enumerate(self.langs):
-                key, count = per[lang][n]
+            ctx_all = np.searchsorted(all_ctx, all_keys >> np.uint64(16)) if n > 1 else np.zeros(len(all_keys), np.int64)
+            lower = self.log_probs(all_keys & mask, n - 1) if n > 1 else None
+            probs, weights = np.zeros((len(all_keys), self.size), np.float32), np.zeros((len(all_ctx), self.size))
+            for j, levels in enumerate(per):
+                key, count = levels[n]
                 one, two = (count == 1).sum(), (count == 2).sum()
                 cut = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
                 ctx = key >> np.uint64(16) if n > 1 else np.zeros(len(key), np.uint64)
@@ -161,20 +148,12 @@ class Model:
                 gamma = cut * types / total
                 slot = np.searchsorted(all_ctx, mine)
                 weights[slot, j] = np.log(gamma)  # unseen contexts hand on everything: log 1
-                ctx_all = np.searchsorted(all_ctx, all_keys >> np.uint64(16)) if n > 1 else np.zeros(len(all_keys), np.int64)
-                lower = np.full(len(all_keys), uniform) if n == 1 else np.exp(below(all_keys & mask, j))
-                p = np.exp(weights[ctx_all, j]) * lower
+                p = np.exp(weights[ctx_all, j]) * (uniform if lower is None else np.exp(lower[j].astype(np.float64)))
                 p[np.searchsorted(all_keys, key)] += np.maximum(count - cut, 0) / total[where]
                 probs[:, j] = np.log(p)
             self.grams[n], self.contexts[n] = HashArray(all_keys, probs), HashArray(all_ctx, weights)
-            below = self._lower(n)
             if n == 1:
                 self.floor = (weights[0] + np.log(uniform)).astype(np.float32)
-        self.offset, self.scale = np.zeros(len(self.langs)), np.ones(len(self.langs))
-        self.limit = np.inf
-
-    def _lower(self, n: int):
-        return lambda keys, j: self.log_probs(keys, n)[j]
 
     def log_probs(self, keys: np.ndarray, n: int) -> np.ndarray:
         """(languages, keys): log probability of the last character of each n-gram."""
@@ -192,6 +171,50 @@ class Model:
             out[:, miss] = lower
         return out
 
+
+class Model:
+    """Models of all languages over one alphabet, in blocks of languages."""
+
+    def __init__(self, counts: pd.DataFrame, order: int = ORDER, block_langs: int | None = None):
+        """counts: lang, gram (``order`` characters), n."""
+        self.order, self.langs = order, sorted(counts["lang"].unique())
+        chars = sorted(set("".join(counts["gram"])) - {" "})
+        if len(chars) > (1 << 16) - 2:
+            seen: Counter = Counter()
+            for gram, n in zip(counts["gram"], counts["n"], strict=True):
+                seen[gram[-1]] += n
+            chars = sorted(sorted(chars, key=lambda c: (-seen[c], c))[: (1 << 16) - 2])
+        self.alphabet = np.zeros(0x110000, np.uint16)
+        self.alphabet[32] = _GAP
+        self.alphabet[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
+        codes = np.frombuffer("".join(counts["gram"]).encode("utf-32-le"), "<u4").reshape(-1, order)
+        keys = np.zeros(len(counts), np.uint64)
+        for k in range(order):
+            keys = (keys << np.uint64(16)) | self.alphabet[codes[:, k]].astype(np.uint64)
+        number = pd.Categorical(counts["lang"], categories=self.langs).codes
+        rows, n = np.argsort(number, kind="stable"), counts["n"].to_numpy(np.float64)
+        bounds = np.searchsorted(number[rows], np.arange(len(self.langs) + 1))
+        self.blocks = []
+        step = block_langs or BLOCK_LANGS
+        for first in range(0, len(self.langs), step):
+            per = []
+            for j in range(first, min(first + step, len(self.langs))):
+                mine = rows[bounds[j] : bounds[j + 1]]
+                key, where = np.unique(keys[mine], return_inverse=True)
+                levels = {order: (key, np.bincount(where, n[mine]))}
+                for size in range(order - 1, 0, -1):
+                    low = levels[size + 1][0] & np.uint64((1 << 16 * size) - 1)
+                    key, count = np.unique(low, return_counts=True)
+                    levels[size] = (key, count.astype(np.float64))
+                per.append(levels)
+            self.blocks.append(Block(per, order, 1.0 / (len(chars) + 2)))
+        self.offset, self.scale = np.zeros(len(self.langs)), np.ones(len(self.langs))
+        self.limit = np.inf
+
+    def log_probs(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """(languages, keys): log probability of the last character of each n-gram."""
+        return np.concatenate([block.log_probs(keys, n) for block in self.blocks])
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) summed log probabilities and each text's scored characters."""
         pad = self.order - 1
@@ -204,13 +227,13 @@ class Model:
         full = np.flatnonzero(n > 0)
         # where a text's n-grams begin and end: those that reach into the next text count for none
         cuts = np.stack([begins[:-1][full], begins[1:][full] - pad], axis=1).ravel()
-        step = max(1 << 14, SLICE_VALUES // len(self.langs))
+        step = max(1 << 14, SLICE_VALUES // self.blocks[0].size)
         for a in range(0, len(keys), step):
             part = keys[a : a + step]
             edges = np.concatenate([[a], cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, a + len(part))]])
             place = np.searchsorted(cuts, edges, "right") - 1
             inside = (place >= 0) & (place % 2 == 0)
-            for j, logs in enumerate(self.log_probs(part, self.order)):
+            for j, logs in enumerate(x for block in self.blocks for x in block.log_probs(part, self.order)):
                 # a text that spans slices gets a part from each
                 found = np.add.reduceat(logs, edges - a, dtype=np.float64)
                 np.add.at(sums[:, j], full[place[inside] // 2], found[inside])
@@ -311,9 +334,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identify(docs: DataFrame, model: Model | None, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, pred (null: no letter), score, entropy (nats a character), n, rejected."""
-    ids = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    kind = id_type(docs, id_col) if id_col else "long"
+    ids = F.col(id_col).cast(kind) if id_col else F.lit(None).cast(kind)
     rows = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, pred string, score double, entropy double, n long, rejected boolean"
+    schema = f"id {kind}, pred string, score double, entropy double, n long, rejected boolean"
     if model is None:
         return rows.select("id", F.lit(None).cast("string").alias("pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("rejected"))
     bound = docs.sparkSession.sparkContext.broadcast(model)
@@ -333,15 +357,17 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are not rejected, with models fitted on docs' own labels."""
+    """The rows of docs that are not rejected, with models fitted on docs' own labels.
+
+    Without a labelled text there is no model to reject by: letterless texts go, as
+    always, and all others stay.
+    """
     model = train(docs, id_col, text_col, lang_col)
-    if model is None:
-        return docs.limit(0)
     bound = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, text_col):
-            stays = ~bound.value.predict(texts)[4]
-            yield piece.filter(pa.array(stays))
+            stays = [has_letter(t) for t in texts] if bound.value is None else ~bound.value.predict(texts)[4]
+            yield piece.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -92,18 +92,20 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(column: str) -> str:
-    out = f"lower({column})"
+    lines = lambda pattern: _quoted(pattern.replace("(?md)", "(?m)"))
+    out = f"regexp_replace(lower({column}), {lines(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, {_quoted(licenses.FRONT)}, '\\1'), {lines(licenses.NUMBERING)}, ' ', 'g')"
+    out = f"trim(regexp_replace({out}, {_quoted(licenses.JUNK)}, ' ', 'g'), ' ')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    line = licenses.COPYRIGHT_LINE.replace("(?md)", "(?m)")
-    out = f"regexp_replace({out}, {_quoted(line)}, ' ', 'g')"
-    return f"trim(regexp_replace({out}, {_quoted(licenses.JUNK)}, ' ', 'g'), ' ')"
+    return out
 
 
 def _licenses_sql() -> str:
     rows = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(licenses.KNOWN.items()))
+    long = ", ".join(f"({_quoted(v)}, {_quoted(k)})" for k, v in sorted(licenses.DIGESTS.items()))
     return f"""
-    WITH known AS (SELECT sha256({_canonical_sql('body')}) AS digest, license FROM (VALUES {rows}) AS t(license, body)),
+    WITH known AS (SELECT sha256({_canonical_sql('body')}) AS digest, license FROM (VALUES {rows}) AS t(license, body) UNION ALL SELECT * FROM (VALUES {long})),
     names AS (SELECT digest, string_agg(DISTINCT license, ' or ' ORDER BY license) AS license FROM known GROUP BY digest),
     rows AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents)
     SELECT rows.doc_id, rows.digest, names.license FROM rows LEFT JOIN names USING (digest)"""

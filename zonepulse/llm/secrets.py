@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonepulse.llm.common import text_slices
+from zonepulse.llm.common import id_type, materialize, text_slices
 
 KINDS = ("assign", "access", "hex", "auto")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, CANDIDATE_LEAST = 6, 20, 24, 20
@@ -280,7 +280,14 @@ def learn(docs: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TE
         pairs = [(k, *place(v)) for k in kinds for v in found[k] if len(v) <= SAMPLE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "hash", "value"])
 
-    values = drawn.mapInArrow(gather, "kind string, hash long, value string").distinct()
+    values = materialize(drawn.mapInArrow(gather, "kind string, hash long, value string"), "credentials")
+    # hashes are uniform: of a kind with many strings only those below thrice the needed share can be among the first
+    sizes = {r[0]: r[1] for r in values.groupBy("kind").agg(F.approx_count_distinct("hash", 0.05)).collect()}
+    limits = {k: min((1 << 63) - 1, (1 << 63) * 3 * sample_strings // max(n, 1)) for k, n in sizes.items()}
+    if limits:
+        limit = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
+        values = values.where(F.col("hash") <= F.element_at(limit, F.col("kind")))
+    values = values.distinct()
     first = F.row_number().over(W.partitionBy("kind").orderBy("hash", "value"))
     by: dict[str, list[str]] = {kind: [] for kind in kinds}
     held = dict.fromkeys(kinds, 0)
@@ -309,8 +316,9 @@ def scan(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: st
             found = [[{"s": s, "e": e, "kind": k} for s, e, k in bound.value.spans(t.decode("utf-8", "replace"))] for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, kind)], ["id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, spans array<struct<s:long,e:long,kind:string>>")
+    own = id_type(docs, id_col)
+    rows = docs.select(F.col(id_col).cast(own).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {own}, spans array<struct<s:long,e:long,kind:string>>")
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -74,12 +74,20 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in pairs), np.uint64, len(words) - shingle + 1)
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
 def _majority(hashes: np.ndarray) -> np.uint64:
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = hashes[k : k + (1 << 16)].astype("<u8", copy=False)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    """Bits that more than half of the hashes have."""
+    n = len(hashes)
+    rows = np.zeros(-(-n // 255) * 255, np.uint64)
+    rows[:n] = hashes
+    ones = np.empty((8, 8), np.int64)  # by place in its byte, and by byte
+    for k in range(8):
+        # each byte of a sum counts the bit of up to 255 hashes
+        sums = ((rows >> np.uint64(k)) & _LANES).reshape(-1, 255).sum(axis=1)
+        ones[k] = sums.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones.T.ravel() * 2 > n, bitorder="little").view("<u8")[0]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:

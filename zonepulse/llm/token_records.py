@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import NewFile, filesystem, new_path, text_slices
+from zonepulse.llm.common import NewFile, filesystem, new_path, qualified, text_slices
 from zonepulse.llm.tokens import SLICE, encoder
 
 END_ID = 2
@@ -80,7 +80,7 @@ def decode(body: bytes, width: int) -> tuple[int | None, np.ndarray]:
 def write_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write the shards and return their manifest, with ``base``: ids in earlier shards."""
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "token-records")
+    folder = qualified(spark, folder) if folder else new_path(spark, "token-records")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions, "id", "tie") if partitions else rows.repartitionByRange("id", "tie")
     ordered = dealt.sortWithinPartitions("id", "tie", "text").select("id", "text")
@@ -126,7 +126,7 @@ def read_records(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
             for row in batch.to_pylist():
                 system, path = filesystem(row["path"])
                 at, out, n = row["base"], [], 0
-                with system.open_input_stream(path, buffer_size=1 << 20) as stream:
+                with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for body in unframe(stream):
                         key, ids = decode(body, row["width"])
                         out.append({"id": key, "start": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())} | ({"ids": ids.astype(np.int64)} if with_ids else {}))

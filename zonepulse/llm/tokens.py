@@ -6,8 +6,9 @@ distinct chunks; each distinct one is encoded on its own by the same library, an
 a worker keeps the ids of up to ``CACHE`` of them. A chunk of Latin letters and
 then punctuation is handed to the library's model as these two words, which any
 of the pre-tokenizers make of it; other chunks go through the whole library, and
-so does, in one piece, a text with any other white space. The ids are those of
-encoding the text in one piece.
+so does, in one piece, a text with any other white space or with one of the
+tokenizer's added tokens spelt out. The ids are those of encoding the text in one
+piece.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.keep_space, self.limit, self.cache, self.short = keep_space, cache, {}, {}
         # byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,6 +96,8 @@ class Encoder:
         odd = pc.match_substring_regex(rows, _ODD)
         if self.keep_space:
             odd = pc.or_(odd, pc.match_substring_regex(rows, _EDGE))
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(rows, self.added))
         whole = np.flatnonzero(np.asarray(odd))
         out: list[bytes] = [b""] * len(texts)
         for k, ids in zip(whole.tolist(), self._encode([texts[k] for k in whole]), strict=True):
