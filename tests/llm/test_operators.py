@@ -617,9 +617,8 @@ def test_canonical_form_equals_slow_form(spark):
 
     def slow(text):
         text = text.lower()
-        text = re.sub(licenses.COPYRIGHT_LINE.replace("(?md)", "(?m)"), " ", text, flags=re.ASCII)
+        text = re.sub(licenses.LINE_STARTS.replace("(?md)", "(?m)"), " ", text)
         text = re.sub(licenses.FRONT, r"\1", text, count=1)
-        text = re.sub(licenses.NUMBERING.replace("(?md)", "(?m)"), " ", text)
         text = " ".join(re.findall("[a-z0-9]+", text))
         for old, new in licenses.SPELLINGS:
             text = text.replace(old, new)

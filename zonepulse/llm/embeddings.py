@@ -6,8 +6,8 @@ also visits every cell where a link partner might live: if u's nearest centroid
 is c and v lies within chord r of u, then v.(c' - c) <= r |c' - c| for v's nearest
 centroid c'. So the cells lose no link, and clustered vectors visit few cells.
 
-The first level has at most FIRST_CELLS cells of a dimension, and each cell of more
-than REFINE of the rows aimed at is divided again by centroids of its own, fitted on
+Labels of up to CELL_ROWS vectors are one cell. For the others the first level has at
+most FIRST_CELLS cells of a dimension, and each cell of more than REFINE of the rows aimed at is divided again by centroids of its own, fitted on
 SUB_SAMPLE of its vectors; its visitors are divided with it by the same rule. Inside
 a cell, blocks of at most BLOCK_ROWS vectors are compared by matrix products in
 double precision; a task holds two blocks and returns counts and a spanning forest
@@ -36,11 +36,12 @@ from zonepulse.llm.common import connected_components, id_type, local_components
 
 THRESHOLD = 0.98
 SAMPLE_VECTORS = 20_000
-CELL_ROWS = 1024
-BLOCK_ROWS = 1024
+#: Rows that a cell is to hold; labels of no more are one cell.
+CELL_ROWS = 4096
+BLOCK_ROWS = 2048
 FIRST_CELLS = 4096
 #: Cells of more than REFINE * cell_rows members are divided, LEVELS times at most, into SUB_CELLS each.
-REFINE, LEVELS, SUB_CELLS, SUB_SAMPLE = 16, 4, 64, 2048
+REFINE, LEVELS, SUB_CELLS, SUB_SAMPLE = 4, 4, 64, 2048
 #: Rows divided in one task, and cells whose sizes are broadcast.
 REFINE_ROWS, CELLS_BROADCAST = 8192, 100_000
 ITERATIONS = 8
@@ -81,7 +82,8 @@ def _visits(unit: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.nda
 
 
 def _fit(classes: DataFrame, sample: int, cell_rows: int, first_cells: int) -> dict[int, np.ndarray]:
-    """Centroids by dimension; dimensions whose labels are all small have one cell."""
+    """Centroids by dimension, from vectors of large labels (``large``); dimensions without any have none."""
+    classes = classes.where("large")
     sizes = classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
     out = {}
     for dim, most, n in sizes:
@@ -138,6 +140,9 @@ def links(
 
     classes: rep, label, dim, vector (array of float or double), n (copies).
     """
+    large = materialize(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cell_rows).select("label", "dim", F.lit(True).alias("large")), "large-labels")
+    large = F.broadcast(large) if large.count() <= CELLS_BROADCAST else large
+    classes = classes.join(large, ["label", "dim"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
     centers = classes.sparkSession.sparkContext.broadcast(_fit(classes, sample, cell_rows, first_cells))
     reach = 2 * math.sin(math.acos(threshold) / 2) + 1e-9
     kind = dict(classes.dtypes)
@@ -145,7 +150,8 @@ def links(
 
     def assign(batches: Iterator[pa.RecordBatch], whole_rows: bool) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            dims = np.asarray(whole.column(1))
+            # rows of small labels stand apart, as dimension 0
+            dims = np.where(np.asarray(whole.column(5).cast(pa.int8())) == 1, np.asarray(whole.column(1)), 0)
             for dim in np.unique(dims):
                 for at in range(0, whole.num_rows, 2048):
                     batch = whole.slice(at, 2048).filter(pa.array(dims[at : at + 2048] == dim))
@@ -164,7 +170,7 @@ def links(
                         columns, names = [*columns, taken.column(2), taken.column(3), taken.column(4)], [*names, "rep", "n", "vector"]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = classes.select("label", F.col("dim").cast("int"), "rep", "n", "vector")
+    rows = classes.select("label", F.col("dim").cast("int"), "rep", "n", "vector", "large")
     blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
 
     def sized(cells: DataFrame) -> DataFrame:

@@ -34,17 +34,18 @@ SPELLINGS = [
     ("merchantibility", "merchantability"),
     ("https", "http"),
 ]
-#: A line that states a copyright and is no clause of a licence.
-COPYRIGHT_LINE = r"(?md)^[ \t#*/;%-]*(copyright|©|\(c\)|all rights reserved)([ \t,:]*(copyright|©|\(c\)|[0-9]{4})[^\n]*|[ \t.]*)$"
+#: What is dropped at the start of a line: a whole line that states a copyright and is
+#: no clause of a licence, or the number or letter of a clause.
+_COPYRIGHT = r"(?:copyright|©|\(c\)|all rights reserved)(?:[ \t,:]*(?:copyright|©|\(c\)|[0-9]{4})[^\n]*|[ \t.]*)$"
+_NUMBER = r"(?:\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
+LINE_STARTS = rf"(?md)^(?:[ \t#*/;%-]*{_COPYRIGHT}|[ \t]*{_NUMBER})"
 #: Lines before the text that name the licence, its version or its address, or are empty; something follows.
 _TITLE = r"[^a-z0-9\n]*(?:[a-z0-9.+\"'()/,-]+[ \t]+){0,8}(?:un)?licen[sc]e(?:[ \t]+\([^\n)]*\))?(?:[,: \t-]*v(?:ersion)?\.?[ \t]*[0-9.]+[^\n]{0,40})?[^a-z0-9\n]*"
 _VERSION = r"[^a-z0-9\n]*version[ \t]+[0-9][^\n]{0,40}"
 _ADDRESS = r"[ \t<]*https?://[^ \t\n]+[ \t]*"
 FRONT = rf"\A(?:(?:{_TITLE}|{_VERSION}|{_ADDRESS}|[^a-z0-9\n]*)\n)+([\s\S]*[a-z0-9])"
-#: Numbers and letters of clauses at the start of a line.
-NUMBERING = r"(?md)^[ \t]*(?:\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
 #: Runs of anything else, but for the single space that stays.
-JUNK = r" *[^a-z0-9 ][^a-z0-9]*| {2,}"
+JUNK = r"[^a-z0-9]{2,}|[^a-z0-9 ]"
 
 #: Texts of licences in common use, public knowledge; fixed values.
 KNOWN = {
@@ -104,8 +105,7 @@ DIGESTS = {
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text column."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.regexp_replace(F.regexp_replace(out, FRONT, "$1"), NUMBERING, " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), LINE_STARTS, " "), FRONT, "$1")
     out = F.trim(F.regexp_replace(out, JUNK, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))

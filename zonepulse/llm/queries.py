@@ -92,9 +92,8 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(column: str) -> str:
-    lines = lambda pattern: _quoted(pattern.replace("(?md)", "(?m)"))
-    out = f"regexp_replace(lower({column}), {lines(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, {_quoted(licenses.FRONT)}, '\\1'), {lines(licenses.NUMBERING)}, ' ', 'g')"
+    lines = _quoted(licenses.LINE_STARTS.replace("(?md)", "(?m)"))
+    out = f"regexp_replace(regexp_replace(lower({column}), {lines}, ' ', 'g'), {_quoted(licenses.FRONT)}, '\\1')"
     out = f"trim(regexp_replace({out}, {_quoted(licenses.JUNK)}, ' ', 'g'), ' ')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
