@@ -231,3 +231,23 @@ def h17_random_draws(t: Source) -> DataFrame:
 
     rows = draws(t.spark, ["a", "b", "c"], 2000, 6.0, 0.4)
     return rows.groupBy("seed").agg(*[F.round(f(c), 4).alias(f"{c}_{n}") for c in ("normal", "gamma", "poisson", "negative_binomial") for n, f in (("mean", F.avg), ("variance", F.var_samp))])
+
+
+def _draws_sql() -> str:
+    times = lambda x, y: f"CAST((CAST({x} AS HUGEINT) * {y}) % 4294967296 AS BIGINT)"
+    seed = times(f"xor({times('xor(2166136261, 115)', 16777619)}, 48 + r_regionkey)", 16777619)
+    steps = f"""
+w AS (SELECT r_regionkey, {seed} AS seed FROM region), k AS (SELECT *, unnest(generate_series(1, 400)) AS k FROM w),
+a AS (SELECT *, (seed + k * 1831565813) % 4294967296 AS a FROM k), b AS (SELECT *, {times("xor(a, a >> 15)", "(a | 1)")} AS b FROM a),
+c AS (SELECT *, xor(b, (b + {times("xor(b, b >> 7)", "(b | 61)")}) % 4294967296) AS c FROM b), u AS (SELECT seed, r_regionkey, k, xor(c, c >> 14) / 4294967296.0 AS u FROM c)"""
+    return steps + " SELECT x.r_regionkey, x.seed, CAST((x.k + 1) // 2 AS INT) AS k, CAST(round(x.u, 9) AS DOUBLE) AS first, CAST(round(y.u, 9) AS DOUBLE) AS second, CAST(round(sqrt(-2 * ln(greatest(x.u, 1e-12))) * cos(2 * pi() * greatest(y.u, 1e-12)), 6) AS DOUBLE) AS normal FROM u x JOIN u y ON x.r_regionkey = y.r_regionkey AND y.k = x.k + 1 WHERE x.k % 2 = 1"
+
+
+@query("zones", _draws_sql())
+def h17_seeded_streams(t: Source) -> DataFrame:
+    """Pairs of each seed's stream and the normal number they make."""
+    from zonepulse.functions.draws import normal, seed_of, uniform
+
+    rows = t.region.select("r_regionkey", seed_of(F.concat(F.lit("s"), F.col("r_regionkey").cast("string"))).alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("k"))
+    seed, k = F.col("seed"), F.col("k")
+    return rows.select("r_regionkey", "seed", "k", F.round(uniform(seed, 2 * k - 1), 9).alias("first"), F.round(uniform(seed, 2 * k), 9).alias("second"), F.round(normal(seed, k), 6).alias("normal"))

@@ -11,6 +11,7 @@ from zonepulse.functions.text import norm_name
 from zonepulse.operators import asof, keys, mobility
 from zonepulse.operators.assess import capital_assessment
 from zonepulse.plans.registry import Source, query
+from zonepulse.sources.shared import materialize
 
 MONTH, DAY = "2000-06", "2000-06-30"
 MAJOR = ["NATION_1", "NATION_4", "NATION_9", "NATION_12"]
@@ -39,6 +40,11 @@ def _affected(t: Source) -> DataFrame:
     return mobility.affected_origins(t.cases.where(F.col("date") == F.lit(DAY).cast("date")), t.zones)
 
 
+def _affected_once(t: Source) -> DataFrame:
+    """The affected zones, written once for queries that read them in several places."""
+    return materialize(_affected(t), "affected")
+
+
 def _month(t: Source) -> DataFrame:
     return t.flows_of(MONTH)
 
@@ -47,6 +53,11 @@ def _scored(t: Source) -> DataFrame:
     return mobility.universe(t.zones, mobility.weighted(_month(t), _affected(t)))
 
 
+def _scored_once(t: Source) -> DataFrame:
+    """A score a zone, written once for queries whose classes or shares need all of them first."""
+    return materialize(_scored(t), "scored")
+
+
 @query("zones flows cases", SCORED + " SELECT row_number() OVER (ORDER BY score DESC, zone_id) AS rank, zone_id, zone_name, score, incoming FROM scored ORDER BY score DESC, zone_id LIMIT 12")
 def weighted_risk_topn(t: Source) -> DataFrame:
     return mobility.top(_scored(t), "score", 12).select("rank", "zone_id", "zone_name", "score", "incoming")
@@ -77,7 +88,7 @@ def b3_selected_flows(t: Source) -> DataFrame:
     UNION ALL SELECT 'fallback', zone_id FROM zones WHERE category = 'kinshasa'""",
 )
 def b4_origin_sets(t: Source) -> DataFrame:
-    a = _affected(t)
+    a = _affected_once(t)
     sets = {
         "all_affected": mobility.origin_set(a),
         "major": mobility.origin_set(a, "major", major=MAJOR),
@@ -124,7 +135,7 @@ def c3_two_key_join(t: Source) -> DataFrame:
 
 @query("zones flows cases population", SCORED + " SELECT s.zone_id, s.zone_name, score, incoming, coalesce(population, 0) AS population, a.zone_id IS NOT NULL AS is_outbreak FROM scored s LEFT JOIN population p ON s.zone_id = p.zone_id LEFT JOIN affected a ON s.zone_id = a.zone_id")
 def c4_universe(t: Source) -> DataFrame:
-    a = _affected(t)
+    a = _affected_once(t)
     return mobility.universe(t.zones, mobility.weighted(_month(t), a), t.population, a).select("zone_id", "zone_name", "score", "incoming", "population", "is_outbreak")
 
 
@@ -281,7 +292,7 @@ _CLASS = "CASE WHEN v < {0} THEN 1 WHEN v < {1} THEN 2 WHEN v < {2} THEN 3 WHEN
     UNION ALL SELECT 'rate', CAST(p_partkey AS VARCHAR), CAST(CASE WHEN v IS NULL THEN 0 ELSE {_CLASS.format(0.25, 0.50, 0.70, 0.90)} END AS INT) FROM s""",
 )
 def b10_class_buckets(t: Source) -> DataFrame:
-    scored = _scored(t)
+    scored = _scored_once(t)
     out = mobility.classed(scored, "score", mobility.breaks(scored, "score")).select(F.lit("score").alias("kind"), F.col("zone_id").alias("key"), "class")
     wealth = mobility.classed(t.wealth, "rwi", mobility.breaks(t.wealth, "rwi", positive=False), positive=False)
     out = out.unionByName(wealth.select(F.lit("wealth").alias("kind"), F.col("zone_id").alias("key"), "class"))
@@ -293,7 +304,7 @@ def b10_class_buckets(t: Source) -> DataFrame:
 
 @query("zones flows cases", SCORED + " SELECT zone_id, round(4 + 18 * sqrt(score / (SELECT max(score) FROM scored)), 4) AS radius FROM scored WHERE score > 0")
 def b12_bubble_radius(t: Source) -> DataFrame:
-    rows = _scored(t)
+    rows = _scored_once(t)
     scaled = rows.where("score > 0").crossJoin(F.broadcast(rows.agg(F.max("score").alias("most"))))
     return scaled.select("zone_id", F.round(4 + 18 * F.sqrt(F.col("score") / F.col("most")), 4).alias("radius"))
 
@@ -337,8 +348,8 @@ _ARRIVALS = AFFECTED + f", sums AS (SELECT destination_id, CAST(sum(movement) AS
 
 @query("zones flows cases population", _ARRIVALS + " SELECT r.zone_id, arrivals, coalesce(population, 0) AS population, a.zone_id IS NOT NULL AS is_outbreak, CAST(CASE WHEN arrivals <= 0 THEN 0 ELSE 1 + len(list_filter(q, lambda x: arrivals > x)) END AS INT) AS class FROM risk r CROSS JOIN cut LEFT JOIN population p ON r.zone_id = p.zone_id LEFT JOIN affected a ON r.zone_id = a.zone_id")
 def j2_spread_risk(t: Source) -> DataFrame:
-    a = _affected(t)
-    rows = mobility.universe(t.zones, mobility.by_destination(mobility.selected(_month(t), a)), t.population, a).withColumnRenamed("movement", "arrivals")
+    a = _affected_once(t)
+    rows = materialize(mobility.universe(t.zones, mobility.by_destination(mobility.selected(_month(t), a)), t.population, a).withColumnRenamed("movement", "arrivals"), "arrivals")
     return mobility.classed(rows, "arrivals", mobility.breaks(rows, "arrivals")).select("zone_id", "arrivals", "population", "is_outbreak", "class")
 
 
@@ -349,7 +360,7 @@ def j3_weighted_risk(t: Source) -> DataFrame:
 
 @query("zones flows cases contacts", _ADJUSTED + f", {_BREAKS} SELECT zone_id, score, round(coalesce(adjusted_score, 0), 3) AS adjusted_score, CAST(CASE WHEN coalesce(adjusted_score, 0) <= 0 THEN 0 ELSE 1 + len(list_filter(q, lambda x: adjusted_score > x)) END AS INT) AS class FROM scored LEFT JOIN adj ON zone_id = destination_id CROSS JOIN cut")
 def j4_contact_adjusted(t: Source) -> DataFrame:
-    rows = mobility.universe(t.zones, mobility.adjusted(_month(t), _affected(t), t.contacts, DAY))
+    rows = materialize(mobility.universe(t.zones, mobility.adjusted(_month(t), _affected(t), t.contacts, DAY)), "adjusted")
     return mobility.classed(rows, "adjusted_score", mobility.breaks(rows, "score")).select("zone_id", "score", F.round("adjusted_score", 3).alias("adjusted_score"), "class")
 
 
@@ -447,7 +458,7 @@ FROM (SELECT coalesce(sum(a) FILTER (WHERE own) / nullif(sum(a), 0), 0) AS share
 @query("zones flows cases air_rules", _AIR + " UNION ALL ".join(_CAPITAL.format(c) for c in ("kinshasa", "africa")))
 def k14_capital_assessment(t: Source) -> DataFrame:
     """For a capital without local cases and for one whose province has some."""
-    rows, today = mobility.air_adjusted(_scored(t), t.air_rules), t.cases.where(F.col("date") == F.lit(DAY).cast("date"))
+    rows, today = mobility.air_adjusted(_scored_once(t), t.air_rules), t.cases.where(F.col("date") == F.lit(DAY).cast("date"))
     out = None
     for capital in ("kinshasa", "africa"):
         part = capital_assessment(rows, today, capital).select(F.lit(capital).alias("capital"), "cases", F.round("share", 6).alias("share"), "destinations", "level")
