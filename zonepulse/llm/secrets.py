@@ -49,7 +49,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from zonepulse.llm.common import id_type, materialize, text_slices
 
@@ -280,19 +279,20 @@ def learn(docs: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TE
         pairs = [(k, *place(v)) for k in kinds for v in found[k] if len(v) <= SAMPLE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "hash", "value"])
 
-    values = materialize(drawn.mapInArrow(gather, "kind string, hash long, value string"), "credentials")
-    # hashes are uniform: of a kind with many strings only those below thrice the needed share can be among the first
-    sizes = {r[0]: r[1] for r in values.groupBy("kind").agg(F.approx_count_distinct("hash", 0.05)).collect()}
-    limits = {k: min((1 << 63) - 1, (1 << 63) * 3 * sample_strings // max(n, 1)) for k, n in sizes.items()}
-    if limits:
-        limit = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
-        values = values.where(F.col("hash") <= F.element_at(limit, F.col("kind")))
-    values = values.distinct()
-    first = F.row_number().over(W.partitionBy("kind").orderBy("hash", "value"))
+    values = materialize(drawn.mapInArrow(gather, "kind string, hash long, value string").distinct(), "credentials")
+    sizes = {r[0]: r[1] for r in values.groupBy("kind").count().collect()}
+    # of a kind with many strings those up to a quantile that lies well behind the last one needed
+    many = {k: 3 * sample_strings / n for k, n in sizes.items() if n > 3 * sample_strings}
+    if many:
+        cuts = values.agg(*[F.percentile_approx(F.when(F.col("kind") == k, F.col("hash")), share, 10_000).alias(k) for k, share in sorted(many.items())]).first().asDict()
+        limit = F.create_map(*[F.lit(x) for kv in sorted(cuts.items()) for x in kv])
+        values = values.where(F.col("hash") <= F.coalesce(F.try_element_at(limit, F.col("kind")), F.lit((1 << 63) - 1)))
     by: dict[str, list[str]] = {kind: [] for kind in kinds}
     held = dict.fromkeys(kinds, 0)
-    for kind, value in values.withColumn("place", first).where(F.col("place") <= sample_strings).orderBy("kind", "place").select("kind", "value").collect():
-        if held[kind] + len(value) <= SAMPLE_CHARS:
+    seen = Counter()
+    for kind, _, value in sorted(map(tuple, values.select("kind", "hash", "value").toLocalIterator())):
+        seen[kind] += 1
+        if seen[kind] <= sample_strings and held[kind] + len(value) <= SAMPLE_CHARS:
             held[kind] += len(value)
             by[kind].append(value)
     return Grammar({k: by[k] for k in KINDS[:3]}, by["auto"], by["word"])
