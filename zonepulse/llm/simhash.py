@@ -55,8 +55,8 @@ WIDE, RADIUS_WIDE, SHINGLE_WIDE = 4, 44, 5
 WIDE_ROWS, KEY_ROWS, KEY_BITS, RECALL = 16_384, 1024, 12, 0.9
 #: Tables of at most so many hot keys are broadcast.
 HOT_KEYS = 100_000
-#: (query, word) pairs compared at once
-PAIRS_AT_ONCE = 1 << 17
+#: (query, word) pairs compared at once, and rows whose planes are held, but for larger blocks.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 15, 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -214,7 +214,7 @@ def _compare_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
         words = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(fp), -1) if pa.types.is_binary(fp.type) or pa.types.is_large_binary(fp.type) else np.asarray(fp).view(np.uint64).reshape(-1, 1)
         kept.append((*(np.asarray(batch.column(k)) for k in range(4)), words))
         rows += batch.num_rows
-        if rows < 1 << 16:
+        if rows < ROWS_AT_ONCE:
             continue
         whole = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
         other = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
