@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Bytes of text that are cut and encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: White space other than single spaces and newlines, code points on which
 #: libraries disagree about being white space, and the mark of a text's start.
 _ODD = r"[ \n]{2}|[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
