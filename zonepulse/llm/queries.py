@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepulse.llm import decontaminate, embeddings, html_text, langid, licenses, packing, secrets, simhash, token_records, warc
+from zonepulse.llm import chunk_bpe, decontaminate, elkan, embeddings, filter_audit, html_text, langid, licenses, packing, secrets, simhash, token_records, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,9 +78,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_html_text, op3_secrets, op4_decontaminate, op5_pack, op6_warc, op7_licenses, op8_embedding_dedup, op9_token_records, op10_simhash)
+    for f in (op1_language_id, op2_html_text, op3_secrets, op4_decontaminate, op5_pack, op6_warc, op7_licenses, op8_embedding_dedup, op9_token_records, op10_simhash, op11_chunk_bpe, op12_filter_audit, op13_elkan)
 }
 
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,9 +159,55 @@ counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
+_AUDIT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+  100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM d LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+sets AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+  count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS letter, substr(filter_order, 1, k - 1) AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+seen AS (SELECT *, contains(fails, letter) AS own, len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS gone FROM sets, steps),
+counts AS (SELECT part, filter_order, step, letter,
+  sum(CASE WHEN NOT gone AND NOT own THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counts"""
+
+
+def _clusters_sql() -> str:
+    parts = [f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = {elkan.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM v QUALIFY c < {elkan.K})"""]
+    for k in range(elkan.ROUNDS + 1):
+        parts.append(f"""
+    d{k} AS (SELECT vec_id, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d, v FROM v, c{k}),
+    a{k} AS (SELECT vec_id, v, c, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if k < elkan.ROUNDS:
+            parts.append(f"""
+    s{k} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY c, i),
+    m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS m FROM s{k} GROUP BY c),
+    c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} ON c{k}.c = m{k}.c)""")
+    last = elkan.ROUNDS
+    return ",".join(parts) + f"""
+    SELECT vec_id, CAST(a{last}.c AS INTEGER) AS "cluster", CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{last}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c{last}.m, ',')) AS centroid_sha256
+    FROM a{last} JOIN c{last} ON a{last}.c = c{last}.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": _CONTAMINATION_SQL,
     "op6_warc": _WARC_SQL,
     "op7_licenses": _licenses_sql(),
     "op8_embedding_dedup": _EMBEDDING_SQL,
+    "op12_filter_audit": _AUDIT_SQL,
+    "op13_elkan": _clusters_sql(),
 }
