@@ -44,6 +44,27 @@ def c16_record_lookup(t: Source) -> DataFrame:
     return asof.latest_or_last(t.reports, "date", "2024-01-20").select("report_no", "date", "cumulative")
 
 
+@query("reports", "e AS (SELECT event_id, ts FROM events WHERE event_type = 'error'), m AS (SELECT e.event_id, r.report_no, r.cumulative, r.date FROM e ASOF LEFT JOIN reports r ON e.ts >= CAST(r.date AS TIMESTAMP)) SELECT event_id, report_no, cumulative FROM m")
+def c16_record_of_every_row(t: Source) -> DataFrame:
+    """Every error event with the report that was the latest at its time: no key, so all rows are one hot key."""
+    found = asof.asof_join(t.events.where("event_type = 'error'").select("event_id", "ts"), t.reports.select("date", "report_no", "cumulative"), [], "ts", "date")
+    return found.select("event_id", "matched.report_no", "matched.cumulative")
+
+
+@query(
+    "cases",
+    "k AS (SELECT *, coalesce(zone_id, lower(health_zone) || '|' || lower(province)) AS k FROM cases), f AS (SELECT k, min_by(confirmed_cases, date) AS c, min_by(confirmed_deaths, date) AS e FROM k GROUP BY 1), "
+    "m AS (SELECT a.date, a.health_zone, a.k, a.confirmed_cases, a.confirmed_deaths, b.confirmed_cases AS bc, b.confirmed_deaths AS be FROM k a ASOF LEFT JOIN k b ON a.k = b.k AND a.date - 7 >= b.date) "
+    "SELECT date, health_zone, greatest(0, confirmed_cases - coalesce(bc, c)) AS recent_cases, greatest(0, confirmed_deaths - coalesce(be, e)) AS recent_deaths FROM m LEFT JOIN f USING (k)",
+)
+def c12_increase_every_row(t: Source) -> DataFrame:
+    """Every case row's increase since its zone's latest row at least seven days older, or the first."""
+    keyed = t.cases.withColumn("__zone", F.coalesce("zone_id", F.concat_ws("|", F.lower("health_zone"), F.lower("province")))).withColumn("until", F.date_sub("date", 7))
+    found = asof.asof_join(keyed, keyed.select("__zone", "date", "confirmed_cases", "confirmed_deaths"), ["__zone"], "until", "date", else_first=True)
+    up = lambda c: F.greatest(F.lit(0), F.col(c) - F.col(f"matched.{c}"))
+    return found.select("date", "health_zone", up("confirmed_cases").alias("recent_cases"), up("confirmed_deaths").alias("recent_deaths"))
+
+
 @query("reports", "SELECT report_no, lag(report_no) OVER (ORDER BY date) AS previous_no, lag(cumulative) OVER (ORDER BY date) AS previous FROM reports")
 def c17_previous_report(t: Source) -> DataFrame:
     w = W.orderBy("date")

@@ -162,6 +162,28 @@ def c9_asof_contact(t: Source) -> DataFrame:
     return asof.latest_or_first(t.contacts, ["province"], "date", "2000-05-15").select("province", "date", "seen")
 
 
+_CONTACT_ASOF = "m AS (SELECT c.*, k.date AS contact_date, k.seen, k.under_followup FROM cases c ASOF LEFT JOIN contacts k ON c.province = k.province AND c.date >= k.date), f AS (SELECT province, min(date) AS d, min_by(seen, date) AS s, min_by(under_followup, date) AS u FROM contacts GROUP BY 1)"
+
+
+@query("cases contacts", _CONTACT_ASOF + " SELECT date, province, health_zone, confirmed_cases, coalesce(contact_date, d) AS contact_date, coalesce(seen, s) AS seen, coalesce(under_followup, u) AS under_followup FROM m LEFT JOIN f USING (province)")
+def c9_asof_every_row(t: Source) -> DataFrame:
+    """Every case row with the latest contact row of its province, or its first where none is that old."""
+    found = asof.asof_join(t.cases, t.contacts, ["province"], "date", "date", else_first=True)
+    return found.select("date", "province", "health_zone", "confirmed_cases", F.col("matched.date").alias("contact_date"), "matched.seen", "matched.under_followup")
+
+
+@query(
+    "flows",
+    "e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS seen_id, user_id, ts AS seen_ts FROM events WHERE event_type = 'view'), "
+    "m AS (SELECT e.event_id, e.user_id, seen_ts FROM e ASOF LEFT JOIN (SELECT user_id, seen_ts FROM v GROUP BY ALL) v ON e.user_id = v.user_id AND e.ts >= v.seen_ts), n AS (SELECT user_id, seen_ts, max(seen_id) AS seen_id FROM v GROUP BY ALL) SELECT event_id, m.user_id, seen_id FROM m LEFT JOIN n USING (user_id, seen_ts)",
+)
+def c9_asof_events(t: Source) -> DataFrame:
+    """Every purchase with the user's last view before it, the greatest id of those of one instant."""
+    of = lambda kind: t.events.where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    found = asof.asof_join(of("purchase"), of("view"), ["user_id"], "ts", "ts", order=["event_id"])
+    return found.select("event_id", "user_id", F.col("matched.event_id").alias("seen_id"))
+
+
 @query(
     "zones flows cases air_rules",
     SCORED
