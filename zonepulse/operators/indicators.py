@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonepulse.functions.numbers import clamp
-from zonepulse.operators.asof import latest_metric
 
 TARGET = 0.95
 #: Metrics that are averaged over provinces; all others are summed. Fixed values.
 RATES = ["contact_followup_rate", "alert_investigation_rate", "poe_screening_coverage"]
 
 
-def with_fallback(rows: DataFrame, metric: str, day: datetime.date | str, province: str) -> DataFrame:
-    """The province's latest value, else the latest of any level; source_level says which."""
-    own = latest_metric(rows, metric, day, province=province).withColumn("__k", F.lit(1))
-    other = latest_metric(rows, metric, day).withColumn("__k", F.lit(2))
-    both = own.unionByName(other).where("value is not null")
-    return both.agg(F.min_by(F.struct("date", "source_level", "value"), "__k").alias("r")).select(F.lit(province).alias("province"), "r.*")
+def latest_values(rows: DataFrame, metrics: list[str], day: datetime.date | str, places: DataFrame | None = None) -> DataFrame:
+    """(province, then a struct of value and source_level for each metric) up to the day.
+
+    A province's value is the latest of its own rows of level province, else the latest of
+    any row; ties go to the last in file order; no value is a null struct. One pass gives
+    all metrics. places (province) adds provinces that have no rows.
+    """
+    held = rows.where(F.col("date") <= F.lit(day).cast("date"))
+    told = lambda m: F.struct("date", "pos", F.col(m).cast("double").alias("value"), F.col("admin_level").alias("source_level"))
+    latest = held.groupBy("province", (F.col("admin_level") == "province").alias("__own")).agg(*[F.max(F.when(F.col(m).isNotNull(), told(m))).alias(m) for m in metrics])
+    own = latest.where("__own").drop("__own")
+    # one row: the latest of all provinces
+    anyone = latest.agg(*[F.max(m).alias(f"__{m}") for m in metrics])
+    names = rows.select("province") if places is None else rows.select("province").unionByName(places.select("province"))
+    found = names.distinct().join(own, "province", "left").crossJoin(F.broadcast(anyone))
+    return found.select("province", *[F.coalesce(m, f"__{m}").alias(m) for m in metrics])
 
 
 def timeline(rows: DataFrame, metric: str) -> DataFrame:
@@ -38,7 +47,8 @@ def contact_gap(value, target: float = TARGET):
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), target - value))
 
 
-def intensity(columns: list[str]):
+def intensity(columns: list[Column | str]):
     """Mean of the available indicators, each clamped to 0..1; null if there are none."""
-    held = F.filter(F.array(*[clamp(F.col(c).cast("double"), 0.0, 1.0) for c in columns]), lambda x: x.isNotNull())
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    held = F.filter(F.array(*[clamp(column(c).cast("double"), 0.0, 1.0) for c in columns]), lambda x: x.isNotNull())
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(held), F.lit(0)))

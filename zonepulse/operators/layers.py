@@ -52,13 +52,13 @@ def forecast(found: DataFrame, recent: int = 3) -> DataFrame:
     return found.join(ahead.withColumnRenamed("__to", "month"), ["month", "destination_id"], "full_outer")
 
 
-def _row(rows: DataFrame, layer: str, place: str, value: Column, **given: Column) -> DataFrame:
+def _row(rows: DataFrame, layer: str | Column, place: str, value: Column, **given: Column) -> DataFrame:
     """Rows of one layer; columns not given are the table's own or null."""
     own = {"month": F.lit(None).cast("string"), "place_name": F.lit(None).cast("string"), "province": F.lit(None).cast("string"), "incoming": F.lit(None), "extra": F.lit(None), "is_capital": F.lit(False), "is_border": F.lit(False)} | given
     flags = {c: F.coalesce(own[c].cast("boolean"), F.lit(False)) for c in ("is_capital", "is_border")}
     numbers = {c: own[c].cast("double") for c in ("incoming", "extra")}
     own = own | flags | numbers
-    return rows.select(F.lit(layer).alias("layer"), own["month"].alias("month"), F.col(place).cast("string").alias("place"), own["place_name"].cast("string").alias("place_name"), own["province"].cast("string").alias("province"), value.cast("double").alias("value"), *[own[c].alias(c) for c in COLUMNS[6:]])
+    return rows.select((F.lit(layer) if isinstance(layer, str) else layer).alias("layer"), own["month"].alias("month"), F.col(place).cast("string").alias("place"), own["place_name"].cast("string").alias("place_name"), own["province"].cast("string").alias("province"), value.cast("double").alias("value"), *[own[c].alias(c) for c in COLUMNS[6:]])
 
 
 def flow_layers(found: DataFrame, zones: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,18 +77,19 @@ def flow_layers(found: DataFrame, zones: DataFrame, rules: DataFrame) -> DataFra
     return tall.where("x.value > 0").select("x.layer", "month", F.col("destination_id").alias("place"), F.col("zone_name").alias("place_name"), "province", "x.value", "x.incoming", "x.extra", "is_capital", "is_border")
 
 
-def projection_layers(found: DataFrame, zones: DataFrame, profile: DataFrame, fraction: float) -> DataFrame:
+def projection_layers(found: DataFrame, zones: DataFrame, profile: DataFrame, fraction: float, capital: str | None = None) -> DataFrame:
     """uganda and uganda_import rows: each month's border movement and pressure allocated to the neighbour's districts.
 
     uganda is the movement of all origins times the share that crosses, by the districts'
     weights; uganda_import the case-weighted pressure by their observed movement.
+    capital: the district whose projected movement counts as that of the capital.
     """
     border = zones.where("is_uganda_border = 1").select(F.col("zone_id").alias("destination_id"))
     base = found.join(border, "destination_id", "left_semi").groupBy("month").agg(F.sum("total").alias("__total"), F.sum("score").alias("__score"), F.sum("incoming").alias("__incoming"))
     shares = profile.crossJoin(F.broadcast(profile.agg(F.sum("weight").alias("__w"), F.sum("observed").alias("__seen"))))
     rows = base.crossJoin(F.broadcast(shares))
     known = F.try_divide("observed", "__seen")
-    out = _row(rows, "uganda", "district_id", F.col("__total") * fraction * F.try_divide("weight", "__w"), month=F.col("month"), place_name=F.col("district"), incoming=F.col("__total"))
+    out = _row(rows, "uganda", "district_id", F.col("__total") * fraction * F.try_divide("weight", "__w"), month=F.col("month"), place_name=F.col("district"), incoming=F.col("__total"), is_capital=F.col("district_id") == F.lit(capital))
     return out.unionByName(_row(rows, "uganda_import", "district_id", F.col("__score") * known, month=F.col("month"), place_name=F.col("district"), incoming=F.col("__incoming") * known, extra=known)).where("value > 0")
 
 
@@ -107,6 +108,15 @@ def ranking(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("layer", F.col("rank").cast("long").alias("rank"), "place", "place_name", "value")
 
 
+def bars(rows: DataFrame, n: int) -> DataFrame:
+    """(layer, rank, place, place_name, value, extra): cases by zone, cases of affected zones beside their wealth percentile, movement by border district; the n largest of each."""
+    wealth = F.col("layer") == "rwi"
+    held = rows.where(F.col("layer").isin("cases", "uganda_border") | (wealth & (F.col("incoming") > 0)))
+    shown = held.select("layer", "place", "place_name", F.when(wealth, F.col("incoming")).otherwise(F.col("value")).alias("value"), F.when(wealth, F.col("value")).alias("extra"))
+    order = W.partitionBy("layer").orderBy(F.desc("value"), "place")
+    return shown.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+
+
 def trend(rows: DataFrame) -> DataFrame:
     """(layer, month, total, top, capital, border) of each layer and month; densities are people by area."""
     dense = F.col("layer") == "density"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -280,27 +280,37 @@ def d15_response_intensity(t: Source) -> DataFrame:
     return t.indicators.select("date", "province", F.round(indicators.intensity(indicators.RATES), 4).alias("intensity"))
 
 
-_LATEST = "SELECT p.province, coalesce(o.value, a.value) AS value, coalesce(o.level, a.level) AS source_level FROM (SELECT DISTINCT province FROM indicators UNION SELECT 'P9') p LEFT JOIN (SELECT province, max_by({0}, struct_pack(d := date, p := pos)) AS value, max_by(admin_level, struct_pack(d := date, p := pos)) AS level FROM indicators WHERE {0} IS NOT NULL AND date <= DATE '2024-01-21' GROUP BY 1) o USING (province) CROSS JOIN (SELECT max_by({0}, struct_pack(d := date, p := pos)) AS value, max_by(admin_level, struct_pack(d := date, p := pos)) AS level FROM indicators WHERE {0} IS NOT NULL AND date <= DATE '2024-01-21') a"
+_UNTIL = "2024-01-21"
+_LATEST = (
+    "SELECT p.province, coalesce(o.value, a.value) AS value, coalesce(o.level, a.level) AS source_level FROM (SELECT DISTINCT province FROM indicators UNION SELECT 'P9') p "
+    f"LEFT JOIN (SELECT province, max_by({{0}}, struct_pack(d := date, p := pos)) AS value, max_by(admin_level, struct_pack(d := date, p := pos)) AS level FROM indicators WHERE admin_level = 'province' AND {{0}} IS NOT NULL AND date <= DATE '{_UNTIL}' GROUP BY 1) o USING (province) "
+    f"CROSS JOIN (SELECT max_by({{0}}, struct_pack(d := date, p := pos)) AS value, max_by(admin_level, struct_pack(d := date, p := pos)) AS level FROM indicators WHERE {{0}} IS NOT NULL AND date <= DATE '{_UNTIL}') a"
+)
+#: Per province the mean of the rates that it has, each of its own level or of any.
+_INTENSITY = (
+    f"SELECT province, avg(least(1, greatest(0, value))) AS value FROM ({_LATEST.format('contact_followup_rate')} UNION ALL {_LATEST.format('alert_investigation_rate')} UNION ALL {_LATEST.format('poe_screening_coverage')}) WHERE value IS NOT NULL GROUP BY 1"
+)
+
+
+def _by_province(t: Source) -> DataFrame:
+    """The latest rates of every province, and of one without rows."""
+    return indicators.latest_values(t.indicators, indicators.RATES, _UNTIL, t.spark.sql("SELECT 'P9' AS province"))
 
 
-def _by_province(t: Source, metric: str) -> DataFrame:
-    held = t.indicators.where(F.col(metric).isNotNull() & (F.col("date") <= F.lit("2024-01-21").cast("date")))
-    best = F.max_by(F.struct(F.col(metric).alias("value"), F.col("admin_level").alias("source_level")), F.struct("date", "pos")).alias("b")
-    own, anyone = held.groupBy("province").agg(best), held.agg(best.alias("a"))
-    names = t.indicators.select("province").distinct().unionByName(t.spark.sql("SELECT 'P9' AS province"))
-    rows = names.join(own, "province", "left").crossJoin(F.broadcast(anyone)).withColumn("r", F.coalesce("b", "a"))
-    return rows.select("province", "r.value", "r.source_level")
+def _rates() -> list[Column]:
+    return [F.col(f"{m}.value") for m in indicators.RATES]
 
 
 @query("indicators", "SELECT province, CASE WHEN value IS NOT NULL THEN round(greatest(0, 0.95 - value), 4) END AS gap, source_level FROM (" + _LATEST.format("contact_followup_rate") + ")")
 def j12_contact_gap(t: Source) -> DataFrame:
-    rows = _by_province(t, "contact_followup_rate")
-    return rows.select("province", F.round(indicators.contact_gap(F.col("value")), 4).alias("gap"), "source_level")
+    rate = "contact_followup_rate"
+    return _by_province(t).select("province", F.round(indicators.contact_gap(F.col(f"{rate}.value")), 4).alias("gap"), f"{rate}.source_level")
 
 
-@query("indicators", "SELECT province, round(least(1, greatest(0, value)), 4) AS intensity FROM (" + _LATEST.format("poe_screening_coverage") + ")")
+@query("indicators", f"SELECT province, round(value, 4) AS intensity FROM ({_INTENSITY})")
 def j13_response_intensity(t: Source) -> DataFrame:
-    return _by_province(t, "poe_screening_coverage").select("province", F.round(clamp(F.col("value"), 0.0, 1.0), 4).alias("intensity"))
+    """Mean of contact follow-up, alert investigation and screening, each with its own fallback."""
+    return _by_province(t).select("province", F.round(indicators.intensity(_rates()), 4).alias("intensity")).where("intensity is not null")
 
 
 @query("indicators", " UNION ALL ".join(_TIMELINE.format(*m) for m in _METRICS) + " UNION ALL SELECT 'contact_gap', date, round(greatest(0, 0.95 - v), 4) FROM (SELECT date, coalesce(max_by(contact_followup_rate, pos) FILTER (WHERE admin_level = 'national' AND contact_followup_rate IS NOT NULL), avg(contact_followup_rate) FILTER (WHERE admin_level <> 'national')) AS v FROM indicators WHERE contact_followup_rate IS NOT NULL GROUP BY date)")

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonepulse.operators import indicators, layers, stats
-from zonepulse.plans.epidemiology import _LATEST, _PERCENTILE, _by_province
+from zonepulse.plans.epidemiology import _INTENSITY, _LATEST, _PERCENTILE, _by_province, _rates
 from zonepulse.plans.mobility import AFFECTED, DAY, MONTH, MULTIPLIER, _affected
 from zonepulse.plans.registry import Source, query
 from zonepulse.sources.shared import materialize
 
 FRACTION = 0.15
+#: The neighbour's district whose part a trend shows on its own.
+CAPITAL = "u3"
 TABLES = "zones flows cases contacts air_rules profile population"
 
 _FLOW_ROWS = (
@@ -43,7 +45,7 @@ tall AS (
   UNION ALL SELECT 'movement', month, destination_id, zone_name, total, total, NULL, is_capital, is_border FROM flagged WHERE total > 0
   UNION ALL SELECT 'uganda', month, district_id, district, total * """
     + f"{FRACTION}"
-    + f""" * w, total, NULL, false, false FROM base, shares WHERE total * w > 0
+    + f""" * w, total, NULL, district_id = '{CAPITAL}', false FROM base, shares WHERE total * w > 0
   UNION ALL SELECT 'uganda_import', month, district_id, district, score * seen, incoming * seen, seen, false, false FROM base, shares WHERE score * seen > 0
   UNION ALL SELECT 'population', '{MONTH}', zone_id, zone_name, population, population, CASE WHEN hit THEN 1 ELSE 0 END, is_capital, is_border FROM people
   UNION ALL SELECT 'density', '{MONTH}', zone_id, zone_name, population / area_km2, population, area_km2, is_capital, is_border FROM people WHERE area_km2 > 0)"""
@@ -55,7 +57,10 @@ more AS (
   SELECT 'cases' AS layer, coalesce(zone_id, health_zone) AS place, health_zone AS place_name, CAST(confirmed_cases AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS incoming, CAST(confirmed_deaths AS DOUBLE) AS extra FROM cases WHERE date = DATE '{DAY}' AND confirmed_cases > 0
   UNION ALL SELECT 'rwi', w.zone_id, z.zone_name, p, CAST(confirmed_cases AS DOUBLE), NULL FROM w LEFT JOIN zones z ON w.zone_id = z.zone_id LEFT JOIN affected a ON a.zone_id = w.zone_id WHERE p IS NOT NULL
   UNION ALL SELECT 'response_contact_gap', province, province, greatest(0, 0.95 - value), NULL, NULL FROM ({_LATEST.format("contact_followup_rate")}) WHERE value IS NOT NULL
-  UNION ALL SELECT 'response_intensity', province, province, least(1, greatest(0, value)), NULL, NULL FROM ({_LATEST.format("poe_screening_coverage")}) WHERE value IS NOT NULL
+  UNION ALL SELECT 'response_alert', province, province, value, NULL, NULL FROM ({_LATEST.format("alert_investigation_rate")}) WHERE value IS NOT NULL
+  UNION ALL SELECT 'response_poe', province, province, value, NULL, NULL FROM ({_LATEST.format("poe_screening_coverage")}) WHERE value IS NOT NULL
+  UNION ALL SELECT 'response_intensity', province, province, value, NULL, NULL FROM ({_INTENSITY})
+  UNION ALL SELECT 'uganda_points', point_id, point, observed, NULL, NULL FROM points WHERE observed > 0
   UNION ALL SELECT 'uganda_border', district_id, district, observed, NULL, NULL FROM profile WHERE observed > 0),
 shown AS (SELECT layer, place, place_name, value, incoming, extra, is_capital, is_border FROM tall WHERE month = '{MONTH}' UNION ALL SELECT layer, place, place_name, value, incoming, extra, false, false FROM more)"""
 
@@ -64,7 +69,7 @@ def _monthly(t: Source, affected: DataFrame | None = None) -> DataFrame:
     """Rows of the layers that have months; the sums over flows, a row a month and destination, are written once."""
     affected, zones = materialize(_affected(t), "affected") if affected is None else affected, t.zones
     found = layers.forecast(materialize(layers.sums(t.flows, affected, t.contacts, DAY), "layer-sums"))
-    return layers.flow_layers(found, zones, t.air_rules).unionByName(layers.projection_layers(found, zones, t.profile, FRACTION)).unionByName(layers.people_layers(zones, t.population, affected, MONTH))
+    return layers.flow_layers(found, zones, t.air_rules).unionByName(layers.projection_layers(found, zones, t.profile, FRACTION, CAPITAL)).unionByName(layers.people_layers(zones, t.population, affected, MONTH))
 
 
 def _shown(t: Source) -> DataFrame:
@@ -80,29 +85,39 @@ def _shown(t: Source) -> DataFrame:
         one(wealth, "rwi", "zone_id", F.col("percentile"), place_name=F.col("zone_name"), incoming=F.col("cases")),
         one(t.profile.where("observed > 0"), "uganda_border", "district_id", F.col("observed"), place_name=F.col("district")),
     ]
-    for layer, metric, value in (("response_contact_gap", "contact_followup_rate", indicators.contact_gap), ("response_intensity", "poe_screening_coverage", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))):
-        parts.append(one(_by_province(t, metric).where("value is not null"), layer, "province", value(F.col("value")), place_name=F.col("province")))
+    parts.append(one(t.points.where("observed > 0"), "uganda_points", "point_id", F.col("observed"), place_name=F.col("point")))
+    contact, alert, screening = _rates()
+    shown = {"response_contact_gap": indicators.contact_gap(contact), "response_alert": alert, "response_poe": screening, "response_intensity": indicators.intensity([contact, alert, screening])}
+    told = _by_province(t).select("province", F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), v.alias("value")) for k, v in shown.items()])).alias("x")).where("x.value is not null")
+    parts.append(one(told, F.col("x.layer"), "province", F.col("x.value"), place_name=F.col("province")))
     return materialize(reduce(DataFrame.unionByName, parts, _monthly(t, affected).where(F.col("month") == MONTH)), "layer-rows")
 
 
 @query(
-    TABLES + " wealth indicators",
+    TABLES + " wealth indicators points",
     _FLOW_ROWS
     + _OTHER_ROWS
     + """,
+kept AS (SELECT * REPLACE (CASE WHEN layer = 'uganda_points' THEN 'uganda_border' ELSE layer END AS layer) FROM shown WHERE layer <> 'uganda_border'),
 s AS (SELECT layer, sum(value) AS total, count(*) AS places, coalesce(sum(incoming), 0) AS incoming, coalesce(sum(CASE WHEN layer = 'population' THEN extra * value ELSE extra END), 0) AS extra, coalesce(sum(value) FILTER (WHERE is_capital), 0) AS capital,
-  coalesce(sum(value) FILTER (WHERE is_border), 0) AS border, quantile_cont(value, 0.5) AS median FROM shown GROUP BY 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value DESC, place) AS rn FROM shown) WHERE rn = 1),
+  coalesce(sum(value) FILTER (WHERE is_border), 0) AS border, quantile_cont(value, 0.5) AS median FROM kept GROUP BY 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value DESC, place) AS rn FROM kept) WHERE rn = 1),
+district AS (SELECT * FROM shown WHERE layer = 'uganda_border' ORDER BY value DESC, place LIMIT 1),
 k AS (SELECT layer, 'total' AS kpi, CAST(total AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS name FROM s UNION ALL SELECT layer, 'places', places, NULL FROM s UNION ALL SELECT layer, 'incoming', incoming, NULL FROM s UNION ALL SELECT layer, 'extra', extra, NULL FROM s
   UNION ALL SELECT layer, 'capital', capital, NULL FROM s UNION ALL SELECT layer, 'border', border, NULL FROM s UNION ALL SELECT layer, 'capital_share', capital / greatest(total, 1), NULL FROM s UNION ALL SELECT layer, 'border_share', border / greatest(total, 1), NULL FROM s
-  UNION ALL SELECT layer, 'median', median, NULL FROM s UNION ALL SELECT layer, 'top', value, coalesce(place_name, place) FROM best)
+  UNION ALL SELECT layer, 'median', median, NULL FROM s UNION ALL SELECT layer, 'top', value, coalesce(place_name, place) FROM best UNION ALL SELECT layer, 'top_district', value, place_name FROM district)
 SELECT layer, kpi, CAST(round(value, 3) AS DOUBLE) AS value, name FROM k""",
 )
 def k2_layer_kpis(t: Source) -> DataFrame:
-    return layers.numbers(_shown(t)).select("layer", "kpi", F.round("value", 3).alias("value"), "name")
+    """The border layer counts monitoring points, and names the top district beside the top point."""
+    shown = _shown(t)
+    border = F.col("layer") == "uganda_border"
+    points = F.when(F.col("layer") == "uganda_points", F.lit("uganda_border")).otherwise(F.col("layer"))
+    district = layers.numbers(shown.where(border)).where("kpi = 'top'").withColumn("kpi", F.lit("top_district"))
+    return layers.numbers(shown.where(~border).withColumn("layer", points)).unionByName(district).select("layer", "kpi", F.round("value", 3).alias("value"), "name")
 
 
-@query(TABLES + " wealth indicators", _FLOW_ROWS + _OTHER_ROWS + " SELECT layer, rank, place, place_name, CAST(round(value, 3) AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value DESC, place) AS rank FROM shown) WHERE rank <= 12")
+@query(TABLES + " wealth indicators points", _FLOW_ROWS + _OTHER_ROWS + " SELECT layer, rank, place, place_name, CAST(round(value, 3) AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value DESC, place) AS rank FROM shown) WHERE rank <= 12")
 def k3_layer_ranking(t: Source) -> DataFrame:
     return layers.ranking(_shown(t), 12).select("layer", "rank", "place", "place_name", F.round("value", 3).alias("value"))
 
@@ -118,3 +133,15 @@ _TREND = "CASE WHEN layer = 'density' THEN coalesce(sum(incoming) {0} / sum(extr
 def k4_layer_trend(t: Source) -> DataFrame:
     rounded = [F.round(c, 3).alias(c) for c in ("total", "top", "capital", "border")]
     return layers.trend(_monthly(t)).select("layer", "month", *rounded).orderBy("layer", "month")
+
+
+@query(
+    TABLES + " wealth indicators points",
+    _FLOW_ROWS
+    + _OTHER_ROWS
+    + """, bars AS (SELECT layer, place, place_name, value, CAST(NULL AS DOUBLE) AS extra FROM shown WHERE layer IN ('cases', 'uganda_border') UNION ALL SELECT layer, place, place_name, incoming, value FROM shown WHERE layer = 'rwi' AND incoming > 0)
+    SELECT layer, rank, place, place_name, CAST(round(value, 3) AS DOUBLE) AS value, CAST(round(extra, 3) AS DOUBLE) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value DESC, place) AS rank FROM bars) WHERE rank <= 12""",
+)
+def k4_layer_bars(t: Source) -> DataFrame:
+    """What the layers without months show in a trend's place."""
+    return layers.bars(_shown(t), 12).select("layer", "rank", "place", "place_name", F.round("value", 3).alias("value"), F.round("extra", 3).alias("extra"))

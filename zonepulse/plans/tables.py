@@ -70,6 +70,10 @@ TABLES: dict[str, str] = {
     "scenarios": "SELECT * FROM (VALUES ('low', 'Low', CAST(0.05 AS DOUBLE)), ('mid', 'Middle', CAST(0.15 AS DOUBLE)), ('high', 'High', CAST(0.30 AS DOUBLE))) AS t(scenario_id, scenario_name, fraction)",
     "air_rules": "SELECT * FROM (VALUES ('category', 'kinshasa', CAST(0.6 AS DOUBLE)), ('zone_name', 'NATION_5', CAST(0.4 AS DOUBLE)), ('zone_name', 'NATION_7', CAST(0.8 AS DOUBLE)), ('category', 'uganda_border', CAST(1.0 AS DOUBLE))) AS t(match_type, match_value, air_factor)",
     "profile": "SELECT * FROM (VALUES ('u1', 'West', CAST(0.5 AS DOUBLE), CAST(400 AS BIGINT)), ('u2', 'North', CAST(0.3 AS DOUBLE), CAST(250 AS BIGINT)), ('u3', 'Capital', CAST(0.1 AS DOUBLE), CAST(0 AS BIGINT))) AS t(district_id, district, weight, observed)",
+    # monitoring points of the districts in "profile"
+    "points": """
+      SELECT concat('f', CAST(n_nationkey AS STRING)) AS point_id, n_name AS point, CASE n_nationkey % 3 WHEN 0 THEN 'u1' WHEN 1 THEN 'u2' ELSE 'u3' END AS district_id, count(*) AS observed
+      FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1, 2, 3""",
     "analog_curves": """
       SELECT event_type AS outbreak_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY date) - 1 AS INT) AS day,
         CAST(sum(n) OVER (PARTITION BY event_type ORDER BY date) AS BIGINT) AS cases
