@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from zonepulse.functions import phrases
 from zonepulse.functions.numbers import fr_float, fr_int
 from zonepulse.functions.text import english_date, french_date, norm_name, norm_spaces, number_before, number_pair, plain_words, report_number, strip_accents
 
 #: Labels of rows without a zone, and of rows that end a zone. Fixed values.
 UNASSIGNED = r"(?i)autres\s+zs|sans\s+fiche|non\s+ventil"
 CLOSING = r"(?i)^\s*(sous[ -]?total|total)\b"
-#: Rows of a total with cases, deaths and a percentage; provinces in brackets; on plain words. Fixed values.
-TABLE_TOTAL = r"\btotal ([0-9]{1,5}) ([0-9]{1,5}) [0-9]+[,.]?[0-9]* ?%"
-PROVINCE_CASES = r"ituri ?\(([0-9]+) cas\).*?nord[- ]kivu ?\(([0-9]+) cas\).*?sud[- ]kivu ?\(([0-9]+) cas\)"
-#: Phrases with the national number of cases and of deaths, asked in this order, on plain words. Fixed values.
-CASE_PHRASES = [
-    r"cumul des cas confirmes? s'?eleve a ([0-9]+) cas",
-    r"le cumul des cas confirmes\b.*?([0-9]+) cas",
-    r"cumul cas confirmes? ?[:-]? ?([0-9]+)",
-    r"([0-9]+) cumul cas confirmes",
-    r"([0-9]+) cas confirmes? dont",
-]
-DEATH_PHRASES = [
-    r"cumul (?:des? )?deces parmi les confirmes?.{0,80}?([0-9]+)(?= |\()",
-    r"([0-9]+) ?\([0-9]+[,.]?[0-9]*%\) ?taux de suivi",
-    r"cumul de deces est ([0-9]+)",
-    r"([0-9]+) deces confirmes",
-]
+#: How reports say the national numbers of cases and of deaths, in plain words and in the order in which they are asked. Fixed values.
+TOTAL_ROW = "total #5 #5 %"
+PROVINCE_ROW = "ituri ( # cas ) ... nord kivu ( # cas ) ... sud kivu ( # cas )"
+CASES = ["cumul des cas confirme s'eleve a # cas", "le cumul des cas confirme ... # cas", "cumul cas confirme : #", "# cumul cas confirme", "# cas confirme dont"]
+DEATHS = ["cumul [ de ] deces parmi les confirme ...80 # _", "cumul [ des ] deces parmi les confirme ...80 # _", "# ( % ) taux de suivi", "cumul de deces est #", "# deces confirme"]
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,25 +64,25 @@ def prose_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.name", F.col("x.n").cast("int").alias("n"))
 
 
-def _plausible_match(words: Column, phrases: list[str], least: int, most: int) -> Column:
-    """The number of the first phrase that gives one from ``least`` to below ``most``."""
-    found = [F.nullif(F.regexp_extract(words, p, 1), F.lit("")).try_cast("long") for p in phrases]
-    return F.coalesce(*[F.when((n >= least) & (n < most), n) for n in found])
+def _plausible(found: list[Column], least: int, most: int) -> Column:
+    """The first number from ``least`` to below ``most``."""
+    whole = [x.try_cast("long") for x in found]
+    return F.coalesce(*[F.when((n >= least) & (n < most), n) for n in whole])
 
 
 def national_cases(text: Column, most: int = 10_000) -> Column:
     """Confirmed cases of a report: the table's total, else the sum of the three provinces, else the prose."""
+    # a province's name is written with a dash or a space
     words = plain_words(text)
-    part = lambda k: F.nullif(F.regexp_extract(words, PROVINCE_CASES, k), F.lit("")).try_cast("long")
-    table = F.nullif(F.regexp_extract(words, TABLE_TOTAL, 1), F.lit("")).try_cast("long")
-    return F.coalesce(table, part(1) + part(2) + part(3), _plausible_match(words, CASE_PHRASES, 1, most))
+    row = F.replace(words, F.lit("-"), F.lit(" "))
+    parts = [phrases.said(row, PROVINCE_ROW, k).try_cast("long") for k in (1, 2, 3)]
+    return F.coalesce(phrases.said(words, TOTAL_ROW).try_cast("long"), parts[0] + parts[1] + parts[2], _plausible(phrases.first_of(words, CASES), 1, most))
 
 
 def national_deaths(text: Column, most: int = 10_000) -> Column:
     """Confirmed deaths of a report: the table's total, else the prose."""
     words = plain_words(text)
-    table = F.nullif(F.regexp_extract(words, TABLE_TOTAL, 2), F.lit("")).try_cast("long")
-    return F.coalesce(table, _plausible_match(words, DEATH_PHRASES, 0, most))
+    return F.coalesce(phrases.said(words, TOTAL_ROW, 2).try_cast("long"), _plausible(phrases.first_of(words, DEATHS), 0, most))
 
 
 def snapshot(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,13 +120,24 @@ def stacked_header(grid: Column, depth: int) -> Column:
     return F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.array_join(F.transform(top, lambda r: F.coalesce(F.try_element_at(r, k + 1), F.lit(""))), " "))
 
 
-#: Phrases of response indicators, on plain words: a number n, a percentage p. Fixed values.
-_N, _P = r"([0-9][0-9 ]*)", r"([0-9]+[,.]?[0-9]*) ?%"
-RATE_PHRASES = [rf"taux de suivi de contacts? ?[:-]? ?{_P}", rf"taux de suivis? ?[:-]? ?{_P}", rf"contacts suivis.*?taux de suivis?.{{0,80}}?{_P}"]
-ALERTS = rf"pour la journee du [^,]+, ?{_N} alertes.*?dont {_N} ?\({_P}\) investiguees"
-SAMPLES = rf"{_N} nouveaux? echantillons?.{{0,80}}?analyses?.{{0,80}}?{_N} (?:sont )?revenus? positifs?"
-RECEIVED, ANALYSED, POSITIVE = rf"echantillons recus {_N}", rf"(?:nbre )?d'?echantillons analyses {_N}", rf"(?:nbre (?:des )?)?cas positifs? {_N}"
-PASSED, SCREENED = rf"voyageurs passes par le poe/poc {_N}", rf"voyageurs screenes {_N}(?: ?\({_P}\))?"
+def found_header(grid: Column, deepest: int = 3) -> Column:
+    """Columns of a table whose header has any depth up to ``deepest``: zone, cases, deaths and the depth.
+
+    The least depth with a zone and a case column counts; without one the greatest depth
+    with a case column; else all are 0. Depths beyond the table's rows are not asked.
+    """
+    asked = [F.when(F.size(grid) >= depth, header_columns(stacked_header(grid, depth)).withField("depth", F.lit(depth))) for depth in range(1, deepest + 1)]
+    both = [F.when((c["zone"] > 0) & (c["cases"] > 0), c) for c in asked]
+    part = [F.when(c["cases"] > 0, c) for c in reversed(asked)]
+    return F.coalesce(*both, *part, F.struct(*[F.lit(0).alias(n) for n in ("zone", "cases", "deaths", "depth")]))
+
+
+#: How reports say their response indicators, in plain words. Fixed values.
+RATES = ["taux de suivi de contact : %", "taux de suivi : %", "contact suivi ... taux de suivi ...80 %"]
+ALERTS = "pour la journee du ... , ## alerte ... dont ## ( % ) investiguee"
+SAMPLES = "## nouveau echantillon ...80 analyse ...80 ## [ sont ] revenu positif"
+RECEIVED, ANALYSED, POSITIVE = "echantillon recu ##", "d'echantillon analyse ##", "cas positif ##"
+PASSED, SCREENED = "voyageur passe par le poe/poc ##", "voyageur screene ## [ ( % ) ]"
 
 
 def response_fields(text: Column) -> Column:
@@ -146,12 +148,11 @@ def response_fields(text: Column) -> Column:
     stated one, else screened by passed.
     """
     words = plain_words(text)
-    found = lambda pattern, k=1: F.nullif(F.trim(F.regexp_extract(words, pattern, k)), F.lit(""))
-    whole = lambda pattern, k=1: fr_int(found(pattern, k))
-    share = lambda pattern, k=1: fr_float(F.concat(found(pattern, k), F.lit("%")))
-    rates = F.flatten(F.array(*[F.regexp_extract_all(words, F.lit(p), F.lit(1)) for p in RATE_PHRASES]))
-    rates = F.filter(F.transform(rates, lambda x: fr_float(F.concat(x, F.lit("%")))), lambda x: x.between(0, 1))
-    daily = F.coalesce(words.rlike(SAMPLES), F.lit(False))
+    whole = lambda phrase, k=1: fr_int(phrases.said(words, phrase, k))
+    share = lambda phrase, k=1: fr_float(F.concat(phrases.said(words, phrase, k), F.lit("%")))
+    rates = F.transform(phrases.every(words, RATES), lambda x: fr_float(F.concat(x, F.lit("%"))))
+    rates = F.filter(rates, lambda x: x.between(0, 1))
+    daily = F.coalesce(words.rlike(phrases.pattern(SAMPLES)), F.lit(False))
     some = lambda c: F.nullif(c, F.lit(0))  # noqa: E731  a count of 0 stays blank
     total, screened = some(whole(PASSED)), some(whole(SCREENED))
     return F.struct(
@@ -178,10 +179,8 @@ def chart_series(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return best.select("doc_id", F.posexplode(zipped).alias("pos", "p")).select("doc_id", "pos", "p.label", F.col("p.value").try_cast("long").alias("value"))
 
 
-#: Where documents hide in a page: absolute, relative, as a named value, in a data attribute. Fixed values.
-_END = r"[^\"'<>\s)]"
-ABSOLUTE, RELATIVE = rf"(?i)(https?://{_END}+(?:\.pdf|/download/){_END}*)", rf"(?i)((?:/?wp-content/|/?download/){_END}+\.pdf{_END}*)"
-NAMED, IN_DATA = r"(?i)(?:file|src|pdf|source|url|href)\s*[:=]\s*[\"']([^\"']+)[\"']", r"(?i)data-[a-z0-9_-]*\s*=\s*[\"']([^\"']+)[\"']"
+#: Names in front of a quoted address, and folders in which documents lie. Fixed values.
+SOURCES, FOLDERS = ("file", "src", "pdf", "source", "url", "href"), ("wp-content/", "download/")
 
 
 def joined_url(url: Column, base: str) -> Column:
@@ -192,18 +191,47 @@ def joined_url(url: Column, base: str) -> Column:
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.lit(f"{scheme}:"), url)).when(url.startswith("/"), F.concat(F.lit(f"{scheme}://{host}"), url)).otherwise(F.concat(F.lit(folder), url))
 
 
+def _from(piece: Column, marks: tuple[str, ...]) -> Column:
+    """The rest of the piece from the first of the marks on, with a slash before it; null without one."""
+    low = F.lower(piece)
+    places = [F.nullif(F.locate(m, low), F.lit(0)) for m in marks]
+    at = F.least(*places) if len(places) > 1 else places[0]
+    slash = F.when(F.substring(low, at - 1, F.lit(1)) == "/", 1).otherwise(0)
+    return F.substring(piece, at - slash, F.length(piece)) if marks is FOLDERS else F.substring(piece, at, F.length(piece))
+
+
+def _quoted(page: Column) -> Column:
+    """Quoted values with the sign and the name in front: an array of (name, sign, value)."""
+    parts = F.split(page, "[\"']")
+    before = lambda k: F.regexp_replace(F.lower(F.get(parts, k - 1)), r"\s+$", "")
+    name = lambda k: F.regexp_replace(F.substring(before(k), F.lit(1), F.greatest(F.length(before(k)) - 1, F.lit(0))), r"\s+$", "")
+    rows = F.transform(parts, lambda x, k: F.struct(F.when((k > 0) & (k < F.size(parts) - 1) & (x != ""), name(k)).alias("name"), F.right(before(k), F.lit(1)).alias("sign"), x.alias("value")))
+    return F.filter(rows, lambda r: r["name"].isNotNull() & r["sign"].isin(":", "="))
+
+
 def urls(pages: DataFrame, id_col: str, text_col: str, base: str) -> DataFrame:
     """(doc_id, pos, url): documents (.pdf or /download/) that a page or script names, each at its first place.
 
-    Forms are asked in order: absolute, relative, named values, data attributes; the
-    latter two are percent-decoded first. Other schemes than the web's are left out.
+    The page is taken apart at quotes, brackets and white space. Whole addresses come
+    first, then paths into folders of documents, then quoted values behind a name that
+    says an address, then those of data attributes; the latter two are percent-decoded.
+    Other schemes than the web's are left out.
     """
-    every = lambda form: F.regexp_extract_all(text_col, F.lit(form), F.lit(1))
+    page = F.col(text_col)
+    words = F.split(page, r"[\"'<>\s)]+")
+    low = F.lower
+    # something stands between the scheme or folder and what makes it a document
+    said = lambda rest, skip, marks: functools.reduce(lambda a, b: a | b, [F.contains(low(F.substring(rest, skip, F.length(rest))), F.lit(m)) for m in marks])
+    scheme = lambda x: F.coalesce(F.length(F.regexp_extract(x, "^(?i)(https?://)", 1)), F.lit(0))
+    whole = F.filter(F.transform(words, lambda x: _from(x, ("http://", "https://"))), lambda x: x.isNotNull() & said(x, scheme(x) + 2, (".pdf", "/download/")))
+    paths = F.filter(F.transform(words, lambda x: _from(x, FOLDERS)), lambda x: x.isNotNull() & said(x, F.locate("/", F.ltrim(x, F.lit("/"))) + 2, (".pdf",)))
     # a plus sign is no space here
     decoded = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
-    document = lambda x: F.lower(x).contains(".pdf") | F.lower(x).contains("/download/")
-    values = lambda form: F.filter(F.transform(every(form), decoded), document)
-    found = F.concat(every(ABSOLUTE), *[F.transform(x, lambda u: joined_url(u, base)) for x in (every(RELATIVE), values(NAMED), values(IN_DATA))])
+    document = lambda x: F.contains(low(x), F.lit(".pdf")) | F.contains(low(x), F.lit("/download/"))
+    values = lambda test: F.filter(F.transform(F.filter(_quoted(page), test), lambda r: decoded(r["value"])), document)
+    named = values(lambda r: functools.reduce(lambda a, b: a | b, [F.endswith(r["name"], F.lit(n)) for n in SOURCES]))
+    data = values(lambda r: (r["sign"] == "=") & F.contains(F.regexp_extract(r["name"], "[a-z0-9_-]*$", 0), F.lit("data-")))
+    found = F.concat(whole, *[F.transform(x, lambda u: joined_url(u, base)) for x in (paths, named, data)])
     clean = F.transform(found, lambda u: F.trim(norm_spaces(u), F.lit("\"' ")))
     rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(clean).alias("pos", "url")).where((F.col("url") != "") & ~F.lower("url").rlike("^(?:javascript|mailto|tel):"))
     return rows.groupBy("doc_id", "url").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "url")

@@ -113,13 +113,25 @@ def b8_property_coalesce(t: Source) -> DataFrame:
     return rows.select("event_id", property_of(["x", "k"]).alias("found"))
 
 
-@query("zones", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN 0 ELSE 1 END AS zone, CASE n_nationkey % 3 WHEN 2 THEN 0 ELSE 2 END AS cases, CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS deaths FROM nation")
+_GRIDS = [
+    # header of two rows, of one, without a zone column, of three, without any, a case column in the first row and its zone in the third, one row only
+    "array(array('Province / Zone de santé', 'Cas', 'Nouveaux cas', 'Décès', 'Nouveaux décès'), array('', 'confirmés', 'confirmés', 'confirmés', 'confirmés'), array('Bunia', '1', '2', '3', '4'))",
+    "array(array('ZONE DE SANTE', 'Nbre confirmés', 'Deces parmi les confirmes'), array('Bunia', '3', '1'))",
+    "array(array('Lieu', 'cas confirmés'), array('a', 'b'))",
+    "array(array('Zone', 'Cumul', ''), array('de', 'de cas', 'Décès'), array('santé', 'confirmés', 'confirmés'), array('Aru', '5', '1'))",
+    "array(array('Zone', 'confirmés'), array('a', 'b'))",
+    "array(array('Zone', 'Cas confirmés'), array('de'), array('santé', ''))",
+    "array(array('Zone de santé', 'Cas confirmés'))",
+]
+_COLUMNS = [(1, 2, 4, 2), (1, 2, 3, 1), (0, 2, 0, 2), (1, 2, 3, 3), (0, 0, 0, 0), (1, 2, 0, 3), (1, 2, 0, 1)]
+_PICKED = ", ".join(f"CASE p_partkey % 7 {' '.join(f'WHEN {k} THEN {c[n]}' for k, c in enumerate(_COLUMNS))} END AS {name}" for n, name in enumerate(("zone", "cases", "deaths", "depth")))
+
+
+@query("zones", f"SELECT p_partkey, {_PICKED} FROM part")
 def b13_header_columns(t: Source) -> DataFrame:
-    """Column positions in stacked headers of three kinds."""
-    two = "array(array('Province / Zone de santé', 'Cas', 'Nouveaux cas', 'Décès', 'Nouveaux décès'), array('', 'confirmés', 'confirmés', 'confirmés', 'confirmés'))"
-    one = "array(array('ZONE DE SANTE', 'Nbre confirmés', 'Deces parmi les confirmes'), array('Bunia', '3', '1'))"
-    grid = t.nation.select("n_nationkey", F.expr(f"CASE n_nationkey % 3 WHEN 0 THEN {two} WHEN 1 THEN {one} ELSE array(array('Zone', 'confirmés'), array('a', 'b')) END").alias("g"))
-    return grid.select("n_nationkey", extract.header_columns(extract.stacked_header(F.col("g"), 2)).alias("c")).select("n_nationkey", "c.*")
+    """Column positions in headers of one to three rows, the least depth that shows zone and cases."""
+    grid = t.part.select("p_partkey", F.expr("CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {g}" for k, g in enumerate(_GRIDS)) + " END").alias("g"))
+    return grid.select("p_partkey", extract.found_header(F.col("g")).alias("c")).select("p_partkey", "c.*")
 
 
 @query("cases", f"a AS (SELECT health_zone, date FROM cases WHERE date = DATE '{NOW}'), b AS (SELECT health_zone FROM cases WHERE date = DATE '1995-02-28' AND confirmed_cases > 0) SELECT health_zone FROM a WHERE health_zone NOT IN (SELECT health_zone FROM b)")
