@@ -2,8 +2,9 @@
 
 A rolling hash over ``WINDOW`` bytes cuts each text where the content says so, so
 that passages shared by documents fall into the same chunks wherever they stand.
-Each distinct chunk is encoded once by the library and kept in a worker's store of
-bounded size. A cut may fall inside a word, so every join of two chunks is then
+Each distinct chunk is encoded once and kept in a worker's store of bounded size: of
+plain Latin text by words that the library has encoded before, of other text by the
+library as a whole. A cut may fall inside a word, so every join of two chunks is then
 repaired: the text from a word start before the cut to some characters behind it is
 encoded again, further and further, until one of its words begins where a word of
 the right chunk begins. Up to there the repaired ids count, from there those of the
@@ -31,7 +32,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -55,6 +58,8 @@ STARTS = 6
 #: Bytes of chunks that a worker's store holds, in two generations.
 STORE_BYTES = 24 << 20
 SLICE = 1 << 20
+#: Words whose ids a worker keeps.
+WORDS = 1 << 17
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 
@@ -108,26 +113,18 @@ def stands_alone(char: str) -> bool:
     return not jamo and unicodedata.category(char)[0] in "LNPS" and not unicodedata.combining(char) and unicodedata.is_normalized("NFC", char)
 
 
+#: Text that NFC leaves as it is, in which upper and lower case have equal lengths; and its words.
+PLAIN = re.compile("[ -~\n\r\tÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+
+
 class Chunk:
     """A piece of text with its own ids, and the word starts (character, token) at its two ends."""
 
     __slots__ = ("text", "ids", "head", "tail")
 
-    def __init__(self, text: str, encoding):
-        self.text, self.ids = text, np.array(encoding.ids, "<u4").tobytes()
-        words, offsets = encoding.word_ids, encoding.offsets
-        n = len(words)
-
-        def starts(order: range) -> list[tuple[int, int]]:
-            found = []
-            for k in order:
-                if (k == 0 or words[k] != words[k - 1] and offsets[k][0] >= offsets[k - 1][1]) and stands_alone(text[offsets[k][0]]):
-                    found.append((offsets[k][0], k))
-                    if len(found) == STARTS:
-                        break
-            return found
-
-        self.head, self.tail = starts(range(n)), starts(range(n - 1, -1, -1))
+    def __init__(self, text: str, ids: bytes, head: list[tuple[int, int]], tail: list[tuple[int, int]]):
+        self.text, self.ids, self.head, self.tail = text, ids, head, tail
 
 
 class Store:
@@ -157,6 +154,8 @@ class ChunkEncoder:
     def __init__(self, path: str, store_bytes: int = STORE_BYTES):
         from tokenizers import Tokenizer
 
+        # a task has one core: the library's idle threads would only spin on the others
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -170,11 +169,88 @@ class ChunkEncoder:
         self.mark = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = pa.array([self.tokenizer.id_to_token(k) or "" for k in range(n)], pa.large_string())
-        self.chunks, self.joins = Store(store_bytes), Store(store_bytes)
+        self.chunks, self.joins, self.words = Store(store_bytes), Store(store_bytes), {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        probes = ["héßllo", "'re", "7", "-!_`", "über"]
+        self.plain = [e.ids for e in self.tokenizer.encode_batch(probes, add_special_tokens=False)] == [np.frombuffer(self._word(w), "<u4").tolist() for w in probes]
         self.encoded = self.repaired = self.reused = 0
 
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of lower case."""
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
+
+    def _words(self, low: str) -> tuple[list[str], list[bytes]]:
+        """The words of plain text in lower case, and the ids of each."""
+        known, words = self.words, WORD.findall(low)
+        try:
+            return words, list(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > WORDS:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = self._word(w)
+            return words, list(map(known.__getitem__, words))
+
+    def _library(self, texts: list[str]) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
+        """(ids, the begin, end and first token of each word) of texts of any kind."""
+        out = []
+        for code in self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []:
+            words, last = [], None
+            for token, (word, (begin, end)) in enumerate(zip(code.word_ids, code.offsets, strict=True)):
+                if word != last:
+                    words.append((begin, end, token))
+                else:
+                    words[-1] = (words[-1][0], end, words[-1][2])
+                last = word
+            out.append((np.array(code.ids, "<u4").tobytes(), words))
+        return out
+
+    def _plain_chunk(self, text: str) -> Chunk:
+        low = text.lower()
+        words, ids = self._words(low)
+        head = [m.start() for m in itertools.islice(WORD.finditer(low), STARTS)]
+        head = list(zip(head, itertools.accumulate([len(x) // 4 for x in ids[: len(head)]], initial=0), strict=False))
+        tail, end, raw = [], len(low), b"".join(ids)
+        token = len(raw) // 4
+        for word, x in zip(words[: -STARTS - 1 : -1], ids[::-1], strict=False):
+            # behind the word there is white space alone
+            end = len(low[:end].rstrip()) - len(word)
+            token -= len(x) // 4
+            tail.append((end, token))
+        return Chunk(text, raw, head, tail)
+
+    def _made(self, texts: list[str]) -> list[Chunk]:
+        """Each text read on its own."""
+        plain = [bool(self.plain and PLAIN.fullmatch(t)) for t in texts]
+        rest = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        out = []
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                out.append(self._plain_chunk(text))
+                continue
+            ids, words = next(rest)
+            # a word that shares a character with the one before, or that NFC may join to it, is no start
+            starts = [(begin, token) for k, (begin, _, token) in enumerate(words) if (k == 0 or begin >= words[k - 1][1]) and stands_alone(text[begin])]
+            out.append(Chunk(text, ids, starts[:STARTS], starts[: -STARTS - 1 : -1]))
+        return out
+
+    def _windows(self, texts: list[str]) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
+        """(ids, the begin, end and first token of each word) of short texts."""
+        plain = [bool(self.plain and PLAIN.fullmatch(t)) for t in texts]
+        rest = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        out = []
+        for text, p in zip(texts, plain, strict=True):
+            if not p:
+                out.append(next(rest))
+                continue
+            low = text.lower()
+            _, ids = self._words(low)
+            tokens = itertools.accumulate([len(x) // 4 for x in ids], initial=0)
+            out.append((b"".join(ids), [(*m.span(), t) for m, t in zip(WORD.finditer(low), tokens, strict=False)]))
+        return out
 
     def _chunks(self, keys: list[bytes]) -> list[Chunk]:
         """The chunk of each key, encoded now if the store lacks it."""
@@ -183,8 +259,8 @@ class ChunkEncoder:
         for at in range(0, len(missing), 1024):
             part = missing[at : at + 1024]
             texts = [k.decode("utf-8", "replace") for k in part]
-            for key, text, code in zip(part, texts, self._encode(texts), strict=True):
-                found[key] = made = Chunk(text, code)
+            for key, made in zip(part, self._made(texts), strict=True):
+                found[key] = made
                 self.chunks.put(key, made, 3 * len(key) + 400)
         self.encoded += len(missing)
         self.reused += len(keys) - len(missing)
@@ -197,13 +273,9 @@ class ChunkEncoder:
         return next((s for s in a.tail if true_from[0] <= s[0] <= last), true_from)
 
     @staticmethod
-    def _agreement(code, a_chars: int, window: str, b: Chunk) -> tuple[int, int, int] | None:
+    def _agreement(words: list[tuple[int, int, int]], a_chars: int, length: int, b: Chunk) -> tuple[int, int, int] | None:
         """(token of the window, character and token of b) of the first word that begins in both."""
-        words, offsets = code.word_ids, code.offsets
-        own = {}
-        for k, (begin, _) in enumerate(offsets):
-            if begin >= a_chars and k and words[k] != words[k - 1] and offsets[k - 1][1] <= begin and begin + AHEAD <= len(window):
-                own[begin - a_chars] = k
+        own = {begin - a_chars: token for (_, end, _), (begin, _, token) in itertools.pairwise(words) if begin >= max(a_chars, end) and begin + AHEAD <= length}
         return next(((own[s], s, k) for s, k in b.head if s in own), None)
 
     def _repair(self, pairs: list[tuple]) -> None:
@@ -212,11 +284,11 @@ class ChunkEncoder:
         while rest:
             windows = [a.text[s:] + b.text[:reach] for _, a, (s, _), b in rest]
             again = []
-            for pair, window, code in zip(rest, windows, self._encode(windows), strict=True):
+            for pair, window, (ids, words) in zip(rest, windows, self._windows(windows), strict=True):
                 key, a, (s, _), b = pair
-                met = self._agreement(code, len(a.text) - s, window, b)
+                met = self._agreement(words, len(a.text) - s, len(window), b)
                 if met:
-                    join = (np.array(code.ids[: met[0]], "<u4").tobytes(), met[1:])
+                    join = (ids[: 4 * met[0]], met[1:])
                     self.joins.put(key, join, 200 + len(join[0]))
                 elif not b.head or reach >= len(b.text) or len(b.head) == STARTS and reach > 4 * (b.head[-1][0] + REACH):
                     self.joins.put(key, (None, None), 200)
@@ -251,7 +323,7 @@ class ChunkEncoder:
                 size += len(parts[k].text)
                 k += 1
             text = "".join(more)
-            a, key, true_from = Chunk(text, self._encode([text])[0]), None, (0, 0)
+            a, key, true_from = self._made([text])[0], None, (0, 0)
         out.append(a.ids[4 * true_from[1] :])
         return b"".join(out)
 
