@@ -14,11 +14,14 @@ bounded): texts of short licences and digests of long ones.
 Edge cases: a null text has a null digest and no licence; an empty one, or one of
 punctuation only, has the digest of the empty string and no licence. Several
 names for one digest are all listed, sorted. Repeated rows give repeated results.
+Texts of any length are taken whole: no pattern recurses or reads a line twice.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +42,21 @@ SPELLINGS = [
 _COPYRIGHT = r"(?:copyright|©|\(c\)|all rights reserved)(?:[ \t,:]*(?:copyright|©|\(c\)|[0-9]{4})[^\n]*|[ \t.]*)$"
 _NUMBER = r"(?:\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
 LINE_STARTS = rf"(?md)^(?:[ \t#*/;%-]*{_COPYRIGHT}|[ \t]*{_NUMBER})"
-#: Lines before the text that name the licence, its version or its address, or are empty; something follows.
-_TITLE = r"[^a-z0-9\n]*(?:[a-z0-9.+\"'()/,-]+[ \t]+){0,8}(?:un)?licen[sc]e(?:[ \t]+\([^\n)]*\))?(?:[,: \t-]*v(?:ersion)?\.?[ \t]*[0-9.]+[^\n]{0,40})?[^a-z0-9\n]*"
-_VERSION = r"[^a-z0-9\n]*version[ \t]+[0-9][^\n]{0,40}"
-_ADDRESS = r"[ \t<]*https?://[^ \t\n]+[ \t]*"
-FRONT = rf"\A(?:(?:{_TITLE}|{_VERSION}|{_ADDRESS}|[^a-z0-9\n]*)\n)+([\s\S]*[a-z0-9])"
+#: Lines before the text that name the licence, its version or its address; the lines go if something follows them.
+TITLE_LINES = [
+    r"[^a-z0-9\n]*(?:[a-z0-9.+\"'()/,-]+[ \t]+){0,8}(?:un)?licen[sc]e(?:[ \t]+\([^\n)]*\))?(?:[,: \t-]*v(?:ersion)?\.?[ \t]*[0-9.]+[^\n]{0,40})?[^a-z0-9\n]*",
+    r"[^a-z0-9\n]*version[ \t]+[0-9][^\n]{0,40}",
+    r"[ \t<]*https?://[^ \t\n]+[ \t]*",
+]
+
+
+def _in_one_go(pattern: str) -> str:
+    """The pattern with repeated character classes that keep what they took: none of them holds what may follow it."""
+    return re.sub(r"(\[(?:\\.|[^\]])*\])([*+])", r"\1\2+", pattern)
+
+
+#: Java matches a repeated group by recursion, a possessive one by a loop; nothing that one line takes is looked at twice.
+FRONT = r"\A(?:(?:[^a-z0-9\n]*+\n)*+(?:" + "|".join(map(_in_one_go, TITLE_LINES)) + r")\n(?=[^a-z0-9]*+[a-z0-9]))++"
 #: Runs of anything else, but for the single space that stays.
 JUNK = r"[^a-z0-9]{2,}|[^a-z0-9 ]"
 
@@ -105,7 +118,7 @@ DIGESTS = {
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text column."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), LINE_STARTS, " "), FRONT, "$1")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), LINE_STARTS, " "), FRONT, "")
     out = F.trim(F.regexp_replace(out, JUNK, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))

@@ -106,7 +106,9 @@ def _quoted(text: str) -> str:
 
 def _canonical_sql(column: str) -> str:
     lines = _quoted(licenses.LINE_STARTS.replace("(?md)", "(?m)"))
-    out = f"regexp_replace(regexp_replace(lower({column}), {lines}, ' ', 'g'), {_quoted(licenses.FRONT)}, '\\1')"
+    # the same lines in a dialect without possessive repeats
+    front = rf"\A(?:(?:{'|'.join(licenses.TITLE_LINES)}|[^a-z0-9\n]*)\n)+([\s\S]*[a-z0-9])"
+    out = f"regexp_replace(regexp_replace(lower({column}), {lines}, ' ', 'g'), {_quoted(front)}, '\\1')"
     out = f"trim(regexp_replace({out}, {_quoted(licenses.JUNK)}, ' ', 'g'), ' ')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
