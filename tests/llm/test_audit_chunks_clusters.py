@@ -31,7 +31,7 @@ def numbers(raw):
     return [np.frombuffer(x, "<u4").tolist() for x in raw]
 
 
-@pytest.mark.parametrize("sizes", [(256, 64, 2048), (40, 32, 48)])
+@pytest.mark.parametrize("sizes", [(512, 64, 4096), (40, 32, 48)])
 def test_chunked_ids_equal_the_library(monkeypatch, sizes):
     for name, value in zip(("USUAL", "LEAST", "MOST"), sizes, strict=True):
         monkeypatch.setattr(chunk_bpe, name, value)
@@ -57,7 +57,7 @@ def test_shared_passages_are_encoded_once():
     alone, repaired = coder.encoded, coder.repaired
     shifted = [f"{'x' * k} {passage}".encode() for k in range(1, 9)]
     assert numbers(coder.ids(shifted)) == library([t.decode() for t in shifted])
-    assert alone > 50 and coder.encoded - alone <= 3 * 8 and coder.repaired - repaired <= 6 * 8
+    assert alone > 25 and coder.encoded - alone <= 3 * 8 and coder.repaired - repaired <= 6 * 8
 
 
 def test_cuts_follow_the_content_and_keep_characters_whole(monkeypatch):

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from zonepulse.llm.common import id_type, text_slices
 
 #: Bytes that decide about a cut, the usual, least and greatest bytes of a chunk.
-WINDOW, USUAL, LEAST, MOST = 32, 256, 64, 2048
+WINDOW, USUAL, LEAST, MOST = 32, 512, 64, 4096
 #: Characters that decide about a word at most.
 AHEAD = 3
 #: Characters behind a cut that a repair reads first.
