@@ -142,7 +142,7 @@ def l5_incremental_ingest(t: Source) -> DataFrame:
     rows = t.events.select((F.col("user_id") % 500).alias("k"), F.col("user_id").alias("v"), "event_id")
     middle = rows.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
     last: list[DataFrame] = []
-    publish = ingest.split_publish(F.col("v") % 11 != 0, f"{path}/table", f"{path}/held", "landing")
+    publish = ingest.split_publish(F.col("v") % 11 != 0, f"{path}/table", f"{path}/held", "landing", F.col("event_id"))
 
     def twice(batch: DataFrame, number: int) -> None:
         publish(batch, number)
@@ -150,13 +150,86 @@ def l5_incremental_ingest(t: Source) -> DataFrame:
         last.append(number)
 
     for n, part in enumerate((rows.where(F.col("event_id") <= middle), rows.where(F.col("event_id") > middle))):
-        # one file a poll, in order, so that its rows are one batch
-        tables.write_csv(part.repartition(1).sortWithinPartitions("event_id"), f"{path}/landing/{n}")
+        # a poll's files are one batch; its rows carry their order
+        tables.write_csv(part, f"{path}/landing/{n}")
         ingest.ingest(spark, f"{path}/landing/*", schema, f"{path}/checkpoint", twice).awaitTermination()
     published = ingest.current(spark, f"{path}/table", ["k"]).select(F.lit("published").alias("kind"), "k", "v")
     return published.unionByName(spark.read.schema(schema).json(f"{path}/held/*").select(F.lit("held").alias("kind"), "k", "v"))
 
 
+_DAILY = "d AS (SELECT user_id % 40 AS k, CAST(ts AS DATE) AS date, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1, 2), c AS (SELECT k, date, row_number() OVER (PARTITION BY k ORDER BY date) AS number, CAST(sum(n) OVER (PARTITION BY k ORDER BY date) AS BIGINT) AS cumulative FROM d)"
+_FIRST, _SECOND = "date <= DATE '2024-01-12'", "date BETWEEN DATE '2024-01-09' AND DATE '2024-01-20'"
+_THIRD = "date >= DATE '2024-01-18'"
+
+
+def _daily_reports(t: Source) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    daily = t.events.groupBy((F.col("user_id") % 40).alias("k"), F.to_date("ts").alias("date")).agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("n"))
+    order = W.partitionBy("k").orderBy("date")
+    return daily.select(F.col("k").cast("string").alias("source"), F.row_number().over(order).cast("long").alias("number"), "date", F.sum("n").over(order).alias("cumulative"))
+
+
+@query(
+    "zones",
+    _DAILY
+    + f""", r AS (SELECT *, lag(cumulative) OVER (PARTITION BY k ORDER BY number) IS DISTINCT FROM cumulative AS rose FROM c),
+s AS (SELECT *, max(date) FILTER (WHERE rose) OVER (PARTITION BY k ORDER BY number) AS since FROM r),
+q AS (SELECT k, since, max(number) AS number, max(cumulative) AS cumulative FROM (SELECT *, max(date) OVER (PARTITION BY k) AS fin FROM s) s WHERE date <= since + 1 GROUP BY k, since, fin
+  HAVING fin > since + 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.k = s.k AND rose AND r.date = since + 1))
+SELECT CAST(k AS VARCHAR) AS source, 'accepted' AS kind, number, date, cumulative, since FROM s
+UNION ALL SELECT CAST(k AS VARCHAR), 'skipped', number, date, cumulative, NULL FROM c WHERE ({_FIRST} AND {_SECOND}) OR ({_SECOND} AND {_THIRD})
+UNION ALL SELECT CAST(k AS VARCHAR), 'quiet', number, since + 1, cumulative, since FROM q""",
+)
+def l6_report_watch(t: Source) -> DataFrame:
+    """Daily reports of 40 sources in three polls that overlap: accepted, skipped, and quiet after a day without a rise."""
+    from zonepulse.sources import shared
+    from zonepulse.streaming import stateful
+
+    path, rows = shared.new_path(t.spark, "watch"), _daily_reports(t)
+
+    def run(reports: DataFrame):
+        watched = stateful.watched_reports(reports, 1, "12 days")
+        return watched.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    stateful.polled(rows, [F.expr(x) for x in (_FIRST, _SECOND, _THIRD)], f"{path}/landing", run)
+    return t.spark.read.schema(stateful.ReportWatch.OUT).parquet(f"{path}/out")
+
+
+_EARLY, _LATER, _BEHIND = "ts < TIMESTAMP '2024-01-15' AND event_id % 10 <> 0", "ts >= TIMESTAMP '2024-01-15' AND event_id % 10 <> 0", "event_id % 10 = 0"
+
+
+@query(
+    "zones",
+    "p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view') SELECT 'pair' AS kind, p.event_id AS event_id, v.event_id AS seen_id FROM p JOIN v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 12 HOUR AND p.ts "
+    + f"UNION ALL SELECT 'late', event_id, NULL FROM events e WHERE event_type IN ('purchase', 'view') AND {_BEHIND} AND ts <= (SELECT max(ts) FROM events m WHERE m.event_type = e.event_type AND m.event_id % 10 <> 0) - INTERVAL 30 MINUTE",
+)
+def l7_interval_join(t: Source) -> DataFrame:
+    """Purchases with the user's views of twelve hours before, from two streams; rows behind the watermark are kept and joined too."""
+    from zonepulse.sources import shared
+    from zonepulse.streaming import stateful
+
+    spark, path, span, late = t.spark, shared.new_path(t.spark, "interval"), "12 HOURS", "30 MINUTES"
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    sides = {"purchase": rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), "view": rows.where("event_type = 'view'").select(F.col("event_id").alias("seen_id"), "user_id", F.col("ts").alias("seen_ts"))}
+    tests = {"purchase": [_EARLY, _LATER, _BEHIND], "view": [x.replace("ts ", "seen_ts ").replace("event_id", "seen_id") for x in (_EARLY, _LATER, _BEHIND)]}
+    for number in range(3):
+        for side, table in sides.items():
+            table.where(tests[side][number]).write.parquet(f"{path}/{side}/{number}")
+        streams = {side: spark.readStream.schema(table.schema).parquet(f"{path}/{side}/*") for side, table in sides.items()}
+        joined = stateful.interval_join(streams["purchase"], streams["view"], ["user_id"], "ts", "seen_ts", span, late).select("event_id", "seen_id")
+        running = [joined.writeStream.format("parquet").outputMode("append").option("path", f"{path}/pairs").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()]
+        running += [stateful.kept_late(streams[side], time, late, f"{path}/late-{side}", f"{path}/checkpoint-{side}") for side, time in (("purchase", "ts"), ("view", "seen_ts"))]
+        for each in running:
+            each.awaitTermination()
+    behind = {side: spark.read.schema(table.schema).parquet(f"{path}/late-{side}") for side, table in sides.items()}
+    whole = {side: spark.read.schema(table.schema).parquet(f"{path}/{side}/*") for side, table in sides.items()}
+    more = stateful.late_pairs(whole["purchase"], whole["view"], behind["purchase"], behind["view"], ["user_id"], "ts", "seen_ts", span).select("event_id", "seen_id")
+    pairs = spark.read.schema(more.schema).parquet(f"{path}/pairs").unionByName(more).distinct()
+    kept = behind["purchase"].select("event_id").unionByName(behind["view"].select(F.col("seen_id").alias("event_id")))
+    return pairs.select(F.lit("pair").alias("kind"), "event_id", "seen_id").unionByName(kept.select(F.lit("late").alias("kind"), "event_id", F.lit(None).cast("long").alias("seen_id")))
+
+
 @query("zones", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def l1_hourly_windows(t: Source) -> DataFrame:
     from zonepulse.streaming.ingest import windowed_counts

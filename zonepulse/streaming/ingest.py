@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,13 +21,15 @@ def _listed(spark: SparkSession, folder: str) -> list[str]:
     return [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []
 
 
-def split_publish(valid, table: str, quarantine: str, source: str) -> Callable[[DataFrame, int], None]:
+def split_publish(valid: Column, table: str, quarantine: str, source: str, later: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A publisher: valid rows of a batch are appended to ``table``, others are kept for review.
 
     source names the stream; each batch of a source writes one folder of its own, which
     a repeated attempt writes anew, so nothing is published twice, and a new source, or
     a new checkpoint under a new name, adds to what is there. No batch rewrites what
     others wrote: ``current`` lets the later row of a key win, ``compact`` folds them.
+    later grows with the order of a batch's rows (a long); without it the order of files does,
+    which says something only where a batch is one file.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
@@ -36,7 +38,7 @@ def split_publish(valid, table: str, quarantine: str, source: str) -> Callable[[
         marked.where("not __ok").drop("__ok").write.mode("overwrite").json(f"{quarantine}/{name}")
         known = {x.partition("-")[2]: x.partition("-")[0] for x in _listed(spark, table) if x[:1].isdigit()}
         order = known.get(name) or f"{max([0, *map(int, known.values())]) + 1:010d}"
-        rows = marked.where("__ok").drop("__ok").withColumn("__order", F.lit(int(order))).withColumn("__pos", F.monotonically_increasing_id())
+        rows = marked.where("__ok").drop("__ok").withColumn("__order", F.lit(int(order))).withColumn("__pos", F.monotonically_increasing_id() if later is None else later.cast("long"))
         rows.write.mode("overwrite").parquet(f"{table}/{order}-{name}")
 
     return publish
