@@ -221,6 +221,86 @@ def test_html_compound_names():
     assert html_text.main_text('<article><header class="entry-header"><h1>Title</h1></header><p>x <math><mi>a</mi></math> y</p></article>') == "Title\nx a y"
 
 
+def article(n=4):
+    return "".join(f"<p>{'plain words here ' * 7}{k}</p>" for k in range(n))
+
+
+TEASER = f"<article><h3>Card</h3><p>{'teaser words ' * 12}</p></article>"
+READER = f'<article><p>{"reader says " * 12}</p></article>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<nav><a href=/a>Home</a></nav><div class="elementor-widget-container">{}</div>',
+        '<nav><a href=/a>Home</a></nav><div class="two-sidebar-layout">{}</div>',
+        '<div class="cookies-recipe">{}</div>',
+        '<div class="social-science">{}</div><footer>x</footer>',
+        f'<article>{{}}</article><aside class="related">{TEASER}{TEASER}</aside>',
+        f"<article>{{}}</article><footer>{TEASER}</footer>",
+        f'<article>{{}}</article><div class="related">{TEASER}{TEASER}</div>',
+        f'<article>{{}}</article><section class="comments">{READER}{READER}{READER}</section>',
+        f'<article>{{}}</article><div id="comments">{READER}{READER}</div>',
+        "<body><form id=aspnetForm><nav><a href=x>Home</a></nav><div>{}</div><footer>x</footer></form>",
+        f'<div class="ad">Buy {TEASER}</div><article>{{}}</article>',
+        '<article>{}<div class="post-share">Share on X</div><form><p>Mail us</p></form></article>',
+        '<article title="a > b" data-x=\'<p class="ad">\'>{}</article>',
+    ],
+)
+def test_names_are_held_against_the_text(page):
+    want = html_text.main_text(f"<article>{article()}</article>")
+    assert want.count("\n") == 3 and html_text.main_text(page.replace("{}", article())) == want
+
+
+def test_headings_sections_and_links_of_articles():
+    body = article()
+    want = html_text.main_text(f"<article>{body}</article>")
+    page = f'<article><h2 id="related-work">Related work</h2>{body}<section id="discussion"><h2 id="discussion-title">Discussion</h2>{body}</section><h2 id=search>Search</h2><p class="promotion">She got a promotion.</p></article>'
+    assert html_text.main_text(page) == f"Related work\n{want}\nDiscussion\n{want}\nSearch\nShe got a promotion."
+    # links that are never closed
+    assert html_text.main_text(f"<p>Intro <a href=x>link</p>{body}") == f"Intro link\n{want}"
+    assert html_text.main_text(f"<div><a href=x>Home<a href=y>About{body}</div>").endswith(want)
+
+
+def test_scanning_is_linear():
+    pages = ['<a title="x>' * 90_000, "<a title='x \">" * 70_000, "<" * 10**6, "<p " * 300_000, '<a x="' * 160_000, '<a x=">="' * 100_000 + ">", "<!-- " * 200_000, "<script>" * 120_000, "<div class=ad>" * 70_000 + "word " * 90_000, "<a href=x>t" * 90_000, "<ul><li>" * 110_000, "<form>" * 150_000 + "x"]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8, page[:20]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_generated_pages_equal_what_they_were_made_of(seed):
+    """Trees of elements, some of them boilerplate, with end tags left out and attributes quoted in every way; the text is known from their making."""
+    rng = random.Random(seed)
+    quoted = lambda name: rng.choice([f'class="{name}"', f"class='{name}'", f"class={name}", f'title="a > b" class="x {name}"'])
+
+    def words():
+        return " ".join(rng.choice(["word", "caf&eacute;", "a&amp;b", "&lt;i&gt;", "x"]) for _ in range(rng.randint(8, 25)))
+
+    def part(depth):
+        """(markup, lines)"""
+        kind = rng.random()
+        if depth and kind < 0.35:
+            inner = [part(depth - 1) for _ in range(rng.randint(1, 4))]
+            tag = rng.choice(["div", "section"])
+            return f"<{tag} {quoted(rng.choice(['row', 'wrapper', 'text', 'has-sidebar']))}>" + "".join(m for m, _ in inner) + f"</{tag}>", [x for _, found in inner for x in found]
+        if kind < 0.55:
+            name = rng.choice(["ad", "post-share", "newsletter", "breadcrumbs"])
+            return f"<div {quoted(name)}><p>{rng.choice(['Buy now', 'Share this', 'Sign up'])}</p><div>x</div></div>", []
+        if kind < 0.65:
+            return rng.choice(["<aside><p>Beside</p></aside>", "<script>if (a < b) '</p>'</script>", "<!-- <p>no</p> -->", "<form><p>Mail</p><select><option>1</select></form>"]), []
+        text = words()
+        mark = rng.choice(["{}", "<b>{}</b>", '<span title="<p>">{}</span>', "<a name=q>{}</a>"]).format(text)
+        return f"<p>{mark}" + rng.choice(["</p>", "</P >", ""]), [" ".join(html.unescape(text).split())]
+
+    for _ in range(60):
+        inner = [part(3) for _ in range(rng.randint(3, 8))] + [(f"<p>{'closing words ' * 9}</p>", [("closing words " * 9).strip()])]
+        page = "<html><head><title>t</title></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav><article>" + "".join(m for m, _ in inner) + "</article><footer>Bottom</footer>"
+        assert html_text.main_text(page) == "\n".join(x for _, found in inner for x in found)
+
+
 def slow_blocks(rows, window, edge):
     """Runs of lines outside all windows without text, and the largest window sum of each."""
     line = [None] * edge + rows + [None] * edge
