@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from zonepulse.functions.text import norm_name, strip_accents
 
@@ -49,21 +53,66 @@ def canonical_names(rows: DataFrame, known: DataFrame, aliases: DataFrame, exclu
     return out.withColumn("canonical", F.when(~F.col("__raw").isin([*excluded, ""]), F.coalesce("__alias", "__same", "__inside"))).drop("__row", "__raw", "__alias", "__same", "__inside")
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings, one row of the table at a time."""
-    letters = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.substring(x, k, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    other = letters(b)
+@F.pandas_udf(DoubleType())
+def match_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 M / (length of both), M the characters of matching blocks: the longest common piece, and so on left and right of it; 0 for two empty strings."""
+    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x or y else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+def gram_index(rows: DataFrame, id_col: str, block: str, name: str, q: int = 3) -> DataFrame:
+    """(block, id, name, grams): the q-grams of each name, repeats numbered, in no order.
+
+    Names are padded with q - 1 marks on both sides, so one of n characters has n + q - 1 grams.
+    """
+    padded = F.concat(F.lit("\x01" * (q - 1)), F.col(name), F.lit("\x02" * (q - 1)))
+    places = F.sequence(F.lit(1), F.length(name) + q - 1)
+    grams = F.transform(places, lambda k: F.substring(padded, k, F.lit(q)))
+    numbered = F.transform(grams, lambda g, k: F.concat(g, F.size(F.filter(F.slice(grams, 1, k + 1), lambda h: h == g)).cast("string")))
+    return rows.select(F.col(block).alias("__block"), F.col(id_col).alias("__id"), F.col(name).alias("__name"), numbered.alias("__grams"))
+
+
+def _prefix_length(n: Column, least: float, q: int) -> Column:
+    """How many of its rarest grams a name of n characters needs, so that no partner of the score is missed.
+
+    A partner keeps n - d characters and adds i, with 2 (n - d) >= least (2 n - d + i). A
+    lost character costs at most q grams, an added one q - 1, so what is shared is least where
+    nothing is added: d = 2 n (1 - least) / (2 - least), or nothing lost: i = 2 n (1 - least) / least.
+    """
+    lost, added = F.floor(2 * n * (1 - least) / (2 - least) + 1e-9), F.floor(2 * n * (1 - least) / least + 1e-9)
+    # with d lost, (2 n (1 - least) - d (2 - least)) / least may be added: the worst of a sum linear in d stands at an end
+    worst = F.greatest(lost * q + (q - 1), added * (q - 1) + q)
+    return F.greatest(F.lit(1), F.least(n + q - 1, worst + 1)).cast("int")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 5 / 6, q: int = 3) -> DataFrame:
+    """(id, match_id, __ln, __rn): pairs of one block whose names may score ``least`` or more, from (id, block, name).
+
+    A name meets only those that share one of its rarest q-grams and whose length allows
+    the score; so a block of very many names is no product of all its rows. Rarity is
+    counted over the right rows of the block, and both sides order their grams by it.
+    Empty and null names have no partners.
+    """
+    a, b = (gram_index(x.where((F.col(name) != "") & F.col(block).isNotNull()), "id", block, name, q) for x in (left, right))
+    rare = b.select("__block", F.explode("__grams").alias("__gram")).groupBy("__block", "__gram").agg(F.count(F.lit(1)).alias("__n"))
 
-    def row(before: Column, letter: Column) -> Column:
-        longer = F.transform(other, lambda y, k: F.when(y == letter, 1 + F.when(k > 0, F.get(before, k - 1)).otherwise(0)).otherwise(F.get(before, k)))
-        return F.transform(other, lambda _, k: F.array_max(F.slice(longer, 1, k + 1)))
+    def prefix(rows: DataFrame, known: bool) -> DataFrame:
+        each = rows.select("__block", "__id", "__name", F.explode("__grams").alias("__gram")).join(rare, ["__block", "__gram"], "inner" if known else "left")
+        order = W.partitionBy("__block", "__id", "__name").orderBy(F.coalesce("__n", F.lit(0)), "__gram")
+        kept = each.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= _prefix_length(F.length("__name"), least, q))
+        return kept.drop("__rank", "__n")
 
-    return F.coalesce(F.array_max(F.aggregate(letters(a), F.transform(other, lambda _: F.lit(0)), row)), F.lit(0))
+    l = prefix(a, False).withColumnsRenamed({"__id": "id", "__name": "__ln"})
+    r = prefix(b, True).withColumnsRenamed({"__id": "match_id", "__name": "__rn"})
+    short, both = F.least(F.length("__ln"), F.length("__rn")), F.length("__ln") + F.length("__rn")
+    met = l.join(r, ["__block", "__gram"]).where(2 * short >= least * both - 1e-9).groupBy("id", "match_id", "__ln", "__rn").agg(F.count(F.lit(1)).alias("__shared"))
+    # each lost or added character is an edit, or half of one that puts another in its place
+    return met.where(F.levenshtein("__ln", "__rn") <= (1 - least) * (F.length("__ln") + F.length("__rn")) + 1e-9).drop("__shared")
 
 
-def match_score(a: Column, b: Column) -> Column:
-    """2 M / (length of both), M characters in common in order; 0 for two empty strings."""
-    return F.coalesce(F.try_divide(2 * common_length(a, b).cast("double"), (F.length(a) + F.length(b)).cast("double")), F.lit(0.0))
+def close_pairs(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 5 / 6, q: int = 3) -> DataFrame:
+    """(id, match_id, score) of all rows of one block whose names score ``least`` or more."""
+    near = candidate_pairs(left, right, block, name, least, q)
+    return near.withColumn("score", match_score("__ln", "__rn")).where(F.col("score") >= least - 1e-12).select("id", "match_id", "score")
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 5 / 6) -> DataFrame:
@@ -71,16 +120,14 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, name: str, least:
 
     left and right have id, block and name; gives id, match_id, score, method.
     Ties go to the smaller right id. Rows without a partner keep nulls. Equal names
-    meet by an equi-join; the others only where their edit distance allows the score.
+    meet by an equi-join, the others by ``close_pairs``.
     """
     own = left.select("id", F.col(block).alias("__block"), norm_name(F.col(name)).alias("__ln"))
     r = right.select(F.col("id").alias("__mid"), F.col(block).alias("__block"), norm_name(F.col(name)).alias("__rn"))
     same = own.join(r, (own["__block"] == r["__block"]) & (own["__ln"] == r["__rn"]) & (own["__ln"] != "")).groupBy("id").agg(F.min("__mid").alias("match_id"))
     rest = own.join(same, "id", "left_anti")
-    # each edit costs two characters of the sum at most, and one at least
-    near = F.levenshtein("__ln", "__rn") <= (1 - least) * (F.length("__ln") + F.length("__rn")) + 1e-9
-    pairs = rest.join(r, "__block").where(near).withColumn("score", match_score(F.col("__ln"), F.col("__rn"))).where(F.col("score") >= least - 1e-12)
-    best = pairs.groupBy("id").agg(F.min_by(F.struct(F.col("__mid").alias("match_id"), "score"), F.struct(-F.col("score"), "__mid")).alias("m"))
+    pairs = close_pairs(rest.select("id", "__block", F.col("__ln").alias("__key")), r.select(F.col("__mid").alias("id"), "__block", F.col("__rn").alias("__key")), "__block", "__key", least)
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("match_id", "score"), F.struct(-F.col("score"), "match_id")).alias("m"))
     found = same.select("id", "match_id", F.lit(1.0).alias("score"), F.lit("exact").alias("method")).unionByName(best.select("id", "m.match_id", "m.score", F.lit("fuzzy").alias("method")))
     return left.select("id").join(found, "id", "left").withColumn("method", F.coalesce("method", F.lit("unmatched")))
 

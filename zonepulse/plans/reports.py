@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from zonepulse.functions import numbers, text
 from zonepulse.operators import extract, keys, publish
+from zonepulse.plans import tables
 from zonepulse.plans.registry import Source, query
 
 NOW, BEFORE = "2000-06-30", "2000-05-31"
@@ -141,6 +142,19 @@ def c8_anti_join(t: Source) -> DataFrame:
     return a.join(b, F.col("health_zone").eqNullSafe(F.col("h")), "left_anti")
 
 
+@query(
+    "zones",
+    "names AS (SELECT DISTINCT regexp_extract(lower(strip_accents(text)), '[a-z]{5,}') AS name FROM benchmark), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS name FROM documents) SELECT doc_id, name, count(*) AS n FROM w JOIN names USING (name) WHERE name <> '' GROUP BY ALL",
+)
+def c20_names_in_text(t: Source) -> DataFrame:
+    """How often each document names a word of a dictionary, here the first long words of the benchmark items."""
+    from zonepulse.operators.mentions import mentions
+
+    first = F.regexp_extract(text.strip_accents(F.lower("text")), "[a-z]{5,}", 0)
+    names = tables.base(t.spark, t.sf_dir, "benchmark").select(first.alias("name"))
+    return mentions(t.documents, names, "doc_id", "text").groupBy(F.col("id").alias("doc_id"), "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # names are nation_ and digits, the right ones with an x in places: 7 letters and what the ends share in order
 _FUZZY = """
 r AS (SELECT zone_id AS mid, province, lower(zone_name) || CASE WHEN CAST(zone_id AS INT) % 3 = 0 THEN 'x' ELSE '' END AS rn FROM zones),
