@@ -1051,3 +1051,16 @@ def test_ids_keep_their_type(spark):
     bench = spark.createDataFrame([("q", "token abcdef12")], "item_id string, text string")
     assert {(r["id"], r["n_hit"]) for r in decontaminate.contamination(text_ids, bench).collect()} == {("a-1", 2), (None, 0)}
     assert {r["id"] for r in licenses.scan(text_ids).collect()} == {"a-1", None}
+    # files keep them as text, whatever stands in them
+    odd = ["a-1", "7", "", "x>y <z> %41", "é\r\nb", None]
+    many = spark.createDataFrame([(k, "one two three " * 2000 if k == "7" else "same page " * 20, f"u{n}") for n, k in enumerate(odd)], "doc_id string, text string, url string")
+    packed = packing.best_fit_pack(many, WORDS, capacity=512).collect()
+    assert {r["id"] for r in packed} == set(odd) and [r["piece"] for r in sorted((r for r in packed if r["id"] == "7"), key=lambda r: r["start"])] == list(range(12))
+    read = token_records.read_records(token_records.write_records(many, BYTES)).collect()
+    assert [r["id"] for r in sorted(read, key=lambda r: r["start"])] == [None, "", "7", "a-1", "x>y <z> %41", "é\r\nb"]
+    pages = warc.read_archives(warc.write_archives(many, "doc_id", payload_col="text"))
+    assert pages.schema["id"].dataType == T.StringType()
+    got = {r["id"]: (r["record_type"], r["refers_to"]) for r in pages.collect()}
+    assert got == {None: ("response", None), "": ("response", None), "7": ("response", None), "a-1": ("revisit", ""), "x>y <z> %41": ("revisit", ""), "é\r\nb": ("revisit", "")}
+    few = spark.createDataFrame([(1.5, "a b", "u")], "doc_id double, text string, url string")
+    assert [r["id"] for r in packing.best_fit_pack(few, WORDS).collect()] == [1.5] and [r["id"] for r in token_records.read_records(token_records.write_records(few, BYTES)).collect()] == ["1.5"]

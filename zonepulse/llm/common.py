@@ -42,6 +42,17 @@ def id_type(df: DataFrame, name: str) -> str:
     return "long" if isinstance(kind, IntegralType) else kind.simpleString()
 
 
+def kept_id(df: DataFrame, name: str) -> str:
+    """The type in which files keep ids: long for whole numbers, else string."""
+    return "long" if id_type(df, name) == "long" else "string"
+
+
+def id_kind(manifest: DataFrame) -> str:
+    """That type as a manifest states it; long without a statement or without rows."""
+    first = manifest.select("id_kind").first() if "id_kind" in manifest.columns else None
+    return first[0] if first else "long"
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(rows, their texts as UTF-8; null is empty) in pieces of about ``limit`` bytes.
 

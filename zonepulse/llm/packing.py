@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import materialize, text_slices
+from zonepulse.llm.common import id_type, materialize, text_slices
 from zonepulse.llm.tokens import SLICE, encoder
 
 CAPACITY = 4096
@@ -86,22 +86,23 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_space: bool = False, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) per piece; ids are little-endian 32-bit."""
     end = int(end_id).to_bytes(4, "little")
-    schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"id {id_type(docs, id_col)}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, size = encoder(tokenizer, keep_space), 4 * capacity
         for rows, texts in text_slices(batches, "text", SLICE):
             out: list[list] = [[], [], [], [], [], []]
-            for key, ids in zip(rows.column(0).to_pylist(), coder.ids([t.decode("utf-8", "replace") for t in texts]), strict=True):
+            for row, ids in enumerate(coder.ids([t.decode("utf-8", "replace") for t in texts])):
                 whole = ids + end
                 for k, at in enumerate(range(0, len(whole), size)):
                     part = whole[at : at + size]
-                    for column, value in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
+                    for column, value in zip(out, (row, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=False)], ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
+            own = rows.column(0).take(pa.array(out[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(x, t) for x, t in zip(out[1:], kinds, strict=False))], ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast(id_type(docs, id_col)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -4,7 +4,8 @@ A shard is a sequence of records:
 
     length        unsigned 64-bit, of the payload
     check         unsigned 32-bit, masked CRC-32 of the length's eight bytes
-    payload       flag byte (1: the id is null), id (signed 64-bit), ids (unsigned 32-bit or 16-bit)
+    payload       flag byte (1: the id is null, 2: it is text), id (signed 64-bit, or the
+                  length of the text and the text in UTF-8), ids (unsigned 32-bit or 16-bit)
     check         unsigned 32-bit, masked CRC-32 of the payload
 
 all little-endian; ids take 16 bits if the vocabulary allows. The index beside
@@ -32,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import NewFile, filesystem, new_path, qualified, text_slices
+from zonepulse.llm.common import NewFile, filesystem, id_kind, kept_id, new_path, qualified, text_slices
 from zonepulse.llm.tokens import SLICE, encoder
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8
-_HEAD, _CHECK, _KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<?q")
+_HEAD, _CHECK, _KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
+NULL, TEXT = 1, 2
 MANIFEST = "shard int, path string, index_path string, width int, records long, tokens long, bytes long"
 
 
@@ -52,8 +54,10 @@ def frame(payload: bytes) -> bytes:
     return b"".join((size, _CHECK.pack(masked(size)), payload, _CHECK.pack(masked(payload))))
 
 
-def payload(key: int | None, ids: np.ndarray, width: int) -> bytes:
-    return _KEY.pack(key is None, key or 0) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
+def payload(key: int | str | None, ids: np.ndarray, width: int) -> bytes:
+    raw = key.encode() if isinstance(key, str) else b""
+    head = _KEY.pack(TEXT, len(raw)) + raw if isinstance(key, str) else _KEY.pack(NULL if key is None else 0, key or 0)
+    return head + ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
 def unframe(stream) -> Iterator[bytes]:
@@ -72,16 +76,18 @@ def unframe(stream) -> Iterator[bytes]:
         yield body[:size]
 
 
-def decode(body: bytes, width: int) -> tuple[int | None, np.ndarray]:
-    null, key = _KEY.unpack_from(body)
-    return None if null else key, np.frombuffer(body, "<u2" if width == 2 else "<u4", offset=_KEY.size).astype("<u4")
+def decode(body: bytes, width: int) -> tuple[int | str | None, np.ndarray]:
+    flag, key = _KEY.unpack_from(body)
+    at = _KEY.size + (key if flag == TEXT else 0)
+    own = None if flag == NULL else body[_KEY.size : at].decode() if flag == TEXT else key
+    return own, np.frombuffer(body, "<u2" if width == 2 else "<u4", offset=at).astype("<u4")
 
 
 def write_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Write the shards and return their manifest, with ``base``: ids in earlier shards."""
+    """Write the shards and return their manifest, with ``base``: ids in earlier shards; ids that are no whole numbers are kept as text."""
     spark = docs.sparkSession
     folder = qualified(spark, folder) if folder else new_path(spark, "token-records")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast(kept_id(docs, id_col)).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions, "id", "tie") if partitions else rows.repartitionByRange("id", "tie")
     ordered = dealt.sortWithinPartitions("id", "tie", "text").select("id", "text")
     end = int(end_id).to_bytes(4, "little")
@@ -103,7 +109,7 @@ def write_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": data.uri, "index_path": index.uri, "width": width, "records": records, "tokens": tokens, "bytes": data.size}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("index_path", pa.string()), ("width", pa.int32()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
-    return with_bases(spark, f"{folder}/manifest")
+    return with_bases(spark, f"{folder}/manifest").withColumn("id_kind", F.lit(kept_id(docs, id_col)))
 
 
 def with_bases(spark: SparkSession, manifest: str) -> DataFrame:
@@ -118,8 +124,9 @@ def with_bases(spark: SparkSession, manifest: str) -> DataFrame:
 
 def read_records(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per record: id, start, n_tokens, ids_crc32[, ids], all from the shards."""
-    schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    kinds = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
+    kind = id_kind(manifest)
+    schema = f"id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    kinds = pa.schema([("id", pa.int64() if kind == "long" else pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

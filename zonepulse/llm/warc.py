@@ -30,7 +30,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import NewFile, filesystem, materialize, new_path, qualified
+from zonepulse.llm.common import NewFile, filesystem, id_kind, kept_id, materialize, new_path, qualified
 
 MIN_REVISIT = 100
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 64 << 10, 64 << 10
@@ -46,7 +46,7 @@ SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
 FIXED_DATE = "2000-01-01T00:00:00Z"
-RECORD = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+RECORD = "id {0}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {0}, record_id string, refers_to_id string"
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 VERSIONS = re.compile(r"WARC/(0\.1[78]|1\.[01])")
 #: Types whose block is an HTTP message if their content type says so.
@@ -56,14 +56,29 @@ BROADCAST_ROWS, HOT_ROWS = 100_000, 10_000
 _LABEL = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512", "md5": "md5"}
 
 
-def record(key: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None) -> bytes:
+def urn(key: int | str | None) -> str:
+    """A record id of a row's id; text is percent-encoded, so that any id makes one header value."""
+    return f"<urn:row:{'' if key is None else key if isinstance(key, int) else '~' + quote(key, safe='')}>"
+
+
+def row_id(stated: str | None, kind: str) -> int | str | None:
+    """The row's id of such a record id, null in others."""
+    found = re.fullmatch(r"<urn:row:(?:(-?[0-9]+)|~([^>]*))>", stated or "")
+    if not found:
+        return None
+    if kind == "long":
+        return int(found[1]) if found[1] else None
+    return unquote(found[2]) if found[2] is not None else found[1]
+
+
+def record(key: int | str | None, url: str | None, digest: str, payload: bytes, refers_to: int | str | None) -> bytes:
     """One WARC record; refers_to makes it a revisit."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:row:{'' if key is None else key}>", f"WARC-Date: {FIXED_DATE}", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(key)}", f"WARC-Date: {FIXED_DATE}", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:row:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -208,7 +223,7 @@ def train_dictionary(pages: DataFrame, payload_col: str = "html") -> bytes:
 
 def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
     """id, url, payload, digest, refers_to (null for responses)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(F.col(id_col).cast(kept_id(pages, id_col)).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     least_id = rows.where((F.octet_length("payload") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(least_id.where("n > 1"), "warc-firsts")
@@ -247,7 +262,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             yield pa.RecordBatch.from_pylist([{"path": out.uri, "records": n, "bytes": out.size}], kinds)
 
     with_roles(pages, id_col, url_col, payload_col, least).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("id_kind", F.lit(kept_id(pages, id_col)))
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -257,11 +272,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     and refers_to are those of rows that ``write_archives`` wrote, null in archives
     from elsewhere, where record_id and refers_to_id are the record ids as stated.
     """
-    kinds = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string())] + [("payload", pa.binary())] * with_payload)
-
-    def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:row:(-?[0-9]+)>", urn or "")
-        return int(found[1]) if found else None
+    kind = id_kind(manifest)
+    own_type = pa.int64() if kind == "long" else pa.string()
+    kinds = pa.schema([("id", own_type), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", own_type), ("record_id", pa.string()), ("refers_to_id", pa.string())] + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +290,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                             raise ValueError(f"{one['path']}: {flaw}") from flaw
                         n, held = n + 1, held + len(payload)
                         own, other = headers["warc-record-id"], headers.get("warc-refers-to")
-                        row = {"id": number(own), "url": headers.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"].lower(), "refers_to": number(other), "record_id": own, "refers_to_id": other}
+                        row = {"id": row_id(own, kind), "url": headers.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"].lower(), "refers_to": row_id(other, kind), "record_id": own, "refers_to_id": other}
                         out.append(row | ({"payload": payload} if with_payload else {}))
                         if len(out) >= 2048 or with_payload and held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(out, kinds)
@@ -289,4 +302,4 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     records = F.col("records").cast("long") if "records" in manifest.columns else F.lit(None).cast("long")
     paths = manifest.select("path", records.alias("records"))
-    return paths.repartition(max(1, manifest.count())).mapInArrow(run, RECORD + ", payload binary" * with_payload)
+    return paths.repartition(max(1, manifest.count())).mapInArrow(run, RECORD.format(kind) + ", payload binary" * with_payload)
