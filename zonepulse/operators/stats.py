@@ -18,9 +18,9 @@ def running_total(rows: DataFrame, value: str, weight: str, out: str, keys: tupl
 
     Values are cut into ranges at approximate quantiles; each range is summed by
     itself and lies behind the totals of those before it, RANGES rows a key. So no task
-    holds all values of a key. The rows are written once, since all of this reads them.
+    holds all values of a key. It is one plan; where ``rows`` come from an aggregation, as here,
+    its exchange is read again and not made again.
     """
-    rows = materialize(rows, "running-total")
     cuts = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000))).alias("__cuts"))
     ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     totals = ranged.groupBy(*keys, "__range").agg(F.sum(weight).alias("__t"))
@@ -95,9 +95,11 @@ def scatter_summary(points: DataFrame, most: int = 25) -> DataFrame:
     share = points.where("population > 0").withColumn("v", F.col("cases") * 100_000.0 / F.col("population")).withColumn("outcome", F.lit("per100k"))
     both = points.withColumn("v", F.col("cases").cast("double")).withColumn("outcome", F.lit("cases")).unionByName(share)
     hit = F.col("cases") > 0
-    placed = both.withColumn("__place", F.row_number().over(W.partitionBy("outcome", hit).orderBy(F.desc("v"), "zone_id")))
-    displays = F.filter(F.array(F.lit("all"), F.when(hit, "affected"), F.when(hit & (F.col("__place") <= most), "top25")), lambda d: d.isNotNull())
-    scaled = placed.withColumn("display", F.explode(displays)).withColumn("s", F.explode(F.array(F.struct(F.lit("linear").alias("scale"), F.col("v").alias("y")), F.struct(F.lit("log1p").alias("scale"), F.log1p(F.greatest(F.lit(0.0), F.col("v"))).alias("y")))))
+    displays = F.filter(F.array(F.lit("all"), F.when(hit, "affected")), lambda d: d.isNotNull())
+    # each task passes on its own largest ones only
+    first = both.where(hit).withColumn("__place", F.row_number().over(W.partitionBy("outcome").orderBy(F.desc("v"), "zone_id"))).where(F.col("__place") <= most).drop("__place")
+    shown = both.withColumn("display", F.explode(displays)).unionByName(first.withColumn("display", F.lit("top25")))
+    scaled = shown.withColumn("s", F.explode(F.array(F.struct(F.lit("linear").alias("scale"), F.col("v").alias("y")), F.struct(F.lit("log1p").alias("scale"), F.log1p(F.greatest(F.lit(0.0), F.col("v"))).alias("y")))))
     keys = ("outcome", "display", "scale")
     rows = materialize(scaled.select(*keys[:2], "s.scale", "x", "s.y", "cases", "province"), "scatter")
     ranked = average_rank(average_rank(rows, "x", "rx", keys), "y", "ry", keys)
