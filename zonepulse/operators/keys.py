@@ -26,6 +26,15 @@ def two_key(rows: DataFrame, zones: DataFrame, id_col: str = "zone_id", name_col
     return found.withColumn("zone", F.coalesce("__by_id", "__by_name")).drop("__id", "__name", "__by_id", "__by_name")
 
 
+#: Names that differ in case or accents only are equal.
+LOOSE = "UNICODE_CI_AI"
+
+
+def collated(rows: DataFrame, *names: str, collation: str = LOOSE) -> DataFrame:
+    """The columns with a collation: joins, groups and comparisons of them take it, no key column is made."""
+    return rows.withColumns({n: F.collate(F.trim(F.col(n)), collation) for n in names})
+
+
 def flagged(rows: DataFrame, listed: DataFrame, flag: str = "is_listed") -> DataFrame:
     """True where the row's id or its name is listed (semi-join as a flag)."""
     ids = listed.select(F.col("zone_id").alias("__lid")).where("__lid is not null").distinct().withColumn("__i", F.lit(True))

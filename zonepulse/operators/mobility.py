@@ -239,3 +239,12 @@ def case_map(rows: DataFrame, polygons: DataFrame) -> DataFrame:
         "zone_name", "zone_id", "province", "cases", F.when(F.col("known"), F.col("__lat")).alias("lat"), F.when(F.col("known"), F.col("__lon")).alias("lon"), "known",
         (drawn & (F.col("cases") >= F.greatest(F.lit(10.0), 0.12 * F.col("__most")))).alias("labelled"), F.when(drawn, 5 + 31 * F.sqrt(F.col("cases") / F.col("__most"))).alias("radius"), "hidden",
     )
+
+
+def of_months(flows: DataFrame, months: DataFrame) -> DataFrame:
+    """Flows of the months in a table (month).
+
+    flows lie in partitions by month and months is broadcast while it is few rows (a
+    month a row: hundreds for decades), so the engine reads the asked partitions alone.
+    """
+    return flows.join(F.broadcast(months.where("month is not null")), "month", "left_semi")

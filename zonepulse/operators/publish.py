@@ -171,3 +171,17 @@ def merged_json(own: Column, over: Column, schema: str) -> Column:
     a, b = F.from_json(own, schema), F.from_json(over, schema)
     names = [field.split()[0].strip(":`") for field in schema.split(",")]
     return F.to_json(F.struct(*[F.coalesce(b[n], a[n]).alias(n) for n in names]))
+
+
+def merged_fields(rows: DataFrame, id_col: str, own: str, over: str) -> DataFrame:
+    """(id, key, value) of two JSON documents a row, merged over the fields that they turn out to have.
+
+    A field of ``over`` wins unless it is null; nested values are kept as JSON. Documents
+    that are no objects, or no JSON, have no fields. Each row is taken apart by itself.
+    """
+    parsed = rows.select(F.col(id_col).alias("id"), F.try_parse_json(own).alias("__own"), F.try_parse_json(over).alias("__over"))
+    field = "select id, e.key, {0} as place, cast(e.value as string) as value, not coalesce(is_variant_null(e.value), true) as stated from {{rows}}, lateral variant_explode({1}) as e where schema_of_variant({1}) like 'OBJECT%'"
+    spark = rows.sparkSession
+    tall = spark.sql(field.format(0, "__own"), rows=parsed).unionByName(spark.sql(field.format(1, "__over"), rows=parsed))
+    best = F.max_by("value", F.struct("stated", "place"))
+    return tall.groupBy("id", "key").agg(best.alias("value")).withColumnRenamed("id", id_col)

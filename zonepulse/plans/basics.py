@@ -196,6 +196,37 @@ def l6_report_watch(t: Source) -> DataFrame:
     return t.spark.read.schema(stateful.ReportWatch.OUT).parquet(f"{path}/out")
 
 
+_LANDED = "number long, date date, report_no string, cumulative long, deaths long"
+
+
+@query("reports", "SELECT 'batch' AS way, number, date, report_no, cumulative, deaths FROM reports UNION ALL SELECT 'stream', number, date, report_no, cumulative, deaths FROM reports WHERE number <> 3 UNION ALL SELECT 'newer', number, date, report_no, cumulative, deaths FROM reports WHERE number > 12")
+def a5_landed_reports(t: Source) -> DataFrame:
+    """Reports in a folder a number, read by the library's own source: whole, from a number on, and by a stream that passes over one landed late."""
+    from zonepulse.sources import landed, shared
+
+    landed.register(t.spark)
+    path, rows = shared.new_path(t.spark, "landed"), t.reports.select("number", "date", "report_no", "cumulative", "deaths")
+
+    def land(test: str) -> None:
+        rows.where(test).write.mode("append").partitionBy("number").json(f"{path}/in")
+
+    def poll() -> None:
+        stream = t.spark.readStream.format("landed_reports").schema(_LANDED).load(f"{path}/in")
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    for test in ("number < 8 AND number <> 3", "number >= 8 OR number = 3"):
+        land(test)
+        poll()
+    read = t.spark.read.format("landed_reports").schema(_LANDED).option("filesPerPartition", 4)
+    whole, newer = read.load(f"{path}/in"), read.option("newerThan", 12).load(f"{path}/in")
+    found = {"batch": whole, "stream": t.spark.read.schema(_LANDED).parquet(f"{path}/out"), "newer": newer}
+    out = None
+    for way, part in found.items():
+        part = part.select(F.lit(way).alias("way"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _EARLY, _LATER, _BEHIND = "ts < TIMESTAMP '2024-01-15' AND event_id % 10 <> 0", "ts >= TIMESTAMP '2024-01-15' AND event_id % 10 <> 0", "event_id % 10 = 0"
 
 

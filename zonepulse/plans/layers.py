@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.operators import indicators, layers, stats
+from zonepulse.operators import indicators, layers, sketches, stats
 from zonepulse.plans.epidemiology import _INTENSITY, _LATEST, _PERCENTILE, _by_province, _rates
 from zonepulse.plans.mobility import AFFECTED, DAY, MONTH, MULTIPLIER, _affected
 from zonepulse.plans.registry import Source, query
@@ -145,3 +145,39 @@ def k4_layer_trend(t: Source) -> DataFrame:
 def k4_layer_bars(t: Source) -> DataFrame:
     """What the layers without months show in a trend's place."""
     return layers.bars(_shown(t), 12).select("layer", "rank", "place", "place_name", F.round("value", 3).alias("value"), F.round("extra", 3).alias("extra"))
+
+
+_SHARES = [0.2, 0.4, 0.6, 0.8]
+
+
+@query(
+    TABLES,
+    _FLOW_ROWS
+    + """, spans AS (SELECT layer, month AS span, value FROM tall UNION ALL SELECT layer, left(month, 4), value FROM tall UNION ALL SELECT layer, 'all', value FROM tall)
+    SELECT layer, span, count(*) AS n, CAST(round(quantile_disc(value, 0.2), 3) AS DOUBLE) AS b1, CAST(round(quantile_disc(value, 0.4), 3) AS DOUBLE) AS b2, CAST(round(quantile_disc(value, 0.6), 3) AS DOUBLE) AS b3, CAST(round(quantile_disc(value, 0.8), 3) AS DOUBLE) AS b4 FROM spans GROUP BY 1, 2""",
+)
+def d9_breaks_of_spans(t: Source) -> DataFrame:
+    """Class breaks of every layer by month, year and over all, from one pass: months are sketched, years and the whole are merged from them.
+
+    Sketches hold more values here than a layer has, so the breaks are exact.
+    """
+    size = 4096
+    months = materialize(sketches.sketched(_monthly(t), ["layer", "month"], "value", size), "sketches").withColumnRenamed("month", "span")
+    years = sketches.merged(months.withColumn("span", F.substring("span", 1, 4)), ["layer", "span"], size)
+    whole = sketches.merged(years.withColumn("span", F.lit("all")), ["layer", "span"], size)
+    found = months.unionByName(years).unionByName(whole).withColumn("b", sketches.quantiles(_SHARES))
+    return found.select("layer", "span", "n", *[F.round(F.col("b")[k], 3).alias(f"b{k + 1}") for k in range(4)])
+
+
+@query(
+    TABLES,
+    _FLOW_ROWS
+    + """ SELECT CAST(grouping_id(layer, month, province) AS INTEGER) AS level, layer, month, province, CAST(round(sum(value), 3) AS DOUBLE) AS total, CAST(round(max(value), 3) AS DOUBLE) AS top, count(*) AS places, CAST(round(sum(incoming) / nullif(sum(value), 0), 6) AS DOUBLE) AS ratio
+    FROM (SELECT tall.*, z.province FROM tall LEFT JOIN zones z ON place = z.zone_id) GROUP BY GROUPING SETS ((layer, month, province), (layer, month), (layer, province), (layer), ())""",
+)
+def k4_grouping_sets(t: Source) -> DataFrame:
+    """Totals of the layers by month and province, by either, and over all, from one aggregate; ``level`` tells a total from a place without province."""
+    layer, month, province = F.col("layer"), F.col("month"), F.col("province")
+    rows = _monthly(t).groupingSets([[layer, month, province], [layer, month], [layer, province], [layer], []], layer, month, province)
+    found = rows.agg(F.grouping_id(layer, month, province).cast("int").alias("level"), F.sum("value").alias("total"), F.max("value").alias("top"), F.count(F.lit(1)).alias("places"), F.try_divide(F.sum("incoming"), F.nullif(F.sum("value"), F.lit(0.0))).alias("ratio"))
+    return found.select("level", "layer", "month", "province", F.round("total", 3).alias("total"), F.round("top", 3).alias("top"), "places", F.round("ratio", 6).alias("ratio"))

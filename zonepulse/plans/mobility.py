@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonepulse.functions.geo import EARTH_KM, area_or_measured, bearing, bend, point_along, polygon_measures, square
 from zonepulse.functions.numbers import response_class
-from zonepulse.functions.text import norm_name
+from zonepulse.functions.text import norm_name, strip_accents
 from zonepulse.operators import asof, keys, mobility
 from zonepulse.operators.assess import capital_assessment
 from zonepulse.plans.registry import Source, query
@@ -78,6 +78,13 @@ def b3_selected_flows(t: Source) -> DataFrame:
     return mobility.selected(_month(t), mobility.origin_set(_affected(t))).select("month", "origin_id", "destination_id", "movement")
 
 
+@query("zones flows", "p AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), f AS (SELECT * FROM flows JOIN p USING (month)) SELECT month, destination_id, CAST(sum(movement) AS BIGINT) AS movement FROM f GROUP BY 1, 2")
+def b3_flows_of_months(t: Source) -> DataFrame:
+    """Flows of the months that another table asks for, from a table with a partition a month: the scan leaves the other months out."""
+    asked = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
+    return mobility.of_months(t.monthly_flows(), materialize(asked, "months")).groupBy("month", "destination_id").agg(F.sum("movement").alias("movement"))
+
+
 @query(
     "zones cases",
     AFFECTED
@@ -199,6 +206,15 @@ border AS (SELECT coalesce(CAST(sum(movement) AS BIGINT), 0) AS border_total, su
   FROM flows JOIN zones ON destination_id = zone_id WHERE month = '{MONTH}' AND is_uganda_border = 1)"""
 
 
+@query("zones", "c AS (SELECT c_custkey, translate(n_name, 'AEIOUN', 'ÁÈÎÖÜÑ') AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT lower(strip_accents(raw)) AS name, z.zone_id, count(*) AS n FROM c LEFT JOIN zones z ON lower(strip_accents(raw)) = lower(z.zone_name) GROUP BY 1, 2")
+def c3_collation_join(t: Source) -> DataFrame:
+    """Names that differ by accents and case, joined and grouped by a collation of the engine."""
+    said = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.translate("n_name", "AEIOUN", "ÁÈÎÖÜÑ").alias("raw"))
+    counted = keys.collated(said, "raw").groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.min(F.lower(strip_accents(F.collate("raw", "UTF8_BINARY")))).alias("name"))
+    zones = keys.collated(t.zones.select("zone_id", "zone_name"), "zone_name")
+    return counted.join(zones, F.col("raw") == F.col("zone_name"), "left").select("name", "zone_id", "n")
+
+
 @query(
     "zones flows cases",
     f"""poly AS (SELECT zone_id, zone_name, province, lat + 0.5 AS plat, lon + 0.5 AS plon FROM zones WHERE CAST(zone_id AS INT) % 2 = 0)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zonepulse.plans import tables
+from zonepulse.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +22,13 @@ class Source:
     def __getattr__(self, name: str) -> DataFrame:
         return tables.load(self.spark, self.sf_dir, name)
 
+    def monthly_flows(self) -> DataFrame:
+        """Flows written once to the shared folder, a partition a month; rows of a month meet before the write, so it has few files."""
+        path = new_path(self.spark, "flows-by-month")
+        rows = self.flows
+        rows.repartition("month", "destination_id").write.partitionBy("month").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def flows_of(self, month: str) -> DataFrame:
         return tables.load(self.spark, self.sf_dir, "flows", month)
 

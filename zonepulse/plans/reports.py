@@ -412,6 +412,18 @@ def h20_json(t: Source) -> DataFrame:
     return t.events.select("event_id", k.alias("k"), publish.merged_json(own, over, "event long, k int, notes string").alias("merged"))
 
 
+@query(
+    "zones",
+    """d AS (SELECT event_id, CAST(props AS JSON) AS p, CAST('{"seen": ' || event_id || CASE WHEN event_id % 2 = 0 THEN ', "k": "late"' ELSE ', "k": null' END || CASE WHEN event_id % 5 = 0 THEN ', "f' || event_id % 7 || '": [1, 2]' ELSE '' END || '}' AS JSON) AS o FROM events),
+k AS (SELECT event_id, p, o, unnest(list_distinct(json_keys(p) || json_keys(o))) AS key FROM d)
+SELECT event_id, key, CASE WHEN json_type(o->key) IS NULL OR json_type(o->key) = 'NULL' THEN json_extract_string(p, key) ELSE json_extract_string(o, key) END AS value FROM k""",
+)
+def h20_unknown_fields(t: Source) -> DataFrame:
+    """Documents whose fields nobody declared, one over another: stated fields win, null ones leave the other's."""
+    over = F.expr("concat('{\"seen\": ', event_id, CASE WHEN event_id % 2 = 0 THEN ', \"k\": \"late\"' ELSE ', \"k\": null' END, CASE WHEN event_id % 5 = 0 THEN concat(', \"f', event_id % 7, '\": [1, 2]') ELSE '' END, '}')")
+    return publish.merged_fields(t.events.select("event_id", "props", over.alias("over")), "event_id", "props", "over")
+
+
 @query("reports", "z AS (SELECT n_regionkey AS doc_id, n_name AS zone, 'zone' AS kind, CAST(n_nationkey * 3 AS BIGINT) AS cases, CAST(n_nationkey AS BIGINT) AS deaths FROM nation) SELECT * FROM z UNION ALL SELECT doc_id, 'Sous total', 'total', CAST(sum(cases) AS BIGINT), CAST(sum(deaths) AS BIGINT) FROM z GROUP BY 1 UNION ALL SELECT DISTINCT doc_id, 'Autres ZS', 'unassigned', 4, CAST(NULL AS BIGINT) FROM z")
 def h21_vertical_table(t: Source) -> DataFrame:
     n = t.nation.withColumn("c", F.col("n_nationkey") * 3)
