@@ -367,6 +367,32 @@ def test_inferred_formats(spark):
     assert secrets.redact(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_recall_of_planted_formats(spark, seed):
+    """Credentials of four labelled formats, planted without a name among other tokens: nine in ten are found, no other token is."""
+    rng = random.Random(seed)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = digits + low + low.upper()
+    formats = [lambda: "ghp_" + pick(every, 36), lambda: "sk_live_" + pick(every, 24), lambda: f"eyJ{pick(every, 30)}.{pick(every + '_-', 40)}", lambda: pick(every + "+/", 43) + "="]
+    others = [
+        lambda: f"/usr/share/doc/package-{rng.randint(1, 99)}/readme-{rng.randint(1, 9)}.txt.gz", lambda: f"the-{pick(low, 6)}-page-number-{rng.randint(1, 99)}.html", lambda: f"2024-01-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:00:00.000Z+00:00",
+        lambda: f"https://example.org/{pick(low, 8)}/{pick(low, 9)}/{rng.randint(100, 999)}", lambda: f"CamelCaseIdentifier{pick(low, 5).title()}Number{rng.randint(1, 99)}", lambda: f"version_{rng.randint(0, 30)}.{rng.randint(0, 30)}-release-candidate{rng.randint(0, 9)}",
+    ]
+    words = lambda n: " ".join(pick(low, rng.randint(2, 9)) for _ in range(n))
+    texts = [f'{words(20)} {rng.choice(["token", "secret", "api_key"])} = "{formats[k % 4]()}" {words(9)}' for k in range(240)]
+    texts += [f"{words(15)} {rng.choice(others)()} {words(5)} {rng.choice(others)()}" for _ in range(2000)]
+    planted = {}
+    for k in range(80):
+        before, value = words(12) + " ", formats[k % 4]()
+        planted[len(texts)] = (len(before), len(before) + len(value.rstrip("=")))
+        texts.append(before + value + " " + words(6))
+    df = docs_of(spark, texts, extra=False)
+    got = {r["id"]: [(x["s"], x["e"]) for x in r["spans"] if x["kind"] == "auto"] for r in secrets.scan(df, secrets.learn(df)).collect()}
+    found = sum(any(a <= s and e <= b for a, b in got[k]) for k, (s, e) in planted.items())
+    assert found >= 0.9 * len(planted) and not any(got[k] for k in range(240, 2240))
+
+
 def test_automaton_keeps_prefixes_and_lengths():
     rng = random.Random(1)
     of = lambda n, letters="0123456789abcdef": "".join(rng.choices(letters, k=n))

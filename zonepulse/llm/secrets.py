@@ -21,7 +21,8 @@ digit and a letter, between signs of assignment and the spans of the fixed kinds
 are scored over their whole length by their likelihood per character, and if that is
 low so are their parts between slashes, under the best automaton against a
 background automaton of other long tokens and of ordinary words; those above a
-threshold calibrated on both samples are secrets of kind ``auto``. Without labelled
+threshold a character that is calibrated on both samples, or with odds of e^EVIDENCE
+over all characters, are secrets of kind ``auto``. Without labelled
 credentials nothing is added.
 
 Bounds of the training sample: about SAMPLE_TEXTS texts (by hash), from these
@@ -58,8 +59,8 @@ SAMPLE_TEXTS, SAMPLE_STRINGS, SAMPLE_CHARS = 20_000, 300, 1 << 15
 ALPHA, CHILD_LEAST = 0.05, 5
 #: Ordinary words have at least so many letters and come from one sampled text in so many.
 WORD_LEAST, WORD_TEXTS = 4, 8
-#: No token is a secret below this log-likelihood ratio per character.
-LEAST_MARGIN = 0.25
+#: No token is a secret below this log-likelihood ratio per character, unless its whole length makes the odds e^EVIDENCE to one.
+LEAST_MARGIN, EVIDENCE = 0.25, 5.0
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
@@ -233,16 +234,21 @@ class Grammar:
         # what the background has never seen is at least as likely as a draw of classes
         return max(a.score(text) for a in self.kinds.values()) - max(self.background.score(text) if self.background else -math.inf, -math.log(6))
 
+    def likely(self, value: str) -> bool:
+        """By the ratio of each character, or by that of all of them."""
+        margin = self.margin(value)
+        return margin > self.threshold or margin * (len(value) + 1) > EVIDENCE
+
     def found(self, at: int, value: str) -> Iterator[tuple[int, int]]:
         """Where the candidate at ``at`` is a secret: whole, else its parts between slashes."""
         if not self.kinds:
             return
-        if self.margin(value) > self.threshold:
+        if self.likely(value):
             yield at, at + len(value)
         elif "/" in value:
             for m in _PART.finditer(value):
                 part = m.group().rstrip(".-")
-                if _mixed(part) and self.margin(part) > self.threshold:
+                if _mixed(part) and self.likely(part):
                     yield at + m.start(), at + m.start() + len(part)
 
     def spans(self, text: str) -> list[Span]:
