@@ -24,11 +24,12 @@ TABLES: dict[str, str] = {
         CAST((n_nationkey * 7) % 20 - 14 AS DOUBLE) AS lat, CAST(11 + (n_nationkey * 5) % 21 AS DOUBLE) AS lon,
         CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE CAST(1000 + 250 * r_regionkey AS DOUBLE) END AS area_km2
       FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey <> 23""",
+    # summed by numbers and dates; the few sums take their names behind
     "flows": """
-      SELECT MONTH_OF(o_orderdate) AS month, CAST(c_nationkey AS STRING) AS origin_id, CAST(s_nationkey AS STRING) AS destination_id,
-        CAST(sum(l_quantity) AS BIGINT) AS movement
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
-      WHERE s_nationkey <> 24 GROUP BY 1, 2, 3""",
+      SELECT MONTH_OF(begun) AS month, CAST(o AS STRING) AS origin_id, CAST(d AS STRING) AS destination_id, movement
+      FROM (SELECT date_trunc('month', o_orderdate) AS begun, c_nationkey AS o, s_nationkey AS d, CAST(sum(l_quantity) AS BIGINT) AS movement
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+        WHERE s_nationkey <> 24 GROUP BY 1, 2, 3) m""",
     # every sixth zone is known by name only, every fourth has no cases
     "cases": """
       WITH monthly AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS counted, c_nationkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n,
