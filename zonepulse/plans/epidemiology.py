@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonepulse.functions.numbers import clamp, quintile_label
+from zonepulse.functions.numbers import quintile_label
 from zonepulse.operators import asof, assess, indicators, mobility, models, series, stats
 from zonepulse.plans.registry import Source, query
 
