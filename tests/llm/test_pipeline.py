@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_registered():
-    assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in contract.queries()} and "pipeline" in contract.queries()
+    assert {f"op{k}" for k in range(1, 14)} <= {n.split("_")[0] for n in contract.queries()} and "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
 
 

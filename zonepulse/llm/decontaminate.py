@@ -25,7 +25,6 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,10 +213,6 @@ def merged(spans: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def _pieces(items: DataFrame, most: int, window: int) -> DataFrame:
     """Items of more than ``most`` words in pieces that overlap by window - 1 words, so that no window is lost."""
 

@@ -38,7 +38,6 @@ Null ids are kept. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
@@ -304,14 +303,6 @@ def learn(docs: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TE
     return Grammar({k: by[k] for k in KINDS[:3]}, by["auto"], by["word"])
 
 
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
-
-
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
-
-
 def scan(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, spans as array of (start, end, kind)."""
     bound = docs.sparkSession.sparkContext.broadcast(grammar)
