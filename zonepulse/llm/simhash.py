@@ -53,8 +53,8 @@ BLOCK_ROWS, LEAST_ROWS = 1024, 256
 WIDE, RADIUS_WIDE, SHINGLE_WIDE = 4, 44, 5
 #: Wide blocks that are not cut, rows a key aimed at, fewest bits a key, chance that a link of the radius meets.
 WIDE_ROWS, KEY_ROWS, KEY_BITS, RECALL = 16_384, 1024, 12, 0.9
-#: Tables of at most so many hot keys are broadcast.
-HOT_KEYS = 100_000
+#: Tables of at most so many hot keys are broadcast, and of at most so many rows that go: 16 bytes a row and the id.
+HOT_KEYS, GONE_ROWS = 100_000, 250_000
 #: (query, word) pairs compared at once, and rows whose planes are held, but for larger blocks.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 15, 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -363,7 +363,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = prints.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("row"))
     keep = materialize(firsts.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.th").alias("__th")).distinct(), "simhash-keep")
     marked = docs.withColumn("__at", F.xxhash64(F.col(text_col).cast("string")))
-    stay = marked.join(keep, (F.col(id_col).cast(id_type(docs, id_col)) == F.col("__id")) & (F.col("__at") == F.col("__th")), "left_semi")
+    same = (F.col(id_col).cast(id_type(docs, id_col)) == F.col("__id")) & (F.col("__at") == F.col("__th"))
+    # the texts stay where they are while the list of rows that go is short enough to send round
+    gone = prints.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct().join(keep, ["__id", "__th"], "left_anti")
+    gone = materialize(gone, "simhash-gone")
+    if gone.count() <= GONE_ROWS:
+        stay = marked.where(F.col(id_col).isNotNull()).join(F.broadcast(gone), same, "left_anti")
+    else:
+        stay = marked.join(keep, same, "left_semi")
     again = prints.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():
         stay = stay.dropDuplicates([id_col, "__at"])
