@@ -71,6 +71,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE
             rows = batch.slice(first, last - first)
             yield rows, [x or b"" for x in values.slice(first, last - first).cast(pa.binary()).to_pylist()]
             first = last
+    # the worker outlives its task: what Arrow keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

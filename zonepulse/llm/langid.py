@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonepulse.llm.common import id_type, text_slices
+from zonepulse.llm.common import id_type, materialize, text_slices
 
 ORDER = 4
 MAX_CHARS = 1_000_000
@@ -307,7 +307,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 found += [(text[i * width[lang] : (i + 1) * width[lang]], lang, bool(held[i])) for i in drawn.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], ["text", "lang", "held"])
 
-    sample = able.mapInArrow(cut, "text string, lang string, held boolean")
+    # written, as what counts and what calibrates both read it; its size is bounded
+    sample = materialize(able.mapInArrow(cut, "text string, lang string, held boolean"), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_slices(batches, "text"):
