@@ -92,3 +92,21 @@ def test_accents_pass_through_and_late_spaces(spark):
     df = spark.createDataFrame([("Straße é 漢",), ("x" * 250 + " \u00a0\t y",)], "text string")
     got = df.select(functions_text.strip_accents(df.text).alias("a"), functions_text.norm_spaces(df.text).alias("b")).collect()
     assert got[0]["a"] == "Straße e 漢" and got[1]["b"] == "x" * 250 + " y"
+
+
+def over_events(spark, folder, events, name):
+    """A query's rows over the given events, and those of its SQL."""
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    for table in os.listdir(SF):
+        held = f"{folder}/events.parquet/*.parquet" if table == "events.parquet" else f"{SF}/{table}"
+        con.execute(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM '{held}'")
+    cursor = con.execute(catalog.ORACLE_SQL[name])
+    found = catalog.QUERIES[name](spark, str(folder))
+    return rows(found.columns, found.collect()), rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_number_pairs_of_large_ids(spark, tmp_path):
+    events = [(0, 0), (1, 899), (2, 900), (3, 1499), (100_000, 89_999), (5_999_999, 987_901), (2**40, 2**33)]
+    found, want = over_events(spark, tmp_path, events, "h9_number_pairs")
+    assert found == want and len(found) == len(events)

@@ -311,7 +311,7 @@ def h8_h9_labelled_values(t: Source) -> DataFrame:
     return t.customer.select("c_custkey", text.line_after(s, "Zone").alias("zone"), text.number_after(s, "Cases").alias("cases"), text.number_before(s, "imported").alias("imported"), text.number_before(s, "local").alias("local"))
 
 
-_BULLETIN = "concat(CAST(1000 + user_id AS STRING), ' Imported Cases ', CAST(event_id AS STRING), ' Local cases; 12,', CAST(100 + user_id AS STRING), ' total persons tested')"
+_BULLETIN = "concat(CAST(1000 + user_id AS STRING), ' Imported Cases ', CAST(event_id AS STRING), ' Local cases; ', format_number(12100 + user_id, 0), ' total persons tested')"
 
 
 @query("zones", "SELECT event_id, CAST(1000 + user_id AS BIGINT) AS imported, CAST(event_id AS BIGINT) AS local, CAST(12100 + user_id AS BIGINT) AS tested FROM events")
