@@ -378,3 +378,20 @@ def test_quarantine_names_its_reasons(spark):
     rows = spark.createDataFrame([(1, 2), (None, 2), (0, 0)], "a int, b int")
     got = [(r["status"], r["reasons"]) for r in publish.quarantined(rows, {"a": F.col("a") > 0, "b": F.col("b") > 0}).collect()]
     assert got == [("published", ""), ("needs review", "a"), ("needs review", "a,b")]
+
+
+def test_english_dates_as_written(spark):
+    raw = [("as of 1st January, 2024 and 2 May 2025", D(2024, 1, 1)), ("29 FEBRUARY\t2024", D(2024, 2, 29)), ("29 February 2023", None), ("112 June 2026", D(2026, 6, 12)), ("0 June 2026", None), ("08 june 20261", D(2026, 6, 8)), ("8 Jun 2026", None), ("8 juin 2026", None), ("8 sept 2026, 9 September 2026", None), ("3rd\nMarch 2020", D(2020, 3, 3)), ("8 June 1999", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(r[0],) for r in raw], "t string").select(text.english_date(F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in raw]
+
+
+def test_snapshot_searches_a_page_once_a_value(spark):
+    page = "12,345 confirmed cases and 0 deaths as of 5 June 2026; 3 imported cases 4 local cases"
+    found = extract.snapshot(spark.createDataFrame([(1, page)], "id int, t string"), "id", "t")
+    assert [tuple(r) for r in found.collect()] == [(1, D(2026, 6, 5), 12345, 0, 3, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(t#") == 4 and plan.count("20[0-9]{2}") == 2
+    for lacking in ("1 confirmed cases and 0 deaths", "0 deaths as of 5 June 2026", "1 confirmed cases as of 5 June 2026", None):
+        with pytest.raises(Exception, match="a page lacks its"):
+            extract.snapshot(spark.createDataFrame([(1, lacking)], "id int, t string"), "id", "t").collect()

@@ -44,7 +44,7 @@ def fr_float(text: Column) -> Column:
 
 def en_int(text: Column) -> Column:
     """Commas and white space group thousands, a dot starts decimals, which are cut off."""
-    return F.regexp_replace(_found(text, r"-?[0-9][0-9,.\s]*"), r"[\s,]", "").try_cast("double").try_cast("long")
+    return F.regexp_replace(F.regexp_extract(text, r"-?[0-9][0-9,.\s]*", 0), r"[\s,]", "").try_cast("double").try_cast("long")
 
 
 def half_up(value: Column) -> Column:

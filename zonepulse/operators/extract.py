@@ -91,7 +91,7 @@ def snapshot(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A page without its date, cases or deaths is an error, which the job raises.
     """
     page = F.col(text_col)
-    needed = lambda value, name: F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"a page lacks its {name}: "), F.col(id_col).cast("string"))))
+    needed = lambda value, name: F.coalesce(value, F.raise_error(F.concat(F.lit(f"a page lacks its {name}: "), F.col(id_col).cast("string"))))
     imported, local = number_pair(page, "imported cases", "local cases")
     as_of = needed(english_date(page), "date")
     return pages.select(id_col, as_of.alias("as_of"), needed(number_before(page, "confirmed cases"), "cases").alias("cases"), needed(number_before(page, "deaths"), "deaths").alias("deaths"), imported.alias("imported"), local.alias("local"))
