@@ -395,3 +395,15 @@ def test_snapshot_searches_a_page_once_a_value(spark):
     for lacking in ("1 confirmed cases and 0 deaths", "0 deaths as of 5 June 2026", "1 confirmed cases as of 5 June 2026", None):
         with pytest.raises(Exception, match="a page lacks its"):
             extract.snapshot(spark.createDataFrame([(1, lacking)], "id int, t string"), "id", "t").collect()
+
+
+def test_urls_cut_a_page_once(spark):
+    many = "".join(f"<a href = '/download/{k}'>x</a>" for k in range(3000))
+    odd = ["", "'", "''", "\"'", "href='", "href=''/a.pdf'", "data-x \n= 'b.pdf' data-='' src :\t\"c.pdf", "file" + " " * 50_000 + "=\t'd.pdf'", "data-" + "a" * 50_000 + "='e.pdf'", "data-a b='f.pdf' x=\"g.pdf\" 'pdf'='h.pdf'", None, many]
+    pages = spark.createDataFrame(list(enumerate(odd)), "id int, t string")
+    found = extract.urls(pages, "id", "t", "https://h.org/r/p.html")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t#") == 2
+    got = sorted((r["doc_id"], r["pos"], r["url"]) for r in found.collect())
+    want = [(6, 0, "r/b.pdf"), (7, 0, "r/d.pdf"), (8, 0, "r/e.pdf"), *((11, k, f"download/{k}") for k in range(3000))]
+    assert got == [(page, pos, f"https://h.org/{url}") for page, pos, url in want]

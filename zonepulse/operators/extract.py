@@ -200,13 +200,21 @@ def _from(piece: Column, marks: tuple[str, ...]) -> Column:
     return F.substring(piece, at - slash, F.length(piece)) if marks is FOLDERS else F.substring(piece, at, F.length(piece))
 
 
-def _quoted(page: Column) -> Column:
-    """Quoted values with the sign and the name in front: an array of (name, sign, value)."""
-    parts = F.split(page, "[\"']")
-    before = lambda k: F.regexp_replace(F.lower(F.get(parts, k - 1)), r"\s+$", "")
-    name = lambda k: F.regexp_replace(F.substring(before(k), F.lit(1), F.greatest(F.length(before(k)) - 1, F.lit(0))), r"\s+$", "")
-    rows = F.transform(parts, lambda x, k: F.struct(F.when((k > 0) & (k < F.size(parts) - 1) & (x != ""), name(k)).alias("name"), F.right(before(k), F.lit(1)).alias("sign"), x.alias("value")))
-    return F.filter(rows, lambda r: r["name"].isNotNull() & r["sign"].isin(":", "="))
+def _quoted(parts: Column) -> Column:
+    """Quoted values with the sign and the name in front, of a page cut at its quotes: an array of (name, sign, value).
+
+    A value meets the part before it in one struct: no element reads the whole array.
+    """
+    blank, held = F.lit(" \t\n\x0b\f\r"), F.greatest(F.size(parts) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(parts, 1, held), F.slice(parts, 2, held), lambda before, x: F.struct(F.rtrim(before, blank).alias("before"), x.alias("value")))
+    signed = F.filter(pairs, lambda r: (r["value"] != "") & (F.endswith(r["before"], F.lit(":")) | F.endswith(r["before"], F.lit("="))))
+    name = lambda before: F.rtrim(F.lower(F.substring(before, F.lit(1), F.length(before) - 1)), blank)
+    return F.transform(signed, lambda r: F.struct(name(r["before"]).alias("name"), F.right(r["before"], F.lit(1)).alias("sign"), r["value"].alias("value")))
+
+
+def _data_attribute(name: Column) -> Column:
+    """Whether the word that the name ends with says data-."""
+    return F.contains(F.substring(name, F.length(F.rtrim(name, F.lit("abcdefghijklmnopqrstuvwxyz0123456789_-"))) + 1, F.length(name)), F.lit("data-"))
 
 
 def urls(pages: DataFrame, id_col: str, text_col: str, base: str) -> DataFrame:
@@ -217,9 +225,12 @@ def urls(pages: DataFrame, id_col: str, text_col: str, base: str) -> DataFrame:
     says an address, then those of data attributes; the latter two are percent-decoded.
     Other schemes than the web's are left out.
     """
-    page = F.col(text_col)
-    words = F.split(page, r"[\"'<>\s)]+")
     low = F.lower
+    document = lambda x: F.contains(low(x), F.lit(".pdf")) | F.contains(low(x), F.lit("/download/"))
+    cut = pages.select(F.col(id_col).alias("doc_id"), F.split(text_col, r"[\"'<>\s)]+").alias("words"), F.split(text_col, "[\"']").alias("parts"))
+    # columns of their own, so that what follows doesn't cut the page anew
+    pieces = cut.select("doc_id", F.filter("words", document).alias("words"), _quoted(F.col("parts")).alias("quoted"))
+    words, quoted = F.col("words"), F.col("quoted")
     # something stands between the scheme or folder and what makes it a document
     said = lambda rest, skip, marks: functools.reduce(lambda a, b: a | b, [F.contains(low(F.substring(rest, skip, F.length(rest))), F.lit(m)) for m in marks])
     scheme = lambda x: F.coalesce(F.length(F.regexp_extract(x, "^(?i)(https?://)", 1)), F.lit(0))
@@ -227,13 +238,13 @@ def urls(pages: DataFrame, id_col: str, text_col: str, base: str) -> DataFrame:
     paths = F.filter(F.transform(words, lambda x: _from(x, FOLDERS)), lambda x: x.isNotNull() & said(x, F.locate("/", F.ltrim(x, F.lit("/"))) + 2, (".pdf",)))
     # a plus sign is no space here
     decoded = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
-    document = lambda x: F.contains(low(x), F.lit(".pdf")) | F.contains(low(x), F.lit("/download/"))
-    values = lambda test: F.filter(F.transform(F.filter(_quoted(page), test), lambda r: decoded(r["value"])), document)
+    values = lambda test: F.filter(F.transform(F.filter(quoted, test), lambda r: decoded(r["value"])), document)
     named = values(lambda r: functools.reduce(lambda a, b: a | b, [F.endswith(r["name"], F.lit(n)) for n in SOURCES]))
-    data = values(lambda r: (r["sign"] == "=") & F.contains(F.regexp_extract(r["name"], "[a-z0-9_-]*$", 0), F.lit("data-")))
+    data = values(lambda r: (r["sign"] == "=") & _data_attribute(r["name"]))
     found = F.concat(whole, *[F.transform(x, lambda u: joined_url(u, base)) for x in (paths, named, data)])
     clean = F.transform(found, lambda u: F.trim(norm_spaces(u), F.lit("\"' ")))
-    rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(clean).alias("pos", "url")).where((F.col("url") != "") & ~F.lower("url").rlike("^(?:javascript|mailto|tel):"))
+    # outer: else Spark derives a filter that makes the whole array once more; the null row goes with the empty ones
+    rows = pieces.select("doc_id", F.posexplode_outer(clean).alias("pos", "url")).where((F.col("url") != "") & ~F.lower("url").rlike("^(?:javascript|mailto|tel):"))
     return rows.groupBy("doc_id", "url").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "url")
 
 
